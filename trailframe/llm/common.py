@@ -145,3 +145,79 @@ def marked(ids: DataFrame) -> np.ndarray:
 def is_marked(filter_bytes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     bit = bit_of(ids)
     return (filter_bytes[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+
+
+_B = 0x9E3779B97F4A7C15
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64))
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
+_LOWER_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER_BYTES[65:91] += 32
+_SPLIT = re.compile(rb"[\x20\x09-\x0D]")
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, n at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_B, pow(_B, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS[0], _POWERS[1]
+
+
+def _hash_words(joined: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of the bytes."""
+    buf = np.frombuffer(joined, np.uint8)
+    if lower:
+        buf = _LOWER_BYTES[buf]
+    gap = np.r_[True, _SEPARATOR[buf], True]
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    pw, inv = powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * pw[: len(buf)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inv[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+
+
+def word_hashes(texts: list[str | None], lower: bool = True, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and how many words each text has. Words are the same as those
+    of `words`, with A-Z lower-cased if `lower`; all work is on arrays over pieces of about `most` bytes, cut between words."""
+    out, counts = [], np.zeros(len(texts), np.int64)
+    pending: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush():
+        nonlocal size
+        if not pending:
+            return
+        h, starts, _ = _hash_words(b" ".join(b for _, b in pending), lower)
+        bounds = np.cumsum([len(b) + 1 for _, b in pending])
+        cut = np.searchsorted(starts, bounds)
+        for (i, _), n in zip(pending, np.diff(np.r_[0, cut]), strict=True):
+            counts[i] += n
+        out.append(h)
+        pending.clear()
+        size = 0
+
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        b = t.encode()
+        at = 0
+        while len(b) - at > most:
+            m = _SPLIT.search(b, at + most)
+            end = m.start() if m else len(b)
+            flush()
+            pending.append((i, b[at:end]))
+            flush()
+            at = end
+        pending.append((i, b[at:] if at else b))
+        size += len(b) - at
+        if size > most:
+            flush()
+    flush()
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), counts
