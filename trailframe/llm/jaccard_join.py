@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join: signature trees over blocks of documents that share a rare shingle.
 
-A document is the set of its distinct 5-word shingles. Sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of
+A document is the set of its distinct 5-word shingles. Sets of similarity 0.8 share k of the first n - ceil(0.8 n) + k shingles of
 both, in any order that all documents use; the order here puts frequent shingles last (by a count-min sketch of fixed size, which may
-err without harm). Equal sets are joined once. Then
-1. shingles of those prefixes meet, packed, in buckets; those that only one set has go, and sets of incompatible size;
+err without harm), and k is 8 + n / 20. Equal sets are joined once. Then
+1. shingles of those prefixes meet, packed, in buckets; those that only one set has go, and sets of incompatible size; sets with
+   fewer than the k shared shingles that a partner would need go too;
 2. each set goes whole to its first and its rarest shared shingle ("home"). There a signature tree - leaves are bitmaps of the set,
    nodes the OR of their children's bitmaps and the range of sizes - is traversed against itself; a pair of nodes is left out when
    its sizes or the largest possible overlap rule a link out, or when all of it is linked already. Leaves are compared exactly;
@@ -58,17 +59,26 @@ def _set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _common_at_least(n: int) -> int:
+    return (4 * n + 4) // 5
+
+
+def _wanted(n: int) -> int:
+    """How many shingles the prefixes of similar sets have in common, if the smaller has n."""
+    return min(8 + n // 20, _common_at_least(n))
+
+
 def _prefix(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    return n - _common_at_least(n) + _wanted(n)
 
 
 def _sketch(batches):
-    """Counts of the smallest 30 % of each set's hashes, which hold all prefixes but those with many frequent shingles."""
+    """Counts of the smallest hashes of each set: its prefix, and a twentieth of the set more, for what follows frequent shingles."""
     total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for _, texts in C.text_chunks(batch):
             for s in shingle_sets(texts):
-                total[(s[: _prefix(len(s)) + len(s) // 10] & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1
+                total[(s[: _prefix(len(s)) + len(s) // 20] & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1
     size = 1 << 17
     for i in range(0, len(total), size):
         if total[i : i + size].any():
@@ -143,9 +153,9 @@ def _shared(table: pa.Table) -> pa.Table:
     t, s, n = t[new], s[new], n[new]
     near = (t[1:] == t[:-1]) & (5 * n[:-1] >= 4 * n[1:])
     keep = np.r_[near, False] | np.r_[False, near] if len(t) else np.empty(0, bool)
-    t, s = t[keep], s[keep]
+    t, s, n = t[keep], s[keep], n[keep]
     _, inverse, count = np.unique(t, return_inverse=True, return_counts=True)
-    return pa.table({"token": pa.array(t.astype(np.int64)), "sid": pa.array(s), "df": pa.array(count[inverse].astype(np.int64) if len(t) else np.empty(0, np.int64))})
+    return pa.table({"token": pa.array(t.astype(np.int64)), "sid": pa.array(s), "n": pa.array(n), "df": pa.array(count[inverse].astype(np.int64) if len(t) else np.empty(0, np.int64))})
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -240,33 +250,50 @@ def link_block(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     return out
 
 
-def _home_links(table: pa.Table) -> pa.Table:
-    sids = np.array(table.column("sid").to_pylist(), np.int64)
-    sids, first = np.unique(sids, return_index=True)
-    column = table.column("items")
-    links = link_block(sids, [np.frombuffer(column[int(i)].as_py(), np.uint64) for i in first]) if len(sids) > 1 else []
+def _blocks(table: pa.Table):
+    """(rows of one token, a row for each set) in turn."""
+    token = table.column("token").to_numpy()
+    sid = table.column("sid").to_numpy()
+    order = np.lexsort((sid, token))
+    token, sid = token[order], sid[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])] if len(token) else np.empty(0, bool)
+    order, token = order[new], token[new]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    for s, e in zip(starts, np.r_[starts[1:], len(token)], strict=True):
+        if e - s > 1:
+            yield order[s:e]
+
+
+def _links_table(links: set[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
+def _home_links(table: pa.Table) -> pa.Table:
+    sid, column = table.column("sid").to_numpy(), table.column("items").combine_chunks()
+    links: set[tuple[int, int]] = set()
+    for rows in _blocks(table):
+        links.update(link_block(sid[rows], [np.frombuffer(column[int(i)].as_py(), np.uint64) for i in rows]))
+    return _links_table(links)
+
+
 def _open_pairs(table: pa.Table) -> pa.Table:
     """Pairs of a block that have different labels, have not met at home, and whose bitmaps allow a link."""
-    sids, first = np.unique(np.array(table.column("sid").to_pylist(), np.int64), return_index=True)
-    table = table.take(pa.array(first))
-    sizes = np.array(table.column("n").to_pylist(), np.int64)
-    order = np.argsort(sizes, kind="stable")
-    table, sids, sizes = table.take(pa.array(order)), sids[order], sizes[order]
-    label = np.unique(np.array(table.column("label").to_pylist(), np.int64), return_inverse=True)[1]
+    sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
     home = [set(x) for x in table.column("home").to_pylist()]
-    bitmaps = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-    out: list[tuple[int, int]] = []
+    bits = table.column("bits").combine_chunks()
+    out: set[tuple[int, int]] = set()
+    for rows in _blocks(table):
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        own = label[rows]
 
-    def visit(i: int, j: int) -> None:
-        if label[i] != label[j] and not home[i] & home[j]:
-            out.append((int(min(sids[i], sids[j])), int(max(sids[i], sids[j]))))
+        def visit(i: int, j: int, rows=rows, own=own) -> None:
+            x, y = rows[i], rows[j]
+            if own[i] != own[j] and not home[x] & home[y]:
+                out.add((int(min(sid[x], sid[y])), int(max(sid[x], sid[y]))))
 
-    if len(sids) > 1:
-        SignatureTree(sizes, bitmaps).pairs(label, visit)
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        if len(rows) > 2 or (own[0] != own[1] and not home[rows[0]] & home[rows[1]]):
+            SignatureTree(n[rows], [np.frombuffer(bits[int(i)].as_py(), np.uint64) for i in rows]).pairs(own, visit)
+    return _links_table(out)
 
 
 def _verified(batches):
@@ -288,7 +315,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = C.id_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
     first = C.checkpoint(docs.mapInArrow(_first_pass(_frequent(docs.select("doc_id", "text")), n), FIRST).where("bucket >= 0 or rid is not null"))
     members = first.where("bucket < 0").select("doc_id", "rid", "n", "sid")
-    shared = C.checkpoint(first.where("bucket >= 0").select("bucket", "tokens", "sids", "sizes").groupBy("bucket").applyInArrow(_shared, "token long, sid long, df long"))
+    shared = C.checkpoint(first.where("bucket >= 0").select("bucket", "tokens", "sids", "sizes").groupBy("bucket").applyInArrow(_shared, "token long, sid long, n long, df long"))
+    for _ in range(2):  # a set can have partners only among sets that can have partners
+        least = F.expr("(4 * n + 4) div 5")
+        enough = shared.groupBy("sid").agg(F.count("*").alias("found"), F.min("n").alias("n")).withColumn("n", least)
+        enough = enough.where(F.col("found") >= F.least(8 + F.expr("n div 20"), least)).select("sid")
+        shared = shared.join(enough, "sid", "left_semi")
+        alone = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        shared = C.checkpoint(shared.drop("df").join(alone, "token"))
 
     home = shared.groupBy("sid").agg(F.array_distinct(F.array(F.min("token"), F.min_by("token", F.struct("df", "token")))).alias("home"))
     keys = members.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid")).join(home, "sid")
@@ -302,13 +336,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.mapInArrow(candidates, docs.schema).join(keys, F.col("key") == keys.rid).select("sid", "text")
     sets = C.checkpoint(texts.mapInArrow(_sets, "sid long, n long, items binary, bits binary").dropDuplicates(["sid"]))
     at_home = sets.select("sid", "items").join(keys.select("sid", F.explode("home").alias("token")), "sid")
-    links = C.checkpoint(at_home.groupBy("token").applyInArrow(_home_links, "a long, b long"))
+    bucket = F.pmod("token", F.lit(n)).alias("bucket")
+    links = C.checkpoint(at_home.groupBy(bucket).applyInArrow(_home_links, "a long, b long"))
     labels = components(links)
 
     named = shared.join(labels, shared.sid == labels.node, "left").select("token", "sid", F.coalesce("label", "sid").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     rest = named.join(mixed, "token").join(sets.select("sid", "n", "bits"), "sid").join(keys.select("sid", "home"), "sid")
-    pairs = rest.groupBy("token").applyInArrow(_open_pairs, "a long, b long").distinct()
+    pairs = rest.groupBy(bucket).applyInArrow(_open_pairs, "a long, b long").distinct()
     x = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     more = C.checkpoint(pairs.join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long"))
