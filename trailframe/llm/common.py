@@ -183,10 +183,16 @@ def _hash_words(joined: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
-def word_hashes(texts: list[str | None], lower: bool = True, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, one after the other, and how many words each text has. Words are the same as those
-    of `words`, with A-Z lower-cased if `lower`; all work is on arrays over pieces of about `most` bytes, cut between words."""
-    out, counts = [], np.zeros(len(texts), np.int64)
+    of `words`, with A-Z lower-cased if `lower`."""
+    h, _, counts = word_hashes_and_ends(texts, lower)
+    return h, counts
+
+
+def word_hashes_and_ends(texts: list[str | None], lower: bool = True, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with the last two bytes of each word. All work is on arrays over pieces of about `most` bytes, cut between words."""
+    out, last, counts = [], [], np.zeros(len(texts), np.int64)
     pending: list[tuple[int, bytes]] = []
     size = 0
 
@@ -194,7 +200,11 @@ def word_hashes(texts: list[str | None], lower: bool = True, most: int = 1 << 19
         nonlocal size
         if not pending:
             return
-        h, starts, _ = _hash_words(b" ".join(b for _, b in pending), lower)
+        joined = b" ".join(b for _, b in pending)
+        h, starts, ends = _hash_words(joined, lower)
+        buf = np.frombuffer(joined, np.uint8)
+        buf = (_LOWER_BYTES[buf] if lower else buf).astype(np.uint16)
+        last.append(buf[ends - 1] + 256 * np.where(ends - starts > 1, buf[ends - 2], 0).astype(np.uint16))
         bounds = np.cumsum([len(b) + 1 for _, b in pending])
         cut = np.searchsorted(starts, bounds)
         for (i, _), n in zip(pending, np.diff(np.r_[0, cut]), strict=True):
@@ -220,4 +230,4 @@ def word_hashes(texts: list[str | None], lower: bool = True, most: int = 1 << 19
         if size > most:
             flush()
     flush()
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), counts
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), (np.concatenate(last) if last else np.empty(0, np.uint16)), counts
