@@ -151,6 +151,8 @@ _B = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+_NO_LETTER = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 _LOWER_BYTES = np.arange(256, dtype=np.uint8)
 _LOWER_BYTES[65:91] += 32
 _SPLIT = re.compile(rb"[\x20\x09-\x0D]")
@@ -168,12 +170,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _hash_words(joined: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_words(joined: bytes, lower: bool, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of the bytes."""
     buf = np.frombuffer(joined, np.uint8)
     if lower:
         buf = _LOWER_BYTES[buf]
-    gap = np.r_[True, _SEPARATOR[buf], True]
+    gap = np.r_[True, (_NO_LETTER if letters else _SEPARATOR)[buf], True]
     turns = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = turns[::2], turns[1::2]
     pw, inv = powers(len(buf) + 1)
@@ -183,14 +185,14 @@ def _hash_words(joined: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
-def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, one after the other, and how many words each text has. Words are the same as those
-    of `words`, with A-Z lower-cased if `lower`."""
-    h, _, counts = word_hashes_and_ends(texts, lower)
+    of `words`, with A-Z lower-cased if `lower`; with `letters`, all ASCII but letters and digits stands between words."""
+    h, _, counts = word_hashes_and_ends(texts, lower, letters)
     return h, counts
 
 
-def word_hashes_and_ends(texts: list[str | None], lower: bool = True, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes_and_ends(texts: list[str | None], lower: bool = True, letters: bool = False, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As word_hashes, with the last two bytes of each word. All work is on arrays over pieces of about `most` bytes, cut between words."""
     out, last, counts = [], [], np.zeros(len(texts), np.int64)
     pending: list[tuple[int, bytes]] = []
@@ -201,7 +203,7 @@ def word_hashes_and_ends(texts: list[str | None], lower: bool = True, most: int
         if not pending:
             return
         joined = b" ".join(b for _, b in pending)
-        h, starts, ends = _hash_words(joined, lower)
+        h, starts, ends = _hash_words(joined, lower, letters)
         buf = np.frombuffer(joined, np.uint8)
         buf = (_LOWER_BYTES[buf] if lower else buf).astype(np.uint16)
         last.append(buf[ends - 1] + 256 * np.where(ends - starts > 1, buf[ends - 2], 0).astype(np.uint16))
