@@ -218,7 +218,7 @@ def word_hashes_and_ends(texts: list[str | None], lower: bool = True, letters: b
     for i, t in enumerate(texts):
         if not t:
             continue
-        b = t.encode()
+        b = (t.lower() if letters else t).encode()
         at = 0
         while len(b) - at > most:
             m = _SPLIT.search(b, at + most)

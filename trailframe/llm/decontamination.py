@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by spaced seeds.
 
-Words are runs of letters and digits, A-Z in lower case. A seed is a mask over SPAN successive words whose zeros are ignored, so that a
+Words are runs of letters and digits in lower case. A seed is a mask over SPAN successive words whose zeros are ignored, so that a
 substituted word spoils only the masks that look at it. Hashes of all masks at all places of the benchmark meet those of all places of
 the documents; each hit fixes an alignment, and along it the best stretch (a match counts 1, a mismatch -2) must hold MATCHES equal
 words, or all words of a shorter item, and be equal in SHARE of its words.
