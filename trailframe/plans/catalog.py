@@ -1,9 +1,409 @@
-"""Queries over the library's own operators."""
+"""Queries over the library's own operators, each with SQL for the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from trailframe.functions import arrays, geometry, paths, times
+from trailframe.operators import curation, detections, metrics, scores
+from trailframe.operators.encounters import encounters as find_encounters
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Classes of the vectors: softmax of the first ten numbers, eight times each.
+CLASSES = [f"c{i}" for i in range(10)]
+
+
+def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    first = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 8)
+    return e.select("vec_id", "label", arrays.softmax(first).alias("probs"))
+
+
+PROBS = """
+x AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE) * 8) AS l FROM embeddings),
+ex AS (SELECT vec_id, label, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM x),
+probs AS (SELECT vec_id, label, list_transform(e, lambda v: v / list_sum(e)) AS probs FROM ex),
+long AS (SELECT vec_id, label, i - 1 AS i, probs[i] AS p, round_even(probs[i], 4) AS r FROM probs, range(1, 11) t(i))"""
+
+ENCOUNTERS = """
+WITH src AS ({src}),
+b AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts ASC NULLS LAST, event_id) AS prev FROM src),
+o AS (SELECT *, CASE WHEN ts IS NOT NULL AND (prev IS NULL OR ts - prev > INTERVAL 6 HOUR) THEN ts END AS opened FROM b),
+s AS (SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ASC NULLS LAST, event_id ROWS UNBOUNDED PRECEDING) AS start FROM o),
+w AS (SELECT *, first_value(event_type) OVER g AS best, max(value) OVER (PARTITION BY user_id, start) AS most FROM s
+      WINDOW g AS (PARTITION BY user_id, start ORDER BY value DESC NULLS LAST, ts ASC NULLS LAST, event_id))
+SELECT event_id, user_id, start AS encounter_start, CASE WHEN ts IS NULL OR start IS NULL THEN event_type ELSE best END AS encounter,
+       CASE WHEN ts IS NULL OR start IS NULL THEN value ELSE most END AS max_prob FROM w"""
+
+
+@query(ENCOUNTERS.format(src="SELECT * FROM events"))
+def encounters(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    return find_encounters(e, "user_id", "ts", "value", "event_type", "event_id", 6 * 3600).select("event_id", "user_id", "encounter_start", "encounter", "max_prob")
+
+
+@query(ENCOUNTERS.format(src="SELECT event_id, user_id, CASE WHEN event_id % 17 <> 0 THEN ts END AS ts, value, event_type FROM events"))
+def encounters_undated(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 17 != 0, F.col("ts")))
+    return find_encounters(e, "user_id", "ts", "value", "event_type", "event_id", 6 * 3600).select("event_id", "user_id", "encounter_start", "encounter", "max_prob")
+
+
+def _top(spark, sf_dir):
+    classes = F.array(*[F.lit(c) for c in CLASSES])
+    return scores.top_three(_probs(spark, sf_dir), "probs", classes).withColumn("confidence", F.col("label") / 10)
+
+
+RANKED = f"WITH {PROBS}, k AS (SELECT vec_id, label, i, r, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, i) AS n FROM long), "
+TOP = RANKED + "top AS (SELECT vec_id, any_value(label) / 10.0 AS confidence, " + ", ".join(f"max(CASE WHEN n = {n} THEN 'c' || i END) AS {a}, max(CASE WHEN n = {n} THEN r END) AS {b}" for n, a, b in ((1, "prediction", "probability"), (2, "second_pred", "second_prob"), (3, "third_pred", "third_prob"))) + " FROM k GROUP BY vec_id)"
+SIX = "prediction, probability, second_pred, second_prob, third_pred, third_prob"
+
+
+@query(f"{TOP} SELECT vec_id, {SIX} FROM top")
+def top3_predictions(spark, sf_dir):
+    return _top(spark, sf_dir).select("vec_id", *SIX.split(", "))
+
+
+@query(f"{TOP} SELECT vec_id, " + ", ".join(f"CASE WHEN confidence < 0.15 THEN {'0.0' if 'prob' in c else chr(39) + 'empty' + chr(39)} ELSE {c} END AS {c}" for c in SIX.split(", ")) + " FROM top")
+def relabel_empties(spark, sf_dir):
+    return scores.relabel_empties(_top(spark, sf_dir), "confidence", 0.15).select("vec_id", *SIX.split(", "))
+
+
+@query(f"{TOP} SELECT vec_id, 'above' AS side FROM top WHERE confidence > 0.5 UNION ALL SELECT vec_id, 'not_above' FROM top WHERE confidence <= 0.5")
+def md_split(spark, sf_dir):
+    above, below = scores.split_by_confidence(_top(spark, sf_dir), "confidence", 0.5)
+    return above.select("vec_id", F.lit("above").alias("side")).unionByName(below.select("vec_id", F.lit("not_above").alias("side")))
+
+
+@query(f"{TOP} SELECT vec_id, CASE WHEN confidence < 0.35 AND probability < 0.6 THEN 'empty' WHEN confidence = 0.9 THEN 'empty' ELSE prediction END AS encounter FROM top")
+def empty_mask(spark, sf_dir):
+    t = _top(spark, sf_dir).withColumn("encounter", F.when(F.col("confidence") == 0.9, scores.NO_BOX).otherwise(F.col("prediction")))
+    return scores.empty_encounters(t, "confidence", 0.35, "probability", 0.6).select("vec_id", "encounter")
+
+
+@query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'unprocessed') AS result FROM documents d LEFT JOIN labels l USING (doc_id)")
+def unprocessed(spark, sf_dir):
+    scored = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("result"))
+    known = detections.seen(scored, _t(spark, sf_dir, "documents"), ["doc_id"])
+    return scores.with_unprocessed(_t(spark, sf_dir, "documents"), known, "doc_id", "result")
+
+
+@query(f"""WITH {PROBS}, f AS (SELECT vec_id % 100 AS video, label / 10.0 AS c, i, p FROM long),
+g AS (SELECT video, i, avg(p) FILTER (c > 0.7) AS sure, avg(p) AS everything, count(*) FILTER (c > 0.7) AS ns, count(*) AS n, max(c) FILTER (c > 0.7) AS cs, max(c) AS ca FROM f GROUP BY video, i),
+v AS (SELECT video, i, coalesce(sure, everything) AS p, CASE WHEN ns > 0 THEN ns ELSE n END AS n, coalesce(cs, ca) AS c FROM g)
+SELECT video, arg_max('c' || i, (round_even(p, 6), -i)) AS prediction, round_even(max(p), 6) AS probability, max(n) AS n_frames, max(c) AS confidence FROM v GROUP BY video""")
+def video_collapse(spark, sf_dir):
+    frames = _probs(spark, sf_dir).select((F.col("vec_id") % 100).alias("video"), F.col("vec_id").alias("frame"), (F.col("label") / 10).alias("confidence"), "probs")
+    rows = scores.collapse_videos(frames, "video", "frame", "confidence", "probs")
+    best = F.get(arrays.ranked(F.col("probs"), 6), F.lit(0))
+    return rows.select("video", F.concat(F.lit("c"), best["index"].cast("string")).alias("prediction"), best["value"].alias("probability"), "n_frames", "confidence")
+
+
+def _scored(spark, sf_dir):
+    rows = _probs(spark, sf_dir).select("label", F.posexplode("probs").alias("class", "p"))
+    return rows.select("class", F.bround("p", 6).alias("score"), (F.col("class") == F.col("label")).cast("int").alias("hit"))
+
+
+AP = f"""WITH {PROBS}, t AS (SELECT i AS class, round_even(p, 6) AS score, CASE WHEN i = label THEN 1 ELSE 0 END AS hit FROM long),
+u AS (SELECT class, score, sum(hit) AS tp, count(*) AS n FROM t GROUP BY class, score),
+v AS (SELECT class, tp, sum(tp) OVER w AS tps, sum(n) OVER w AS ns, sum(tp) OVER (PARTITION BY class) AS support FROM u WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT class, CAST(max(support) AS BIGINT) AS support, sum(CAST(tp AS DOUBLE) / support * tps / ns) AS ap FROM v WHERE support > 0 GROUP BY class)"""
+
+
+@query(f"{AP} SELECT class, support, round(ap, 6) AS ap FROM ap")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(_scored(spark, sf_dir), "class", "score", "hit").withColumn("ap", F.round("ap", 6))
+
+
+@query(f"{AP} SELECT round(avg(ap), 6) AS macro_map, count(*) AS n_classes FROM ap")
+def macro_map(spark, sf_dir):
+    return metrics.average_precision(_scored(spark, sf_dir), "class", "score", "hit").agg(F.round(F.avg("ap"), 6).alias("macro_map"), F.count("*").alias("n_classes"))
+
+
+PRED = RANKED + "pred AS (SELECT vec_id, label AS target, i AS prediction FROM k WHERE n = 1)"
+
+
+def _predicted(spark, sf_dir):
+    best = F.get(arrays.ranked(F.col("probs"), 4), F.lit(0))["index"]
+    return _probs(spark, sf_dir).select("vec_id", F.col("label").alias("target"), best.alias("prediction"))
+
+
+@query(f"{PRED} SELECT avg(CASE WHEN target = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred")
+def accuracy(spark, sf_dir):
+    return _predicted(spark, sf_dir).agg(F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("accuracy"))
+
+
+@query(f"{PRED} SELECT target, prediction, count(*) AS n FROM pred GROUP BY target, prediction")
+def confusion(spark, sf_dir):
+    return metrics.confusion(_predicted(spark, sf_dir), "target", "prediction")
+
+
+@query(f"""{PRED}, c AS (SELECT t.label, count(*) FILTER (target = t.label AND prediction = t.label) AS tp, count(*) FILTER (target <> t.label AND prediction = t.label) AS fp,
+count(*) FILTER (target = t.label AND prediction <> t.label) AS fn FROM pred, (SELECT target AS label FROM pred UNION SELECT prediction FROM pred) t GROUP BY t.label)
+SELECT label, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c""")
+def precision_recall_f1(spark, sf_dir):
+    rows = metrics.class_scores(_predicted(spark, sf_dir), "target", "prediction")
+    return rows.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""{TOP}, t AS (SELECT unnest([0.1, 0.25, 0.5, 0.75]) AS threshold), z AS (SELECT CAST(threshold AS DOUBLE) AS threshold, confidence < threshold AND probability < threshold AS said, prediction IN ('c0', 'c1') AS fact FROM top, t)
+SELECT threshold, count(*) FILTER (said AND fact) AS tp, count(*) FILTER (said AND NOT fact) AS fp, count(*) FILTER (NOT said AND NOT fact) AS tn, count(*) FILTER (NOT said AND fact) AS fn FROM z GROUP BY threshold""")
+def empty_threshold_sweep(spark, sf_dir):
+    t = _top(spark, sf_dir).withColumn("fact", F.col("prediction").isin("c0", "c1"))
+    return metrics.threshold_sweep(t, "confidence", "probability", "fact", [0.1, 0.25, 0.5, 0.75])
+
+
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '0')), l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn,
+count(*) OVER (PARTITION BY l_suppkey, l_returnflag) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM k WHERE rn <= 50 + least(greatest(floor((n - 50) / 2), 0), 200) AND rn <= 250""")
+def group_cap_adaptive(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(*KEY, "l_returnflag")
+    return curation.cap_groups_adaptive(rows, ["l_suppkey", "l_returnflag"], KEY, 50, 250).select(*KEY)
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY md5(concat_ws('|', event_id, '0')), event_id) AS rn FROM events)
+SELECT event_id, user_id, event_type FROM k WHERE rn <= 12""")
+def group_cap_random(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return curation.cap_groups(rows, ["user_id", "event_type"], ["event_id"], 12)
+
+
+@query("""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', doc_id, '0')), doc_id) AS rn, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN rn <= floor(0.1 * n) THEN 'test' WHEN rn <= floor(0.1 * n) + floor(0.1 * n) THEN 'val' ELSE 'train' END AS part FROM k""")
+def split_80_10_10(spark, sf_dir):
+    return curation.split(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_type, n, round(avg(n) OVER () / n, 9) AS weight, round(sqrt(avg(n) OVER () / n), 9) AS root_weight, round(1 / sqrt(n), 9) AS sampling_weight FROM c""")
+def class_weights(spark, sf_dir):
+    rows = curation.class_weights(_t(spark, sf_dir, "events"), "event_type")
+    return rows.withColumns({c: F.round(c, 9) for c in ("weight", "root_weight", "sampling_weight")})
+
+
+@query("""SELECT event_id FROM (SELECT event_id, -ln((CAST(('0x' || substr(md5(concat_ws('|', event_id, '0')), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0) / value AS e FROM events ORDER BY e, event_id LIMIT 500)""")
+def weighted_sample(spark, sf_dir):
+    return curation.weighted_sample(_t(spark, sf_dir, "events"), "event_id", F.col("value"), 500).select("event_id")
+
+
+@query("SELECT event_id, CAST(event_type = 'click' AS INT) AS click, CAST(event_type = 'error' AS INT) AS error, CAST(event_type = 'purchase' AS INT) AS purchase, CAST(event_type = 'view' AS INT) AS \"view\" FROM events")
+def one_hot(spark, sf_dir):
+    names = ["click", "error", "purchase", "view"]
+    hot = arrays.one_hot(names, F.col("event_type"))
+    return _t(spark, sf_dir, "events").select("event_id", *[F.get(hot, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+@query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'first' ELSE p_brand END AS brand FROM part
+WHERE p_type NOT IN (SELECT min(p_type) FROM part) AND (p_size >= 25 OR p_brand IN ('Brand#11', 'Brand#21'))""")
+def filters_renames(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    smallest = part.agg(F.min("p_type").alias("p_type"))
+    rows = detections.unseen(part, smallest, ["p_type"])
+    rows = curation.confident_or_rare(rows, "p_size", 25, "p_brand", ["Brand#11", "Brand#21"])
+    return rows.select("p_partkey", curation.renamed(F.col("p_brand"), {"Brand#11": "first", "Brand#12": "first"}).alias("brand"))
+
+
+PARTS = "regexp_split_to_array(url, '[\\\\/]')"
+
+
+@query(f"WITH f AS (SELECT page_id, list_filter({PARTS}, lambda p: length(p) = 2) AS c FROM pages) SELECT page_id, CASE WHEN len(c) = 1 THEN c[1] ELSE 'unknown' END AS location FROM f")
+def location_from_path(spark, sf_dir):
+    found = F.filter(paths.parts(F.col("url")), lambda p: F.length(p) == 2)
+    return _t(spark, sf_dir, "pages").select("page_id", F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(paths.UNKNOWN).alias("location"))
+
+
+@query(f"WITH f AS (SELECT page_id, list_filter({PARTS}, lambda p: lower(p) IN ('en', 'de', 'fr')) AS c FROM pages) SELECT page_id, coalesce(lower(c[1]), 'unknown') AS class FROM f")
+def class_from_path(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", paths.class_name(F.col("url"), ["en", "de", "fr"]).alias("class"))
+
+
+@query("SELECT o_orderkey, replace(o_orderpriority, '-', '__') AS description, array_to_string(string_split(replace(o_orderpriority, '-', '__'), '__')[1:2], '-') AS camera FROM orders")
+def camera_id(spark, sf_dir):
+    text = F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit("__"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("description"), paths.camera_id(text).alias("camera"))
+
+
+@query(f"""SELECT page_id, list_last({PARTS}) AS name, coalesce({PARTS}[-2], '') AS parent, '/data/' || url AS absolute, ltrim(replace(url, 'https://', ''), '/') AS relative FROM pages""")
+def path_parts(spark, sf_dir):
+    url = F.col("url")
+    return _t(spark, sf_dir, "pages").select("page_id", paths.base_name(url).alias("name"), paths.parent_name(url).alias("parent"), paths.absolute(url, "/data").alias("absolute"), paths.relative(url, "https://").alias("relative"))
+
+
+@query("SELECT o_orderkey, 'D:\\clips\\' || o_orderkey || '.mp4' AS path, 'D-_clips-_' || o_orderkey || '_mp4_' || lpad(CAST(o_orderkey % 20 AS VARCHAR), 4, '0') || '.jpg' AS frame FROM orders")
+def encode_decode_video_path(spark, sf_dir):
+    path = F.concat(F.lit("D:\\clips\\"), F.col("o_orderkey").cast("string"), F.lit(".mp4"))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", paths.encode_frame(path, F.col("o_orderkey") % 20).alias("frame"))
+    return rows.select("o_orderkey", paths.decode_frame(F.col("frame")).alias("path"), "frame")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+CONF = "CAST(('0x' || substr(md5(concat_ws('|', conv_id, turn, role, '0')), 1, 6)) AS BIGINT)"
+
+
+def _images(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations")
+    conf = F.conv(F.substr(curation.order_of(0, "conv_id", "turn", "role"), F.lit(1), F.lit(6)), 16, 10).cast("double")
+    found = turns.select(F.col("conv_id").alias("file"), "turn", F.struct(F.col("role").alias("category"), conf.alias("conf"), F.array(F.col("turn").cast("double"), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox")).alias("d"))
+    return found.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "d"))), lambda x: x["d"]).alias("detections"))
+
+
+@query(f"SELECT conv_id AS file, max({CONF}) AS conf, arg_max(CAST(turn AS DOUBLE), ({CONF}, -turn)) AS x_min FROM conversations GROUP BY conv_id")
+def best_detection(spark, sf_dir):
+    best = detections.best(F.col("detections"))
+    return _images(spark, sf_dir).select("file", best["conf"].cast("long").alias("conf"), F.get(best["bbox"], F.lit(0)).alias("x_min"))
+
+
+@query(f"SELECT conv_id AS file, CAST({CONF} AS DOUBLE) AS confidence, CAST(turn AS DOUBLE) AS x_min, 0.0::DOUBLE AS y_min, 1.0::DOUBLE AS width, 1.0::DOUBLE AS height FROM conversations")
+def explode_detections(spark, sf_dir):
+    return detections.flatten(_images(spark, sf_dir).withColumn("detections", F.transform("detections", lambda d: F.struct(F.lit("1").alias("category"), d["conf"].alias("conf"), d["bbox"].alias("bbox")))), best_only=False).drop("mega_class")
+
+
+@query("SELECT conv_id AS file, count(*) AS n_in_json FROM conversations GROUP BY conv_id")
+def export_json(spark, sf_dir):
+    back = detections.export_json(_images(spark, sf_dir)).select("file", F.from_json("json", f"detections array<{detections.DETECTION}>").alias("j"))
+    return back.select("file", F.size("j.detections").cast("long").alias("n_in_json"))
+
+
+@query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def exif_join(spark, sf_dir):
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def incremental_new(spark, sf_dir):
+    return detections.unseen(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE (l_suppkey, l_returnflag) IN (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 45)")
+def missing_dirs(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    return detections.seen(rows.select("l_suppkey", "l_returnflag"), rows.where("l_quantity > 45"), ["l_suppkey", "l_returnflag"]).distinct()
+
+
+@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS ts FROM orders), m AS (SELECT make_timestamp(CAST(trunc(avg(CAST(epoch_us(ts) AS DOUBLE))) AS BIGINT)) AS mean FROM x)
+SELECT o_orderkey, coalesce(ts, mean) IS NOT NULL AS dated, CASE WHEN ts IS NULL THEN NULL ELSE CAST(epoch(ts) AS BIGINT) - 1672531200 END AS seconds, strftime(ts, '%H:%M:%S') AS time_of_day, strftime(ts, '%d/%m/%Y %H:%M:%S') AS text FROM x, m""")
+def dates(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("dt_not_found")).otherwise(F.date_format("o_orderdate", times.CAMERA))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", times.first_format(text).alias("ts")).withColumn("own", F.col("ts"))
+    rows = times.impute_mean(rows, "ts")
+    return rows.select("o_orderkey", F.col("ts").isNotNull().alias("dated"), times.seconds_since(F.col("own")).alias("seconds"), times.time_of_day(F.col("own")).alias("time_of_day"), F.date_format("own", times.RESULT).alias("text"))
+
+
+BOX = {"x": "l_discount", "y": "l_tax", "w": "l_quantity / 100", "h": "l_quantity / 200"}
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS x, l_tax AS y, l_quantity / 100 AS w, l_quantity / 200 AS h FROM lineitem),
+s AS (SELECT *, greatest(300, CAST(ceil(greatest(w * 1920, h * 1080)) AS INT)) AS side FROM b),
+p AS (SELECT *, greatest(least(CAST(floor((x + w / 2) * 1920 - side / 2) AS INT), 1920 - side), least(0, 1920 - side)) AS l, greatest(least(CAST(floor((y + h / 2) * 1080 - side / 2) AS INT), 1080 - side), least(0, 1080 - side)) AS t FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l AS "left", t AS top, l + side AS "right", t + side AS bottom FROM p""")
+def crop_window(spark, sf_dir):
+    x, y, w, h = (F.expr(v) for v in BOX.values())
+    window = geometry.crop_window(x, y, w, h, F.lit(1920), F.lit(1080), 300)
+    return _t(spark, sf_dir, "lineitem").select(*KEY, *[c.alias(k) for k, c in window.items()])
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(l_quantity / 100 * 1920, l_quantity / 200 * 1080) * 1.1 AS longest FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN longest > 600 THEN round(600.0 / longest, 9) END AS scale FROM b""")
+def new_scale(spark, sf_dir):
+    _, _, w, h = (F.expr(v) for v in BOX.values())
+    return _t(spark, sf_dir, "lineitem").select(*KEY, F.round(geometry.new_scale(w, h, F.lit(1920), F.lit(1080), 0.1, 600), 9).alias("scale"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(least(greatest(l_discount - 0.03, 0), 1) * 1000) AS INT) AS "left", CAST(floor(least(greatest(l_tax - 0.03, 0), 1) * 1000) AS INT) AS top,
+CAST(floor(least(greatest(l_discount + l_quantity / 100 + 0.03, 0), 1) * 1000) AS INT) AS "right", CAST(floor(least(greatest(l_tax + l_quantity / 200 + 0.03, 0), 1) * 1000) AS INT) AS bottom FROM lineitem""")
+def background_rect(spark, sf_dir):
+    x, y, w, h = (F.expr(v) for v in BOX.values())
+    box = geometry.background(x, y, w, h, F.lit(1000), F.lit(1000), F.lit(0.03))
+    return _t(spark, sf_dir, "lineitem").select(*KEY, *[c.alias(k) for k, c in box.items()])
+
+
+@query(f"WITH {PROBS} SELECT vec_id, round(pow(1 - probs[label + 1], 2) * -ln(probs[label + 1]), 6) AS loss FROM probs")
+def focal_loss(spark, sf_dir):
+    return _probs(spark, sf_dir).select("vec_id", F.round(arrays.focal_loss(F.col("probs"), F.col("label")), 6).alias("loss"))
+
+
+@query("SELECT e AS epoch, CASE WHEN e < 3 THEN round(0.001 * (e + 1) / 3, 9) ELSE round(0.001 * 0.5 * (1 + cos(pi() * ((e - 3) % 8) / 8)) * pow(0.8, floor((e - 3) / 8)), 9) END AS rate FROM range(0, 30) t(e)")
+def lr_schedule(spark, sf_dir):
+    e = F.col("epoch")
+    cosine = 0.001 * 0.5 * (1 + F.cos(F.pi() * ((e - 3) % 8) / 8)) * F.pow(F.lit(0.8), F.floor((e - 3) / 8))
+    return spark.range(30).select(F.col("id").alias("epoch")).select("epoch", F.round(F.when(e < 3, 0.001 * (e + 1) / 3).otherwise(cosine), 9).alias("rate"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) + 1 AS total FROM orders), i AS (SELECT o_orderkey, total, CASE WHEN total < 15 THEN greatest(total - 1, 1) WHEN total // 15 > 20 THEN total // 20 ELSE 15 END AS iv FROM v)
+SELECT o_orderkey, unnest(range(0, total, iv)) AS frame FROM i""")
+def frame_schedule(spark, sf_dir):
+    total = (F.floor(F.col("o_totalprice") / 100) + 1).cast("long")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", total.alias("total"))
+    step = F.when(F.col("total") < 15, F.greatest(F.col("total") - 1, F.lit(1))).when(F.expr("total div 15") > 20, F.expr("total div 20")).otherwise(F.lit(15))
+    return rows.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, step)).alias("frame"))
+
+
+@query("SELECT l_suppkey, l_returnflag, count(*) AS n, count(*) FILTER (l_quantity > 25) AS n_large FROM lineitem GROUP BY l_suppkey, l_returnflag")
+def group_sizes(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("n_large"))
+
+
+@query("SELECT count(DISTINCT c_mktsegment) FILTER (c_mktsegment <> 'BUILDING') AS n_known, count(*) FILTER (c_mktsegment = 'BUILDING') AS n_unknown, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS names FROM customer")
+def known_classes(spark, sf_dir):
+    known = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    return _t(spark, sf_dir, "customer").agg(F.countDistinct(known).alias("n_known"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("n_unknown"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("names"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1")
+def newest_row(spark, sf_dir):
+    return detections.newest(_t(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts").select("user_id", "event_id")
+
+
+@query("WITH n AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'empty') SELECT name, row_number() OVER (ORDER BY name) AS id FROM n")
+def class_ids(spark, sf_dir):
+    names = _t(spark, sf_dir, "events").agg(F.collect_set("event_type").alias("names"))
+    return names.select(F.explode(detections.class_ids(F.col("names"))).alias("name", "id")).select("name", F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
+def set_difference(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id").subtract(_t(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
+@query("SELECT vec_id, label, CASE WHEN hi > lo THEN round((x - lo) / (hi - lo), 6) ELSE 0 END AS scaled FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, min(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label) AS lo, max(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label) AS hi FROM embeddings)")
+def min_max_scaled(spark, sf_dir):
+    w = Window.partitionBy("label")
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    low, high = F.min("x").over(w), F.max("x").over(w)
+    return rows.select("vec_id", "label", F.when(high > low, F.round((F.col("x") - low) / (high - low), 6)).otherwise(0.0).alias("scaled"))
