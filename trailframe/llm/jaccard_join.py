@@ -233,21 +233,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def link_block(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all sets of a block which similarities connect."""
+    """Links that connect all sets of a block which similarities connect: from each to the smallest name among them."""
     order = np.array(sorted(range(len(sids)), key=lambda k: (len(sets[k]), sets[k][0], sids[k])))
     sids, sets = sids[order], [sets[k] for k in order]
-    label, out = np.arange(len(sids)), []
+    label = np.arange(len(sids))
 
     def visit(i: int, j: int) -> None:
         if label[i] != label[j] and similar(sets[i], sets[j]):
             label[label == label[j]] = label[i]
-            out.append((int(sids[i]), int(sids[j])))
 
     if len(sids) == 2:
         visit(0, 1)
     else:
         SignatureTree(np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets]).pairs(label, visit)
-    return out
+    least = np.full(len(sids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, sids)
+    return [(int(a), int(b)) for a, b in zip(sids, least[label], strict=True) if a != b]
 
 
 def _blocks(table: pa.Table):
