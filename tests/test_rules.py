@@ -50,10 +50,10 @@ def test_thresholds(spark):
 
 
 def test_paths(spark):
-    df = spark.createDataFrame([("D:\\data\\AB1\\Rat\\x.y.JPG",), ("a/ABC/XYZ/f.jpg",), ("a/b/f",)], "p string")
+    df = spark.createDataFrame([("D:\\data\\AB1\\Rats\\x.y.JPG",), ("a/ABC/XYZ/f.jpg",), ("a/b/f",)], "p string")
     p = F.col("p")
-    rows = df.select(paths.location_code(p).alias("l"), paths.class_name(p, ["rat"]).alias("c"), paths.class_after_location(p).alias("n"), paths.stem(p).alias("s"), paths.suffix(p).alias("x")).collect()
-    assert [tuple(r) for r in rows] == [("AB1", "rat", "Rat", "x.y", ".jpg"), ("unknown", "unknown", "unknown", "f", ".jpg"), ("unknown", "unknown", "unknown", "f", "")]
+    rows = df.select(paths.location_code(p).alias("l"), paths.class_name(p, ["rats"]).alias("c"), paths.class_after_location(p).alias("n"), paths.stem(p).alias("s"), paths.suffix(p).alias("x")).collect()
+    assert [tuple(r) for r in rows] == [("AB1", "rats", "Rats", "x.y", ".jpg"), ("unknown", "unknown", "unknown", "f", ".jpg"), ("unknown", "unknown", "unknown", "f", "")]
 
 
 def test_filters_keep_nulls_and_renames(spark):
