@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm import common as C
-from trailframe.llm.components import components
+from trailframe.llm.components import components, merged
 
 WIDTH = 5
 SKETCH_BITS = 21
@@ -349,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     y = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     more = C.checkpoint(pairs.join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long"))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = merged(labels, more)
 
     of = members.join(labels, members.sid == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label"))
     least = of.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
