@@ -5,11 +5,11 @@ both, in any order that all documents use; the order here puts frequent shingles
 err without harm), and k is 8 + n / 20. Equal sets are joined once. Then
 1. shingles of those prefixes meet, packed, in buckets; those that only one set has go, and sets of incompatible size; sets with
    fewer than the k shared shingles that a partner would need go too;
-2. each set goes whole to its first and its rarest shared shingle ("home"). There a signature tree - leaves are bitmaps of the set,
+2. each set goes whole to its first two and its rarest shared shingles ("home"). There a signature tree - leaves are bitmaps of the set,
    nodes the OR of their children's bitmaps and the range of sizes - is traversed against itself; a pair of nodes is left out when
    its sizes or the largest possible overlap rule a link out, or when all of it is linked already. Leaves are compared exactly;
-3. shared shingles whose sets are still not all in one component are joined the same way by bitmaps alone, pairs that met before
-   left out, and what remains is compared exactly.
+3. shared shingles whose sets are still not all in one component are joined the same way by bitmaps alone; pairs that met at home are
+   left out, and those that meet at an earlier one of the CARRIED first such shingles of both; what remains is compared exactly.
 Null or empty texts and texts without words have an empty set, and stand alone. Rows with one text have one component; a null id is
 never a component's name unless all ids in it are null. An empty table gives an empty result. Other columns are not read.
 """
@@ -30,6 +30,7 @@ from trailframe.llm.components import components, merged
 WIDTH = 5
 SKETCH_BITS = 21
 FAN = 8
+CARRIED = 16
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -279,7 +280,8 @@ def _home_links(table: pa.Table) -> pa.Table:
 
 def _open_pairs(table: pa.Table) -> pa.Table:
     """Pairs of a block that have different labels, have not met at home, and whose bitmaps allow a link."""
-    sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
+    sid, n, label, token = (table.column(c).to_numpy() for c in ("sid", "n", "label", "token"))
+    first = [set(x) for x in table.column("carried").to_pylist()]
     home = [set(x) for x in table.column("home").to_pylist()]
     bits = table.column("bits").combine_chunks()
     out: set[tuple[int, int]] = set()
@@ -287,9 +289,9 @@ def _open_pairs(table: pa.Table) -> pa.Table:
         rows = rows[np.argsort(n[rows], kind="stable")]
         own = label[rows]
 
-        def visit(i: int, j: int, rows=rows, own=own) -> None:
+        def visit(i: int, j: int, rows=rows, own=own, at=int(token[rows[0]])) -> None:
             x, y = rows[i], rows[j]
-            if own[i] != own[j] and not home[x] & home[y]:
+            if own[i] != own[j] and not home[x] & home[y] and min(first[x] & first[y], default=at) >= at:
                 out.add((int(min(sid[x], sid[y])), int(max(sid[x], sid[y]))))
 
         if len(rows) > 2 or (own[0] != own[1] and not home[rows[0]] & home[rows[1]]):
@@ -325,7 +327,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         alone = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         shared = C.checkpoint(shared.drop("df").join(alone, "token"))
 
-    home = shared.groupBy("sid").agg(F.array_distinct(F.array(F.min("token"), F.min_by("token", F.struct("df", "token")))).alias("home"))
+    home = shared.groupBy("sid").agg(F.array_distinct(F.concat(F.slice(F.array_sort(F.collect_list("token")), 1, 2), F.array(F.min_by("token", F.struct("df", "token"))))).alias("home"))
     keys = members.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid")).join(home, "sid")
     keys = C.checkpoint(keys)
     flags = C.marked(_with_bit(keys.select("rid")))
@@ -343,7 +345,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = shared.join(labels, shared.sid == labels.node, "left").select("token", "sid", F.coalesce("label", "sid").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    rest = named.join(mixed, "token").join(sets.select("sid", "n", "bits"), "sid").join(keys.select("sid", "home"), "sid")
+    open_ = C.checkpoint(named.join(mixed, "token"))
+    carried = open_.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("token")), 1, CARRIED).alias("carried"))
+    rest = open_.join(carried, "sid").join(sets.select("sid", "n", "bits"), "sid").join(keys.select("sid", "home"), "sid")
     pairs = rest.groupBy(bucket).applyInArrow(_open_pairs, "a long, b long").distinct()
     x = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
