@@ -8,8 +8,9 @@ err without harm), and k is 8 + n / 20. Equal sets are joined once. Then
 2. each set goes whole to its first two and its rarest shared shingles ("home"). There a signature tree - leaves are bitmaps of the set,
    nodes the OR of their children's bitmaps and the range of sizes - is traversed against itself; a pair of nodes is left out when
    its sizes or the largest possible overlap rule a link out, or when all of it is linked already. Leaves are compared exactly;
-3. shared shingles whose sets are still not all in one component are joined the same way by bitmaps alone; pairs that met at home are
-   left out, and those that meet at an earlier one of the CARRIED first such shingles of both; what remains is compared exactly.
+3. shared shingles whose sets are still not all in one component - for each set all but its most frequent, of which a partner shares
+   rarer ones too - are joined the same way by bitmaps alone; pairs that met at home are left out, and those that meet at an earlier
+   one of the CARRIED first such shingles of both; what remains is compared exactly.
 Null or empty texts and texts without words have an empty set, and stand alone. Rows with one text have one component; a null id is
 never a component's name unless all ids in it are null. An empty table gives an empty result. Other columns are not read.
 """
@@ -21,7 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.llm import common as C
@@ -222,6 +223,9 @@ class SignatureTree:
                 p, q = a[p], a[q]
             else:
                 p, q = np.repeat(a, len(b)), np.tile(b, len(a))
+            if level == 1:
+                apart = label[p] != label[q]
+                p, q = p[apart], q[apart]
             ok = self.possible(level - 1, p, q) if len(p) else np.zeros(0, bool)
             stack.extend((level - 1, int(u), int(v)) for u, v in zip(p[ok][::-1], q[ok][::-1], strict=True))
             if i == j and level > 1:  # on top: these come first
@@ -278,6 +282,14 @@ def _home_links(table: pa.Table) -> pa.Table:
     return _links_table(links)
 
 
+def _by_label(rows: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows of one label side by side, in the order of each label's smallest size, so that nodes of the tree have few labels."""
+    _, of = np.unique(label[rows], return_inverse=True)
+    least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, n[rows])
+    return rows[np.lexsort((n[rows], of, least[of]))]
+
+
 def _open_pairs(table: pa.Table) -> pa.Table:
     """Pairs of a block that have different labels, have not met at home, and whose bitmaps allow a link."""
     sid, n, label, token = (table.column(c).to_numpy() for c in ("sid", "n", "label", "token"))
@@ -286,7 +298,7 @@ def _open_pairs(table: pa.Table) -> pa.Table:
     bits = table.column("bits").combine_chunks()
     out: set[tuple[int, int]] = set()
     for rows in _blocks(table):
-        rows = rows[np.argsort(n[rows], kind="stable")]
+        rows = _by_label(rows, n, label)
         own = label[rows]
 
         def visit(i: int, j: int, rows=rows, own=own, at=int(token[rows[0]])) -> None:
@@ -343,9 +355,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = C.checkpoint(at_home.groupBy(bucket).applyInArrow(_home_links, "a long, b long"))
     labels = components(links)
 
-    named = shared.join(labels, shared.sid == labels.node, "left").select("token", "sid", F.coalesce("label", "sid").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_ = C.checkpoint(named.join(mixed, "token"))
+    named = shared.join(labels, shared.sid == labels.node, "left").select("token", "sid", "n", "df", F.coalesce("label", "sid").alias("label"))
+    open_ = C.checkpoint(_mixed(_rarest(C.checkpoint(_mixed(named)))))
     carried = open_.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("token")), 1, CARRIED).alias("carried"))
     rest = open_.join(carried, "sid").join(sets.select("sid", "n", "bits"), "sid").join(keys.select("sid", "home"), "sid")
     pairs = rest.groupBy(bucket).applyInArrow(_open_pairs, "a long, b long").distinct()
@@ -361,6 +372,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.unionByName(of.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """Rows of the tokens whose sets have more than one label."""
+    return named.join(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"), "token")
+
+
+def _rarest(named: DataFrame) -> DataFrame:
+    """The rows in which every link between two labels is still met. A partner of a set of n has 0.8 n shingles at least, so the two have
+    k = wanted(0.8 n) of these tokens in common at least, and all but the k - 1 that come last in one order (here: by number of sets)
+    hold the first common one. A set with fewer than k tokens has no partner."""
+    k = F.least(8 + F.expr("((4 * n + 4) div 5) div 20"), F.expr("(4 * ((4 * n + 4) div 5) + 4) div 5"))
+    own = Window.partitionBy("sid")
+    placed = named.withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("found", F.count("*").over(own))
+    return placed.where(F.col("place") <= F.col("found") - k + 1).drop("place", "found", "n", "df")
+
+
 def _with_bit(rids: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
