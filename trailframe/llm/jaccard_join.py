@@ -298,7 +298,7 @@ def _open_pairs(table: pa.Table) -> pa.Table:
     bits = table.column("bits").combine_chunks()
     out: set[tuple[int, int]] = set()
     for rows in _blocks(table):
-        rows = _by_label(rows, n, label)
+        rows = _by_label(rows, n, label) if len(rows) > 2 else rows
         own = label[rows]
 
         def visit(i: int, j: int, rows=rows, own=own, at=int(token[rows[0]])) -> None:
@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
 
     named = shared.join(labels, shared.sid == labels.node, "left").select("token", "sid", "n", "df", F.coalesce("label", "sid").alias("label"))
-    open_ = C.checkpoint(_mixed(_rarest(C.checkpoint(_mixed(named)))))
+    open_ = C.checkpoint(_mixed(_rarest(C.checkpoint(_mixed(named))), once=True))
     carried = open_.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("token")), 1, CARRIED).alias("carried"))
     rest = open_.join(carried, "sid").join(sets.select("sid", "n", "bits"), "sid").join(keys.select("sid", "home"), "sid")
     pairs = rest.groupBy(bucket).applyInArrow(_open_pairs, "a long, b long").distinct()
@@ -372,9 +372,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.unionByName(of.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _mixed(named: DataFrame) -> DataFrame:
-    """Rows of the tokens whose sets have more than one label."""
-    return named.join(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"), "token")
+def _mixed(named: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of the tokens whose sets have more than one label; with `once`, of tokens that the very same sets have, one alone."""
+    same = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"same{k}") for k in range(2)] if once else []
+    tokens = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets"), *same).where("low <> high")
+    if once:
+        tokens = tokens.groupBy("same0", "same1", "low", "high", "sets").agg(F.min("token").alias("token"))
+    return named.join(tokens.select("token"), "token")
 
 
 def _rarest(named: DataFrame) -> DataFrame:
