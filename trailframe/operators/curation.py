@@ -50,18 +50,34 @@ def cap_groups_adaptive(df: DataFrame, groups: list[str], key: list[str], lower:
     return df.where((F.col("__n") <= adaptive_limit(F.col("__all"), lower, upper)) & (F.col("__n") <= upper)).drop("__n", "__all")
 
 
-def split(df: DataFrame, key: str, test: float = 0.1, val: float = 0.1, seed: int = 0) -> DataFrame:
-    """Adds `part`: exactly floor(test * n) rows test, floor(val * n) val, the rest train, by hashed order. Two scans and no global
-    sort: a bucket of the hash is wholly in one part but for the buckets that hold a cut, and only those are ranked."""
-    df = df.withColumn("__h", order_of(seed, key)).withColumn("__b", F.conv(F.substr("__h", F.lit(1), F.lit(3)), 16, 10).cast("int"))
+def without_rare(df: DataFrame, label: str, least: int) -> DataFrame:
+    """Rows of labels that at least `least` rows have; rows without a label go."""
+    common = df.groupBy(label).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return df.join(common.select(label), label, "left_semi")
+
+
+def hash_bucket(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Adds __h, the hash that orders the rows, and __b, one of 4096 ranges of it."""
+    return df.withColumn("__h", order_of(seed, key)).withColumn("__b", F.conv(F.substr("__h", F.lit(1), F.lit(3)), 16, 10).cast("int"))
+
+
+def hash_ranked(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Adds __n, a row's place (from 1) by hashed order, and __all, the number of rows. Two scans and no global sort: rows are ranked in
+    their bucket, after the sizes of those before it."""
+    df = hash_bucket(df, key, seed)
     sizes = df.groupBy("__b").agg(F.count("*").alias("__c"))  # 4096 rows
     run = Window.orderBy("__b")
     sizes = sizes.select("__b", (F.sum("__c").over(run) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__all"))
     ranked = df.join(F.broadcast(sizes), "__b").withColumn("__n", F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)))
+    return ranked.drop("__h", "__b", "__before")
+
+
+def split(df: DataFrame, key: str, test: float = 0.1, val: float = 0.1, seed: int = 0) -> DataFrame:
+    """Adds `part`: exactly floor(test * n) rows test, floor(val * n) val, the rest train, by hashed order."""
     a = F.floor(F.lit(test) * F.col("__all"))
     b = a + F.floor(F.lit(val) * F.col("__all"))
     part = F.when(F.col("__n") <= a, "test").when(F.col("__n") <= b, "val").otherwise("train")
-    return ranked.withColumn("part", part).drop("__h", "__b", "__before", "__all", "__n")
+    return hash_ranked(df, key, seed).withColumn("part", part).drop("__all", "__n")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

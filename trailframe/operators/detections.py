@@ -51,6 +51,14 @@ def class_ids(labels: Column) -> Column:
     return F.map_from_arrays(names, F.sequence(F.lit(1), F.size(names)))
 
 
+def replaced(images: DataFrame, said: DataFrame, labels: Column) -> DataFrame:
+    """file, category, conf, bbox of the images that `said` (file, encounter, max_prob) has: the encounter's id among `labels` (0 if it has
+    none), its probability, and the box of the best detection."""
+    category = F.coalesce(F.try_element_at(class_ids(labels), F.col("encounter")), F.lit(0))
+    rows = images.select("file", "detections").join(said.select("file", "encounter", "max_prob"), "file")
+    return rows.select("file", category.alias("category"), F.col("max_prob").alias("conf"), best(F.col("detections"))["bbox"].alias("bbox"))
+
+
 def export_json(images: DataFrame) -> DataFrame:
     """file, json of {file, detections}."""
     return images.select("file", F.to_json(F.struct("file", "detections")).alias("json"))

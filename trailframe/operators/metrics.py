@@ -33,6 +33,20 @@ def class_scores(df: DataFrame, target: str, prediction: str) -> DataFrame:
     return rows.withColumns({"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
 
 
+def macro(df: DataFrame, target: str, prediction: str) -> DataFrame:
+    """One row: balanced_accuracy (mean recall), macro_f1, n_classes, over labels that are a target."""
+    rows = class_scores(df, target, prediction).where("tp + fn > 0")
+    return rows.agg(F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), F.count("*").alias("n_classes"))
+
+
+def described(df: DataFrame, groups: list[str], column: str) -> DataFrame:
+    """n, mean, std, low, q1, middle, q3, high of the values that aren't null. Quartiles are exact, from counts of distinct values: for
+    columns with a bounded number of them in each group."""
+    c = F.col(column)
+    quartiles = [F.percentile(c, share).alias(name) for name, share in (("q1", 0.25), ("middle", 0.5), ("q3", 0.75))]
+    return df.groupBy(*groups).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *quartiles, F.max(c).alias("high"))
+
+
 def threshold_sweep(df: DataFrame, confidence: str, probability: str, is_empty: str, thresholds: list[float]) -> DataFrame:
     """Counts of the rule `both below the threshold means empty` for each threshold; the rows are read once."""
     cuts = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")

@@ -47,6 +47,20 @@ def with_unprocessed(expected: DataFrame, scored: DataFrame, key: str, label: st
     return scored.unionByName(missing, allowMissingColumns=True)
 
 
+def assembled(tables: list[DataFrame], key: str) -> DataFrame:
+    """The columns of all tables, for keys that each of them has."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, key)
+    return out
+
+
+def video_metadata(df: DataFrame, video: str, frame: str, columns: list[str], confidence: str) -> DataFrame:
+    """For each video the first value of each column that isn't null, by frame, and the largest confidence."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(frame))).alias(c) for c in columns]
+    return df.groupBy(video).agg(*first, F.max(confidence).alias(confidence))
+
+
 def collapse_videos(df: DataFrame, video: str, frame: str, confidence: str, probs: str, threshold: float = 0.7) -> DataFrame:
     """A row for each video: mean probabilities of its frames above the threshold, or of all where there is none; the largest confidence
     of those frames; how many they are. One shuffle, by video."""
