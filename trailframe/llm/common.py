@@ -107,10 +107,10 @@ def unpacked(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
-def text_chunks(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[list, list]]:
+def text_chunks(batch: pa.RecordBatch, most: int = 2_000_000, name: str = "doc_id") -> Iterator[tuple[list, list]]:
     """Lists of ids and texts of a batch, each of about `most` characters at most, or one longer text."""
     ids, texts, n = [], [], 0
-    for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+    for i, t in zip(batch.column(name).to_pylist(), batch.column("text"), strict=True):
         t = t.as_py()
         if ids and n + len(t or "") > most:
             yield ids, texts

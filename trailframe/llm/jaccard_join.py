@@ -319,8 +319,9 @@ def _verified(batches):
 
 def _sets(batches):
     for batch in batches:
-        sets = shingle_sets(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["sid", "n", "items", "bits"])
+        for sids, texts in C.text_chunks(batch, name="sid"):
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["sid", "n", "items", "bits"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
