@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on odd rows, and on no rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -187,6 +188,20 @@ def test_decontamination(spark, odd_docs, no_docs):
     del r
 
 
+def test_seeds_lose_no_passage():
+    for n in range(12, 26):
+        for k in range(n // 5 + 1):
+            for others in itertools.combinations(range(n), k):
+                same = "".join("0" if i in others else "1" for i in range(n))
+                if same.count("1") >= 12:
+                    assert "1111" in same or re.search("111.111", same), same
+    item = [f"w{k}" for k in range(60)]
+    for n, others in ((20, range(4, 20, 5)), (40, range(4, 40, 5)), (60, range(4, 60, 5)), (14, (4, 9)), (15, (3, 7, 11))):
+        index = decontamination.Index([(1, " ".join(item[:n]))])
+        text = " ".join(f"x{k}" if k in others else item[k] for k in range(n))
+        assert [h[:2] for h in index.find([None, prose(1, 50) + " " + text])] == [(1, 0)], n
+
+
 def test_quality(spark, odd_docs, no_docs):
     docs, labels = C.read(spark, "/root/testdata/sf0.01", "documents"), C.read(spark, "/root/testdata/sf0.01", "labels")
     truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
