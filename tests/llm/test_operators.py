@@ -202,6 +202,21 @@ def test_seeds_lose_no_passage():
         assert [h[:2] for h in index.find([None, prose(1, 50) + " " + text])] == [(1, 0)], n
 
 
+def test_any_stretch_that_holds_is_found():
+    def brute(same):
+        n = len(same)
+        return max((sum(same[i:j]) for i in range(n) for j in range(i + 12, n + 1) if sum(same[i:j]) >= 12 and 5 * sum(same[i:j]) >= 4 * (j - i)), default=None)
+
+    r = random.Random(6)
+    masks = [[True] * 12 + [k % 7 not in (3, 5) for k in range(35)], [True] * 20 + [k % 7 not in (3, 5) for k in range(56)], [False] * 70]
+    masks += [[r.random() > share for _ in range(n)] for n in (14, 20, 40, 60) for share in (0.18, 0.2, 0.25, 0.3, 0.35) for _ in range(12)]
+    for same in masks:
+        item = [f"w{k}" for k in range(len(same))]
+        found = decontamination.Index([(1, " ".join(item))]).find(["a b " + " ".join(w if x else f"x{k}" for k, (w, x) in enumerate(zip(item, same, strict=True))) + " c"])
+        assert [q for *_, q in found] == ([] if brute(same) is None else [brute(same)])
+        assert all(same[s - 2] and same[e - 3] and sum(same[s - 2 : e - 2]) == q for _, _, s, e, q in found)
+
+
 def test_quality(spark, odd_docs, no_docs):
     docs, labels = C.read(spark, "/root/testdata/sf0.01", "documents"), C.read(spark, "/root/testdata/sf0.01", "labels")
     truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}

@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits in lower case. A seed is a mask over successive words whose zeros are ignored; every stretch that
 the verification accepts holds one of MASKS. Hashes of all masks at all places of the benchmark meet those of all places of
-the documents; each hit fixes an alignment, and along it the best stretch (a match counts 1, a mismatch -2) must hold MATCHES equal
-words, or all words of a shorter item, and be equal in SHARE of its words.
+the documents; each hit fixes an alignment. It holds if any stretch of it has MATCHES equal words, or all words of a shorter item, and is equal in
+SHARE of its words; of these stretches the one with the most equal words is reported.
 
 The benchmark is broadcast in blocks of at most BLOCK_BYTES of text (of one block for usual benchmarks): each block is a pass over the
 documents. Null and empty texts and items match nothing; an item with fewer words than a seed is sought as a whole run of words; a
@@ -82,7 +82,7 @@ class Index:
             first, w = int(ends[doc] - n[doc]), self.words[item]
             lo, hi = max(first, start), min(int(ends[doc]), start + len(w))
             same = h[lo:hi] == w[lo - start : hi - start]
-            s, e = _best(same)
+            s, e = _widest(same)
             equal = int(same[s:e].sum())
             if equal >= min(MATCHES, len(w)) and equal >= SHARE * (e - s):
                 found.append((doc, item, lo - first + s, lo - first + e, equal))
@@ -103,12 +103,15 @@ class Index:
             yield from hits[a:b][np.add.reduceat(same, first, dtype=np.int64) >= np.minimum(MATCHES, self.size[item[a:b]])].tolist()
 
 
-def _best(same: np.ndarray) -> tuple[int, int]:
-    """The stretch of the largest sum where equal words count 1 and others -2."""
-    total = np.r_[0, np.cumsum(np.where(same, 1, -2))]
-    gain = total - np.minimum.accumulate(total)
-    e = int(np.argmax(gain))
-    return int(np.argmin(total[: e + 1])), e
+def _widest(same: np.ndarray) -> tuple[int, int]:
+    """Of the stretches that are equal in SHARE of their words, that with the most equal words, from an equal word to an equal word."""
+    equal = np.r_[0, np.cumsum(same)]
+    total = np.rint(1000 * (equal - SHARE * np.arange(len(equal)))).astype(np.int64)  # a stretch holds if this does not fall over it
+    lowest = np.minimum.accumulate(total)
+    start = np.searchsorted(-lowest, -total, side="left")  # the first place that is not higher
+    e = int(np.argmax(equal - equal[start]))
+    s = int(start[e])
+    return (s + int(np.argmax(same[s:e])) if e > s else s), e
 
 
 HITS = "doc_id long, item_id long, start long, end long, n_equal long, key long"
