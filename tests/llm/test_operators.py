@@ -54,6 +54,23 @@ def test_repeat_groups_are_maximal_and_whole(spark):
     assert whole == {frozenset((i, 30) for i in range(4))}
 
 
+def test_repeat_groups_hold_every_place_in_a_document(spark):
+    r = random.Random(7)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(1000))
+    one = f"{passage}1{prose(70, 20)}2{passage}3{prose(71, 9)}4{passage}"
+    texts = {1: one, 2: "x" + passage + "y" + prose(72, 30) + "z" + passage, 3: prose(73, 80), 4: one}
+    groups = defaultdict(set)
+    for g in suffix_dedup.repeat_groups(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect():
+        groups[g.group_id, g.length].add((g.doc_id, g.start))
+    assert len(groups) > 5
+    data = {i: t.encode() for i, t in texts.items()}
+    for (_, n), places in groups.items():
+        i, at = min(places)
+        string = data[i][at : at + n]
+        assert places == {(i, k) for i, t in data.items() for k in range(len(t) - n + 1) if t.startswith(string, k)}
+    assert any(len(places) == 8 for places in groups.values())
+
+
 def test_interval_tree():
     assert sorted(suffix_dedup.interval_tree(np.array([3, 1, 2]))) == [(1, 0, 3), (2, 2, 3), (3, 0, 1)]
     assert suffix_dedup.interval_tree(np.array([0, 0])) == []

@@ -274,9 +274,31 @@ def _groups(length: int):
         for left, depth, members in scan(rows, length, groups=True)[1]:
             r = rows[members[0]]
             text = r[8 : 8 + left][::-1].tobytes() + r[8 + reach : 8 + reach + depth].tobytes()
+            if not any((at == left).any() for _, at, _ in anchors([text], length)):
+                continue  # elsewhere the string may lack this anchor; those that it has itself stand at all its places
             name = hashlib.sha256(text).hexdigest()[:32] + f":{left}"
-            out += [(name, left + depth, int(rids[m]), int(pos[m] - left)) for m in members]
-        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("group_id", pa.string()), ("length", pa.int64()), ("rid", pa.int64()), ("start", pa.int64())))})
+            out += [(name, left + depth, rid, at, left) for rid, at in {(int(rids[m]), int(pos[m])) for m in members}]
+        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("group_id", pa.string()), ("length", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("left", pa.int64())))})
+
+    return run
+
+
+def _everywhere(length: int):
+    """Each member of a group, which stands for all anchors of its text with equal surroundings, at all of them."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = (batch.column("text")[i].as_py() or "").encode()
+                places: dict[int, list[int]] = {}
+                for _, at, h in anchors([text], length):
+                    _, first, _, of, _ = contexts(text, at, h, length)
+                    for a, k in zip(at.tolist(), of.tolist(), strict=True):
+                        places.setdefault(int(at[first[k]]), []).append(a)
+                out = {(m["group_id"], m["length"], a - m["left"]) for m in batch.column("members")[i].as_py() for a in places[m["at"]]}
+                if out:
+                    group, size, start = zip(*sorted(out), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.string()), pa.array(size, pa.int64()), pa.array([batch.column("rid")[i].as_py()] * len(out), pa.int64()), pa.array(start, pa.int64())], ["group_id", "length", "rid", "start"])
 
     return run
 
@@ -362,8 +384,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH) -> DataFrame:
     """All occurrences of all maximal repeats of `length` bytes or more: group_id, length, doc_id, start (in bytes)."""
-    docs, _, around = _prepare(docs, id_col, text_col, length)
-    found = around.groupBy("bucket").applyInArrow(_groups(length), "group_id string, length long, rid long, start long").distinct()
+    docs, split, around = _prepare(docs, id_col, text_col, length)
+    found = around.groupBy("bucket").applyInArrow(_groups(length), "group_id string, length long, rid long, at long, left long")
+    found = found.groupBy("rid").agg(F.collect_list(F.struct("group_id", "length", "at", "left")).alias("members"))
+    texts = split(True).select("rid", "text").dropDuplicates(["rid"])
+    found = texts.join(found, "rid").mapInArrow(_everywhere(length), "group_id string, length long, rid long, start long")
     return found.join(docs.select("rid", "doc_id").distinct(), "rid").drop("rid")
 
 
