@@ -353,6 +353,13 @@ def test_licences(spark, odd_docs, no_docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_licences_without_triggers_and_over_lines(spark):
+    texts = ["Available under CC-BY-SA-4.0", "Dual MIT / Apache-2.0", "GPL-3.0-or-later", "Subject to the Mozilla Public terms, MPL 2.0", "abc\n \nThis Source Code\nForm is subject\nto the terms of\nthe Mozilla\nPublic\n\nEnde", "Die Katze kam mit der Maus\nund mit dem Hund."]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(x.line, x.family) for x in r.lines] for r in licences.classify_lines(docs).collect()}
+    assert got[0] == [(0, "cc_by_sa")] and got[1] == [(0, "apache")] and got[2] == [(0, "gpl")] and got[3] == [(0, "mpl")] and (2, "mpl") in got[4] and got[5] == []
+
+
 def test_rollup(spark, odd_docs, no_docs, tmp_path):
     enc = token_rollup.encoding(open(token_rollup.VOCABULARY, "rb").read())
     long = prose(8, 30000)

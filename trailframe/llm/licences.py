@@ -1,7 +1,8 @@
 """Licence families of paragraphs, by a sparse word n-gram classifier, in DataFrame functions alone.
 
-A paragraph is a line. Lines that hold none of TRIGGERS are taken to carry no licence. For the others the words and pairs of words that
-the model knows add their weights, and a softmax over the families and `none` gives probabilities; they are calibrated by a temperature
+Every line is judged, and every paragraph of several lines (up to a blank one) as a whole; a paragraph is listed at its first line with
+a word of the model, where none of its own lines has its family. Texts without any term of the model score as `none` and are left out
+beforehand, so no positive score is lost. The words and pairs of words that the model knows add their weights, and a softmax over the families and `none` gives probabilities; they are calibrated by a temperature
 fitted on variants that the weights were not learned from. A line whose best family stays below CERTAIN is of family `unknown`. The best
 family is confirmed if CONFIRMED of the line's distinct words occur in one of that family's templates. Training is done on the driver
 from the fixed texts below (no table is read): logistic regression with an L1 penalty, by proximal gradient steps.
@@ -37,7 +38,11 @@ TEMPLATES = {
     "public_domain": ["This work is dedicated to the public domain.", "Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain."],
 }
 OTHER = ["The driver showed a license at the border.", "A fishing license costs ten dollars a year.", "She was granted permission to leave early.", "Copyright law protects authors.", "The restaurant lost its liquor license.", "Public opinion changed under the new version.", "The general said the public works were free.", "They released a statement under pressure.", "Apache helicopters flew over the town.", "MIT students built a robot.", "All visitors reserved seats; rights of way apply.", "The work is under way.", "Creative people share common spaces.", "Conditions of use are posted at the door.", "Version 2 of the plan is subject to approval.", "Permission slips are due; the license plate was found."]
+#: Prose whose common words are also in the notices ("mit" is German for "with").
+OTHER += ["Sie kam mit dem Zug und ging mit ihm nach Hause.", "Mit der Zeit wurde es besser, und er war mit allen zufrieden.", "Das Kind spielt mit einem Ball in der Sonne.", "Wir fahren mit euch, nicht mit den anderen.", "Der Mann mit dem Hut ist nicht von hier.", "Es ist schwer, mit so wenig auszukommen.", "Komm mit!", "Er sprach mit uns und mit ihr.", "Tee mit Milch.", "He was in and out of the house all day, and that is all.", "It is not the end of the world, and you may see it in time.", "The man with the dog came by, for a walk in the park.", "All of it was in the box, with a note on top.", "You are free to go at any time, or to stay.", "This is the way it was, and all that is left of it is in here.", "There is no one here, he said, and it is late.", "What is that?", "She is tired and he is not.", "And is he here?", "La casa es de la familia y no se vende a nadie.", "Le chat est sur la table et le chien est dans la cour, a dit la dame."]
+#: Strings of usual notices; no line is left out for lack of them.
 TRIGGERS = ("licen", "copyright", "rights reserved", "public domain", "spdx", "redistribut", "permission is hereby", "creative commons", "proprietary and")
+GAPS = "".join(chr(x) for x in range(256) if not re.match(r"[a-z0-9. ]", chr(x)))
 NONE = "none"
 FAMILIES = [*TEMPLATES, NONE]
 CERTAIN, CONFIRMED = 0.5, 0.6
@@ -87,49 +92,63 @@ def _constant(value, kind: str) -> Column:
 
 def _words(line: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.lower(line), r"\.(?= )", ""), r"\.+$", "")
-    return F.filter(F.split(text, r"[^a-z0-9.]+"), lambda w: w != "")
+    parted = F.translate(F.decode(text.cast("binary"), "ISO-8859-1"), GAPS, " " * len(GAPS))  # by byte: quicker than a pattern
+    return F.filter(F.split(parted, " "), lambda w: w != "")
 
 
 def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and lines: an array of (line, text, family, probability, confirmed) for the lines whose family isn't none."""
     names, weights, bias, temperature = model()
     docs = C.id_and_text(docs, id_col, text_col)
-    book = _constant([{"term": n, "w": w.tolist()} for n, w in zip(names, weights, strict=True)], "array<struct<term: string, w: array<double>>>")
+    book = _constant([w.tolist() for w in weights], "array<array<double>>")
     start = F.array(*[F.lit(float(v)) for v in bias])
     families = F.array(*[F.lit(f) for f in FAMILIES])
     templates = _constant([{"family": f, "words": sorted({w for w in grams(t) if " " not in w})} for f, texts in TEMPLATES.items() for t in texts], "array<struct<family: string, words: array<string>>>")
 
-    def triggered(line: Column) -> Column:
-        low = F.lower(line)
-        out = low.contains(TRIGGERS[0])
-        for t in TRIGGERS[1:]:
-            out = out | low.contains(t)
-        return out | line.contains("CC BY") | line.contains("CC0")
+    terms = F.array(*[F.lit(n) for n in names])
+    # a family can only beat `none` with a term that speaks for it more than for `none`
+    likely = [n for n, w in zip(names, weights, strict=True) if (w[:-1] > w[-1]).any() or (bias[:-1] > bias[-1]).any()]
+    heads = F.array(*[F.lit(w) for w in sorted({n.split(" ")[0] for n in likely})])
 
-    def known(line: Column) -> Column:
-        words = _words(line)
-        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.struct(F.array_distinct(words).alias("words"), F.array_distinct(F.concat(words, pairs)).alias("grams"))
+    def known(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_intersect(F.concat(words, pairs), terms)
 
     def scores(own: Column) -> Column:
-        return F.aggregate(F.filter(book, lambda t: F.array_contains(own, t["term"])), start, lambda acc, t: F.zip_with(acc, t["w"], lambda a, b: a + b))
+        return F.aggregate(own, start, lambda acc, t: F.zip_with(acc, F.get(book, F.array_position(terms, t).cast("int") - 1), lambda a, b: a + b))
 
     def judged(x: Column) -> Column:
         odds = F.transform(x["scores"], lambda s: F.exp((s - F.array_max(x["scores"])) / temperature))
         best = F.array_max(odds)
-        return F.struct(x["line"].alias("line"), x["text"].alias("text"), x["words"].alias("words"), F.get(families, F.array_position(odds, best).cast("int") - 1).alias("best"), (best / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)).alias("probability"))
+        return F.struct(x["line"].alias("line"), x["end"].alias("end"), x["text"].alias("text"), x["words"].alias("words"), F.get(families, F.array_position(odds, best).cast("int") - 1).alias("best"), (best / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)).alias("probability"))
 
     def confirmed(x: Column) -> Column:
         own = F.filter(templates, lambda t: t["family"] == x["best"])
         share = F.transform(own, lambda t: F.size(F.array_intersect(t["words"], x["words"])) / F.greatest(F.least(F.size(x["words"]), F.size(t["words"])), F.lit(1)))
         return F.coalesce(F.array_max(share), F.lit(0.0)) >= CONFIRMED
 
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.cast("long").alias("line"), t.alias("text"))), lambda x: triggered(x["text"]))
-    out = docs.select("doc_id", F.when(triggered(F.col("text")), lines).alias("l"))
-    out = out.select("doc_id", F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), known(x["text"]).alias("k"))).alias("l"))
-    out = out.select("doc_id", F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), x["k"]["words"].alias("words"), scores(x["k"]["grams"]).alias("scores"))).alias("l"))
+    docs = docs.select("doc_id", F.split("text", "\n").alias("all"))
+    docs = docs.select("doc_id", "all", F.transform("all", _words).alias("words"))
+    possible = F.filter(F.transform("words", lambda w, i: F.when(F.arrays_overlap(w, heads), i)), lambda i: i.isNotNull())
+    docs = docs.select("doc_id", "all", "words", possible.alias("at"))
+    # paragraphs of several lines: from after one blank line to before the next
+    blank = F.filter(F.transform("all", lambda t, i: F.when(t.rlike(r"^\s*$"), i)), lambda i: i.isNotNull())
+    docs = docs.select("doc_id", "all", "words", "at", F.when(F.size("at") > 1, blank).alias("blank"))
+    ends, starts = F.concat("blank", F.array(F.size("all"))), F.concat(F.array(F.lit(0)), F.transform("blank", lambda i: i + 1))
+    blocks = F.transform(F.zip_with(starts, ends, lambda a, e: F.struct(a.alias("a"), e.alias("e"))), lambda x: F.struct(x["a"].alias("a"), x["e"].alias("e"), F.filter("at", lambda i: (i >= x["a"]) & (i < x["e"])).alias("in")))
+    docs = docs.select("doc_id", "all", "words", "at", F.coalesce(F.filter(blocks, lambda x: F.size(x["in"]) > 1), F.array()).alias("blocks"))
+    single = F.transform("at", lambda i: F.struct(i.cast("long").alias("line"), F.lit(0).cast("long").alias("end"), F.get("all", i).alias("text"), F.get("words", i).alias("words")))
+    whole = F.transform("blocks", lambda x: F.struct(x["in"][0].cast("long").alias("line"), x["e"].cast("long").alias("end"), F.array_join(F.slice("all", x["a"] + 1, x["e"] - x["a"]), "\n").alias("text"), F.flatten(F.slice("words", x["a"] + 1, x["e"] - x["a"])).alias("words")))
+    out = docs.select("doc_id", F.concat(single, whole).alias("l"))
+    out = out.select("doc_id", F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["end"].alias("end"), x["text"].alias("text"), F.array_distinct(x["words"]).alias("words"), known(x["words"]).alias("grams"))).alias("l"))
+    out = out.select("doc_id", F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["end"].alias("end"), x["text"].alias("text"), x["words"].alias("words"), scores(x["grams"]).alias("scores"))).alias("l"))
+    out = out.select("doc_id", F.filter("l", lambda x: F.array_position(x["scores"], F.array_max(x["scores"])) < len(FAMILIES)).alias("l"))
     out = out.select("doc_id", F.transform("l", judged).alias("l"))
-    done = F.transform(F.filter("l", lambda x: x["best"] != NONE), lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), F.when(x["probability"] >= CERTAIN, x["best"]).otherwise("unknown").alias("family"), x["probability"].alias("probability"), ((x["probability"] >= CERTAIN) & confirmed(x)).alias("confirmed")))
+    done = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["end"].alias("end"), x["text"].alias("text"), F.when(x["probability"] >= CERTAIN, x["best"]).otherwise("unknown").alias("family"), x["probability"].alias("probability"), ((x["probability"] >= CERTAIN) & confirmed(x)).alias("confirmed")))
+    out = out.select("doc_id", done.alias("l"))
+    # a paragraph adds what none of its lines says
+    new = F.filter("l", lambda x: (x["end"] == 0) | ~F.exists("l", lambda y: (y["end"] == 0) & (y["line"] >= x["line"]) & (y["line"] < x["end"]) & (y["family"] == x["family"])))
+    done = F.transform(new, lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), x["family"].alias("family"), x["probability"].alias("probability"), x["confirmed"].alias("confirmed")))
     empty = F.from_json(F.lit("[]"), "array<struct<line: bigint, text: string, family: string, probability: double, confirmed: boolean>>")
     return out.select("doc_id", F.coalesce(done, empty).alias("lines"))
 
