@@ -10,26 +10,52 @@ def clamp(x: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
-def crop_window(x: Column, y: Column, w: Column, h: Column, img_w: Column, img_h: Column, size: int, inside: bool = False) -> dict[str, Column]:
-    """A square of `size` pixels, or of the longer side of a larger box, centred on the box and moved into the image;
-    `inside` also cuts it at the image's edges."""
-    side = F.greatest(F.lit(size), F.ceil(F.greatest(w * img_w, h * img_h)).cast("int"))
+def crop_window(x: Column, y: Column, w: Column, h: Column, img_w: Column, img_h: Column, size: Column | int, inside: bool = False) -> dict[str, Column]:
+    """A square of `size` pixels centred on the box, whatever the box's size, moved by as much as it stands over an edge.
+
+    Where it stands over both edges of a side it starts at 0, and with `inside` ends at the image's edge. Without `inside` a square
+    that is larger than the image may start below 0; with it, it is cut to the image. Starts are cut towards zero.
+    """
+    side = F.lit(size) if isinstance(size, int) else size
+    zero = F.lit(0)
+
+    def ends(at: Column, length: Column, whole: Column) -> tuple[Column, Column]:
+        first = ((at + length / 2) * whole - side / 2).cast("int")
+        below, above = F.least(first, zero), F.greatest(first + side - whole, zero)
+        start = first - below - above
+        stop = start + side
+        if inside:
+            start, stop = F.greatest(start, zero), F.least(stop, whole)
+        over = (below < 0) & (above > 0)
+        return F.when(over, zero).otherwise(start), F.when(over, whole if inside else side).otherwise(stop)
+
+    (left, right), (top, bottom) = ends(x, w, img_w), ends(y, h, img_h)
+    return {"left": left, "top": top, "right": right, "bottom": bottom}
+
+
+def new_scale(x: Column, y: Column, w: Column, h: Column, img_w: Column, img_h: Column, buffer: Column | float, size: Column | int) -> Column:
+    """The factor that brings the longer side of the box, with `buffer` (a share of the image) on each side and cut to the image, down
+    to `size` pixels; null for boxes that fit."""
+    room = F.lit(buffer) if isinstance(buffer, float) else buffer
+    side = F.lit(size) if isinstance(size, int) else size
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def pixels(at: Column, length: Column, whole: Column) -> Column:
+        return (clamp(at + length + room, zero, one) - clamp(at - room, zero, one)) * whole
+
+    longest = F.greatest(pixels(x, w, img_w), pixels(y, h, img_h))
+    return F.when(longest > side, side / longest)
 
-    def start(at: Column, length: Column, whole: Column) -> Column:
-        free = F.floor((at + length / 2) * whole - side / 2).cast("int")
-        return F.greatest(F.least(free, whole - side), F.least(F.lit(0), whole - side))
 
-    left, top = start(x, w, img_w), start(y, h, img_h)
-    out = {"left": left, "top": top, "right": left + side, "bottom": top + side}
-    if inside:
-        zero = F.lit(0)
-        out = {k: clamp(c, zero, img_w if k in ("left", "right") else img_h) for k, c in out.items()}
-    return out
+def scaled_side(length: Column, scale: Column) -> Column:
+    """Pixels of a side after scaling, halves to even; a null scale leaves it."""
+    return F.when(scale.isNull(), length).otherwise(F.bround(length * scale).cast("int"))
 
 
-def new_scale(w: Column, h: Column, img_w: Column, img_h: Column, buffer: float, size: int) -> Column:
-    longest = F.greatest(w * img_w, h * img_h) * (1 + buffer)
-    return F.when(longest > size, F.lit(float(size)) / longest)
+def normalised(window: dict[str, Column], img_w: Column, img_h: Column) -> Column:
+    """[left, top, right, bottom] in shares of the (scaled) image, to four digits."""
+    sides = (("left", img_w), ("top", img_h), ("right", img_w), ("bottom", img_h))
+    return F.array(*[F.bround(window[k] / whole, 4) for k, whole in sides])
 
 
 def background(x: Column, y: Column, w: Column, h: Column, img_w: Column, img_h: Column, margin: Column) -> dict[str, Column]:
@@ -51,4 +77,6 @@ def centre_square(w: Column, h: Column) -> dict[str, Column]:
 
 
 def as_text(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: v.cast("string")), ", "), F.lit("]"))
+    """The four-digit numbers as a list in text, `[0.1, 0.0, 1.0, 0.0005]`."""
+    plain = F.transform(values, lambda v: F.regexp_replace(F.format_string("%.4f", v), r"(\.\d+?)0+$", "$1"))
+    return F.concat(F.lit("["), F.array_join(plain, ", "), F.lit("]"))

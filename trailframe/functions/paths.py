@@ -34,6 +34,11 @@ def camera_id(description: Column) -> Column:
     return F.coalesce(F.array_join(F.slice(F.split(description, "__"), 1, 2), "-"), F.lit(""))
 
 
+def camera(columns: list[str], description: str = "Description", location: str = "Location") -> Column:
+    """The camera of the description, or the location in tables that have no column of descriptions."""
+    return camera_id(F.col(description)) if description in columns else F.col(location)
+
+
 def absolute(path: Column, root: str) -> Column:
     return F.when(path.rlike(r"^([A-Za-z]:)?[\\/]"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 

@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 #: Fixed formats: results' times, cameras' times.
 RESULT, CAMERA = "dd/MM/yyyy HH:mm:ss", "yyyy:MM:dd HH:mm:ss"
-FORMATS = [CAMERA, "yy:MM:dd HH:mm:ss", RESULT, "yyyy-MM-dd HH:mm:ss"]
+FORMATS = [CAMERA, "yy:MM:dd HH:mm:ss", RESULT]
+
+
+def parsed(text: Column, form: str) -> Column:
+    """The time, or null. Years of two digits lie in 1969 to 2068."""
+    ts = F.try_to_timestamp(text, F.lit(form))
+    if "yyyy" in form or "yy" not in form:
+        return ts
+    return F.when(F.year(ts) > 2068, F.add_months(ts, -1200).cast("timestamp") + (ts - F.date_trunc("day", ts))).otherwise(ts)
 
 
 def first_format(text: Column, formats: list[str] = FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[parsed(text, f) for f in formats])
+
+
+def result_text(text: Column, formats: list[str] = FORMATS) -> Column:
+    """The time as results carry it; null for text in none of the formats."""
+    return F.date_format(first_format(text, formats), RESULT)
+
+
+def run_id(now: Column) -> Column:
+    return F.date_format(now, "yy_MM_dd_HH")
 
 
 def impute_mean(df: DataFrame, column: str) -> DataFrame:

@@ -34,6 +34,21 @@ def renamed_in_turn(column: Column, names: dict[str, str]) -> Column:
     return column
 
 
+def replaced_cells(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Every text column of the table, the rules one after the other."""
+    return df.withColumns({c: renamed_in_turn(F.col(c), names) for c, t in df.dtypes if t == "string"})
+
+
+def inverted(merges: dict[str, list[str]]) -> dict[str, str]:
+    """{old: new} of settings {new: [old, ...]}; an old name in two lists goes to the later one."""
+    return {old: new for new, olds in merges.items() for old in olds}
+
+
+def valid(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have all of the columns."""
+    return df.dropna(subset=columns)
+
+
 def cap_groups(df: DataFrame, groups: list[str], key: list[str], limit: int, seed: int = 0) -> DataFrame:
     """`limit` rows of each group at most. The literal limit lets each task keep `limit` rows of a group before the shuffle."""
     place = Window.partitionBy(*groups).orderBy(order_of(seed, *key), *key)
@@ -45,9 +60,13 @@ def adaptive_limit(n: Column, lower: int, upper: int) -> Column:
 
 
 def cap_groups_adaptive(df: DataFrame, groups: list[str], key: list[str], lower: int, upper: int, seed: int = 0) -> DataFrame:
+    """As cap_groups, with a limit that follows the group's size. Each task keeps `upper` rows of a group before the shuffle; sizes come
+    from an aggregation of their own, so no group is sorted whole. Rows with a null in `groups` form groups too."""
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("__all")).withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(groups)})
     place = Window.partitionBy(*groups).orderBy(order_of(seed, *key), *key)
-    df = df.withColumn("__n", F.row_number().over(place)).withColumn("__all", F.count("*").over(Window.partitionBy(*groups)))
-    return df.where((F.col("__n") <= adaptive_limit(F.col("__all"), lower, upper)) & (F.col("__n") <= upper)).drop("__n", "__all")
+    first = df.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= upper)
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+    return first.join(sizes, same).where(F.col("__n") <= adaptive_limit(F.col("__all"), lower, upper)).select(*df.columns)
 
 
 def without_rare(df: DataFrame, label: str, least: int) -> DataFrame:
@@ -56,6 +75,13 @@ def without_rare(df: DataFrame, label: str, least: int) -> DataFrame:
     return df.join(common.select(label), label, "left_semi")
 
 
+def without_rare_columns(targets: DataFrame, predictions: DataFrame, classes: list[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the class columns whose 0/1 targets sum to less than `least`. One sum a class reaches the driver."""
+    sums = targets.agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).alias(f"s{i}") for i, c in enumerate(classes)]).first()
+    rare = [c for i, c in enumerate(classes) if sums[i] < least]
+    return targets.drop(*rare), predictions.drop(*rare)
+
+
 def hash_bucket(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Adds __h, the hash that orders the rows, and __b, one of 4096 ranges of it."""
     return df.withColumn("__h", order_of(seed, key)).withColumn("__b", F.conv(F.substr("__h", F.lit(1), F.lit(3)), 16, 10).cast("int"))
@@ -81,11 +107,12 @@ def split(df: DataFrame, key: str, test: float = 0.1, val: float = 0.1, seed: in
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """label, n, weight = mean count / count, root_weight = its root, sampling_weight = 1 / root of count. A row for each class."""
+    """label, n, weight = mean n / n, root_weight = mean of the roots of n / root of n, sampling_weight = 1 / root of n. A row for each
+    class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    mean = F.avg("n").over(Window.partitionBy())
-    weight = mean / F.col("n")
-    return counts.select(label, "n", weight.alias("weight"), F.sqrt(weight).alias("root_weight"), (1 / F.sqrt("n")).alias("sampling_weight"))
+    every = Window.partitionBy()  # a row for each class
+    weight, root = F.avg("n").over(every) / F.col("n"), F.avg(F.sqrt("n")).over(every) / F.sqrt("n")
+    return counts.select(label, "n", weight.alias("weight"), root.alias("root_weight"), (1 / F.sqrt("n")).alias("sampling_weight"))
 
 
 def uniform(seed: int, *key: str) -> Column:

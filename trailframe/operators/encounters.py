@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def encounters(df: DataFrame, folder: str, ts: str, probability: str, label: str, key: str, gap_seconds: float, undated_join: bool = True) -> DataFrame:
+def encounters(df: DataFrame, folder: str, ts: str, probability: str, label: str, key: str, gap_seconds: float, undated_join: bool = True,
+               text: str | None = None) -> DataFrame:
     """Adds encounter_start, encounter (the label of the row with the largest probability, first by time and key) and max_prob.
 
     A gap of exactly `gap_seconds` doesn't open an encounter. Rows without a time come last: with undated_join they belong to the last
-    encounter of their folder and may win it, but their own encounter is their own label; else they stand alone. One shuffle, by folder.
+    encounter of their folder and may win it, but their own encounter is their own label; else they stand alone. `text` names the column
+    that the time was read from: then only rows without that text keep their own label, and rows whose text is no time share the
+    label of the folder's last encounter. One shuffle, by folder.
     """
     order = Window.partitionBy(folder).orderBy(F.col(ts).asc_nulls_last(), F.col(key))
     before = F.lag(ts).over(order)
@@ -20,7 +23,9 @@ def encounters(df: DataFrame, folder: str, ts: str, probability: str, label: str
     if not undated_join:
         df = df.withColumn("encounter_start", F.when(F.col(ts).isNotNull(), F.col("encounter_start")))
     group = Window.partitionBy(folder, "encounter_start")
-    first = Window.partitionBy(folder, "encounter_start").orderBy(F.col(probability).desc_nulls_last(), F.col(ts).asc_nulls_last(), F.col(key)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = F.col(ts).isNull() | F.col("encounter_start").isNull()
+    ranked = group.orderBy(F.col(probability).desc_nulls_last(), F.col(ts).asc_nulls_last(), F.col(key))
+    first = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.col(text if text and undated_join else ts).isNull() | F.col("encounter_start").isNull()
     df = df.withColumn("__best", F.first(label).over(first)).withColumn("__most", F.max(probability).over(group))
-    return df.withColumn("encounter", F.when(own, F.col(label)).otherwise(F.col("__best"))).withColumn("max_prob", F.when(own, F.col(probability)).otherwise(F.col("__most"))).drop("__best", "__most")
+    said = {"encounter": F.when(own, F.col(label)).otherwise(F.col("__best")), "max_prob": F.when(own, F.col(probability)).otherwise(F.col("__most"))}
+    return df.withColumns(said).drop("__best", "__most")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,17 +39,39 @@ def macro(df: DataFrame, target: str, prediction: str) -> DataFrame:
     return rows.agg(F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), F.count("*").alias("n_classes"))
 
 
-def described(df: DataFrame, groups: list[str], column: str) -> DataFrame:
-    """n, mean, std, low, q1, middle, q3, high of the values that aren't null. Quartiles are exact, from counts of distinct values: for
-    columns with a bounded number of them in each group."""
+def described(df: DataFrame, groups: list[str], column: str, exact: bool = True) -> DataFrame:
+    """n, mean, std, low, q1, middle, q3, high of the values that aren't null. Quartiles are exact, from counts of distinct values, for
+    columns with a bounded number of them in each group; else not `exact`, from a sketch of bounded size."""
     c = F.col(column)
-    quartiles = [F.percentile(c, share).alias(name) for name, share in (("q1", 0.25), ("middle", 0.5), ("q3", 0.75))]
+    quartile = F.percentile if exact else (lambda x, share: F.percentile_approx(x, share, 10000).cast("double"))
+    quartiles = [quartile(c, share).alias(name) for name, share in (("q1", 0.25), ("middle", 0.5), ("q3", 0.75))]
     return df.groupBy(*groups).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *quartiles, F.max(c).alias("high"))
 
 
+def described_columns(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """As `described`, a row for each of the columns (all numeric ones if none are named), named in `column`."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    columns = columns or [c for c, t in df.dtypes if t.startswith(kinds)]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("cell")
+    return described(df.select(cells).select("cell.column", "cell.value"), ["column"], "value", exact)
+
+
 def threshold_sweep(df: DataFrame, confidence: str, probability: str, is_empty: str, thresholds: list[float]) -> DataFrame:
-    """Counts of the rule `both below the threshold means empty` for each threshold; the rows are read once."""
+    """threshold, tp, fp, tn, fn, precision, recall of the rule `both below the threshold means empty`; the rows are read once. A share of
+    nothing is 0."""
     cuts = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     said = (F.col(confidence) < F.col("threshold")) & (F.col(probability) < F.col("threshold"))
     true = F.col(is_empty)
-    return df.select(confidence, probability, is_empty, cuts).groupBy("threshold").agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & ~true).alias("tn"), F.count_if(~said & true).alias("fn"))
+    counts = {"tp": said & true, "fp": said & ~true, "tn": ~said & ~true, "fn": ~said & true}
+    rows = df.select(confidence, probability, is_empty, cuts).groupBy("threshold").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+    def share(of: str) -> Column:
+        whole = F.col("tp") + F.col(of)
+        return F.when(whole > 0, F.col("tp") / whole).otherwise(0.0)
+
+    return rows.withColumns({"precision": share("fp"), "recall": share("fn")})
+
+
+def throughput(rows: int, seconds: float) -> float:
+    """Rows a second; 0 for no time."""
+    return rows / seconds if seconds > 0 else 0.0

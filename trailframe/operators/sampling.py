@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.operators.curation import adaptive_limit, hash_bucket, hash_ranked, order_of, uniform
+from trailframe.sources.shared import settled
 
 
 def sample_exact(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
@@ -13,6 +14,14 @@ def sample_exact(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFr
     return hash_ranked(df, key, seed).where(F.col("__n") <= F.bround(F.lit(share) * F.col("__all"), 0)).drop("__n", "__all")
 
 
+def sample_rows(df: DataFrame, key: str, n: int = 500, seed: int = 0) -> DataFrame:
+    """Exactly n rows, the first by hashed order; a ValueError if there are fewer."""
+    rows = df.count()
+    if rows < n:
+        raise ValueError(f"a sample of {n} rows needs as many, there are {rows}")
+    return df.withColumn("__h", order_of(seed, key)).orderBy("__h", key).limit(n).drop("__h")
+
+
 def stride(df: DataFrame, key: str, step: int, seed: int = 0) -> DataFrame:
     """The first row and every `step`th after it, by hashed order."""
     return hash_ranked(df, key, seed).where((F.col("__n") - 1) % step == 0).drop("__n", "__all")
@@ -37,14 +46,6 @@ def weighted_draws(df: DataFrame, key: str, weight: Column, n: int, seed: int =
     return line.unionByName(points).withColumn(key, F.last(key, ignorenulls=True).over(before)).where("draw is not null").select("draw", key)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the folder in spark.checkpoint.dir."""
-    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def diverse_rows(df: DataFrame, groups: list[str], key: str, features: list[str], lower: int, upper: int, rounds: int = 5, seed: int = 0) -> DataFrame:
     """Groups of fewer than `lower` rows whole; of others the row nearest to each of lower + (n - lower) / 2 centres, `upper` at most.
     `key` is unique. Features are scaled to 0..1 in their group (0 if all are alike; null counts as 0). The centres start at the first

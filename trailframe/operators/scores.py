@@ -41,6 +41,16 @@ def empty_encounters(df: DataFrame, confidence: str, threshold: float, max_prob:
     return df.withColumn("encounter", F.when(F.col("encounter").isin(*markers), F.lit(EMPTY)).otherwise(F.col("encounter")))
 
 
+def marked_empties(df: DataFrame, confidence: str, label: str) -> DataFrame:
+    """Rows that no classifier saw, with what they say instead of a class: no box at all (confidence -1), or one below the threshold."""
+    return df.withColumn(label, F.when(F.col(confidence) == -1, F.lit(NO_BOX)).otherwise(F.lit(BELOW)))
+
+
+def split_videos(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of video frames, and the others; rows without a path go to neither."""
+    return df.where(F.col(path).contains("video_")), df.where(~F.col(path).contains("video_"))
+
+
 def with_unprocessed(expected: DataFrame, scored: DataFrame, key: str, label: str) -> DataFrame:
     """The scored rows, and a row for each expected key without one."""
     missing = expected.select(key).join(scored.select(key), key, "left_anti").withColumn(label, F.lit(UNPROCESSED))
@@ -61,11 +71,20 @@ def video_metadata(df: DataFrame, video: str, frame: str, columns: list[str], co
     return df.groupBy(video).agg(*first, F.max(confidence).alias(confidence))
 
 
-def collapse_videos(df: DataFrame, video: str, frame: str, confidence: str, probs: str, threshold: float = 0.7) -> DataFrame:
+def collapse_videos(df: DataFrame, video: str, frame: str, confidence: str, probs: str, threshold: float = 0.7, columns: list[str] = ()) -> DataFrame:
     """A row for each video: mean probabilities of its frames above the threshold, or of all where there is none; the largest confidence
-    of those frames; how many they are. One shuffle, by video."""
+    of those frames, how many they are, and of those frames the first value of each of `columns` that isn't null, by frame."""
     sure = F.col(confidence) > threshold
-    by_class = df.select(video, frame, confidence, F.posexplode(probs).alias("i", "p")).groupBy(video, "i").agg(F.avg(F.when(sure, F.col("p"))).alias("some"), F.avg("p").alias("all"), F.count_if(sure).alias("n_sure"), F.count("*").alias("n"), F.max(F.when(sure, F.col(confidence))).alias("c_some"), F.max(confidence).alias("c_all"))
-    value = F.coalesce("some", "all")
-    rows = by_class.groupBy(video).agg(F.array_sort(F.collect_list(F.struct("i", value.alias("p")))).alias("ps"), F.max(F.when(F.col("n_sure") > 0, F.col("n_sure")).otherwise(F.col("n"))).alias("n_frames"), F.max(F.coalesce("c_some", "c_all")).alias("confidence"))
-    return rows.select(video, F.transform("ps", lambda x: x["p"]).alias("probs"), "n_frames", "confidence")
+    means = df.select(video, sure.alias("__sure"), F.posexplode(probs).alias("i", "p")).groupBy(video, "i")
+    means = means.agg(F.coalesce(F.avg(F.when(F.col("__sure"), F.col("p"))), F.avg("p")).alias("p"))
+    means = means.groupBy(video).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("probs"))
+
+    def first(column: str, among: Column) -> Column:
+        return F.min_by(column, F.when(among & F.col(column).isNotNull(), F.col(frame)))
+
+    def chosen(of) -> Column:
+        return F.when(F.count_if(sure) > 0, of(sure)).otherwise(of(F.lit(True)))
+
+    facts = [chosen(lambda among: F.count_if(among)).alias("n_frames"), chosen(lambda among: F.max(F.when(among, F.col(confidence)))).alias("confidence")]
+    facts += [chosen(lambda among, c=c: first(c, among)).alias(c) for c in columns]
+    return means.join(df.groupBy(video).agg(*facts), video).select(video, "probs", "n_frames", "confidence", *columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailframe.functions import arrays, geometry, paths, times
+from trailframe.functions import arrays, geometry, paths, schedules, times
 from trailframe.operators import curation, detections, metrics, scores
 from trailframe.operators.encounters import encounters as find_encounters
 
@@ -174,11 +174,15 @@ def precision_recall_f1(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"""{TOP}, t AS (SELECT unnest([0.1, 0.25, 0.5, 0.75]) AS threshold), z AS (SELECT CAST(threshold AS DOUBLE) AS threshold, confidence < threshold AND probability < threshold AS said, prediction IN ('c0', 'c1') AS fact FROM top, t)
-SELECT threshold, count(*) FILTER (said AND fact) AS tp, count(*) FILTER (said AND NOT fact) AS fp, count(*) FILTER (NOT said AND NOT fact) AS tn, count(*) FILTER (NOT said AND fact) AS fn FROM z GROUP BY threshold""")
+@query(f"""{TOP}, t AS (SELECT unnest([0.1, 0.25, 0.5, 0.75]) AS threshold),
+z AS (SELECT CAST(threshold AS DOUBLE) AS threshold, confidence < threshold AND probability < threshold AS said, prediction IN ('c0', 'c1') AS fact FROM top, t),
+c AS (SELECT threshold, count(*) FILTER (said AND fact) AS tp, count(*) FILTER (said AND NOT fact) AS fp, count(*) FILTER (NOT said AND NOT fact) AS tn,
+  count(*) FILTER (NOT said AND fact) AS fn FROM z GROUP BY threshold)
+SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall FROM c""")
 def empty_threshold_sweep(spark, sf_dir):
     t = _top(spark, sf_dir).withColumn("fact", F.col("prediction").isin("c0", "c1"))
-    return metrics.threshold_sweep(t, "confidence", "probability", "fact", [0.1, 0.25, 0.5, 0.75])
+    rows = metrics.threshold_sweep(t, "confidence", "probability", "fact", [0.1, 0.25, 0.5, 0.75])
+    return rows.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -206,7 +210,8 @@ def split_80_10_10(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
-SELECT event_type, n, round(avg(n) OVER () / n, 9) AS weight, round(sqrt(avg(n) OVER () / n), 9) AS root_weight, round(1 / sqrt(n), 9) AS sampling_weight FROM c""")
+SELECT event_type, n, round(avg(n) OVER () / n, 9) AS weight, round(avg(sqrt(n)) OVER () / sqrt(n), 9) AS root_weight,
+round(1 / sqrt(n), 9) AS sampling_weight FROM c""")
 def class_weights(spark, sf_dir):
     rows = curation.class_weights(_t(spark, sf_dir, "events"), "event_type")
     return rows.withColumns({c: F.round(c, 9) for c in ("weight", "root_weight", "sampling_weight")})
@@ -224,23 +229,24 @@ def one_hot(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", *[F.get(hot, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-@query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'first' ELSE p_brand END AS brand FROM part
-WHERE p_type NOT IN (SELECT min(p_type) FROM part) AND (p_size >= 25 OR p_brand IN ('Brand#11', 'Brand#21'))""")
+@query("""WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_brand END AS b FROM part)
+SELECT p_partkey, CASE WHEN b IN ('Brand#11', 'Brand#12') THEN 'first' ELSE b END AS brand FROM p
+WHERE (b IS NULL OR b NOT IN ('Brand#13', 'Brand#22')) AND (p_size >= 25 OR b IN ('Brand#11', 'Brand#21'))""")
 def filters_renames(spark, sf_dir):
-    part = _t(spark, sf_dir, "part")
-    smallest = part.agg(F.min("p_type").alias("p_type"))
-    rows = detections.unseen(part, smallest, ["p_type"])
+    part = _t(spark, sf_dir, "part").withColumn("p_brand", F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand")))
+    rows = curation.without(part, "p_brand", ["Brand#13", "Brand#22"])
     rows = curation.confident_or_rare(rows, "p_size", 25, "p_brand", ["Brand#11", "Brand#21"])
-    return rows.select("p_partkey", curation.renamed(F.col("p_brand"), {"Brand#11": "first", "Brand#12": "first"}).alias("brand"))
+    merged = curation.inverted({"first": ["Brand#11", "Brand#12"]})
+    return rows.select("p_partkey", curation.renamed(F.col("p_brand"), merged).alias("brand"))
 
 
 PARTS = "regexp_split_to_array(url, '[\\\\/]')"
 
 
-@query(f"WITH f AS (SELECT page_id, list_filter({PARTS}, lambda p: length(p) = 2) AS c FROM pages) SELECT page_id, CASE WHEN len(c) = 1 THEN c[1] ELSE 'unknown' END AS location FROM f")
+@query("""WITH f AS (SELECT page_id, list_filter(regexp_split_to_array(upper(url), '[\\\\/]'), lambda p: length(p) = 2 AND p <> lower(p)) AS c FROM pages)
+SELECT page_id, CASE WHEN len(c) = 1 THEN c[1] ELSE 'unknown' END AS location FROM f""")
 def location_from_path(spark, sf_dir):
-    found = F.filter(paths.parts(F.col("url")), lambda p: F.length(p) == 2)
-    return _t(spark, sf_dir, "pages").select("page_id", F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(paths.UNKNOWN).alias("location"))
+    return _t(spark, sf_dir, "pages").select("page_id", paths.location_code(F.upper("url"), 2).alias("location"))
 
 
 @query(f"WITH f AS (SELECT page_id, list_filter({PARTS}, lambda p: lower(p) IN ('en', 'de', 'fr')) AS c FROM pages) SELECT page_id, coalesce(lower(c[1]), 'unknown') AS class FROM f")
@@ -293,16 +299,20 @@ def explode_detections(spark, sf_dir):
     return detections.flatten(_images(spark, sf_dir).withColumn("detections", F.transform("detections", lambda d: F.struct(F.lit("1").alias("category"), d["conf"].alias("conf"), d["bbox"].alias("bbox")))), best_only=False).drop("mega_class")
 
 
-@query("SELECT conv_id AS file, count(*) AS n_in_json FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id AS file, role AS category, CAST({CONF} AS DOUBLE) AS conf, CAST(turn AS DOUBLE) AS x_min FROM conversations")
 def export_json(spark, sf_dir):
     back = detections.export_json(_images(spark, sf_dir)).select("file", F.from_json("json", f"detections array<{detections.DETECTION}>").alias("j"))
-    return back.select("file", F.size("j.detections").cast("long").alias("n_in_json"))
+    rows = back.select("file", F.explode("j.detections").alias("d"))
+    return rows.select("file", "d.category", "d.conf", F.get("d.bbox", F.lit(0)).alias("x_min"))
 
 
-@query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+@query("""SELECT o_orderkey, o.o_custkey AS file, c.Date_Time, c.Description FROM orders o
+JOIN (SELECT c_custkey, c_mktsegment AS Date_Time, c_name AS Description FROM customer UNION ALL SELECT c_custkey, 'again', c_name FROM customer WHERE c_custkey % 5 = 0) c
+ON o.o_custkey = c.c_custkey""")
 def exif_join(spark, sf_dir):
-    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.col("c_mktsegment").alias("Date_Time"), F.col("c_name").alias("Description"))
+    cache = c.unionByName(c.where("file % 5 = 0").withColumn("Date_Time", F.lit("again")))
+    return detections.with_tags(_t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("file")), cache, "file").select("o_orderkey", "file", "Date_Time", "Description")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -316,33 +326,77 @@ def missing_dirs(spark, sf_dir):
     return detections.seen(rows.select("l_suppkey", "l_returnflag"), rows.where("l_quantity > 45"), ["l_suppkey", "l_returnflag"]).distinct()
 
 
-@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS ts FROM orders), m AS (SELECT make_timestamp(CAST(trunc(avg(CAST(epoch_us(ts) AS DOUBLE))) AS BIGINT)) AS mean FROM x)
-SELECT o_orderkey, coalesce(ts, mean) IS NOT NULL AS dated, CASE WHEN ts IS NULL THEN NULL ELSE CAST(epoch(ts) AS BIGINT) - 1672531200 END AS seconds, strftime(ts, '%H:%M:%S') AS time_of_day, strftime(ts, '%d/%m/%Y %H:%M:%S') AS text FROM x, m""")
+@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'dt_not_found' WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%y:%m:%d %H:%M:%S')
+  WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+  ELSE strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END AS raw FROM orders),
+t AS (SELECT o_orderkey, raw, CASE WHEN raw LIKE '____:%' THEN try_strptime(raw, '%Y:%m:%d %H:%M:%S') WHEN raw LIKE '__:%' THEN try_strptime(raw, '%y:%m:%d %H:%M:%S') WHEN raw LIKE '__/%' THEN try_strptime(raw, '%d/%m/%Y %H:%M:%S') END AS ts FROM x),
+m AS (SELECT make_timestamp(CAST(trunc(avg(CAST(epoch_us(ts) AS DOUBLE))) AS BIGINT)) AS mean FROM t)
+SELECT o_orderkey, raw, strftime(coalesce(ts, mean), '%Y-%m-%d %H:%M') AS imputed, CAST(epoch(ts) AS BIGINT) - 1672531200 AS seconds,
+strftime(ts, '%H:%M:%S') AS time_of_day, strftime(ts, '%d/%m/%Y %H:%M:%S') AS text, strftime(ts, '%y_%m_%d_%H') AS run FROM t, m""")
 def dates(spark, sf_dir):
-    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("dt_not_found")).otherwise(F.date_format("o_orderdate", times.CAMERA))
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", times.first_format(text).alias("ts")).withColumn("own", F.col("ts"))
-    rows = times.impute_mean(rows, "ts")
-    return rows.select("o_orderkey", F.col("ts").isNotNull().alias("dated"), times.seconds_since(F.col("own")).alias("seconds"), times.time_of_day(F.col("own")).alias("time_of_day"), F.date_format("own", times.RESULT).alias("text"))
+    k = F.col("o_orderkey")
+    kinds = {0: "yy:MM:dd HH:mm:ss", 1: times.RESULT, 2: "yyyy-MM-dd HH:mm:ss", 3: times.CAMERA}
+    raw = F.when(k % 7 == 0, F.lit("dt_not_found"))
+    for rest, form in kinds.items():
+        raw = raw.when(k % 4 == rest, F.date_format("o_orderdate", form))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("own", times.first_format(F.col("raw"))).withColumn("ts", F.col("own"))
+    own = F.col("own")
+    return times.impute_mean(rows, "ts").select(
+        "o_orderkey", "raw", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("imputed"), times.seconds_since(own).alias("seconds"),
+        times.time_of_day(own).alias("time_of_day"), times.result_text(F.col("raw")).alias("text"), times.run_id(own).alias("run"),
+    )
 
 
 BOX = {"x": "l_discount", "y": "l_tax", "w": "l_quantity / 100", "h": "l_quantity / 200"}
+#: Images of three sizes, one of them smaller than the crop; prime sides, so that no share ends in a 5.
+SIDES = {"iw": "CASE l_linenumber % 3 WHEN 0 THEN 1999 WHEN 1 THEN 641 ELSE 211 END", "ih": "CASE l_linenumber % 3 WHEN 0 THEN 1081 WHEN 1 THEN 479 ELSE 199 END"}
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+BOXES = f"b AS (SELECT {KEYS}, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in BOX.items())}, {', '.join(f'{v} AS {k}' for k, v in SIDES.items())} FROM lineitem)"
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS x, l_tax AS y, l_quantity / 100 AS w, l_quantity / 200 AS h FROM lineitem),
-s AS (SELECT *, greatest(300, CAST(ceil(greatest(w * 1920, h * 1080)) AS INT)) AS side FROM b),
-p AS (SELECT *, greatest(least(CAST(floor((x + w / 2) * 1920 - side / 2) AS INT), 1920 - side), least(0, 1920 - side)) AS l, greatest(least(CAST(floor((y + h / 2) * 1080 - side / 2) AS INT), 1080 - side), least(0, 1080 - side)) AS t FROM s)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l AS "left", t AS top, l + side AS "right", t + side AS bottom FROM p""")
+def _boxes(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select(*KEY, *[F.expr(v).cast("double").alias(k) for k, v in BOX.items()], *[F.expr(v).alias(k) for k, v in SIDES.items()])
+
+
+def _ends(first: str, whole: str, inside: bool) -> tuple[str, str]:
+    """SQL of a window's start and end: moved by what stands over an edge, unless both do."""
+    moved = f"{first} - (CASE WHEN {first} < 0 THEN {first} ELSE 0 END) - (CASE WHEN {first} + 300 > {whole} THEN {first} + 300 - {whole} ELSE 0 END)"
+    both = f"{first} < 0 AND {first} + 300 > {whole}"
+    start, end = (f"greatest(0, {moved})", f"least({whole}, {moved} + 300)") if inside else (moved, f"{moved} + 300")
+    return f"CASE WHEN {both} THEN 0 ELSE {start} END", f"CASE WHEN {both} THEN {whole if inside else 300} ELSE {end} END"
+
+
+def _window(inside: bool) -> str:
+    (left, right), (top, bottom) = _ends("l0", "iw", inside), _ends("t0", "ih", inside)
+    return f"""WITH {BOXES}, p AS (SELECT *, CAST(trunc((x + w / 2) * iw - 150) AS INT) AS l0, CAST(trunc((y + h / 2) * ih - 150) AS INT) AS t0 FROM b),
+c AS (SELECT {KEYS}, iw, ih, {left} AS "left", {top} AS top, {right} AS "right", {bottom} AS bottom FROM p)
+SELECT {KEYS}, "left", top, "right", bottom, '[' || round_even("left" / iw, 4) || ', ' || round_even(top / ih, 4) || ', ' || round_even("right" / iw, 4) || ', ' || round_even(bottom / ih, 4) || ']' AS crop FROM c"""
+
+
+def _windows(spark, sf_dir, inside):
+    x, y, w, h, iw, ih = (F.col(c) for c in ("x", "y", "w", "h", "iw", "ih"))
+    window = geometry.crop_window(x, y, w, h, iw, ih, 300, inside)
+    return _boxes(spark, sf_dir).select(*KEY, *[c.alias(k) for k, c in window.items()], geometry.as_text(geometry.normalised(window, iw, ih)).alias("crop"))
+
+
+@query(_window(False))
 def crop_window(spark, sf_dir):
-    x, y, w, h = (F.expr(v) for v in BOX.values())
-    window = geometry.crop_window(x, y, w, h, F.lit(1920), F.lit(1080), 300)
-    return _t(spark, sf_dir, "lineitem").select(*KEY, *[c.alias(k) for k, c in window.items()])
+    return _windows(spark, sf_dir, False)
+
+
+@query(_window(True))
+def crop_window_inside(spark, sf_dir):
+    return _windows(spark, sf_dir, True)
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(l_quantity / 100 * 1920, l_quantity / 200 * 1080) * 1.1 AS longest FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN longest > 600 THEN round(600.0 / longest, 9) END AS scale FROM b""")
+@query(f"""WITH {BOXES}, s AS (SELECT *, greatest((least(1, greatest(0, x + w + 0.05)) - least(1, greatest(0, x - 0.05))) * iw,
+  (least(1, greatest(0, y + h + 0.05)) - least(1, greatest(0, y - 0.05))) * ih) AS longest FROM b)
+SELECT {KEYS}, CASE WHEN longest > 300 THEN round(300 / longest, 9) END AS scale,
+CASE WHEN longest > 300 THEN CAST(round_even(iw * (300 / longest), 0) AS INT) ELSE iw END AS new_width FROM s""")
 def new_scale(spark, sf_dir):
-    _, _, w, h = (F.expr(v) for v in BOX.values())
-    return _t(spark, sf_dir, "lineitem").select(*KEY, F.round(geometry.new_scale(w, h, F.lit(1920), F.lit(1080), 0.1, 600), 9).alias("scale"))
+    x, y, w, h, iw, ih = (F.col(c) for c in ("x", "y", "w", "h", "iw", "ih"))
+    scale = geometry.new_scale(x, y, w, h, iw, ih, 0.05, 300)
+    return _boxes(spark, sf_dir).select(*KEY, F.round(scale, 9).alias("scale"), geometry.scaled_side(iw, scale).alias("new_width"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(least(greatest(l_discount - 0.03, 0), 1) * 1000) AS INT) AS "left", CAST(floor(least(greatest(l_tax - 0.03, 0), 1) * 1000) AS INT) AS top,
@@ -358,20 +412,25 @@ def focal_loss(spark, sf_dir):
     return _probs(spark, sf_dir).select("vec_id", F.round(arrays.focal_loss(F.col("probs"), F.col("label")), 6).alias("loss"))
 
 
-@query("SELECT e AS epoch, CASE WHEN e < 3 THEN round(0.001 * (e + 1) / 3, 9) ELSE round(0.001 * 0.5 * (1 + cos(pi() * ((e - 3) % 8) / 8)) * pow(0.8, floor((e - 3) / 8)), 9) END AS rate FROM range(0, 30) t(e)")
+@query("""WITH e AS (SELECT e, CASE WHEN e <= 3 THEN 0.1 + (1 - 0.1) / 3 * e ELSE 1 END AS warm, CASE WHEN e <= 3 THEN 1 ELSE pow(0.8, floor((e - 3) / 8)) END AS decay,
+CASE WHEN e <= 3 THEN 1 ELSE 0.05 + 0.95 * (1 + cos(pi() * ((e - 3) % 8) / 8)) / 2 END AS cosine FROM range(0, 40) t(e))
+SELECT e AS epoch, round(0.001 * warm * decay * cosine, 12) AS rate FROM e""")
 def lr_schedule(spark, sf_dir):
-    e = F.col("epoch")
-    cosine = 0.001 * 0.5 * (1 + F.cos(F.pi() * ((e - 3) % 8) / 8)) * F.pow(F.lit(0.8), F.floor((e - 3) / 8))
-    return spark.range(30).select(F.col("id").alias("epoch")).select("epoch", F.round(F.when(e < 3, 0.001 * (e + 1) / 3).otherwise(cosine), 9).alias("rate"))
+    rate = schedules.learning_rate(F.col("epoch"), rate=0.001, initial=0.0001, least=0.00005, warmup=3, cycle=8, decay=0.8)
+    return spark.range(40).select(F.col("id").alias("epoch")).select("epoch", F.round(rate, 12).alias("rate"))
 
 
-@query("""WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) + 1 AS total FROM orders), i AS (SELECT o_orderkey, total, CASE WHEN total < 15 THEN greatest(total - 1, 1) WHEN total // 15 > 20 THEN total // 20 ELSE 15 END AS iv FROM v)
-SELECT o_orderkey, unnest(range(0, total, iv)) AS frame FROM i""")
+@query("""WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) % 900 AS total, 1 + o_orderkey % 60 AS fps FROM orders),
+i AS (SELECT *, CASE WHEN total < fps // 2 THEN total - 1 ELSE fps // 2 END AS plain FROM v), g AS (SELECT *, greatest(plain, 1) AS fit FROM i),
+f AS (SELECT *, CASE WHEN total // fit > 20 THEN total // 20 ELSE fit END AS iv FROM g), x AS (SELECT o_orderkey, fps, iv, unnest(range(0, total, iv)) AS frame FROM f)
+SELECT o_orderkey, frame // iv AS number, frame, round(frame / fps * 1000, 6) AS at_ms FROM x""")
 def frame_schedule(spark, sf_dir):
-    total = (F.floor(F.col("o_totalprice") / 100) + 1).cast("long")
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", total.alias("total"))
-    step = F.when(F.col("total") < 15, F.greatest(F.col("total") - 1, F.lit(1))).when(F.expr("total div 15") > 20, F.expr("total div 20")).otherwise(F.lit(15))
-    return rows.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, step)).alias("frame"))
+    total = (F.floor(F.col("o_totalprice") / 100) % 900).cast("long")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", total.alias("total"), (1 + F.col("o_orderkey") % 60).alias("fps"))
+    step = schedules.frame_step(F.col("total"), F.col("fps"), 0.5, 20)
+    frames = rows.select("o_orderkey", "fps", F.posexplode(schedules.frame_numbers(F.col("total"), step)).alias("number", "frame"))
+    at = F.round(schedules.frame_offset_ms(F.col("frame"), F.col("fps")), 6)
+    return frames.select("o_orderkey", F.col("number").cast("long").alias("number"), "frame", at.alias("at_ms"))
 
 
 @query("SELECT l_suppkey, l_returnflag, count(*) AS n, count(*) FILTER (l_quantity > 25) AS n_large FROM lineitem GROUP BY l_suppkey, l_returnflag")
@@ -385,9 +444,10 @@ def known_classes(spark, sf_dir):
     return _t(spark, sf_dir, "customer").agg(F.countDistinct(known).alias("n_known"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("n_unknown"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("names"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1")
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def newest_row(spark, sf_dir):
-    return detections.newest(_t(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts").select("user_id", "event_id")
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", F.date_trunc("day", "ts").alias("day"))
+    return detections.newest(rows, "user_id", "day", "event_id").select("user_id", "event_id")
 
 
 @query("WITH n AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'empty') SELECT name, row_number() OVER (ORDER BY name) AS id FROM n")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ast
+import json
 from dataclasses import fields, is_dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trailframe.functions import paths
+from trailframe.operators import curation
 from trailframe.operators.detections import DOCUMENT
 
 IMAGES, VIDEOS = (".jpg", ".jpeg"), (".avi", ".mp4", ".mkv", ".mov")
@@ -35,6 +37,25 @@ def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES
     return files.where(paths.suffix(F.col("path")).isin(*suffixes))
 
 
+def videos(files: DataFrame, path: str = "path") -> DataFrame:
+    """The videos of a listing with `video_id`, dense from 0: by extension in the order of VIDEOS, then by a hash of the path. Ranks come from
+    the sizes of 4 x 4096 ranges of the hash, so no task sorts all of them."""
+    kind = F.array_position(F.array(*[F.lit(v) for v in VIDEOS]), paths.suffix(F.col(path)))
+    rows = curation.hash_bucket(files.withColumn("__kind", kind).where("__kind > 0"), path).withColumn("__b", (F.col("__kind") - 1) * 4096 + F.col("__b"))
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("__c"))
+    sizes = sizes.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", path))
+    return rows.join(F.broadcast(sizes), "__b").withColumn("video_id", F.col("__before") + place - 1).drop("__b", "__h", "__kind", "__before")
+
+
+def class_folders(files: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """name: the distinct names of folders two levels below `root` that hold a file, sorted."""
+    below = paths.parts(F.regexp_replace(F.col(path), "^(file:)?/+", "/"))
+    depth = len([x for x in root.split("/") if x]) + 1
+    name = F.when(F.size(below) > depth + 2, F.get(below, F.lit(depth + 1)))
+    return files.select(name.alias("name")).where("name is not null").distinct().orderBy("name")
+
+
 def newest_file(files: DataFrame) -> DataFrame:
     return files.orderBy(F.col("modificationTime").desc(), "path").limit(1)
 
@@ -61,6 +82,24 @@ def write_results(df: DataFrame, path: str, narrow: list[str] | None = None, for
     writer.csv(path, header=True) if format == "csv" else writer.format(format).save(path)
 
 
+def read_classes(spark: SparkSession, path: str) -> list[str]:
+    """The names of a JSON list of classes."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("names")).where("names is not null")
+    return [name for r in rows.collect() for name in r["names"]]
+
+
+def write_classes(spark: SparkSession, names: list[str], path: str) -> None:
+    spark.createDataFrame([(json.dumps(names),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str, defaults):
+    """`settings` of a YAML file."""
+    import yaml
+
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    return settings(defaults, yaml.safe_load(text) or {})
+
+
 def settings(defaults, values: dict):
     """The dataclass with the values whose names it has; text that looks like a Python literal is read as one. Returns it and the names
     that it doesn't have."""
