@@ -358,7 +358,7 @@ def brute_licences(text):
         if i == len(lines) or not lines[i].strip(" \t\r\x0b\f"):
             if i - first > 1:
                 family, p = said([w for x in lines[first:i] for w in cut(x)])
-                if family != "none" and not any(first <= k < i and f == family for k, f, _ in alone):
+                if family != "none" and not any(first <= k < i and f == family and q >= p for k, f, q in alone):
                     out.append((first, family, p))
             first = i + 1
     return Counter((i, f, round(p, 9)) for i, f, p in out)

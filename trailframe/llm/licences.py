@@ -1,7 +1,7 @@
 """Licence families of lines and paragraphs, by a sparse word n-gram classifier, in DataFrame functions alone.
 
 Every line is judged, and every paragraph of several lines (up to a blank one) as a whole; a paragraph is listed at its first
-line, where none of its own lines has its family. Terms are words and pairs of successive words that aren't all in COMMON. They
+line, where none of its own lines has its family with the same probability or more. Terms are words and pairs of successive words that aren't all in COMMON. They
 add their weights, and a softmax over the families, `unknown` (licences of no family here) and `none` gives probabilities. Training is
 done on the driver from the fixed texts below (no table is read): logistic regression with an L1 penalty, by proximal gradient steps.
 Probabilities are calibrated on texts that the weights were not learned from: in each of FOLDS rounds a part of every family's notices,
@@ -271,8 +271,8 @@ def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = out.select("doc_id", F.transform("l", judged).alias("l"))
     done = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["end"].alias("end"), x["text"].alias("text"), F.when(x["probability"] >= certain, x["best"]).otherwise(UNKNOWN).alias("family"), x["probability"].alias("probability"), ((x["probability"] >= certain) & confirmed(x)).alias("confirmed")))
     out = out.select("doc_id", done.alias("l"))
-    # a paragraph adds what none of its lines says
-    new = F.filter("l", lambda x: (x["end"] == 0) | ~F.exists("l", lambda y: (y["end"] == 0) & (y["line"] >= x["line"]) & (y["line"] < x["end"]) & (y["family"] == x["family"])))
+    # a paragraph adds what none of its lines says as surely
+    new = F.filter("l", lambda x: (x["end"] == 0) | ~F.exists("l", lambda y: (y["end"] == 0) & (y["line"] >= x["line"]) & (y["line"] < x["end"]) & (y["family"] == x["family"]) & (y["probability"] >= x["probability"])))
     done = F.transform(new, lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), x["family"].alias("family"), x["probability"].alias("probability"), x["confirmed"].alias("confirmed")))
     empty = F.from_json(F.lit("[]"), "array<struct<line: bigint, text: string, family: string, probability: double, confirmed: boolean>>")
     return out.select("doc_id", F.coalesce(done, empty).alias("lines"))
