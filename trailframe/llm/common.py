@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailframe.sources.shared import settled
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: A public byte-pair vocabulary, and the pieces that its tokens stay in.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+def load_encoding(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's bytes."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
+    return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
+def broadcast_vocabulary(spark: SparkSession, path: str):
+    """The file's bytes, read once on the driver; a vocabulary has some tens of thousands of lines."""
+    return spark.sparkContext.broadcast(open(path, "rb").read())
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -47,12 +68,8 @@ def fold_column(col, n: int):
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows written to the folder in spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    """The rows written to the folder in spark.checkpoint.dir, which all executors share; they go when nothing refers to them any more."""
+    return settled(df)
 
 
 def bucket_count(spark: SparkSession, times: int = 4) -> int:
@@ -142,6 +159,35 @@ def marked(ids: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
+def without_keys(docs: DataFrame, key: str, dropped: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose `key` (a long) isn't among `dropped`; of rows whose key is among `once` a single one: the first by all its
+    other values. Both have a column of that name. Only rows that a bit filter marks are shuffled; the others are passed on in place."""
+    touched = dropped.select(key) if once is None else dropped.select(key).unionByName(once.select(key))
+
+    def bits(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bit_of(batch.column(0).to_numpy(zero_copy_only=False)))], ["bit"])
+
+    flags = marked(touched.mapInArrow(bits, "bit long"))
+    at = docs.columns.index(key)
+
+    def split(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(is_marked(flags, batch.column(at).to_numpy(zero_copy_only=False)) == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    rest = split(True).join(dropped.select(key).distinct(), key, "left_anti")
+    if once is not None:
+        single = once.select(key).distinct()
+        others = [F.col(c) for c, t in docs.dtypes if c != key and not t.startswith(("map", "variant"))]
+        first = Window.partitionBy(key).orderBy(*(others or [F.col(key)]))
+        alone = rest.join(single, key, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+        rest = rest.join(single, key, "left_anti").unionByName(alone)
+    return split(False).unionByName(rest.select(*docs.columns))
+
+
 def is_marked(filter_bytes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     bit = bit_of(ids)
     return (filter_bytes[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
@@ -155,7 +201,7 @@ _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _NO_LETTER = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 _LOWER_BYTES = np.arange(256, dtype=np.uint8)
 _LOWER_BYTES[65:91] += 32
-_SPLIT = re.compile(rb"[\x20\x09-\x0D]")
+SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS: list[np.ndarray] = []
 
 
@@ -221,7 +267,7 @@ def word_hashes_and_ends(texts: list[str | None], lower: bool = True, letters: b
         b = (t.lower() if letters else t).encode()
         at = 0
         while len(b) - at > most:
-            m = _SPLIT.search(b, at + most)
+            m = SEPARATOR.search(b, at + most)
             end = m.start() if m else len(b)
             flush()
             pending.append((i, b[at:end]))

@@ -1,15 +1,15 @@
 """Secrets in texts: three patterns, and strings that a tokenizer finds hard.
 
-Base kinds are assign, access and hex (see BASE). The token-efficiency test adds `random`: words of 20 or more characters of the usual
-alphabets of keys, with letters and digits, that a public byte-pair vocabulary needs many tokens for - less than RATIO characters a
-token. Known digests (hex of a digest's length), identifiers (UUIDs, numbers, dotted names, addresses) and whatever a base span covers
-are left out. Null and empty texts have no spans. Offsets count code points, ends are exclusive. Repeated rows have equal results; null
-ids are kept. Other columns are not read.
+Base kinds are assign, access and hex (see ASSIGN, ACCESS, HEX). The token-efficiency test adds `random`: words of 20 or more characters
+of the usual alphabets of keys that a public byte-pair vocabulary needs many tokens for - less than RATIO characters a token. Known
+digests (hex of a digest's length) and identifiers (UUIDs, numbers) are left out, and so are words that lie within one base span.
+
+Null and empty texts have no spans; an empty table gives an empty result. Offsets count code points, ends are exclusive. Spans that start
+at one place come in the order of kinds. Repeated rows have equal results; null ids are kept. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 
@@ -26,19 +26,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 RATIO = 2.0
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
-IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\d_+=/-]+|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?\d{0,4}", re.I)
-
-
-def load_encoding(vocabulary: bytes):
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-    return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\d_+=/-]+", re.I)
+RESULT = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,9 +51,7 @@ def random_spans(text: str, encoding, base: list[tuple[int, int, int]], ratio: f
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or DIGEST.fullmatch(word) or IDENTIFIER.fullmatch(word):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        if DIGEST.fullmatch(word) or IDENTIFIER.fullmatch(word) or any(s <= m.start() and m.end() <= e for s, _, e in base):
             continue
         if len(word) < ratio * len(encoding.encode_ordinary(word)):
             out.append((m.start(), 3, m.end()))
@@ -81,6 +71,7 @@ def joined(spans: list) -> str:
 
 
 def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
+    """The text with a mark for each run of spans that overlap."""
     if not spans:
         return text
     out, at = [], 0
@@ -91,50 +82,41 @@ def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-RESULT = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, clean string"
-
-
-def _scan(vocabulary, ratio: float, keep: bool):
+def _scan(vocabulary, ratio: float):
     state: list = []
 
     def run(batches):
         if not state:
-            state.append(load_encoding(vocabulary.value))
+            state.append(C.load_encoding(vocabulary.value))
         for batch in batches:
             rows = []
             for _, texts in C.text_chunks(batch):
                 for t in texts:
                     base, spans = scan_text(t, state[0], ratio)
                     kinds = [k for _, k, _ in spans]
-                    rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(t, spans) if keep else None))
-            types = [pa.int64()] * 4 + [pa.string()] * 3
+                    rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+            types = [pa.int64()] * 4 + [pa.string()] * 2
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            names = [x.split()[0] for x in RESULT.split(", ")]
-            rest = [c for c in batch.schema.names if keep or c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
     return run
 
 
-def _broadcast_vocabulary(spark, path: str):
-    """The file's bytes, read once on the driver; a vocabulary has some tens of thousands of lines."""
-    return spark.sparkContext.broadcast(open(path, "rb").read())
-
-
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, clean (null)."""
-    book = _broadcast_vocabulary(docs.sparkSession, vocabulary)
-    return C.id_and_text(docs, id_col, text_col).mapInArrow(_scan(book, ratio, False), "doc_id long, " + RESULT)
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = C.VOCABULARY, ratio: float = RATIO) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for each row."""
+    book = C.broadcast_vocabulary(docs.sparkSession, vocabulary)
+    return C.id_and_text(docs, id_col, text_col).mapInArrow(_scan(book, ratio), "doc_id long, " + RESULT)
 
 
-def redact_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, mark: str = "[SECRET]") -> DataFrame:
-    """All rows and columns of docs, with secrets in `text` replaced by a mark and n_chars counted anew where they were."""
-    book = _broadcast_vocabulary(docs.sparkSession, vocabulary)
+def redact_secrets(docs: DataFrame, vocabulary: str = C.VOCABULARY, ratio: float = RATIO, mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of docs, with secrets in `text` replaced by a mark and n_chars (where there is such a column) counted anew
+    for the texts that changed."""
+    book = C.broadcast_vocabulary(docs.sparkSession, vocabulary)
     state: list = []
 
     def run(batches):
         if not state:
-            state.append(load_encoding(book.value))
+            state.append(C.load_encoding(book.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             clean = [redact(t, scan_text(t, state[0], ratio)[1], mark) for t in texts]
@@ -151,4 +133,4 @@ def redact_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float =
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
-    return scan_secrets(C.read(spark, sf_dir, "documents")).drop("clean")
+    return scan_secrets(C.read(spark, sf_dir, "documents"))
