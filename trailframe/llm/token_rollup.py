@@ -2,26 +2,28 @@
 
 A delta is a row with a sign: an insert adds a document's counts (+1), a delete takes them back (-1), a revision does both with the old
 and the new counts. A batch of deltas is summed by group and written as one folder named after the batch, in one overwriting commit; a
-batch that is committed again - after a lost driver, or twice by mistake - replaces itself, and a folder without Spark's success mark is
-not read. Totals are the sums over all committed batches; groups that fell to no documents are not reported.
+batch that is committed again - after a lost driver, or twice by mistake - changes nothing, and a folder without Spark's success mark is
+not read. Any text is a batch's name. Totals are the sums over all committed batches; groups that fell to no documents and no tokens are
+not reported. `compact` sums the batches so far into a base folder that names them; batches that the newest whole base names are read
+from it alone, so a compaction that is cut short, or done twice, changes no total.
 
 Null texts count no tokens and no characters; null sources and languages are groups of their own; repeated rows count as often as they
-occur; an empty batch commits and changes nothing. Other columns are not read.
+occur; an empty batch commits and changes nothing; no batches give no totals. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.llm import common as C
+from trailframe.sources.shared import shared_folder
 
-VOCABULARY, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+VERSION = "byte_bpe_50k"
 GROUP = ["source", "lang", "tokenizer"]
 MEASURES = ["n_docs", "n_tokens", "n_chars"]
 DELTA = "doc_id long, sign int, source string, lang string, tokenizer string, n_tokens long, n_chars long"
@@ -30,13 +32,6 @@ SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long
 PIECE = 100_000
 
 
-def encoding(vocabulary: bytes):
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-    return tiktoken.Encoding("rollup", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def count_tokens(text: str | None, enc) -> int:
     """Tokens of the whole text; a cut is made only before a single space between letters, which no piece of the pattern spans."""
     if not text:
@@ -56,41 +51,53 @@ def _counted(vocabulary):
 
     def run(batches):
         if not state:
-            state.append(encoding(vocabulary.value))
+            state.append(C.load_encoding(vocabulary.value))
         for batch in batches:
             n = pa.array([count_tokens(t.as_py(), state[0]) for t in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "source", "lang", "n_chars")] + [n], ["doc_id", "source", "lang", "n_chars", "n_tokens"])
+            names = ["doc_id", "source", "lang", "n_chars"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), n], [*names, "n_tokens"])
 
     return run
 
 
-def deltas(docs: DataFrame, sign: int = 1, vocabulary: str = VOCABULARY, version: str = VERSION) -> DataFrame:
+def deltas(docs: DataFrame, sign: int = 1, vocabulary: str = C.VOCABULARY, version: str = VERSION) -> DataFrame:
     """A signed row of counts for each document."""
-    book = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.coalesce(F.length(docs["text"]), F.lit(0)).cast("long").alias("n_chars"), docs["text"].cast("string").alias("text"))
+    book = C.broadcast_vocabulary(docs.sparkSession, vocabulary)
+    n_chars = F.coalesce(F.length(docs["text"]), F.lit(0)).cast("long")
+    plain = [docs[c].cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"), ("text", "string"))]
+    docs = docs.select(*plain, n_chars.alias("n_chars"))
     rows = docs.mapInArrow(_counted(book), "doc_id long, source string, lang string, n_chars long, n_tokens long")
     return rows.select("doc_id", F.lit(sign).alias("sign"), "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", "n_chars")
 
 
 class Rollup:
-    """Totals in a folder that all executors share: one folder for each batch."""
+    """Totals in a folder that all executors share: one folder for each batch, and bases of many."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-
-    def _folders(self) -> list[str]:
-        root = self._path(self.root)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [s.getPath().toString() for s in fs.listStatus(root)]
-        return sorted(f for f in found if fs.exists(self._path(f"{f}/_SUCCESS")))
+        self._jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._jvm_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _folders(self, kind: str) -> dict[str, str]:
+        """Name -> folder of all that were written to the end."""
+        root = self._jvm_path(self.root)
+        if not self._files.exists(root):
+            return {}
+        found = [s.getPath().toString() for s in self._files.listStatus(root)]
+        found = [f for f in found if f.rsplit("/", 1)[1].startswith(kind + "-") and self._files.exists(self._jvm_path(f"{f}/_SUCCESS"))]
+        return {unquote(f.rsplit("/", 1)[1].removeprefix(kind + "-")): f for f in found}
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base's folder, and the batches in it."""
+        bases = self._folders("base")
+        if not bases:
+            return None, set()
+        folder = bases[max(bases)]
+        names = self.spark.read.schema("name string").parquet(f"{folder}/names")
+        return folder, {r["name"] for r in names.collect()}
 
     def committed(self) -> set[str]:
-        return {f.rsplit("batch=", 1)[1] for f in self._folders()}
+        return set(self._folders("batch")) | self._base()[1]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Sums the batch and writes it; False, and nothing is read, if that batch has been committed."""
@@ -98,13 +105,34 @@ class Rollup:
             return False
         sign = F.col("sign").cast("long")
         sums = changes.groupBy(*GROUP).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.col("n_tokens")).alias("n_tokens"), F.sum(sign * F.col("n_chars")).alias("n_chars"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        sums.write.mode("overwrite").parquet(f"{self.root}/batch-{quote(batch_id, safe='')}")
         return True
 
-    def totals(self) -> DataFrame:
-        folders = self._folders()
+    def _rows(self) -> tuple[DataFrame, dict[str, str]]:
+        base, inside = self._base()
+        fresh = {n: f for n, f in self._folders("batch").items() if n not in inside}
+        folders = [*([f"{base}/sums"] if base else []), *fresh.values()]
         rows = self.spark.read.schema(SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], SUMS)
-        return rows.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]).where("n_docs <> 0 or n_tokens <> 0")
+        return rows.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]), fresh
+
+    def totals(self) -> DataFrame:
+        return self._rows()[0].where("n_docs <> 0 or n_tokens <> 0")
+
+    def compact(self) -> None:
+        """Sums all committed batches into a new base, then removes what it replaces."""
+        bases, (_, inside) = self._folders("base"), self._base()
+        rows, fresh = self._rows()
+        if not fresh:
+            return
+        folder = f"{self.root}/base-{int(max(bases, default='0')) + 1:012d}"
+        rows.write.mode("overwrite").parquet(f"{folder}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted(inside | set(fresh))], "name string").write.mode("overwrite").parquet(f"{folder}/names")
+        self._files.create(self._jvm_path(f"{folder}/_SUCCESS"), True).close()
+        for old in [*bases.values(), *fresh.values()]:
+            self._files.delete(self._jvm_path(old), True)
+
+    def drop(self) -> None:
+        self._files.delete(self._jvm_path(self.root), True)
 
 
 def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -112,15 +140,24 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.withColumn("sign", -F.col("sign")).unionByName(new)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{folder.rstrip('/')}/rollups/{uuid.uuid4().hex}"
-
-
 def op8_token_rollup(spark, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, committed twice: the second commit changes nothing."""
-    rollup = Rollup(spark, shared_folder(spark))
-    load = deltas(C.read(spark, sf_dir, "documents"))
-    rollup.commit("load", load)
-    rollup.commit("load", load)
-    return rollup.totals().select(*GROUP, *MEASURES)
+    """Totals of all documents, by five batches of deltas. The load brings some documents (a fold by hash) in an older version, with their
+    words in lower case, and some under the source `staging`; a revision brings the first to their present counts, deletes and inserts
+    move the others to their source. The load is committed again, and all batches are compacted, which changes nothing."""
+    docs = C.read(spark, sf_dir, "documents")
+    fold = F.coalesce(C.fold_column(F.col("doc_id"), 20), F.lit(19))
+    old, moved = docs.where(fold == 0), docs.where(fold == 1)
+    staged = moved.withColumn("source", F.lit("staging"))
+    first = docs.withColumn("text", F.when(fold == 0, F.lower("text")).otherwise(F.col("text"))).withColumn("source", F.when(fold == 1, F.lit("staging")).otherwise(F.col("source")))
+    rollup = Rollup(spark, f"{shared_folder(spark)}/rollups/{uuid.uuid4().hex}")
+    try:
+        rollup.commit("load", deltas(first))
+        rollup.commit("revise/1", revisions(deltas(old.withColumn("text", F.lower("text"))), deltas(old)))
+        rollup.commit("withdraw", deltas(staged, -1))
+        rollup.compact()
+        rollup.commit("insert", deltas(moved))
+        rollup.commit("load", deltas(first))
+        rollup.compact()
+        return C.checkpoint(rollup.totals().select(*GROUP, *MEASURES))
+    finally:
+        rollup.drop()
