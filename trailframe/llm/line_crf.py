@@ -2,13 +2,14 @@
 
 Each line with a word has yes-or-no features (length, symbols, separators, capitals, digits, repetition inside the line and of earlier
 lines, place); two states, content and boilerplate; weights of features and transitions are learned by gradient ascent on the
-likelihood of whole sequences. Training takes SAMPLE labelled texts at most, of MOST_LINES lines at most: lines of good texts are
-content; lines of bad texts start as boilerplate and are labelled again once by the model that this gives. Viterbi decoding labels all
-lines of every text, and a text is kept when content lines hold CONTENT_SHARE of the characters of its words. Without two kinds of
-labels the prior weights in PRIOR decide.
-
-Null and empty texts have no words and fail the base rules. Repeated rows have equal results; null ids are kept. Other columns are not
-read.
+likelihood of sequences. Training takes SAMPLE labelled rows at most, with all lines of their texts, in windows of WINDOW lines (lines know
+their place in the whole text; only the transition from one window to the next is not learned from): lines of good texts are content;
+lines of bad texts start as boilerplate and are labelled again once by the model that this gives. Viterbi decoding labels all lines of
+every text, and a text is kept when content lines hold CONTENT_SHARE of the characters of its words. Without two kinds of labels the prior
+weights in PRIOR decide.
+
+Of paths that score alike the one with content in the later line counts. Null and empty texts have no words and fail the base rules; an
+empty table gives an empty result. Repeated rows have equal results; null ids are kept. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from trailframe.llm import common as C
 from trailframe.llm.quality_knn import labelled_sample
 
-SAMPLE, MOST_LINES, STEPS = 1500, 40, 80
+SAMPLE, WINDOW, STEPS = 1500, 48, 80
 CONTENT_SHARE = 0.5
 FEATURES = ("bias", "one word", "2 to 5 words", "6 to 20 words", "over 20 words", "symbols over 3 %", "symbols over 10 %", "words ending in symbols over half", "bars among words", "capitals over half", "marks on words over half", "digits over 20 %", "distinct words below 60 %", "distinct words below 25 %", "equal to an earlier line", "ends with a stop", "long words", "first", "last")
 #: Weight of boilerplate for each feature, where nothing can be learned.
@@ -75,45 +76,73 @@ class Crf:
             out.append(0 if (from_b if out[-1] else from_a) else 1)
         return np.array(out[::-1][: len(score)], np.int64)
 
-    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rate: float = 0.1) -> None:
-        """Gradient ascent (Adam) on the mean log-likelihood, forward and backward over all sequences at once."""
-        n, longest = len(sequences), max(len(x) for x, _ in sequences)
-        xs, ys = np.zeros((n, longest, len(self.weights))), np.zeros((n, longest), np.int64)
+    def likelihood(self, sequences: list[tuple[np.ndarray, np.ndarray]]):
+        """A function of theta (weights, then transitions) that gives the mean log-likelihood of the states and its gradient, forward and
+        backward over all sequences at once."""
+        n, longest, width = len(sequences), max(len(x) for x, _ in sequences), len(self.weights)
+        xs, ys = np.zeros((n, longest, width), np.float32), np.zeros((n, longest), np.int64)
         mask = np.zeros((n, longest), bool)
         for i, (x, y) in enumerate(sequences):
             xs[i, : len(x)], ys[i, : len(x)], mask[i, : len(x)] = x, y, True
         both = mask[:, 1:] & mask[:, :-1]
         seen = np.array([[((ys[:, :-1] == i) & (ys[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
-        theta = np.r_[self.weights, self.move.ravel()]
-        first, second, total = np.zeros_like(theta), np.zeros_like(theta), mask.sum()
-        for step in range(1, steps + 1):
-            w, move = theta[:-4], theta[-4:].reshape(2, 2)
+        told = np.einsum("nt,ntf->f", (ys * mask).astype(np.float64), xs)
+        total = mask.sum()
+
+        def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+            w, move = theta[:width], theta[width:].reshape(2, 2)
             local = np.stack([np.zeros((n, longest)), xs @ w], 2) * mask[:, :, None]
-            forward = np.zeros((n, longest, 2))
+            forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
             forward[:, 0] = local[:, 0]
             for t in range(1, longest):
-                forward[:, t] = np.where(mask[:, t, None], np.logaddexp.reduce(forward[:, t - 1, :, None] + move, axis=1) + local[:, t], forward[:, t - 1])
-            backward = np.zeros((n, longest, 2))
+                step = np.logaddexp(forward[:, t - 1, :1] + move[0], forward[:, t - 1, 1:] + move[1]) + local[:, t]
+                forward[:, t] = np.where(mask[:, t, None], step, forward[:, t - 1])
             for t in range(longest - 2, -1, -1):
-                backward[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(move + (local[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(forward[:, -1], axis=1)
+                after = local[:, t + 1] + backward[:, t + 1]
+                step = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
+                backward[:, t] = np.where(mask[:, t + 1, None], step, 0)
+            z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
             state = np.exp(forward + backward - z[:, None, None])[:, :, 1] * mask
             pair = np.exp(forward[:, :-1, :, None] + move + (local[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-            slope = np.r_[np.einsum("nt,ntf->f", ys * mask - state, xs), (seen - pair.sum(axis=(0, 1))).ravel()] / total - 1e-4 * theta
+            slope = np.r_[told - np.einsum("nt,ntf->f", state, xs), (seen - pair.sum(axis=(0, 1))).ravel()]
+            return float(told @ w + (seen * move).sum() - z.sum()) / total, slope / total
+
+        return value
+
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rate: float = 0.1) -> None:
+        """Gradient ascent (Adam) on the mean log-likelihood, with a small penalty of squares."""
+        value = self.likelihood(sequences)
+        theta = np.r_[self.weights, self.move.ravel()]
+        first, second = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, steps + 1):
+            slope = value(theta)[1] - 1e-4 * theta
             first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
             theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         self.weights, self.move = theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def train(sample: list[tuple[str, int]]) -> Crf:
-    """A model of labelled texts (1: good)."""
+def packed_lines(text: str | None) -> bytes:
+    """The features of all lines of a text, a bit each."""
+    return np.packbits(line_features((text or "").split("\n"))[0].astype(bool), axis=1).tobytes()
+
+
+def unpacked_lines(facts: bytes) -> np.ndarray:
+    width = -(-len(FEATURES) // 8)
+    return np.unpackbits(np.frombuffer(facts, np.uint8).reshape(-1, width), axis=1)[:, : len(FEATURES)].astype(np.float64)
+
+
+def train(sample: list[tuple[bytes, int]], window: int = WINDOW) -> Crf:
+    """A model of the packed lines of labelled texts (1: good)."""
     crf = Crf()
-    parts = [(line_features(t.split("\n")[:MOST_LINES])[0], y) for t, y in sample]
-    parts = [(x, y) for x, y in parts if len(x)]
+    parts = [(x, y) for x, y in ((unpacked_lines(f), y) for f, y in sample) if len(x)]
     if len({y for _, y in parts}) < 2:
         return crf
-    crf.fit([(x, np.full(len(x), 1 - y)) for x, y in parts])
-    crf.fit([(x, np.zeros(len(x), np.int64) if y else crf.viterbi(x)) for x, y in parts])
+
+    def windows(labelled):
+        return [(x[s : s + window], y[s : s + window]) for x, y in labelled for s in range(0, len(x), window)]
+
+    crf.fit(windows((x, np.full(len(x), 1 - y)) for x, y in parts))
+    crf.fit(windows((x, np.zeros(len(x), np.int64) if y else crf.viterbi(x)) for x, y in parts))
     return crf
 
 
@@ -198,4 +227,4 @@ def label_lines(docs: DataFrame, crf: Crf) -> DataFrame:
 
 def op1_line_crf(spark, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
-    return judge_documents(docs, train(labelled_sample(docs, C.read(spark, sf_dir, "labels"), most=SAMPLE)))
+    return judge_documents(docs, train(labelled_sample(docs, C.read(spark, sf_dir, "labels"), packed_lines, most=SAMPLE)))

@@ -1,15 +1,21 @@
 """Quality of texts by a vote of their nearest labelled neighbours among latent-semantic vectors.
 
 Terms are hashed words and hashed shapes of words (case, digits, symbols, punctuation, length, equality with the word before) with pairs
-of shapes. The latent space is the truncated singular value decomposition of the log tf-idf of SAMPLE labelled texts at most (those of
-the smallest hash of the id); it and their vectors are broadcast, which is SAMPLE x RANK numbers whatever the input. Every text is
-compared with all of them in blocks of exact cosine products, and its NEIGHBOURS nearest vote for their labels with the fourth power of
-their similarity. A text without words, or without a similar neighbour, scores the share of label 1 in the sample. Null labels and
-labelled texts without words are not learned from. Repeated rows have equal scores; a null id is not held out. Other columns are not read.
+of shapes. The latent space is the truncated singular value decomposition of the log tf-idf of SAMPLE labelled rows at most (those of
+the smallest hash of the id, whole texts); it and their vectors are broadcast, which is SAMPLE x RANK numbers whatever the input. Terms of
+the sample are counted by the executors. Every text is compared with all of them in blocks of exact cosine products, and its NEIGHBOURS
+nearest vote for their labels with the fourth power of their similarity; of neighbours that are equally near (to six digits) those with
+the smaller hash of the id count. A text without words, or without a similar neighbour, scores the share of label 1 in the sample.
+
+Null labels and labelled texts without words are not learned from; of several rows of an id each may be learned from, of several labels
+the largest counts. Without any label all texts score 0.5. An empty table gives an empty result. Repeated rows have equal scores; a null id
+is not held out. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +24,6 @@ from pyspark.sql import functions as F
 from trailframe.llm import common as C
 
 SAMPLE, RANK, NEIGHBOURS = 4000, 64, 25
-SAMPLE_CHARS = 20_000_000
 WORDS, SHAPES = 2048, 2048
 TERMS = WORDS + SHAPES
 CUT = 0.3
@@ -48,21 +53,33 @@ def _shapes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, shape * 2 + again
 
 
+#: Bytes of a text that are looked at together; a cut falls between words.
+PIECE = 1 << 20
+
+
 def terms(texts: list[str | None]) -> np.ndarray:
     """Counts of terms, a row for each text."""
     out = np.zeros((len(texts), TERMS), np.float32)
     for i, t in enumerate(texts):
-        if not t:
-            continue
-        b = t.encode()
-        for at in range(0, len(b), 1 << 20):
-            h, shape = _shapes(b[at : at + (1 << 20)])
+        b, at = (t or "").encode(), 0
+        last_word, last_shape = None, None
+        while at < len(b):
+            cut = C.SEPARATOR.search(b, at + PIECE) if len(b) - at > PIECE else None
+            end = cut.start() if cut else len(b)
+            h, shape = _shapes(b[at:end])
+            at = end
             if not len(h):
                 continue
-            pair = C.mix((shape[1:] * 4099 + shape[:-1]).astype(np.uint64)) % np.uint64(SHAPES)
+            if last_word is not None:  # as if there were no cut
+                shape[0] += last_word == h[0]
+                before = np.r_[last_shape, shape[:-1]]
+            else:
+                before = shape[:-1]
+            pair = C.mix((shape[len(shape) - len(before) :] * 4099 + before).astype(np.uint64)) % np.uint64(SHAPES)
             one = C.mix(shape.astype(np.uint64) + np.uint64(77)) % np.uint64(SHAPES)
             all_terms = np.concatenate([(h % np.uint64(WORDS)).astype(np.int64), WORDS + one.astype(np.int64), WORDS + pair.astype(np.int64)])
             out[i] += np.bincount(all_terms, minlength=TERMS)
+            last_word, last_shape = h[-1], shape[-1]
     return out
 
 
@@ -71,8 +88,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS):
-        counts = terms(texts)
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS):
+        """counts: the terms of labelled texts, a row each."""
         some = counts.sum(axis=1) > 0
         counts, self.labels = counts[some], np.asarray(labels, np.float64)[some]
         self.prior, self.neighbours = (float(self.labels.mean()) if len(self.labels) else 0.5), neighbours
@@ -96,38 +113,60 @@ class Model:
         x[:, WORDS:] = _unit(x[:, WORDS:])
         return x.astype(np.float32)
 
+    def vote(self, vectors: np.ndarray) -> np.ndarray:
+        k = min(self.neighbours, len(self.labels))
+        near = np.rint((vectors @ self.vectors.T) * 1e6)  # whole numbers: ties are ties
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
+        above, equal = near > least, near == least
+        chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(chosen, np.maximum(near * 1e-6, 0).astype(np.float64) ** 4, 0)
+        total = weight.sum(axis=1)
+        return np.where(total > 1e-9, (weight @ self.labels) / np.maximum(total, 1e-9), self.prior)
+
     def score(self, texts: list[str | None], block: int = 256) -> np.ndarray:
         out = np.full(len(texts), self.prior)
-        k = min(self.neighbours, len(self.labels))
-        for at in range(0, len(texts) if k else 0, block):
-            near = _unit(self._weigh(terms(texts[at : at + block])) @ self.space) @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** 4
-            total = weight.sum(axis=1)
-            vote = (weight * self.labels[best]).sum(axis=1)
-            out[at : at + block] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
+        for at in range(0, len(texts) if len(self.labels) else 0, block):
+            out[at : at + block] = self.vote(_unit(self._weigh(terms(texts[at : at + block])) @ self.space))
         return np.clip(out, 0.0, 1.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """Text and label of `most` labelled rows whose fold is not 0: those with the smallest hash of the id. Texts of more characters than
-    a sample should have in all are not learned from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, facts, label: str = "quality", folds: int = 5, most: int = SAMPLE) -> list[tuple[bytes, int]]:
+    """Facts and label of `most` labelled rows whose fold is not 0: those with the smallest hash of the id. `facts` gives the bytes that
+    are learned from, from a whole text; it runs on the executors, so that no text comes to the driver."""
     named = labels.select(labels["doc_id"].cast("long").alias("labelled"), labels[label].cast("int").alias("label")).where("label is not null")
     named = named.where(C.fold_column(F.col("labelled"), folds) != 0)
-    chosen = named.dropDuplicates(["labelled"]).orderBy(F.xxhash64("labelled"), "labelled").limit(most)
-    texts = C.id_and_text(docs).where(F.length("text") <= SAMPLE_CHARS // most * 8)
-    rows = texts.join(F.broadcast(chosen), texts.doc_id == chosen.labelled).select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).collect()
-    out, n = [], 0
-    for r in rows:
-        n += len(r["text"])
-        if n <= SAMPLE_CHARS and len(out) < most:
-            out.append((r["text"], int(r["label"] > 0)))
+    chosen = named.groupBy("labelled").agg(F.max("label").alias("label")).orderBy(F.xxhash64("labelled"), "labelled").limit(most)
+    texts = C.id_and_text(docs)
+    texts = texts.join(F.broadcast(chosen), texts.doc_id == chosen.labelled).select("doc_id", "label", "text")
+
+    def run(batches):
+        for batch in batches:
+            hashes = [zlib.crc32((t.as_py() or "").encode()) for t in batch.column("text")]
+            found = [facts(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "label", "check", "facts"])
+
+    rows = texts.mapInArrow(run, "doc_id long, label int, check long, facts binary")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "check", "facts").limit(most).collect()
+    return [(bytes(r["facts"]), int(r["label"] > 0)) for r in rows]
+
+
+def _sparse(text: str | None) -> bytes:
+    row = terms([text])[0]
+    at = np.flatnonzero(row)
+    return at.astype(np.uint16).tobytes() + row[at].astype(np.float32).tobytes()
+
+
+def _dense(facts: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(facts), TERMS), np.float32)
+    for i, x in enumerate(facts):
+        n = len(x) // 6
+        out[i, np.frombuffer(x, np.uint16, n)] = np.frombuffer(x, np.float32, n, 2 * n)
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5) -> Model:
-    sample = labelled_sample(docs, labels, label, folds)
-    return Model([t for t, _ in sample], np.array([y for _, y in sample]))
+    sample = labelled_sample(docs, labels, _sparse, label, folds)
+    return Model(_dense([x for x, _ in sample]), np.array([y for _, y in sample]))
 
 
 def _scored(model, cut: float):
