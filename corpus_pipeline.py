@@ -1,6 +1,7 @@
 """A corpus from raw documents to a mix: STAGES, applied one after the other.
 
-The stages pass documents on with their columns; the last gives the documents that the mix takes, with how many words it takes of each.
+The stages pass documents on with the columns of DOCUMENT_COLUMNS; the last gives the documents that the mix takes, with how many words
+it takes of each. Null ids, repeated ids and repeated rows are documents like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id; of rows with one id, the first by text. Rows without an id stay."""
-    docs = docs.select(*C.DOCUMENT_COLUMNS)
-    keep = jaccard_join.jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("kept")).distinct()
-    one = docs.join(keep, F.col("doc_id") == F.col("kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each component: that with the smallest id (null ids last), then the smallest hash of id and text, then the first by
+    its other columns. Different texts under one id are different documents. Texts without words are linked with nothing and stay."""
+    docs = docs.select(*C.DOCUMENT_COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    linked = jaccard_join.jaccard_components(docs, id_col="row_key").where("n_shingles > 0")
+    linked = linked.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component"))
+    sizes = linked.groupBy("row_key", "component").agg(F.count("*").alias("n"))
+    ids = docs.select("row_key", "doc_id").distinct()
+    sizes = C.checkpoint(sizes.join(ids, "row_key"))
+    stays = sizes.groupBy("component").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("stays"))
+    dropped = sizes.join(stays, "component").where("row_key <> stays").select("row_key")
+    return C.without_keys(docs, "row_key", C.checkpoint(dropped), sizes.where("n > 1").select("row_key")).drop("row_key")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +47,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken; equal rows are one row that takes their sum."""
+    """The documents that the mix takes, with size, source_size, target and taken. Rows of equal id, text and source (texts without words
+    aside, which the mix never takes) are one row, the first by its other columns, that takes their sum."""
     docs = docs.select(*C.DOCUMENT_COLUMNS)
-    taken = mixing.mix(docs).groupBy("key").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0")
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text", "source")).dropDuplicates(["key"])
-    return keyed.join(taken, "key").drop("key")
+    sums = [F.min(c).alias(c) for c in ("size", "source_size", "target")]
+    taken = mixing.mix(docs).where("taken > 0").groupBy("key").agg(*sums, F.sum("taken").alias("taken"))
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text", "source")).join(taken, "key")
+    rest = F.struct("lang", "n_chars")
+    first = keyed.groupBy("key").agg(F.min(rest).alias("rest"), *[F.first(c).alias(c) for c in ("doc_id", "text", "source", "size", "source_size", "target", "taken")])
+    return first.select("doc_id", "text", "rest.lang", "source", "rest.n_chars", "size", "source_size", "target", "taken")
 
 
 STAGES = [
