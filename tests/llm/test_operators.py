@@ -155,22 +155,131 @@ def test_pitman_yor(spark, odd_docs, no_docs, monkeypatch):
     assert len(pitman_yor.score_texts(odd_docs, no_docs).collect()) == len(rows)
 
 
+def small_model(rng, n_words=40, n_frequent=6):
+    parent = np.r_[np.arange(257), rng.integers(0, 4, n_frequent)]
+    contexts = np.r_[np.arange(4), 256, np.arange(257, 257 + n_frequent)]
+    keys = np.unique((rng.integers(1, n_words, 300).astype(np.uint64) << np.uint64(15)) | rng.choice(contexts, 300).astype(np.uint64))
+    return parent, keys, rng.integers(1, 2000, len(keys)) ** 2 // 4000 + 1
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    keys = np.unique((rng.integers(1, 40, 300).astype(np.uint64) << np.uint64(9)) | rng.integers(0, 5, 300).astype(np.uint64))
-    counts = rng.integers(1, 200, len(keys))
-    contexts = np.bincount((keys & np.uint64(511)).astype(int), weights=counts, minlength=257)
-    n = len(np.unique(keys >> np.uint64(9)))
-    mean, words, total, customers, seated = pitman_yor.gibbs(keys, counts, contexts, n, (0.5, 0.5), 1)
-    tables = np.bincount((keys & np.uint64(511)).astype(int), weights=mean, minlength=257)
-    c, t = customers.sum(0), seated.sum(0)
-    facts = {"d": 0.5, "d0": 0.5, "contexts": contexts, "customers": c, "unknown": (1 + 0.5 * t) / (1 + c) / (n + 1), "back": ((1 + 0.5 * tables) / (1 + contexts))[:, None] * np.ones(3)}
-    model = pitman_yor.Predictor([(keys, counts.astype(float), mean, words, total.astype(float), customers, seated)], facts)
-    for context in (0, 3, 200):
-        asked = np.r_[words << np.uint64(9), np.uint64(77777 << 9)] | np.uint64(context)
-        p = model(asked)[2]
-        # tables of a pair are means of samples, the parent's terms are not: exact only up to that
-        assert abs(p.sum() - 1) < 0.02
+    parent, keys, counts = small_model(rng)
+    totals = np.bincount((keys & np.uint64(32767)).astype(int), weights=counts, minlength=len(parent))
+    (tables, cc, ct, customers, seated), cells, words = pitman_yor.gibbs(keys, counts, parent, totals, len(np.unique(keys >> np.uint64(15))), (0.5, 0.6, 0.4), 1)
+    sums = [np.bincount((keys & np.uint64(32767)).astype(int), weights=tables[:, s], minlength=len(parent)) for s in range(3)]
+    sums += [np.bincount((cells & np.uint64(32767)).astype(int), weights=x[:, s], minlength=257) for x in (cc, ct) for s in range(3)]
+    facts = pitman_yor.facts_of(parent, totals, len(words), int(counts.sum()), (0.5, 0.6, 0.4), np.concatenate([*sums, customers.sum(0), seated.sum(0)]))
+    word_counts = np.array([counts[keys >> np.uint64(15) == w >> np.uint64(15)].sum() for w in words])
+    part = dict(zip(pitman_yor.BLOBS, (keys, counts, tables, cells, cc, ct, words, word_counts, customers, seated), strict=True))
+    model = pitman_yor.Predictor([part], facts)
+    for context in (0, 3, 200, 256, 257, 262):
+        p = model(np.r_[words, np.uint64(77777 << 15)] | np.uint64(context))[2]
+        assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
+    alone = pitman_yor.Predictor([], facts)(words | np.uint64(3))
+    assert not alone[0].any() and (alone[1] == 0).all()
+
+
+def test_predictive_probabilities_by_hand():
+    """One sample at a time, by the textbook's formula."""
+    rng = np.random.default_rng(2)
+    parent, keys, counts = small_model(rng, 12, 3)
+    totals = np.bincount((keys & np.uint64(32767)).astype(int), weights=counts, minlength=len(parent))
+    d = (0.5, 0.6, 0.4)
+    (tables, cc, ct, customers, seated), cells, words = pitman_yor.gibbs(keys, counts, parent, totals, 12, d, 3)
+    sums = [np.bincount((keys & np.uint64(32767)).astype(int), weights=tables[:, s], minlength=len(parent)) for s in range(3)]
+    sums += [np.bincount((cells & np.uint64(32767)).astype(int), weights=x[:, s], minlength=257) for x in (cc, ct) for s in range(3)]
+    facts = pitman_yor.facts_of(parent, totals, 12, int(counts.sum()), d, np.concatenate([*sums, customers.sum(0), seated.sum(0)]))
+    part = dict(zip(pitman_yor.BLOBS, (keys, counts, tables, cells, cc, ct, words, np.ones(len(words)), customers, seated), strict=True))
+    model = pitman_yor.Predictor([part], facts)
+    state = [{(int(k) >> 15, int(k) & 32767): (int(c), int(t)) for k, c, t in zip(keys, counts, tables[:, s], strict=True)} for s in range(3)]
+    classes = [{(int(k) >> 15, int(k) & 32767): (int(c), int(t)) for k, c, t in zip(cells, cc[:, s], ct[:, s], strict=True)} for s in range(3)]
+    for s in range(3):  # customers of a class: tokens after rare words, and tables of its contexts
+        for (w, k), (c, _) in classes[s].items():
+            assert c == state[s].get((w, k), (0, 0))[0] + sum(t for (v, u), (_, t) in state[s].items() if v == w and u > 256 and parent[u] == k)
+    for w in [int(x) >> 15 for x in words] + [999]:
+        for u in (0, 1, 256, 257, 258, 259):
+            total = 0
+            for s in range(3):
+                roots = {int(x) >> 15: (int(c), int(t)) for x, c, t in zip(words, customers[:, s], seated[:, s], strict=True)}
+                every, seats = sum(c for c, _ in roots.values()), sum(t for _, t in roots.values())
+                c, t = roots.get(w, (0, 0))
+                p = (c - d[2] * t + (1 + d[2] * seats) / 13) / (1 + every)
+                k = int(parent[u])
+                inside = [x for (_, v), x in classes[s].items() if v == k]
+                c, t = classes[s].get((w, k), (0, 0))
+                p = (c - d[1] * t + (1 + d[1] * sum(x[1] for x in inside)) * p) / (1 + sum(x[0] for x in inside))
+                if u > 256:
+                    inside = [x for (_, v), x in state[s].items() if v == u]
+                    c, t = state[s].get((w, u), (0, 0))
+                    p = (c - d[0] * t + (1 + d[0] * sum(x[1] for x in inside)) * p) / (1 + sum(x[0] for x in inside))
+                total += p / 3
+            assert model(np.array([w << 15 | u], np.uint64))[2][0] == pytest.approx(total, rel=1e-9)
+
+
+def test_seating_against_enumeration():
+    """All seating plans of one dish in one restaurant: the sampled numbers of tables have the plans' probabilities."""
+    d, chance, c = 0.4, 0.3, 5
+
+    def plans(n):
+        if n == 0:
+            yield [], 1.0
+            return
+        for tables, weight in plans(n - 1):
+            yield [*tables, 1], weight * chance * (1.0 + d * len(tables))
+            for i, size in enumerate(tables):
+                yield [*tables[:i], size + 1, *tables[i + 1 :]], weight * (size - d)
+
+    want, single = np.zeros(c + 1), np.zeros(c + 1)
+    for tables, weight in plans(c):
+        want[len(tables)] += weight
+        single[len(tables)] += weight * sum(x == 1 for x in tables) / c
+    for t in range(1, c + 1):  # how often a customer sits alone, given the number of tables
+        assert pitman_yor.alone(np.array([c]), np.array([float(t)]), d)[0] == pytest.approx(single[t] / want[t])
+    want /= want.sum()
+    n = 40_000  # as many restaurants of their own
+    level = pitman_yor.Level(np.arange(n), n, np.ones(n), d, np.random.default_rng(5))
+    level.settle(np.full(n, float(c)), np.full(n, chance))
+    for _ in range(60):
+        level.step(np.full(n, chance))
+    got = np.bincount(level.tables.astype(int), minlength=c + 1) / n
+    assert np.abs(got - want).max() < 0.01
+
+
+def test_many_customers_move_alike():
+    """Ratios beyond the table are close to those of a longer table."""
+    short = pitman_yor.alone(np.array([2000, 2000, 2000]), np.array([20.0, 200.0, 1500.0]), 0.5)
+    old = pitman_yor.TABLED
+    pitman_yor.TABLED = 2000
+    pitman_yor._alone_table.cache_clear()
+    try:
+        exact = pitman_yor.alone(np.array([2000, 2000, 2000]), np.array([20.0, 200.0, 1500.0]), 0.5)
+    finally:
+        pitman_yor.TABLED = old
+        pitman_yor._alone_table.cache_clear()
+    assert np.abs(short - exact).max() < 0.02
+
+
+def test_frequent_words_are_contexts(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 4)
+    rows = [(k, "the cat saw the dog and the cow " * (k % 3) + f"word{k} of a") for k in range(40)]
+    train = C.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    tokens = [w for _, t in rows for w in lower(t)]
+    often = {w for w, n in Counter(tokens).items() if 16 * n >= len(tokens)}
+    got = pitman_yor.frequent_contexts(train, 3)
+    assert set(got.words.tolist()) == {int(C.word_hashes([w])[0][0]) & ~32767 for w in often} and len(often) > 3
+    keys, counts = got.keys(["the cat", "", None, "zz the"])
+    assert counts.tolist() == [3, 1, 1, 3]
+    context = (keys & np.uint64(32767)).astype(int).tolist()
+    assert context[0] == context[3] == context[4] == context[5] == 256 and context[1] == context[7] > 256 and context[6] < 256
+    assert len(pitman_yor.frequent_contexts(train.limit(0), 3).words) == 0
+
+
+def test_squeezed_numbers():
+    rng = np.random.default_rng(6)
+    for x in (np.empty(0, np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2), np.full(5, 2**64 - 1, np.uint64)):
+        assert (C.unsqueezed(C.squeezed(x), len(x)) == x).all()
+        assert (C.unsqueezed(C.squeezed(np.sort(x), True), len(x), True) == np.sort(x)).all()
 
 
 def test_secrets(spark, odd_docs, no_docs):

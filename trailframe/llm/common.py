@@ -124,6 +124,22 @@ def unpacked(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
+def squeezed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers in few bytes: differences if they are `ascending`, then byte by byte, compressed."""
+    x = np.ascontiguousarray(x, np.uint64)
+    if ascending and len(x):
+        x = np.r_[x[:1], np.diff(x)]
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unsqueezed(data: bytes, n: int, ascending: bool = False) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    x = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return np.cumsum(x, dtype=np.uint64) if ascending else x
+
+
 def text_chunks(batch: pa.RecordBatch, most: int = 2_000_000, name: str = "doc_id") -> Iterator[tuple[list, list]]:
     """Lists of ids and texts of a batch, each of about `most` characters at most, or one longer text."""
     ids, texts, n = [], [], 0
