@@ -13,7 +13,7 @@ import numpy as np
 from conftest import SCHEMA, prose, rows_of
 
 from trailframe.llm import common as C
-from trailframe.llm import decontamination, line_crf, quality_knn, secrets, token_rollup
+from trailframe.llm import decontamination, line_crf, quality_knn, secrets, suffix_dedup, token_rollup
 
 BASE = "/root/testdata/sf0.001"
 
@@ -295,3 +295,70 @@ def test_stages_by_brute_force(spark):
         for s, _, e in secrets.scan_text(texts[r.doc_id], enc)[1]:
             marks[s:e] = ["\0"] * (e - s)
         assert re.sub("\0+", "[SECRET]", "".join(marks)) == (r.text or ""), r.doc_id
+
+
+def brute_maximal(rows, least=200):
+    """All maximal repeats by comparing suffixes: strings of two places or more that no byte on either side continues at all places."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    sorted_ = sorted(((t[p:], i, p, t) for i, t in texts for p in range(len(t))), key=lambda x: x[0])
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    lcp = [common(a[0], b[0]) for a, b in itertools.pairwise(sorted_)]
+    out = {}
+    for k, n in enumerate(lcp):
+        if n < least:
+            continue
+        lo = hi = k
+        while lo and lcp[lo - 1] >= n:
+            lo -= 1
+        while hi + 1 < len(lcp) and lcp[hi + 1] >= n:
+            hi += 1
+        places = frozenset((i, p) for _, i, p, _ in sorted_[lo : hi + 2])
+        before = {t[p - 1] if p else (i, "start") for _, i, p, t in sorted_[lo : hi + 2]}
+        if len(before) > 1:
+            out[sorted_[k][0][:n]] = places
+    return {(len(k), v) for k, v in out.items()}
+
+
+def test_groups_are_all_maximal_repeats(spark):
+    r = random.Random(41)
+
+    def noise(n):
+        return "".join(r.choice("abcdefghé \n") for _ in range(n))
+
+    a, b, c, d = noise(230), noise(900), noise(1700), noise(260)
+    rows = [(1, noise(60) + a + noise(30) + b), (2, b + a + noise(10)), (3, c + noise(5) + c[:800] + noise(7) + b[300:]), (4, noise(20) + c), (5, d + d + noise(9) + d), (6, a), (7, a), (8, a + b + noise(3)), (9, None), (10, noise(250))]
+    found = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for g in suffix_dedup.repeat_groups(docs).collect():
+        found.setdefault((g.group_id, g.length), set()).add((g.doc_id, g.start))
+    got = Counter((n, frozenset(v)) for (_, n), v in found.items())
+    assert set(got) == brute_maximal(rows) and max(got.values()) == 1 and max(n for n, _ in got) > 1600
+
+
+def test_long_repeats_are_given_in_pieces(spark):
+    r = random.Random(43)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    rows = [(k, f"{k}" * 5 + passage + f"{k}") for k in range(3)]
+    found = suffix_dedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"), reach=400).collect()
+    covered = {k: set() for k in range(3)}
+    for g in found:
+        covered[g.doc_id].update(range(g.start, g.start + g.length))
+    assert all(covered[k] == set(range(5, 3005)) for k in range(3))
+
+
+def test_removal_from_texts_above_a_segment(spark, monkeypatch):
+    from test_operators import brute_repeats, cut
+
+    r = random.Random(47)
+    text = "".join(r.choice("ab ") for _ in range(500))
+    noise = "".join(r.choice("abcdefgh ") for _ in range(4000))
+    rows = [(1, noise + text + "\x00" * 450 + noise[700:1900]), (2, "x" * 900), (3, noise[:300] + text)]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1024)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(cut(docs)) == Counter(brute_repeats(rows))

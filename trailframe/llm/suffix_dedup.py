@@ -5,8 +5,11 @@ both, so only suffixes that start at such grams ("anchors", about one in 70 byte
 one bucket. There they are sorted with the lengths of common prefixes, and one scan with a stack gives the interval tree: each node
 is a set of suffixes that agree for `depth` bytes and then differ. Within a node the members are sorted by what stands left of the
 anchor; members that agree for l bytes there and differ beyond (left diversity) and come from two children of the node (right
-diversity) are all occurrences of one maximal repeat of l + depth bytes. Repeats are followed for REACH bytes left and MIN_LENGTH
-right of an anchor; a longer repeat is reported as overlapping groups, one for each anchor.
+diversity) are all occurrences of one maximal repeat of l + depth bytes.
+
+To remove bytes, surroundings of MIN_LENGTH bytes suffice. Groups of repeats look REACH bytes to both sides of an anchor: every maximal
+repeat of up to REACH bytes is given once, by its first anchor, with all its places. A repeat that goes on to the left beyond REACH is
+given in overlapping pieces, one for each further anchor, and one that goes on to the right is cut there.
 
 Rows are told apart by a hash of id and text, so null ids, repeated ids and repeated rows are allowed; a repeated row counts as
 another place. Null and empty texts, and texts shorter than MIN_LENGTH, lose nothing. An empty table gives an empty result. Other
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,29 @@ from pyspark.sql import functions as F
 
 from trailframe.llm import common as C
 
-MIN_LENGTH, GRAM = 200, 64
+MIN_LENGTH, GRAM, REACH = 200, 64, 4096
 SEGMENT = 1 << 19
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLE = C.mix(np.arange(1, 257, dtype=np.uint64))
+
+
+class Frame(NamedTuple):
+    """What is looked for, and how far around an anchor."""
+
+    length: int
+    left: int
+    right: int
+
+    @property
+    def width(self) -> int:
+        """Bytes of a row: the key, what stands left (from the anchor on) and right of the anchor, and how long both are."""
+        return 8 + self.left + self.right + 4
+
+
+def narrow(length: int) -> Frame:
+    return Frame(length, length - GRAM, length)
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -103,25 +126,52 @@ def anchors(texts: list[bytes], length: int = MIN_LENGTH) -> Iterator[tuple[int,
         yield from flush()
 
 
-def contexts(text: bytes, at: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What stands around each anchor, equal ones once: rows of bytes (key, left part reversed, right part, both lengths),
-    the first anchor of each, how many anchors it has, the row of every anchor, and the lengths."""
-    reach = length - GRAM
-    buf = np.frombuffer(b"\0" * reach + text + b"\0" * length, np.uint8)
-    left = np.minimum(at, reach)
-    right = np.minimum(len(text) - at, length)
-    rows = np.empty((len(at), 8 + reach + length + 2), np.uint8)
+def _rows(text: bytes, at: np.ndarray, keys: np.ndarray, frame: Frame) -> np.ndarray:
+    """What stands around each anchor, as rows of bytes."""
+    reach = frame.left
+    start = max(0, int(at.min()) - reach) if len(at) else 0
+    end = min(len(text), int(at.max()) + frame.right) if len(at) else 0
+    buf = np.frombuffer(b"\0" * reach + text[start:end] + b"\0" * frame.right, np.uint8)
+    rows = np.empty((len(at), frame.width), np.uint8)
     rows[:, :8] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
-    windows = np.lib.stride_tricks.sliding_window_view(buf, reach + length)[at]
+    # the zeros in front stand for what is before `start`, of which no anchor sees any
+    windows = np.lib.stride_tricks.sliding_window_view(buf, reach + frame.right)[at - start]
     rows[:, 8 : 8 + reach] = windows[:, :reach][:, ::-1]
-    rows[:, 8 + reach : -2] = windows[:, reach:]
-    rows[:, -2], rows[:, -1] = left, right
+    rows[:, 8 + reach : -4] = windows[:, reach:]
+    rows[:, -4:-2] = np.minimum(at, reach).astype(">u2").view(np.uint8).reshape(-1, 2)
+    rows[:, -2:] = np.minimum(len(text) - at, frame.right).astype(">u2").view(np.uint8).reshape(-1, 2)
+    return rows
+
+
+def contexts(text: bytes, at: np.ndarray, keys: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of anchors, equal ones once; the first anchor of each, how many anchors it has, and the row of every anchor."""
+    rows = _rows(text, at, keys, frame)
     flat = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
     seen: dict[bytes, int] = {}
     of = np.array([seen.setdefault(x.tobytes(), len(seen)) for x in flat], np.int64)
     first = np.full(len(seen), len(at), np.int64)
     np.minimum.at(first, of, np.arange(len(at)))
-    return rows[first], first, np.bincount(of, minlength=len(seen)), of, rows[first][:, -2:]
+    return rows[first], first, np.bincount(of, minlength=len(seen)), of
+
+
+def same_contexts(text: bytes, at: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As contexts, by hashes of what stands around, without the rows: for wide frames."""
+    h = np.empty(len(at), np.uint64)
+    pw, inv = _powers(1 << 20)
+    for s in range(0, len(text), SEGMENT):
+        inside = np.flatnonzero((at >= s) & (at < s + SEGMENT))
+        if not len(inside):
+            continue
+        low = max(0, s - frame.left)
+        buf = np.frombuffer(text[low : s + SEGMENT + frame.right], np.uint8)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_TABLE[buf] * pw[: len(buf)], out=sums[1:])
+        here = at[inside]
+        a, e = np.maximum(here - frame.left, 0), np.minimum(here + frame.right, len(text))
+        sizes = ((here - a) * (1 << 20) + (e - here)).astype(np.uint64)
+        h[inside] = C.mix((sums[e - low] - sums[a - low]) * inv[a - low] + C.mix(sizes + np.uint64(1)))
+    _, first, of, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    return first, count, of
 
 
 def interval_tree(lcp: np.ndarray) -> list[tuple[int, int, int]]:
@@ -147,21 +197,22 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), np.minimum(differ.argmax(axis=1), most), most).astype(np.int64)
 
 
-def scan(rows: np.ndarray, length: int, groups: bool = False):
+def scan(rows: np.ndarray, frame: Frame, groups: bool = False):
     """Covered bytes (left, right) around each row's anchor; with `groups`, the maximal repeats as (left, depth, members) too."""
-    reach, n = length - GRAM, len(rows)
-    order = np.argsort(np.ascontiguousarray(np.concatenate([rows[:, :8], rows[:, 8 + reach : -2]], axis=1)).view(f"S{8 + length}").ravel(), kind="stable")
+    length, reach, n = frame.length, frame.left, len(rows)
+    order = np.argsort(np.ascontiguousarray(np.concatenate([rows[:, :8], rows[:, 8 + reach : -4]], axis=1)).view(f"S{8 + frame.right}").ravel(), kind="stable")
     rows = rows[order]
     key = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel()
-    left, right = rows[:, 8 : 8 + reach], rows[:, 8 + reach : -2]
-    n_left, n_right = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    left, right = rows[:, 8 : 8 + reach], rows[:, 8 + reach : -4]
+    n_left, n_right = (np.ascontiguousarray(rows[:, x : x + 2 or None]).view(">u2").ravel().astype(np.int64) for x in (-4, -2))
     cover = np.zeros((n, 2), np.int64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], n]
     repeats = []
     lcp = np.empty(max(0, n - 1), np.int64)
-    for s in range(0, n - 1, 4096):
-        e = min(s + 4096, n - 1)
+    step = max(1, (1 << 22) // frame.right)
+    for s in range(0, n - 1, step):
+        e = min(s + step, n - 1)
         lcp[s:e] = _common(right[s:e], right[s + 1 : e + 1], np.minimum(n_right[s:e], n_right[s + 1 : e + 1]))
     pair = starts[ends - starts == 2]
     if len(pair):  # a node of two leaves
@@ -195,7 +246,7 @@ def scan(rows: np.ndarray, length: int, groups: bool = False):
                 found = [(x, a, b) for x, a, b in interval_tree(np.where(enough, l + 1, 0))]
                 for x, a, b in found:
                     inside = members[a : b + 1]
-                    if depth == length or len(np.unique(child[inside - s - lo])) > 1:
+                    if depth == frame.right or len(np.unique(child[inside - s - lo])) > 1:
                         repeats.append((x - 1, depth, order[inside]))
     out = np.empty_like(cover)
     out[order] = cover
@@ -230,32 +281,37 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"rid": pa.array(rids[starts], pa.int64()), "bit": pa.array(C.bit_of(rids[starts]), pa.int64()), "keys": pa.array([np.unique(keys[s:e]).tobytes() for s, e in zip(starts, ends[: len(starts)], strict=True)], pa.binary())})
 
 
-def _around(length: int, n: int):
+def _around(frame: Frame, n: int):
+    """Rows of the anchors whose grams stand in two places at least, equal ones of a text twice at most."""
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 text = (batch.column("text")[i].as_py() or "").encode()
                 wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("keys")[i].as_py()]))
-                for _, at, h in anchors([text], length):
+                for _, at, h in anchors([text], frame.length):
                     keep = np.isin(h, wanted)
-                    rows, first, count, _, _ = contexts(text, at[keep], h[keep], length)
-                    pos = at[keep][first]
-                    twice = np.repeat(np.arange(len(rows)), np.minimum(count, 2))
-                    rows, pos = rows[twice], pos[twice]
-                    bucket = (np.ascontiguousarray(rows[:, :8]).view(">u8").ravel() >> 32).astype(np.int64) % n
-                    rid = np.full(len(rows), batch.column("rid")[i].as_py(), np.int64)
-                    if (out := C.packed(bucket, [rows, rid, pos.astype(np.int64)], ["rows", "rids", "pos"])) is not None:
-                        yield out
-
+                    at, h = at[keep], h[keep]
+                    first, count, _ = same_contexts(text, at, frame)
+                    chosen = np.repeat(np.sort(first), np.minimum(count[np.argsort(first)], 2))
+                    for s in range(0, len(chosen), piece):
+                        part = chosen[s : s + piece]
+                        rows = _rows(text, at[part], h[part], frame)
+                        bucket = (h[part] >> np.uint64(32)).astype(np.int64) % n
+                        rid = np.full(len(rows), batch.column("rid")[i].as_py(), np.int64)
+                        if (out := C.packed(bucket, [rows, rid, at[part].astype(np.int64)], ["rows", "rids", "pos"])) is not None:
+                            yield out
+
+    piece = max(2, (1 << 24) // frame.width)
     return run
 
 
-def _covered(length: int):
+def _covered(frame: Frame):
     def run(table: pa.Table) -> pa.Table:
-        rows = C.unpacked(table, "rows", np.uint8).reshape(-1, 8 + 2 * length - GRAM + 2)
+        rows = C.unpacked(table, "rows", np.uint8).reshape(-1, frame.width)
         rids, pos = C.unpacked(table, "rids", np.int64), C.unpacked(table, "pos", np.int64)
-        cover, _ = scan(rows, length)
-        hit = cover.sum(axis=1) >= length
+        cover, _ = scan(rows, frame)
+        hit = cover.sum(axis=1) >= frame.length
         rids, data = rids[hit], np.stack([pos[hit], cover[hit, 0], cover[hit, 1]], axis=1)
         order = np.lexsort((data[:, 0], rids))
         rids, data = rids[order], data[order]
@@ -266,24 +322,26 @@ def _covered(length: int):
     return run
 
 
-def _groups(length: int):
+def _groups(frame: Frame):
     def run(table: pa.Table) -> pa.Table:
-        rows = C.unpacked(table, "rows", np.uint8).reshape(-1, 8 + 2 * length - GRAM + 2)
+        rows = C.unpacked(table, "rows", np.uint8).reshape(-1, frame.width)
         rids, pos = C.unpacked(table, "rids", np.int64), C.unpacked(table, "pos", np.int64)
-        reach, out = length - GRAM, []
-        for left, depth, members in scan(rows, length, groups=True)[1]:
+        reach, out = frame.left, []
+        for left, depth, members in scan(rows, frame, groups=True)[1]:
             r = rows[members[0]]
             text = r[8 : 8 + left][::-1].tobytes() + r[8 + reach : 8 + reach + depth].tobytes()
-            if not any((at == left).any() for _, at, _ in anchors([text], length)):
-                continue  # elsewhere the string may lack this anchor; those that it has itself stand at all its places
-            name = hashlib.sha256(text).hexdigest()[:32] + f":{left}"
+            own = np.concatenate([at for _, at, _ in anchors([text], frame.length)])
+            # elsewhere the string may lack an anchor that it doesn't have by itself; its own ones stand at all its places
+            if left not in own or (left < reach and left != own.min()):
+                continue
+            name = hashlib.sha256(text).hexdigest()[:32]
             out += [(name, left + depth, rid, at, left) for rid, at in {(int(rids[m]), int(pos[m])) for m in members}]
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("group_id", pa.string()), ("length", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("left", pa.int64())))})
 
     return run
 
 
-def _everywhere(length: int):
+def _everywhere(frame: Frame):
     """Each member of a group, which stands for all anchors of its text with equal surroundings, at all of them."""
 
     def run(batches):
@@ -291,23 +349,24 @@ def _everywhere(length: int):
             for i in range(batch.num_rows):
                 text = (batch.column("text")[i].as_py() or "").encode()
                 places: dict[int, list[int]] = {}
-                for _, at, h in anchors([text], length):
-                    _, first, _, of, _ = contexts(text, at, h, length)
+                for _, at, _ in anchors([text], frame.length):
+                    first, _, of = same_contexts(text, at, frame)
                     for a, k in zip(at.tolist(), of.tolist(), strict=True):
                         places.setdefault(int(at[first[k]]), []).append(a)
                 out = {(m["group_id"], m["length"], a - m["left"]) for m in batch.column("members")[i].as_py() for a in places[m["at"]]}
                 if out:
                     group, size, start = zip(*sorted(out), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.string()), pa.array(size, pa.int64()), pa.array([batch.column("rid")[i].as_py()] * len(out), pa.int64()), pa.array(start, pa.int64())], ["group_id", "length", "rid", "start"])
+                    rid = pa.array([batch.column("rid")[i].as_py()] * len(out), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.string()), pa.array(size, pa.int64()), rid, pa.array(start, pa.int64())], ["group_id", "length", "rid", "start"])
 
     return run
 
 
-def _spans(text: bytes, cover: dict[int, tuple[int, int]], length: int) -> list[tuple[int, int]]:
+def _spans(text: bytes, cover: dict[int, tuple[int, int]], frame: Frame) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     if cover:
-        for _, at, h in anchors([text], length):
-            _, first, _, of, _ = contexts(text, at, h, length)
+        for _, at, _ in anchors([text], frame.length):
+            first, _, of = same_contexts(text, at, frame)
             for a, i in zip(at.tolist(), of.tolist(), strict=True):
                 if c := cover.get(int(at[first[i]])):
                     spans.append((a - c[0], a + c[1]))
@@ -323,7 +382,7 @@ def _spans(text: bytes, cover: dict[int, tuple[int, int]], length: int) -> list[
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
 
 
-def _cut(length: int, joined: bool, keep_text: bool):
+def _cut(frame: Frame, joined: bool, keep_text: bool):
     def run(batches):
         for batch in batches:
             out = []
@@ -335,7 +394,7 @@ def _cut(length: int, joined: bool, keep_text: bool):
                 for x in (covers[i] or []) if joined else []:
                     for p, l, r in np.frombuffer(x, np.int64).reshape(-1, 3).tolist():
                         cover[p] = (l, r)
-                spans = _spans(text, cover, length)
+                spans = _spans(text, cover, frame)
                 kept, last = [], 0
                 for s, e in spans:
                     kept.append(text[last:s])
@@ -348,12 +407,12 @@ def _cut(length: int, joined: bool, keep_text: bool):
     return run
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int):
+def _prepare(docs: DataFrame, id_col: str, text_col: str, frame: Frame):
     spark = docs.sparkSession
     n = C.bucket_count(spark)
     docs = C.id_and_text(docs, id_col, text_col)
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
-    packed = docs.select(F.col("rid").alias("doc_id"), "text").mapInArrow(_keys(length, n), "bucket int, keys binary, rids binary")
+    packed = docs.select(F.col("rid").alias("doc_id"), "text").mapInArrow(_keys(frame.length, n), "bucket int, keys binary, rids binary")
     repeated = C.checkpoint(packed.groupBy("bucket").applyInArrow(_repeated, "rid long, bit long, keys binary"))
     flags = C.marked(repeated)
 
@@ -367,28 +426,31 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int):
 
     of = repeated.groupBy("rid").agg(F.collect_list("keys").alias("keys"))
     around = split(True).join(of, "rid").select("rid", "text", "keys")
-    around = around.mapInArrow(_around(length, n), "bucket int, rows binary, rids binary, pos binary")
+    around = around.mapInArrow(_around(frame, n), "bucket int, rows binary, rids binary, pos binary")
     return docs, split, around
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, keep_text: bool = True) -> DataFrame:
     """For each row: its id, n_bytes, n_removed, n_spans, spans (bytes, end exclusive) and kept: the remaining bytes, or without
     keep_text the sha256 of them in hex."""
-    docs, split, around = _prepare(docs, id_col, text_col, length)
-    cover = C.checkpoint(around.groupBy("bucket").applyInArrow(_covered(length), "rid long, cover binary"))
+    frame = narrow(length)
+    docs, split, around = _prepare(docs, id_col, text_col, frame)
+    cover = C.checkpoint(around.groupBy("bucket").applyInArrow(_covered(frame), "rid long, cover binary"))
     cover = cover.groupBy("rid").agg(F.collect_list("cover").alias("covers"))
-    some = split(True).join(cover, "rid", "left").select("doc_id", "text", "covers").mapInArrow(_cut(length, True, keep_text), RESULT)
-    none = split(False).select("doc_id", "text").mapInArrow(_cut(length, False, keep_text), RESULT)
+    some = split(True).join(cover, "rid", "left").select("doc_id", "text", "covers").mapInArrow(_cut(frame, True, keep_text), RESULT)
+    none = split(False).select("doc_id", "text").mapInArrow(_cut(frame, False, keep_text), RESULT)
     return some.unionByName(none)
 
 
-def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH) -> DataFrame:
-    """All occurrences of all maximal repeats of `length` bytes or more: group_id, length, doc_id, start (in bytes)."""
-    docs, split, around = _prepare(docs, id_col, text_col, length)
-    found = around.groupBy("bucket").applyInArrow(_groups(length), "group_id string, length long, rid long, at long, left long")
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, reach: int = REACH) -> DataFrame:
+    """All occurrences of all maximal repeats of `length` to `reach` bytes: group_id, length, doc_id, start (in bytes). Longer repeats are
+    given in pieces. reach: 65535 at most."""
+    frame = Frame(length, reach, reach)
+    docs, split, around = _prepare(docs, id_col, text_col, frame)
+    found = around.groupBy("bucket").applyInArrow(_groups(frame), "group_id string, length long, rid long, at long, left long")
     found = found.groupBy("rid").agg(F.collect_list(F.struct("group_id", "length", "at", "left")).alias("members"))
     texts = split(True).select("rid", "text").dropDuplicates(["rid"])
-    found = texts.join(found, "rid").mapInArrow(_everywhere(length), "group_id string, length long, rid long, start long")
+    found = texts.join(found, "rid").mapInArrow(_everywhere(frame), "group_id string, length long, rid long, start long")
     return found.join(docs.select("rid", "doc_id").distinct(), "rid").drop("rid")
 
 
