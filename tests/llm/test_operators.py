@@ -106,6 +106,17 @@ def test_jaccard(spark, odd_docs, no_docs):
     assert count(jaccard_join.jaccard_components(docs).collect()) == count(brute_components(rows))
 
 
+def test_split_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    r, rows = random.Random(8), []
+    for g in range(5):
+        base = prose(200 + g, r.choice((6, 40, 120))).split()
+        for _ in range(25):
+            rows.append((len(rows), " ".join(x if r.random() > 0.02 * g else f"new{r.random()}" for x in base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert count(jaccard_join.jaccard_components(docs).collect()) == count(brute_components(rows))
+
+
 def test_possible_pairs_lose_no_link():
     r = random.Random(2)
     base = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64)) for n in (40, 40, 200)]

@@ -5,7 +5,8 @@ both, in any order that all documents use; the order here puts frequent shingles
 err without harm), and k is 8 + n / 20. Equal sets are joined once. Then
 1. shingles of those prefixes meet, packed, in buckets; those that only one set has go, and sets of incompatible size; sets with
    fewer than the k shared shingles that a partner would need go too;
-2. each set goes whole to its first two and its rarest shared shingles ("home"). There a signature tree - leaves are bitmaps of the set,
+2. each set goes whole to its first two and its rarest shared shingles ("home"); a shingle of more than BLOCK sets is split by a hash of
+   set and shingle, so that a group of near copies meets in other parts at each of its homes. There a signature tree - leaves are bitmaps of the set,
    nodes the OR of their children's bitmaps and the range of sizes - is traversed against itself; a pair of nodes is left out when
    its sizes or the largest possible overlap rule a link out, or when all of it is linked already. Leaves are compared exactly;
 3. shared shingles whose sets are still not all in one component - for each set all but its most frequent, of which a partner shares
@@ -31,6 +32,8 @@ from trailframe.llm.components import components, merged
 WIDTH = 5
 SKETCH_BITS = 21
 FAN = 8
+#: Sets that meet whole in one block, on average at most.
+BLOCK = 1024
 CARRIED = 16
 
 
@@ -242,10 +245,13 @@ def link_block(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     order = np.array(sorted(range(len(sids)), key=lambda k: (len(sets[k]), sets[k][0], sids[k])))
     sids, sets = sids[order], [sets[k] for k in order]
     label = np.arange(len(sids))
+    members = {k: [k] for k in range(len(sids))}
 
     def visit(i: int, j: int) -> None:
         if label[i] != label[j] and similar(sets[i], sets[j]):
-            label[label == label[j]] = label[i]
+            a, b = sorted((int(label[i]), int(label[j])), key=lambda x: -len(members[x]))
+            label[members[b]] = a  # the smaller part is renamed
+            members[a] += members.pop(b)
 
     if len(sids) == 2:
         visit(0, 1)
@@ -340,7 +346,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         alone = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         shared = C.checkpoint(shared.drop("df").join(alone, "token"))
 
-    home = shared.groupBy("sid").agg(F.array_distinct(F.concat(F.slice(F.array_sort(F.collect_list("token")), 1, 2), F.array(F.min_by("token", F.struct("df", "token"))))).alias("home"))
+    part = F.pmod(F.xxhash64("sid", "token"), F.ceil(F.col("df") / BLOCK))
+    at = shared.withColumn("at", F.struct("token", (F.shiftleft(part, 32) + F.col("token")).alias("block")))
+    first_two, rarest = F.slice(F.array_sort(F.collect_list("at")), 1, 2), F.array(F.min_by("at", F.struct("df", "token")))
+    home = at.groupBy("sid").agg(F.array_distinct(F.transform(F.concat(first_two, rarest), lambda x: x["block"])).alias("home"))
     keys = members.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid")).join(home, "sid")
     keys = C.checkpoint(keys)
     flags = C.marked(_with_bit(keys.select("rid")))
@@ -352,7 +361,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.mapInArrow(candidates, docs.schema).join(keys, F.col("key") == keys.rid).select("sid", "text")
     sets = C.checkpoint(texts.mapInArrow(_sets, "sid long, n long, items binary, bits binary").dropDuplicates(["sid"]))
     at_home = sets.select("sid", "items").join(keys.select("sid", F.explode("home").alias("token")), "sid")
-    bucket = F.pmod("token", F.lit(n)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("token"), F.lit(n)).alias("bucket")
     links = C.checkpoint(at_home.groupBy(bucket).applyInArrow(_home_links, "a long, b long"))
     labels = components(links)
 
