@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from trailframe.llm import common as C
 
 SAMPLE, RANK, NEIGHBOURS = 4000, 64, 25
+#: Rows of a batch that are looked at together.
+SLICE = 512
 WORDS, SHAPES = 2048, 2048
 TERMS = WORDS + SHAPES
 CUT = 0.3
@@ -190,9 +192,9 @@ def keep_quality(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            scores = book.value.score(batch.column(at).to_pylist()) if batch.num_rows else np.empty(0)
-            yield batch.filter(pa.array(scores >= cut))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield part.filter(pa.array(book.value.score(part.column("text").to_pylist()) >= cut))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "random")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 RATIO = 2.0
+#: Rows of a batch that are looked at together.
+SLICE = 512
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\d_+=/-]+", re.I)
@@ -117,17 +119,19 @@ def redact_secrets(docs: DataFrame, vocabulary: str = C.VOCABULARY, ratio: float
     def run(batches):
         if not state:
             state.append(C.load_encoding(book.value))
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            clean = [redact(t, scan_text(t, state[0], ratio)[1], mark) for t in texts]
-            columns = []
-            for name, column in zip(batch.schema.names, batch.columns, strict=True):
-                if name == "text":
-                    column = pa.array(clean, column.type)
-                elif name == "n_chars":
-                    column = pa.array([n if c is None or c == t else len(c) for n, c, t in zip(column.to_pylist(), clean, texts, strict=True)], column.type)
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts = batch.column("text").to_pylist()
+                clean = [redact(t, scan_text(t, state[0], ratio)[1], mark) for t in texts]
+                columns = []
+                for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                    if name == "text":
+                        column = pa.array(clean, column.type)
+                    elif name == "n_chars":
+                        column = pa.array([n if c is None or c == t else len(c) for n, c, t in zip(column.to_pylist(), clean, texts, strict=True)], column.type)
+                    columns.append(column)
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
