@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 import struct
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from trailframe import __main__ as command
 from trailframe.functions import arrays, geometry, schedules, times
 from trailframe.operators import curation, detections, inference, metrics, results, sampling, scores
-from trailframe.operators.encounters import encounters
+from trailframe.operators.encounters import encounters, encounters_by_span
 from trailframe.plans.tables import jpeg_with_header
 from trailframe.sources import files, photos, shared
 
@@ -90,6 +91,17 @@ def test_missing_and_unparseable_dates_differ(spark):
     assert got == {"cat": ("cat", 0.5), "dog": ("cat", 0.5), "rat": ("rat", 0.3)}
 
 
+def test_spans_give_the_same_encounters(spark):
+    r = random.Random(3)
+    rows = [(r.choice(("a", "b", None)), None if r.random() < 0.1 else r.randint(0, 3000), r.choice((None, 0.1, 0.5, 0.9)), f"k{k}") for k in range(400)]
+    rows += [("long", 10 * k, 0.2, f"l{k}") for k in range(300)] + [("undated", None, 0.3, "u")]
+    df = spark.createDataFrame(rows, "folder string, t long, p double, label string").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t")
+    want = encounters(df, "folder", "ts", "p", "label", "label", 30)
+    for span in (7, 60, 100_000):
+        got = encounters_by_span(df, "folder", "ts", "p", "label", "label", 30, span)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_video_metadata_comes_from_the_confident_frames(spark):
     rows = [("v", 1, 0.2, [0.9, 0.1], "low"), ("v", 2, 0.8, [0.2, 0.8], None), ("v", 3, 0.9, [0.4, 0.6], "high"), ("w", 1, 0.1, [0.6, 0.4], "only")]
     df = spark.createDataFrame(rows, "video string, frame int, conf double, probs array<double>, note string")

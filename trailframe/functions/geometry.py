@@ -78,5 +78,9 @@ def centre_square(w: Column, h: Column) -> dict[str, Column]:
 
 def as_text(values: Column) -> Column:
     """The four-digit numbers as a list in text, `[0.1, 0.0, 1.0, 0.0005]`."""
-    plain = F.transform(values, lambda v: F.regexp_replace(F.format_string("%.4f", v), r"(\.\d+?)0+$", "$1"))
-    return F.concat(F.lit("["), F.array_join(plain, ", "), F.lit("]"))
+
+    def plain(v: Column) -> Column:
+        digits = F.rtrim(v.cast("decimal(20,4)").cast("string"), F.lit("0"))
+        return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(values, plain), ", "), F.lit("]"))

@@ -29,3 +29,44 @@ def encounters(df: DataFrame, folder: str, ts: str, probability: str, label: str
     df = df.withColumn("__best", F.first(label).over(first)).withColumn("__most", F.max(probability).over(group))
     said = {"encounter": F.when(own, F.col(label)).otherwise(F.col("__best")), "max_prob": F.when(own, F.col(probability)).otherwise(F.col("__most"))}
     return df.withColumns(said).drop("__best", "__most")
+
+
+def encounters_by_span(df: DataFrame, folder: str, ts: str, probability: str, label: str, key: str, gap_seconds: float, span_seconds: int = 86400) -> DataFrame:
+    """The same rows and columns as `encounters`, for folders that are too long to be sorted in one task, or encounters that are.
+
+    Rows are sorted in spans of time. A row for each span, with its first and last time and the start of its last run, tells where a run
+    goes on from one span to the next; these rows alone are sorted by folder. The best row of an encounter comes from an aggregation.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = int(gap_seconds * 1_000_000)
+    df = df.withColumn("__at", micros).withColumn("__span", F.floor(F.col("__at") / (span_seconds * 1_000_000)))
+    order = Window.partitionBy(folder, "__span").orderBy("__at", key)
+    before = F.lag("__at").over(order)
+    dated = df.where("__at is not null").withColumn("__open", F.when(before.isNull() | (F.col("__at") - before > gap), F.col("__at")))
+    dated = dated.withColumn("__start", F.last("__open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__open")
+
+    spans = dated.groupBy(F.col(folder).alias("__f"), F.col("__span").alias("__s"))
+    spans = spans.agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.max("__start").alias("__run"))
+    along = Window.partitionBy("__f").orderBy("__s")
+    goes_on = F.coalesce(F.col("__first") - F.lag("__last").over(along) <= gap, F.lit(False))
+    spans = spans.withColumn("__goes_on", goes_on)
+    own = F.when(~F.col("__goes_on") | (F.col("__run") > F.col("__first")), F.col("__run"))  # else the last run began in an earlier span
+    spans = spans.withColumn("__own", own)
+    carried = F.last("__own", ignorenulls=True)
+    spans = spans.withColumn("__carried", carried.over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__end", carried.over(along.rowsBetween(Window.unboundedPreceding, 0)))
+
+    same = F.col(folder).eqNullSafe(F.col("__f"))
+    first_run = F.col("__goes_on") & (F.col("__start") == F.col("__first"))
+    dated = dated.join(spans, same & (F.col("__span") == F.col("__s"))).withColumn("__start", F.when(first_run, F.col("__carried")).otherwise(F.col("__start")))
+    last = spans.groupBy("__f").agg(F.max("__end").alias("__start"))
+    rows = dated.select(*df.columns, "__start").unionByName(df.where("__at is null").join(last, same, "left").select(*df.columns, "__start"))
+
+    p = F.col(probability)
+    rank = F.struct(p.isNull(), -p, F.col("__at").isNull(), F.col("__at"), F.col(key))
+    best = rows.where("__start is not null").groupBy(F.col(folder).alias("__f"), F.col("__start").alias("__b"))
+    best = best.agg(F.min_by(label, rank).alias("__best"), F.max(probability).alias("__most"))
+    rows = rows.join(best, same & (F.col("__start") == F.col("__b")), "left")
+    alone = F.col("__at").isNull() | F.col("__start").isNull()
+    said = {"encounter": F.when(alone, F.col(label)).otherwise(F.col("__best")), "max_prob": F.when(alone, p).otherwise(F.col("__most"))}
+    start = F.timestamp_micros("__start").cast(dict(df.dtypes)[ts])
+    return rows.withColumns({"encounter_start": start, **said}).drop("__at", "__span", "__start", "__f", "__b", "__best", "__most")

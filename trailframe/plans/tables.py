@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailframe.functions import arrays, paths, times
 from trailframe.operators import actions, curation, detections, inference, metrics, results, sampling, scores
-from trailframe.operators.encounters import encounters
+from trailframe.operators.encounters import encounters, encounters_by_span
 from trailframe.plans.catalog import CLASSES, CONF, ENCOUNTERS, PROBS, _images, _probs, _t, query
 from trailframe.sources import files, photos
 from trailframe.sources.shared import scratch, settled
@@ -128,6 +128,12 @@ def encounters_unparseable(spark, sf_dir):
     return out.select("event_id", "user_id", "encounter_start", "encounter", "max_prob")
 
 
+@query(ENCOUNTERS.format(src="SELECT event_id, user_id, CASE WHEN event_id % 17 <> 0 THEN ts END AS ts, value, event_type FROM events").replace("6 HOUR", "9 HOUR"))
+def encounters_split_by_span(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 17 != 0, F.col("ts")))
+    return encounters_by_span(e, "user_id", "ts", "value", "event_type", "event_id", 9 * 3600, 7200).select("event_id", "user_id", "encounter_start", "encounter", "max_prob")
+
+
 @query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE label / 10.0 END AS conf, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE label END AS label FROM embeddings)
 SELECT vec_id, CASE WHEN conf = -1 THEN 'no_md_box' ELSE 'below_md_threshold' END AS prediction FROM e WHERE label IS NOT NULL""")
 def unscored_images(spark, sf_dir):
