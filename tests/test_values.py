@@ -49,7 +49,7 @@ def test_scales(spark):
     assert scale((0.0, 0.2, 0.98, 0.5), (1000, 1000), 0.1, 300) == pytest.approx(0.3)  # cut to 0 and 1
     assert scale((0.4, 0.4, 0.1, 0.1), (1000, 1000), 0.05, 300) is None
     assert one(spark, a=geometry.scaled_side(F.lit(1001), F.lit(0.5)), b=geometry.scaled_side(F.lit(7), F.lit(None).cast("double"))) == (500, 7)
-    text = geometry.as_text(F.array(*[F.lit(v) for v in (0.0, 0.0005, -0.5, 1.0, 0.1234)]))
+    text = geometry.as_text(F.array(*[F.lit(v) for v in (0.0, 0.0005, -0.5, 1.0, 0.1234)]), 5)
     assert one(spark, t=text)[0] == "[0.0, 0.0005, -0.5, 1.0, 0.1234]"
 
 

@@ -76,11 +76,12 @@ def centre_square(w: Column, h: Column) -> dict[str, Column]:
     return {"left": F.floor((w - side) / 2).cast("int"), "top": F.floor((h - side) / 2).cast("int"), "side": side}
 
 
-def as_text(values: Column) -> Column:
-    """The four-digit numbers as a list in text, `[0.1, 0.0, 1.0, 0.0005]`."""
+def as_text(values: Column, size: int = 4) -> Column:
+    """The first `size` four-digit numbers as a list in text, `[0.1, 0.0, 1.0, 0.0005]`."""
 
     def plain(v: Column) -> Column:
         digits = F.rtrim(v.cast("decimal(20,4)").cast("string"), F.lit("0"))
         return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
 
-    return F.concat(F.lit("["), F.array_join(F.transform(values, plain), ", "), F.lit("]"))
+    # four fixed places, not a lambda, so that generated code does it
+    return F.concat(F.lit("["), F.concat_ws(", ", *[plain(F.get(values, F.lit(i))) for i in range(size)]), F.lit("]"))
