@@ -32,8 +32,8 @@ def brute_repeats(rows, length=200):
     return out
 
 
-def cut(docs):
-    return [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(docs, keep_text=False).collect()]
+def cut(docs, **options):
+    return [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(docs, keep_text=False, **options).collect()]
 
 
 def test_repeats(spark, odd_docs, no_docs):
@@ -41,6 +41,37 @@ def test_repeats(spark, odd_docs, no_docs):
     assert cut(no_docs) == []
     docs = C.read(spark, BASE, "documents")
     assert count(cut(docs)) == count(brute_repeats(rows_of(docs)))
+    assert count(cut(docs, hot=3)) == count(brute_repeats(rows_of(docs)))
+
+
+def test_repeats_of_a_hot_passage(spark, odd_docs, no_docs, monkeypatch):
+    """A passage of all texts between surroundings that differ, shorter and longer ones than counts, some texts whole, in many chunks and in
+    few: the same bytes whether its anchors are hot or not."""
+    r = random.Random(7)
+    passage = prose(70, 60)
+    rows = []
+    for i in range(60):
+        size = r.choice((90, 150, 199, 200, 201, 260, len(passage)))
+        at = r.randint(0, max(0, len(passage) - size))
+        head, tail = prose(1000 + i % 50, r.randint(0, 30)), prose(2000 + i % 45, r.randint(0, 30))
+        rows.append((i, head + passage[at : at + size] + tail))
+    rows += rows[:5] + [(100, passage * 4), (101, "a" * 700), (102, "ab" * 300), (None, passage), (None, passage)]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        for hot in (1, 5, suffix_dedup.HOT):
+            assert count(cut(docs, hot=hot)) == count(brute_repeats(rows))
+    assert count(cut(odd_docs, hot=1)) == count(brute_repeats(rows_of(odd_docs)))
+    assert cut(no_docs, hot=1) == []
+    text = (prose(80, 400) + passage + "a" * 500 + passage).encode()
+
+    def found():
+        [(_, at, keys)] = suffix_dedup.anchors([text])
+        same = suffix_dedup.same_contexts(text, at, suffix_dedup.narrow(200))
+        return [x.tolist() for x in (at, keys, *same, *suffix_dedup.windows(text, at, keys, 200))]
+
+    whole = found()  # here, as workers don't see the smaller pieces
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1024)
+    assert found() == whole
 
 
 def test_repeat_groups_are_maximal_and_whole(spark):

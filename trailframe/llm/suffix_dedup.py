@@ -11,6 +11,11 @@ To remove bytes, surroundings of MIN_LENGTH bytes suffice. Groups of repeats loo
 repeat of up to REACH bytes is given once, by its first anchor, with all its places. A repeat that goes on to the left beyond REACH is
 given in overlapping pieces, one for each further anchor, and one that goes on to the right is cut there.
 
+Hot strings stay spread out. Of equal surroundings in a chunk of texts two are sent on, since the others are known to repeat; so a bucket
+gets two from each chunk, however many texts hold them. Surroundings that differ though their gram stands at more than HOT places (where a
+very common passage begins or ends) can't meet in one sorted bucket: for these, each string of MIN_LENGTH bytes over the anchor is a key of
+its own (a hash of 128 bits), and the strings are dealt over all tasks. Both ways find the same bytes. Groups of repeats don't use this.
+
 Rows are told apart by a hash of id and text, so null ids, repeated ids and repeated rows are allowed; a repeated row counts as
 another place. Null and empty texts, and texts shorter than MIN_LENGTH, lose nothing. An empty table gives an empty result. Other
 columns are not read.
@@ -24,15 +29,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm import common as C
 
 MIN_LENGTH, GRAM, REACH = 200, 64, 4096
+#: Places of a gram beyond which no bucket holds all of its surroundings: some 45 MB of them.
+HOT = 1 << 17
 SEGMENT = 1 << 19
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLE = C.mix(np.arange(1, 257, dtype=np.uint64))
+_SECOND = C.mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
 class Frame(NamedTuple):
@@ -67,6 +76,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[n]
 
 
+def _ranks(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """How many elements equal to it (in all arrays) stand before each."""
+    order = np.lexsort((*more, x))
+    new = np.ones(len(x), bool)
+    new[1:] = np.any([v[order][1:] != v[order][:-1] for v in (x, *more)], axis=0)
+    starts = np.flatnonzero(new)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
+    return out
+
+
 def _segment_anchors(buf: np.ndarray, starts: list[int], ends: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of a buffer of at most 2^20 bytes that holds whole pieces [start, end): offsets, and hashes of their grams."""
     n, w = len(buf), length - GRAM + 1
@@ -154,8 +174,9 @@ def contexts(text: bytes, at: np.ndarray, keys: np.ndarray, frame: Frame) -> tup
     return rows[first], first, np.bincount(of, minlength=len(seen)), of
 
 
-def same_contexts(text: bytes, at: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As contexts, by hashes of what stands around, without the rows: for wide frames."""
+def same_contexts(text: bytes, at: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As contexts, by hashes of what stands around, without the rows: the first anchor of each, how many it has, the one of every anchor,
+    and its hash."""
     h = np.empty(len(at), np.uint64)
     pw, inv = _powers(1 << 20)
     for s in range(0, len(text), SEGMENT):
@@ -170,8 +191,31 @@ def same_contexts(text: bytes, at: np.ndarray, frame: Frame) -> tuple[np.ndarray
         a, e = np.maximum(here - frame.left, 0), np.minimum(here + frame.right, len(text))
         sizes = ((here - a) * (1 << 20) + (e - here)).astype(np.uint64)
         h[inside] = C.mix((sums[e - low] - sums[a - low]) * inv[a - low] + C.mix(sizes + np.uint64(1)))
-    _, first, of, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    return first, count, of
+    h, first, of, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    return first, count, of, h
+
+
+def windows(text: bytes, at: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each string of `length` bytes over each anchor's gram, with the anchor's key and place in it; the anchor of each string
+    (an index of `at`), and how many bytes of it stand left of the anchor."""
+    low = np.maximum(at - (length - GRAM), 0)
+    n = np.minimum(at, len(text) - length) - low + 1
+    of = np.repeat(np.arange(len(at)), n)
+    start = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    left = at[of] - start
+    out = [np.empty(len(of), np.uint64) for _ in range(2)]
+    pw, inv = _powers(1 << 20)
+    for s in range(0, len(text), SEGMENT):
+        inside = np.flatnonzero((start >= s) & (start < s + SEGMENT))
+        if not len(inside):
+            continue
+        buf = np.frombuffer(text[s : s + SEGMENT + length], np.uint8)
+        a = start[inside] - s
+        for table, h in zip((_TABLE, _SECOND), out, strict=True):
+            sums = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(table[buf] * pw[: len(buf)], out=sums[1:])
+            h[inside] = C.mix((sums[a + length] - sums[a]) * inv[a] + C.mix(keys[of[inside]] + left[inside].astype(np.uint64)))
+    return out[0], out[1], of, left
 
 
 def interval_tree(lcp: np.ndarray) -> list[tuple[int, int, int]]:
@@ -254,67 +298,164 @@ def scan(rows: np.ndarray, frame: Frame, groups: bool = False):
 
 
 def _keys(length: int, n: int):
+    """Pairs of a gram's key and a row: of a chunk's pairs with equal keys two in the key's bucket, with how many more there are; the others,
+    which are repeated for certain, in buckets from n on, dealt by row."""
+
     def run(batches):
         for batch in batches:
             for ids, texts in C.text_chunks(batch):
                 rids = np.array(ids, np.int64)
                 found = [(i, *np.unique(h, return_counts=True)) for i, _, h in anchors([(t or "").encode() for t in texts], length)]
-                if found:
-                    keys = np.concatenate([np.repeat(k, np.minimum(c, 2)) for _, k, c in found])
-                    rid = np.concatenate([np.repeat(rids[i], np.minimum(c, 2).sum()) for i, _, c in found])
-                    yield C.packed((keys >> np.uint64(32)).astype(np.int64) % n, [keys, rid], ["keys", "rids"])
+                if not found:
+                    continue
+                keys = np.concatenate([np.repeat(k, np.minimum(c, 2)) for _, k, c in found])
+                rid = np.concatenate([np.repeat(rids[i], np.minimum(c, 2).sum()) for i, _, c in found])
+                more = _ranks(keys) > 1
+                bucket = np.where(more, n + rid % n, (keys >> np.uint64(32)).astype(np.int64) % n)
+                yield marked(C.packed(bucket, [keys, rid], ["keys", "rids"]), False)
+                if more.any():
+                    many, count = np.unique(keys[more], return_counts=True)
+                    yield marked(C.packed((many >> np.uint64(32)).astype(np.int64) % n, [many, count.astype(np.int64)], ["keys", "rids"]), True)
+
+    def marked(batch: pa.RecordBatch, counts: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([counts] * batch.num_rows)], [*batch.schema.names, "counts"])
+
+    return run
+
+
+def _repeated(n: int, hot: int):
+    """The keys of each row that stand at two places or more; and (hot) the keys of more than `hot` places, as rid."""
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = table.filter(table.column("counts"))
+        pairs = table.filter(pa.compute.invert(table.column("counts")))
+        keys, rids = C.unpacked(pairs, "keys", np.uint64), C.unpacked(pairs, "rids", np.int64)
+        many = np.empty(0, np.uint64)
+        if table.column("bucket")[0].as_py() < n:
+            distinct, of, places = np.unique(keys, return_inverse=True, return_counts=True)
+            keep = places[of] > 1
+            np.add.at(places, np.searchsorted(distinct, C.unpacked(counts, "keys", np.uint64)), C.unpacked(counts, "rids", np.int64))
+            many = distinct[places > hot]
+            keys, rids = keys[keep], rids[keep]
+        order = np.lexsort((keys, rids))
+        keys, rids = keys[order], rids[order]
+        starts = np.flatnonzero(np.r_[True, rids[1:] != rids[:-1]]) if len(rids) else np.empty(0, np.int64)
+        ends = np.r_[starts[1:], len(rids)].astype(np.int64)
+        lists = [np.unique(keys[s:e]).tobytes() for s, e in zip(starts, ends[: len(starts)], strict=True)]
+        rid = np.r_[rids[starts], many.view(np.int64)]
+        flags = [False] * len(starts) + [True] * len(many)
+        columns = {"rid": pa.array(rid, pa.int64()), "bit": pa.array(C.bit_of(rid), pa.int64()), "keys": pa.array(lists + [b""] * len(many), pa.binary())}
+        return pa.table(columns | {"hot": pa.array(flags, pa.bool_())})
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    keys, rids = C.unpacked(table, "keys", np.uint64), C.unpacked(table, "rids", np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, rids = keys[order], rids[order]
-    same = keys[1:] == keys[:-1]
-    keep = np.r_[same, False] | np.r_[False, same]
-    keys, rids = keys[keep], rids[keep]
-    order = np.lexsort((keys, rids))
-    keys, rids = keys[order], rids[order]
-    starts = np.flatnonzero(np.r_[True, rids[1:] != rids[:-1]]) if len(rids) else np.empty(0, np.int64)
-    ends = np.r_[starts[1:], len(rids)].astype(np.int64)
-    return pa.table({"rid": pa.array(rids[starts], pa.int64()), "bit": pa.array(C.bit_of(rids[starts]), pa.int64()), "keys": pa.array([np.unique(keys[s:e]).tobytes() for s, e in zip(starts, ends[: len(starts)], strict=True)], pa.binary())})
+def _widest(rids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of covers (anchor, left, right) the widest of each row and anchor, sorted by row and anchor."""
+    order = np.lexsort((data[:, 0], rids))
+    rids, data = rids[order], data[order]
+    if not len(rids):
+        return rids, data
+    starts = np.flatnonzero(np.r_[True, (rids[1:] != rids[:-1]) | (data[1:, 0] != data[:-1, 0])])
+    return rids[starts], np.maximum.reduceat(data, starts, axis=0)
+
 
+def _around(frame: Frame, n: int, hot: np.ndarray | None = None, collapse: bool = False):
+    """Rows of the anchors whose grams stand in two places at least, equal ones of a text twice at most. With `collapse`, equal ones of a
+    chunk of texts too: the others' covers are known, and are passed on in buckets from n on, dealt by row; and the strings over anchors
+    of `hot` keys in buckets from 2 n on, dealt by string."""
 
-def _around(frame: Frame, n: int):
-    """Rows of the anchors whose grams stand in two places at least, equal ones of a text twice at most."""
+    def known(rids, data):
+        rids, data = _widest(rids, data)
+        return C.packed(n + rids % n, [data, rids, data[:, 0].astype(np.int64)], NAMES)
+
+    def by_text(of, part):
+        """The members of `part` by text; `of` is sorted."""
+        which, first = np.unique(of[part], return_index=True)
+        return zip(which, np.split(part, first[1:]), strict=True)
+
+    def strings(texts, of, at, keys, rids):
+        """Strings over hot anchors: two of equal ones of a piece are sent, the others are covered for certain."""
+        for s in range(0, len(at), 4096):
+            part = np.arange(s, min(s + 4096, len(at)))
+            found = []
+            for i, mine in by_text(of, part):
+                h, h2, own, left = windows(texts[i], at[mine], keys[mine], frame.length)
+                found.append((h, h2, mine[own], left))
+            h, h2, own, left = (np.concatenate(x) for x in zip(*found, strict=True))
+            more = _ranks(h, h2) > 1
+            sent = ~more
+            where = 2 * n + (h[sent] >> np.uint64(32)).astype(np.int64) % n
+            yield C.packed(where, [np.stack([h[sent], h2[sent]], axis=1), rids[own[sent]], at[own[sent]] * WIDE + left[sent]], NAMES)
+            yield known(rids[own[more]], np.stack([at[own[more]], left[more], frame.length - left[more]], axis=1))
+
+    def chunk(texts, rids_of, wanted):
+        found = []
+        for i, text in enumerate(texts):
+            for _, at, h in anchors([text], frame.length):
+                keep = np.isin(h, wanted[i])
+                at, h = at[keep], h[keep]
+                first, count, _, same = same_contexts(text, at, frame)
+                order = np.argsort(first)
+                chosen = np.repeat(order, np.minimum(count[order], 2))
+                found.append((np.full(len(chosen), i), at[first[chosen]], h[first[chosen]], same[chosen]))
+        if not found:
+            return
+        of, at, keys, same = (np.concatenate(x) for x in zip(*found, strict=True))
+        rids = rids_of[of]
+        if collapse:
+            more = _ranks(same) > 1
+            sizes = np.array([len(t) for t in texts])[of[more]]
+            yield known(rids[more], np.stack([at[more], np.minimum(at[more], frame.left), np.minimum(sizes - at[more], frame.right)], axis=1))
+            of, at, keys, rids = (x[~more] for x in (of, at, keys, rids))
+            if hot is not None:
+                many = C.is_marked(hot, keys.view(np.int64))
+                yield from strings(texts, *(x[many] for x in (of, at, keys, rids)))
+                of, at, keys, rids = (x[~many] for x in (of, at, keys, rids))
+        for s in range(0, len(at), piece):
+            part = np.arange(s, min(s + piece, len(at)))
+            rows = [_rows(texts[i], at[x], keys[x], frame) for i, x in by_text(of, part)]
+            yield C.packed((keys[part] >> np.uint64(32)).astype(np.int64) % n, [np.concatenate(rows), rids[part], at[part]], NAMES)
 
     def run(batches):
         for batch in batches:
+            texts, rids, wanted, size = [], [], [], 0
             for i in range(batch.num_rows):
-                text = (batch.column("text")[i].as_py() or "").encode()
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("keys")[i].as_py()]))
-                for _, at, h in anchors([text], frame.length):
-                    keep = np.isin(h, wanted)
-                    at, h = at[keep], h[keep]
-                    first, count, _ = same_contexts(text, at, frame)
-                    chosen = np.repeat(np.sort(first), np.minimum(count[np.argsort(first)], 2))
-                    for s in range(0, len(chosen), piece):
-                        part = chosen[s : s + piece]
-                        rows = _rows(text, at[part], h[part], frame)
-                        bucket = (h[part] >> np.uint64(32)).astype(np.int64) % n
-                        rid = np.full(len(rows), batch.column("rid")[i].as_py(), np.int64)
-                        if (out := C.packed(bucket, [rows, rid, at[part].astype(np.int64)], ["rows", "rids", "pos"])) is not None:
-                            yield out
+                texts.append((batch.column("text")[i].as_py() or "").encode())
+                rids.append(batch.column("rid")[i].as_py())
+                wanted.append(np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("keys")[i].as_py()])))
+                size += len(texts[-1])
+                if size > 2_000_000 or i + 1 == batch.num_rows:
+                    yield from (x for x in chunk(texts, np.array(rids, np.int64), wanted) if x is not None)
+                    texts, rids, wanted, size = [], [], [], 0
 
     piece = max(2, (1 << 24) // frame.width)
     return run
 
 
-def _covered(frame: Frame):
+NAMES, WIDE = ["rows", "rids", "pos"], 1 << 16
+
+
+def _covered(frame: Frame, n: int):
+    """Covers (anchor, left, right) by row: those of a bucket's suffix array, known ones, or those of equal strings of hot anchors."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = C.unpacked(table, "rows", np.uint8).reshape(-1, frame.width)
         rids, pos = C.unpacked(table, "rids", np.int64), C.unpacked(table, "pos", np.int64)
-        cover, _ = scan(rows, frame)
-        hit = cover.sum(axis=1) >= frame.length
-        rids, data = rids[hit], np.stack([pos[hit], cover[hit, 0], cover[hit, 1]], axis=1)
-        order = np.lexsort((data[:, 0], rids))
-        rids, data = rids[order], data[order]
+        kind = table.column("bucket")[0].as_py() // n
+        if kind == 0:
+            cover, _ = scan(C.unpacked(table, "rows", np.uint8).reshape(-1, frame.width), frame)
+            hit = cover.sum(axis=1) >= frame.length
+            rids, data = rids[hit], np.stack([pos[hit], cover[hit, 0], cover[hit, 1]], axis=1)
+        elif kind == 1:
+            data = C.unpacked(table, "rows", np.int64).reshape(-1, 3)
+        else:
+            h = C.unpacked(table, "rows", np.uint64).reshape(-1, 2)
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            same = (h[order[1:]] == h[order[:-1]]).all(axis=1)
+            hit = order[np.r_[same, False] | np.r_[False, same]]
+            rids, left = rids[hit], pos[hit] % WIDE
+            data = np.stack([pos[hit] // WIDE, left, frame.length - left], axis=1)
+        rids, data = _widest(rids, data)
         starts = np.flatnonzero(np.r_[True, rids[1:] != rids[:-1]]) if len(rids) else np.empty(0, np.int64)
         ends = [*starts[1:].tolist(), len(rids)]
         return pa.table({"rid": pa.array(rids[starts], pa.int64()), "cover": pa.array([data[s:e].astype(np.int64).tobytes() for s, e in zip(starts, ends[: len(starts)], strict=True)], pa.binary())})
@@ -350,7 +491,7 @@ def _everywhere(frame: Frame):
                 text = (batch.column("text")[i].as_py() or "").encode()
                 places: dict[int, list[int]] = {}
                 for _, at, _ in anchors([text], frame.length):
-                    first, _, of = same_contexts(text, at, frame)
+                    first, _, of, _ = same_contexts(text, at, frame)
                     for a, k in zip(at.tolist(), of.tolist(), strict=True):
                         places.setdefault(int(at[first[k]]), []).append(a)
                 out = {(m["group_id"], m["length"], a - m["left"]) for m in batch.column("members")[i].as_py() for a in places[m["at"]]}
@@ -366,7 +507,7 @@ def _spans(text: bytes, cover: dict[int, tuple[int, int]], frame: Frame) -> list
     spans: list[tuple[int, int]] = []
     if cover:
         for _, at, _ in anchors([text], frame.length):
-            first, _, of = same_contexts(text, at, frame)
+            first, _, of, _ = same_contexts(text, at, frame)
             for a, i in zip(at.tolist(), of.tolist(), strict=True):
                 if c := cover.get(int(at[first[i]])):
                     spans.append((a - c[0], a + c[1]))
@@ -393,7 +534,8 @@ def _cut(frame: Frame, joined: bool, keep_text: bool):
                 cover = {}
                 for x in (covers[i] or []) if joined else []:
                     for p, l, r in np.frombuffer(x, np.int64).reshape(-1, 3).tolist():
-                        cover[p] = (l, r)
+                        old = cover.get(p, (0, 0))
+                        cover[p] = (max(l, old[0]), max(r, old[1]))
                 spans = _spans(text, cover, frame)
                 kept, last = [], 0
                 for s, e in spans:
@@ -407,13 +549,15 @@ def _cut(frame: Frame, joined: bool, keep_text: bool):
     return run
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str, frame: Frame):
+def _prepare(docs: DataFrame, id_col: str, text_col: str, frame: Frame, collapse: bool = False, hot: int = HOT):
     spark = docs.sparkSession
     n = C.bucket_count(spark)
     docs = C.id_and_text(docs, id_col, text_col)
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
-    packed = docs.select(F.col("rid").alias("doc_id"), "text").mapInArrow(_keys(frame.length, n), "bucket int, keys binary, rids binary")
-    repeated = C.checkpoint(packed.groupBy("bucket").applyInArrow(_repeated, "rid long, bit long, keys binary"))
+    packed = docs.select(F.col("rid").alias("doc_id"), "text").mapInArrow(_keys(frame.length, n), "bucket int, keys binary, rids binary, counts boolean")
+    repeated = C.checkpoint(packed.groupBy("bucket").applyInArrow(_repeated(n, hot), "rid long, bit long, keys binary, hot boolean"))
+    many = C.marked(repeated.where("hot")) if collapse else None
+    repeated = repeated.where("not hot")
     flags = C.marked(repeated)
 
     def split(wanted: bool):
@@ -426,16 +570,16 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, frame: Frame):
 
     of = repeated.groupBy("rid").agg(F.collect_list("keys").alias("keys"))
     around = split(True).join(of, "rid").select("rid", "text", "keys")
-    around = around.mapInArrow(_around(frame, n), "bucket int, rows binary, rids binary, pos binary")
-    return docs, split, around
+    around = around.mapInArrow(_around(frame, n, many if collapse and many.any() else None, collapse), "bucket int, rows binary, rids binary, pos binary")
+    return docs, split, around, n
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, keep_text: bool = True, hot: int = HOT) -> DataFrame:
     """For each row: its id, n_bytes, n_removed, n_spans, spans (bytes, end exclusive) and kept: the remaining bytes, or without
-    keep_text the sha256 of them in hex."""
+    keep_text the sha256 of them in hex. hot: places of a gram beyond which strings are dealt one by one; the result is the same."""
     frame = narrow(length)
-    docs, split, around = _prepare(docs, id_col, text_col, frame)
-    cover = C.checkpoint(around.groupBy("bucket").applyInArrow(_covered(frame), "rid long, cover binary"))
+    docs, split, around, n = _prepare(docs, id_col, text_col, frame, True, hot)
+    cover = C.checkpoint(around.groupBy("bucket").applyInArrow(_covered(frame, n), "rid long, cover binary"))
     cover = cover.groupBy("rid").agg(F.collect_list("cover").alias("covers"))
     some = split(True).join(cover, "rid", "left").select("doc_id", "text", "covers").mapInArrow(_cut(frame, True, keep_text), RESULT)
     none = split(False).select("doc_id", "text").mapInArrow(_cut(frame, False, keep_text), RESULT)
@@ -446,7 +590,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """All occurrences of all maximal repeats of `length` to `reach` bytes: group_id, length, doc_id, start (in bytes). Longer repeats are
     given in pieces. reach: 65535 at most."""
     frame = Frame(length, reach, reach)
-    docs, split, around = _prepare(docs, id_col, text_col, frame)
+    docs, split, around, _ = _prepare(docs, id_col, text_col, frame)
     found = around.groupBy("bucket").applyInArrow(_groups(frame), "group_id string, length long, rid long, at long, left long")
     found = found.groupBy("rid").agg(F.collect_list(F.struct("group_id", "length", "at", "left")).alias("members"))
     texts = split(True).select("rid", "text").dropDuplicates(["rid"])
