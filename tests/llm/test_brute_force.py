@@ -10,6 +10,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from conftest import SCHEMA, prose, rows_of
 
 from trailframe.llm import common as C
@@ -352,13 +353,14 @@ def test_long_repeats_are_given_in_pieces(spark):
     assert all(covered[k] == set(range(5, 3005)) for k in range(3))
 
 
-def test_removal_from_texts_above_a_segment(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, suffix_dedup.HOT])
+def test_removal_from_texts_above_a_segment(spark, hot):
     from test_operators import brute_repeats, cut
 
     r = random.Random(47)
     text = "".join(r.choice("ab ") for _ in range(500))
-    noise = "".join(r.choice("abcdefgh ") for _ in range(4000))
-    rows = [(1, noise + text + "\x00" * 450 + noise[700:1900]), (2, "x" * 900), (3, noise[:300] + text)]
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1024)
+    edge = suffix_dedup.SEGMENT
+    noise = "".join(r.choice("abcdefgh ") for _ in range(edge + 2000))
+    rows = [(1, noise + text + "\x00" * 450 + noise[700:1900]), (2, "x" * 900), (3, noise[:300] + text), (4, noise[edge - 400 : edge + 150])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(cut(docs)) == Counter(brute_repeats(rows))
+    assert Counter(cut(docs, hot=hot)) == Counter(brute_repeats(rows))
