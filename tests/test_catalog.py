@@ -8,6 +8,7 @@ import pytest
 from trailframe.plans import catalog
 from trailframe.plans import rules as _rules  # noqa: F401  (adds its queries to the catalog)
 from trailframe.plans import tables as _tables  # noqa: F401
+from trailframe.plans import videos as _videos  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -14,7 +14,6 @@ from trailframe import __main__ as command
 from trailframe.functions import arrays, geometry, schedules, times
 from trailframe.operators import curation, detections, inference, metrics, results, sampling, scores
 from trailframe.operators.encounters import encounters, encounters_by_span
-from trailframe.plans.tables import jpeg_with_header
 from trailframe.sources import files, photos, shared
 
 
@@ -149,11 +148,15 @@ def test_model_from_outside(spark):
         inference.classify(df, ["x"], lambda: lambda batch: np.zeros(3)).collect()
 
 
+def _tags(data):
+    return photos.tags(photos.in_memory(data))
+
+
 def test_headers():
-    assert photos.tags(jpeg_with_header("2020:01:01 00:00:00", "2021:01:01 00:00:00", "a__b")) == ("2020:01:01 00:00:00", "2021:01:01 00:00:00", "a__b", True, True)
-    assert photos.tags(b"\xff\xd8\xff\xe1" + struct.pack(">H", 12) + b"Exif\0\0XX\0\0") == (None, None, None, False, True)
-    assert photos.tags(b"\xff\xd8\xff\xd9") == (None, None, None, False, True)
-    assert photos.tags(b"") == photos.tags(None) == photos.tags(b"GIF89a") == (None, None, None, False, False)
+    assert _tags(b"\xff\xd8" + photos.header("2021:01:01 00:00:00", "2020:01:01 00:00:00", "a__b") + b"\xff\xd9") == ("2020:01:01 00:00:00", "2021:01:01 00:00:00", "a__b", True, True)
+    assert _tags(b"\xff\xd8\xff\xe1" + struct.pack(">H", 12) + b"Exif\0\0XX\0\0") == (None, None, None, False, True)
+    assert _tags(b"\xff\xd8\xff\xd9") == (None, None, None, False, True)
+    assert _tags(b"") == _tags(b"GIF89a") == (None, None, None, False, False)
 
 
 def test_sample_needs_rows(spark):

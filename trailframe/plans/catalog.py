@@ -326,17 +326,17 @@ def missing_dirs(spark, sf_dir):
     return detections.seen(rows.select("l_suppkey", "l_returnflag"), rows.where("l_quantity > 45"), ["l_suppkey", "l_returnflag"]).distinct()
 
 
-@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'dt_not_found' WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%y:%m:%d %H:%M:%S')
+@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'dt_not_found' WHEN o_orderkey % 9 = 2 THEN strftime(o_orderdate, '%Y:%-m:%-d %-H:%-M:%-S') WHEN o_orderkey % 9 = 5 THEN strftime(o_orderdate, '%-d/%-m/%Y  %-H:%M:%S') WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%y:%m:%d %H:%M:%S')
   WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
   ELSE strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END AS raw FROM orders),
-t AS (SELECT o_orderkey, raw, CASE WHEN raw LIKE '____:%' THEN try_strptime(raw, '%Y:%m:%d %H:%M:%S') WHEN raw LIKE '__:%' THEN try_strptime(raw, '%y:%m:%d %H:%M:%S') WHEN raw LIKE '__/%' THEN try_strptime(raw, '%d/%m/%Y %H:%M:%S') END AS ts FROM x),
+t AS (SELECT o_orderkey, raw, CASE WHEN raw LIKE '____:%' THEN try_strptime(raw, '%Y:%m:%d %H:%M:%S') WHEN raw LIKE '__:%' THEN try_strptime(raw, '%y:%m:%d %H:%M:%S') WHEN raw LIKE '%/%' THEN try_strptime(replace(raw, '  ', ' '), '%d/%m/%Y %H:%M:%S') END AS ts FROM x),
 m AS (SELECT make_timestamp(CAST(trunc(avg(CAST(epoch_us(ts) AS DOUBLE))) AS BIGINT)) AS mean FROM t)
 SELECT o_orderkey, raw, strftime(coalesce(ts, mean), '%Y-%m-%d %H:%M') AS imputed, CAST(epoch(ts) AS BIGINT) - 1672531200 AS seconds,
 strftime(ts, '%H:%M:%S') AS time_of_day, strftime(ts, '%d/%m/%Y %H:%M:%S') AS text, strftime(ts, '%y_%m_%d_%H') AS run FROM t, m""")
 def dates(spark, sf_dir):
     k = F.col("o_orderkey")
     kinds = {0: "yy:MM:dd HH:mm:ss", 1: times.RESULT, 2: "yyyy-MM-dd HH:mm:ss", 3: times.CAMERA}
-    raw = F.when(k % 7 == 0, F.lit("dt_not_found"))
+    raw = F.when(k % 7 == 0, F.lit("dt_not_found")).when(k % 9 == 2, F.date_format("o_orderdate", "yyyy:M:d H:m:s")).when(k % 9 == 5, F.date_format("o_orderdate", "d/M/yyyy  H:mm:ss"))
     for rest, form in kinds.items():
         raw = raw.when(k % 4 == rest, F.date_format("o_orderdate", form))
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("own", times.first_format(F.col("raw"))).withColumn("ts", F.col("own"))

@@ -10,13 +10,14 @@ import struct
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trailframe.functions import arrays, paths, times
 from trailframe.operators import actions, curation, detections, inference, metrics, results, sampling, scores
 from trailframe.operators.encounters import encounters, encounters_by_span
 from trailframe.plans.catalog import CLASSES, CONF, ENCOUNTERS, PROBS, _images, _probs, _t, query
-from trailframe.sources import files, photos
+from trailframe.sources import files, jpeg, photos
 from trailframe.sources.shared import scratch, settled
 
 # ---- results of a folder
@@ -246,25 +247,6 @@ def intended_actions(spark, sf_dir):
 # ---- headers and the cache
 
 
-def _ascii(tag: int, text: str, at: int) -> tuple[bytes, bytes]:
-    raw = text.encode() + b"\0"
-    if len(raw) <= 4:  # such texts stand in the entry itself
-        return struct.pack("<HHI4s", tag, 2, len(raw), raw), b""
-    return struct.pack("<HHII", tag, 2, len(raw), at), raw
-
-
-def jpeg_with_header(changed: str, original: str, description: str) -> bytes:
-    """A JPEG of a header alone, for tests and fixtures."""
-    main_at, texts_at = 8, 8 + 2 + 3 * 12 + 4 + 2 + 12 + 4
-    a, text_a = _ascii(photos.DESCRIPTION, description, texts_at)
-    b, text_b = _ascii(photos.CHANGED, changed, texts_at + len(text_a))
-    details_at = main_at + 2 + 3 * 12 + 4
-    c = struct.pack("<HHII", photos.DETAILS, 4, 1, details_at)
-    d, text_d = _ascii(photos.ORIGINAL, original, texts_at + len(text_a) + len(text_b))
-    block = b"Exif\0\0II*\0" + struct.pack("<I", main_at) + struct.pack("<H", 3) + a + b + c + b"\0\0\0\0" + struct.pack("<H", 1) + d + b"\0\0\0\0" + text_a + text_b + text_d
-    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(block) + 2) + block + b"\xff\xd9"
-
-
 def _put(spark, name: str, data: bytes) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(name)
@@ -279,7 +261,8 @@ def _fixture(spark, sf_dir, folder: str) -> list:
     for r in rows:
         kind = (".JPG", ".MP4", ".avi", ".jpg", ".txt")[r.n_nationkey % 5]
         date = f"2024:01:{r.n_nationkey + 1:02d} 10:00:00"
-        data = jpeg_with_header("2020:02:02 02:02:02", date if r.n_nationkey % 2 else " ", r.n_name if r.n_nationkey % 4 else "  ") if r.n_nationkey != 8 else b"no photo"
+        tags = photos.header(date if r.n_nationkey % 2 else " ", "2020:02:02 02:02:02", r.n_name if r.n_nationkey % 4 else "  ")
+        data = b"\xff\xd8" + tags + b"\xff\xd9" if r.n_nationkey != 8 else b"no photo"
         _put(spark, f"{folder}/{r.r_name}/class{r.n_nationkey % 3}/{r.n_name}{kind}", data if kind.lower() == ".jpg" else r.n_name.encode())
     return rows
 
@@ -291,13 +274,65 @@ def _below(folder: str):
     return F.regexp_extract("path", f"{folder.rsplit('/', 1)[1]}/(.*)$", 1)
 
 
-@query(f"""WITH {PLACES} SELECT path AS File_Path, CASE WHEN k = 8 THEN 'file_not_valid' WHEN k % 2 = 1 THEN concat('2024:01:', lpad(CAST(k + 1 AS VARCHAR), 2, '0'), ' 10:00:00') ELSE '2020:02:02 02:02:02' END AS Date_Time,
-CASE WHEN k = 8 THEN 'file_not_valid' WHEN k % 4 = 0 THEN 'description_not_found' ELSE n_name END AS Description FROM f WHERE k % 5 IN (0, 3)""")
+def _customer_photos(spark, sf_dir, pixels: int):
+    """path, original, content: a photo for each customer, made in tasks. Every eleventh is no JPEG, every thirteenth is cut; before the
+    header of every fiftieth stand 200 KB of other segments. All of one colour, but for noise of one level."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    original = F.when(k % 3 != 0, F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=k * 977), times.CAMERA))
+    rows = rows.select(F.concat("c_mktsegment", F.lit("/"), k.cast("string"), F.lit(".JPG")).alias("path"), original.alias("original"), k.alias("k"))
+
+    def make(batches):
+        for batch in batches:
+            out = []
+            for n in batch.column("k").to_pylist():
+                image = np.add([n * 7 % 254 + 1, n * 13 % 254 + 1, n * 29 % 254 + 1], np.indices((pixels, pixels + n % 5)).sum(0)[..., None] % 2).astype(np.uint8)
+                data = photos.with_header(jpeg.encode(image, 95), description=f"camera{n % 4}" if n % 4 else " ", changed="2020:2:2 2:02:02")
+                if n % 50 == 0:
+                    data = data[:2] + (b"\xff\xe2" + struct.pack(">H", 65002) + bytes(65000)) * 3 + (b"\xff\xfe" + struct.pack(">H", 5002) + bytes(5000)) + data[2:]
+                out.append(b"no photo" if n % 11 == 0 else data[: len(data) * 2 // 3] if n % 13 == 0 else data)
+            yield pa.RecordBatch.from_arrays([*batch.select(["path", "original"]).columns, pa.array(out, pa.binary())], ["path", "original", "content"])
+
+    return rows.mapInArrow(make, "path string, original string, content binary")
+
+
+_PHOTO = "c_custkey AS k, concat(c_mktsegment, '/', c_custkey, '.JPG') AS path FROM customer"
+
+
+@query(f"""SELECT path AS File_Path, CASE WHEN k % 11 = 0 THEN 'file_not_valid' WHEN k % 3 <> 0 THEN strftime(TIMESTAMP '2024-01-01' + to_seconds(k * 977), '%Y:%m:%d %H:%M:%S') ELSE '2020:2:2 2:02:02' END AS Date_Time,
+CASE WHEN k % 11 = 0 THEN 'file_not_valid' WHEN k % 3 <> 0 OR k % 4 = 0 THEN 'description_not_found' ELSE 'camera' || (k % 4) END AS Description,
+CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 3 <> 0 THEN strftime(TIMESTAMP '2024-01-01' + to_seconds(k * 977), '%d/%m/%Y %H:%M:%S') ELSE '02/02/2020 02:02:02' END END AS text,
+true AS few_bytes FROM (SELECT {_PHOTO})""")
 def photo_headers(spark, sf_dir):
+    """Photos of all customers are written, two of three dated anew, and their headers read by ranges."""
+    made = _customer_photos(spark, sf_dir, 8)
     with scratch(spark) as folder:
-        _fixture(spark, sf_dir, folder)
-        found = photos.cached_tags(photos.photo_tags(spark, folder).withColumn("path", _below(folder)))
-        return settled(found)
+        photos.write_photos(made.where("original is null"), folder)
+        photos.write_photos(photos.dated(made.where("original is not null"), "original").withColumn("content", F.coalesce("content", F.lit(b"no photo"))), folder)
+        tags = photos.photo_tags(spark, folder).withColumn("path", F.regexp_extract("path", "/part-[^/]*/(.*)$", 1))
+        found = photos.cached_tags(tags).join(tags.select(F.col("path").alias("File_Path"), "bytes_read"), "File_Path")
+        return settled(found.select("File_Path", "Date_Time", "Description", times.result_text(F.col("Date_Time")).alias("text"), (F.col("bytes_read") < 65536).alias("few_bytes")))
+
+
+@query(f"""SELECT path, CAST(12 + k % 5 AS INTEGER) AS width, 12 AS height, true AS near FROM (SELECT {_PHOTO}) WHERE k % 11 <> 0 AND k % 13 <> 0""")
+def photo_pixels(spark, sf_dir):
+    """Photos of all customers are written, read again and decoded; those that can't be are dropped. `near`: all pixels within two levels."""
+    with scratch(spark) as folder:
+        photos.write_photos(_customer_photos(spark, sf_dir, 12), folder)
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+        kept, _ = photos.decodable(photos.decoded(read))
+
+        def compare(batches):
+            for batch in batches:
+                near = []
+                for path, w, h, data in zip(*[batch.column(c).to_pylist() for c in ("path", "width", "height", "pixels")], strict=True):
+                    n = int(path.rsplit("/", 1)[1].removesuffix(".JPG"))
+                    want = np.add([n * 7 % 254 + 1, n * 13 % 254 + 1, n * 29 % 254 + 1], np.indices((h, w)).sum(0)[..., None] % 2)
+                    near.append(bool(np.abs(np.frombuffer(data, np.uint8).reshape(h, w, 3) - want).max() <= 2))
+                yield pa.RecordBatch.from_arrays([*batch.select(["path", "width", "height"]).columns, pa.array(near)], ["path", "width", "height", "near"])
+
+        found = kept.mapInArrow(compare, "path string, width int, height int, near boolean")
+        return settled(found.withColumn("path", F.regexp_extract("path", "/part-[^/]*/(.*)$", 1)))
 
 
 @query(f"""WITH {PLACES} SELECT path, CASE WHEN k % 5 IN (1, 2) THEN length(n_name) END AS size, concat('class', k % 3) AS target,

@@ -1,79 +1,199 @@
-"""Dates and descriptions in the headers of JPEG files."""
+"""Photos: the tags of JPEG headers, their pixels, and files of them."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailframe.functions import exif
+from trailframe.sources import jpeg, media
 from trailframe.sources.files import IMAGES
 
 #: Tags of the header's two directories.
 DESCRIPTION, CHANGED, DETAILS, ORIGINAL = 270, 306, 0x8769, 36867
-#: Bytes that a header takes at most.
-HEADER = 1 << 17
 
+#: Bytes at a place, fewer at the end.
+Read = Callable[[int, int], bytes]
 
-def _entries(block: bytes, order: str, at: int) -> dict[int, tuple[int, int, bytes]]:
+
+def in_memory(data: bytes) -> Read:
+    return lambda at, n: data[at : at + n]
+
+
+def _within(read: Read, at: int, size: int) -> Read:
+    """A part of it, from its own 0 on."""
+    return lambda a, n: read(at + a, max(0, min(n, size - a)))
+
+
+def _entries(read: Read, order: str, at: int) -> dict[int, tuple[int, int, bytes]]:
     """Tag -> kind, count and the four bytes of its value, of the directory at `at`."""
-    (n,) = struct.unpack_from(order + "H", block, at)
+    (n,) = struct.unpack(order + "H", read(at, 2))
+    block = read(at + 2, 12 * n)
     out = {}
     for k in range(n):
-        tag, kind, count, value = struct.unpack_from(order + "HHI4s", block, at + 2 + 12 * k)
+        tag, kind, count, value = struct.unpack_from(order + "HHI4s", block, 12 * k)
         out[tag] = (kind, count, value)
     return out
 
 
-def _text(block: bytes, order: str, entry: tuple[int, int, bytes] | None) -> str | None:
+def _text(read: Read, order: str, entry: tuple[int, int, bytes] | None) -> str | None:
     if entry is None or entry[0] != 2:
         return None
     _, count, value = entry
-    at = struct.unpack(order + "I", value)[0]
-    raw = value[:count] if count <= 4 else block[at : at + count]
+    raw = value[:count] if count <= 4 else read(struct.unpack(order + "I", value)[0], count)
     return raw.split(b"\0")[0].decode("utf-8", "replace")
 
 
-def tags(data: bytes | None) -> tuple[str | None, str | None, str | None, bool, bool]:
-    """changed, original, description, whether there is a header, and whether it is a JPEG at all. A damaged header counts as none."""
-    if not data or data[:2] != b"\xff\xd8":
-        return None, None, None, False, False
+def headers(read: Read) -> Iterator[tuple[int, int]]:
+    """Start and size of the contents of every segment that may hold a header: segments are walked by their lengths, so what stands before
+    a header is not read."""
     at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
-        size = struct.unpack_from(">H", data, at + 2)[0]
-        block = data[at + 4 : at + 2 + size]
-        if data[at + 1] == 0xE1 and block[:6] == b"Exif\0\0":
-            try:
-                block = block[6:]
-                order = {b"II": "<", b"MM": ">"}[block[:2]]
-                main = _entries(block, order, struct.unpack_from(order + "I", block, 4)[0])
-                details = _entries(block, order, struct.unpack(order + "I", main[DETAILS][2])[0]) if DETAILS in main else {}
-                return _text(block, order, main.get(CHANGED)), _text(block, order, details.get(ORIGINAL)), _text(block, order, main.get(DESCRIPTION)), True, True
-            except (struct.error, KeyError):
-                return None, None, None, False, True
+    while len(head := read(at, 4)) == 4 and head[0] == 0xFF:
+        marker, size = head[1], int.from_bytes(head[2:])
+        if marker == 0xFF or marker == 1 or 0xD0 <= marker <= 0xD7:  # filling, or a marker without contents
+            at += 1 if marker == 0xFF else 2
+            continue
+        if marker in (0xDA, 0xD9) or size < 2:
+            return
+        if marker == 0xE1 and read(at + 4, 6) == b"Exif\0\0":
+            yield at + 4, size - 2
         at += 2 + size
+
+
+def tags(read: Read) -> tuple[str | None, str | None, str | None, bool, bool]:
+    """changed, original, description, whether there is a header, and whether it is a JPEG at all. A damaged header counts as none. Of a
+    header only its directories and the three texts are read."""
+    if read(0, 2) != b"\xff\xd8":
+        return None, None, None, False, False
+    for at, size in headers(read):
+        block = _within(read, at + 6, size - 6)
+        try:
+            order = {b"II": "<", b"MM": ">"}[block(0, 2)]
+            main = _entries(block, order, struct.unpack(order + "I", block(4, 4))[0])
+            details = _entries(block, order, struct.unpack(order + "I", main[DETAILS][2])[0]) if DETAILS in main else {}
+            return _text(block, order, main.get(CHANGED)), _text(block, order, details.get(ORIGINAL)), _text(block, order, main.get(DESCRIPTION)), True, True
+        except (struct.error, KeyError):
+            return None, None, None, False, True
     return None, None, None, False, True
 
 
+def header(original: str | None = None, changed: str | None = None, description: str | None = None) -> bytes:
+    """The segment of a header with these tags."""
+    main = [(t, v.encode() + b"\0") for t, v in ((DESCRIPTION, description), (CHANGED, changed)) if v is not None]
+    details = [(ORIGINAL, original.encode() + b"\0")] if original is not None else []
+    details_at = 8 + 2 + 12 * (len(main) + bool(details)) + 4
+    at = details_at + (2 + 12 * len(details) + 4 if details else 0)
+    directories, texts = [], b""
+    for entries, below in ((main, [struct.pack("<HHII", DETAILS, 4, 1, details_at)] if details else []), (details, [])):
+        rows = []
+        for tag, value in entries:
+            place = value.ljust(4, b"\0") if len(value) <= 4 else struct.pack("<I", at + len(texts))
+            texts += value if len(value) > 4 else b""
+            rows.append(struct.pack("<HHI", tag, 2, len(value)) + place)
+        directories.append(struct.pack("<H", len(rows + below)) + b"".join(rows + below) + b"\0\0\0\0")
+    block = b"Exif\0\0II*\0" + struct.pack("<I", 8) + directories[0] + (directories[1] if details else b"") + texts
+    if len(block) > 65533:
+        raise ValueError("tags are too long for a header")
+    return b"\xff\xe1" + struct.pack(">H", len(block) + 2) + block
+
+
+def with_header(data: bytes, original: str | None = None, changed: str | None = None, description: str | None = None) -> bytes:
+    """The JPEG with a header of these tags in place of those it has; the picture's bytes stay."""
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("no JPEG")
+    kept, end = [], 2
+    for at, size in headers(in_memory(data)):
+        kept.append(data[end : at - 4])
+        end = at + size
+    return data[:2] + header(original, changed, description) + b"".join([*kept, data[end:]])
+
+
 SCHEMA = "path string, changed string, original string, description string, has_header boolean, readable boolean"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+TYPES = [pa.string()] * 4 + [pa.bool_()] * 2
 
 
 def photo_tags(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
-    """SCHEMA for every photo below the folder. Only the first HEADER bytes of a file reach Python."""
+    """SCHEMA, length and bytes_read of every photo below the folder. Photos are read by ranges: some blocks of 4 KB each, wherever the
+    header stands. In stores that only Spark opens whole files are read."""
+    try:
+        media.located(folder)
+    except pa.ArrowInvalid:
+        return _whole_files(spark, folder, suffixes)
+    return media.registered(spark).format("photo_headers").option("suffixes", ",".join(suffixes)).load(folder)
+
+
+def _whole_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*suffixes))
 
     def run(batches):
         for batch in batches:
-            rows = [tags(x) for x in batch.column("head").to_pylist()]
-            kinds = [pa.string()] * 3 + [pa.bool_()] * 2
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], [x.split()[0] for x in SCHEMA.split(", ")])
+            rows = [tags(in_memory(x.as_py())) for x in batch.column("content")]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns, batch.column("length"), batch.column("length")], [*NAMES, "length", "bytes_read"])
+
+    return files.select("path", "length", "content").mapInArrow(run, SCHEMA + ", length long, bytes_read long")
+
+
+PIXELS = "width int, height int, pixels binary"
+
+
+def decoded(photos: DataFrame, content: str = "content") -> DataFrame:
+    """The table with width, height and pixels (rows of red, green and blue bytes) of the JPEG in `content`, which is left out. All three
+    are null where it is null, damaged, or not baseline. One photo is decoded at a time."""
+    rest = [c for c in photos.columns if c != content]
+    for c in ("width", "height", "pixels"):
+        if c in rest:
+            raise ValueError(f"the table has a column {c} already")
+
+    def image(data: bytes | None):
+        try:
+            return None if data is None else jpeg.decode(data)
+        except jpeg.Damaged:
+            return None
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = image(batch.column(content)[i].as_py())
+                values = [None, None, None] if found is None else [found.shape[1], found.shape[0], found.tobytes()]
+                kinds = [pa.int32(), pa.int32(), pa.binary()]
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in rest], *[pa.array([v], t) for v, t in zip(values, kinds, strict=True)]], [*rest, "width", "height", "pixels"])
+
+    schema = StructType([f for f in photos.schema.fields if f.name != content] + StructType.fromDDL(PIXELS).fields)
+    return photos.mapInArrow(run, schema)
+
+
+def decodable(photos: DataFrame) -> tuple[DataFrame, Observation]:
+    """Of `decoded` photos those that have pixels; how many were `read` and `dropped` is observed while they are."""
+    seen = Observation()
+    return photos.observe(seen, F.count("*").alias("read"), F.count_if(F.col("pixels").isNull()).alias("dropped")).where("pixels is not null"), seen
+
+
+def write_photos(photos: DataFrame, folder: str, path: str = "path", content: str = "content", mode: str = "append") -> None:
+    """A file for each row below the folder, by the commit of `media.MediaSink`."""
+    media.registered(photos.sparkSession)
+    photos.select(F.col(path).alias("path"), F.col(content).alias("content")).write.format("media_files").mode(mode).save(folder)
+
+
+def dated(photos: DataFrame, original: str, content: str = "content") -> DataFrame:
+    """The table with the text of `original` (null: none) as the time of each JPEG's header, in place of the tags it has. What isn't a JPEG
+    becomes null."""
+    at, when = photos.columns.index(content), photos.columns.index(original)
+
+    def run(batches):
+        for batch in batches:
+            new = [None if d is None or d[:2] != b"\xff\xd8" else with_header(d, t) for d, t in zip(batch.column(at).to_pylist(), batch.column(when).to_pylist(), strict=True)]
+            yield batch.set_column(at, content, pa.array(new, pa.binary()))
 
-    head = F.expr(f"substring(content, 1, {HEADER})").alias("head")
-    return files.select("path", head).mapInArrow(run, SCHEMA)
+    return photos.mapInArrow(run, photos.schema)
 
 
 def cached_tags(photos: DataFrame) -> DataFrame:
