@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from trailframe.plans import catalog
+from trailframe.plans import models as _models  # noqa: F401
 from trailframe.plans import rules as _rules  # noqa: F401  (adds its queries to the catalog)
 from trailframe.plans import tables as _tables  # noqa: F401
 from trailframe.plans import videos as _videos  # noqa: F401

@@ -6,13 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_precision(scores: DataFrame, label: str, score: str, hit: str) -> DataFrame:
+#: Ranges of score that a class's rows are ranked in: a power of two.
+RANGES = 256
+
+
+def score_ranges(scores: DataFrame, label: str, score: str, ranges: int = RANGES) -> DataFrame:
+    """Adds __range: 0 for the highest scores of the row's label, up to ranges - 1 for the lowest, of about as many rows each. Equal scores
+    share one. The ends of ranges come from a sketch of bounded size for each label; null scores count as the lowest."""
+    shares = F.array(*[F.lit(1 - i / ranges) for i in range(1, ranges)])
+    cuts = scores.groupBy(F.col(label).alias("__label")).agg(F.percentile_approx(score, shares, 8 * ranges).alias("__cuts"))
+    value = F.col(score)
+    # the first cut that the score reaches, by halves
+    steps = F.array(*[F.lit(ranges >> i) for i in range(1, ranges.bit_length())])
+    place = F.aggregate(steps, F.lit(0), lambda low, step: F.when(value < F.get("__cuts", low + step - 1), low + step).otherwise(low))
+    found = scores.join(cuts, F.col(label).eqNullSafe(F.col("__label")))
+    return found.withColumn("__range", F.when(value.isNull() | F.col("__cuts").isNull(), ranges - 1).otherwise(place)).drop("__label", "__cuts")
+
+
+def average_precision(scores: DataFrame, label: str, score: str, hit: str, ranges: int = RANGES) -> DataFrame:
     """label, support, ap for rows (label, score, hit 0/1): the sum of precision times the rise of recall over distinct scores, for
-    classes with a hit. Rows with one score are summed before the running sums, so a class is ranked by its distinct scores."""
+    classes with a hit. Rows with one score are summed before they are ranked; a class is ranked in ranges of score, after the sums of the
+    ranges above, so no task sorts a class, however large."""
     ties = scores.groupBy(label, score).agg(F.sum(hit).alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy(label).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    runs = ties.select(label, "tp", F.sum("tp").over(down).alias("tps"), F.sum("n").over(down).alias("ns"), F.sum("tp").over(Window.partitionBy(label)).alias("support"))
-    return runs.where("support > 0").groupBy(label).agg(F.max("support").alias("support"), F.sum(F.col("tp") / F.col("support") * F.col("tps") / F.col("ns")).alias("ap"))
+    ties = score_ranges(ties, label, score, ranges)
+    sums = ties.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__r")).agg(F.sum("tp").alias("__tp"), F.sum("n").alias("__n"))
+    above, whole = Window.partitionBy("__label").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__label")
+    before = [F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_before") for c in ("__tp", "__n")]
+    sums = sums.select("__label", "__r", *before, F.sum("__tp").over(whole).alias("support")).where("support > 0")
+    rows = ties.join(sums, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))
+    down = Window.partitionBy(label, "__range").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tps, ns = F.col("__tp_before") + F.sum("tp").over(down), F.col("__n_before") + F.sum("n").over(down)
+    runs = rows.select(label, "support", (F.col("tp") / F.col("support") * tps / ns).alias("part"))
+    return runs.groupBy(label).agg(F.max("support").alias("support"), F.sum("part").alias("ap"))
 
 
 def confusion(df: DataFrame, target: str, prediction: str) -> DataFrame:

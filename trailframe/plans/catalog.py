@@ -412,14 +412,6 @@ def focal_loss(spark, sf_dir):
     return _probs(spark, sf_dir).select("vec_id", F.round(arrays.focal_loss(F.col("probs"), F.col("label")), 6).alias("loss"))
 
 
-@query("""WITH e AS (SELECT e, CASE WHEN e <= 3 THEN 0.1 + (1 - 0.1) / 3 * e ELSE 1 END AS warm, CASE WHEN e <= 3 THEN 1 ELSE pow(0.8, floor((e - 3) / 8)) END AS decay,
-CASE WHEN e <= 3 THEN 1 ELSE 0.05 + 0.95 * (1 + cos(pi() * ((e - 3) % 8) / 8)) / 2 END AS cosine FROM range(0, 40) t(e))
-SELECT e AS epoch, round(0.001 * warm * decay * cosine, 12) AS rate FROM e""")
-def lr_schedule(spark, sf_dir):
-    rate = schedules.learning_rate(F.col("epoch"), rate=0.001, initial=0.0001, least=0.00005, warmup=3, cycle=8, decay=0.8)
-    return spark.range(40).select(F.col("id").alias("epoch")).select("epoch", F.round(rate, 12).alias("rate"))
-
-
 @query("""WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) % 900 AS total, 1 + o_orderkey % 60 AS fps FROM orders),
 i AS (SELECT *, CASE WHEN total < fps // 2 THEN total - 1 ELSE fps // 2 END AS plain FROM v), g AS (SELECT *, greatest(plain, 1) AS fit FROM i),
 f AS (SELECT *, CASE WHEN total // fit > 20 THEN total // 20 ELSE fit END AS iv FROM g), x AS (SELECT o_orderkey, fps, iv, unnest(range(0, total, iv)) AS frame FROM f)
