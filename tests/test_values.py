@@ -159,6 +159,31 @@ def test_headers():
     assert _tags(b"") == _tags(b"GIF89a") == (None, None, None, False, False)
 
 
+def test_smallest_with_ties_and_nulls(spark):
+    r = random.Random(5)
+    values = [None if r.random() < 0.05 else 0.0 if r.random() < 0.4 else r.random() for _ in range(5000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(3)
+    ranked = sorted(range(5000), key=lambda i: (values[i] is None, values[i] or 0.0, i))
+    for n in (0, 1, 700, 2500, 4990, 5000, 9000):
+        assert sorted(x.id for x in curation.smallest(df, "v", "id", n).collect()) == sorted(ranked[:n])
+    assert curation.smallest(df.limit(0), "v", "id", 5).collect() == []
+    weighted = curation.weighted_sample(spark.range(100), "id", F.when(F.col("id") < 50, F.col("id").cast("double")), 60).collect()
+    assert {x.id for x in weighted} == {*range(50), *range(50, 60), 0}
+
+
+def test_min_max_scaled(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, None), (None, 7.0), (2, 5.0), (2, 5.0)], "g int, x double")
+    got = sorted(map(str, (tuple(r) for r in curation.min_max_scaled(df, ["g"], "x", "s").collect())))
+    assert got == sorted(map(str, [(1, 2.0, 0.0), (1, 4.0, 1.0), (1, None, None), (None, 7.0, 0.0), (2, 5.0, 0.0), (2, 5.0, 0.0)]))
+
+
+def test_one_digit_dates(spark):
+    texts = {"2023:5:6 7:08:9": "06/05/2023 07:08:09", "6/5/2023 07:08:09": "06/05/2023 07:08:09", "23:12:1  1:2:3": "01/12/2023 01:02:03", "2023:05:06 07:08:09": "06/05/2023 07:08:09",
+             "2023:5:6 7:8": None, "2023:5:6 7:8:9 ": None, " 2023:5:6 7:8:9": None, "2023:13:6 7:8:9": None, "2023:2:30 7:8:9": None, "123:5:6 7:8:9": None, "2023:005:6 7:8:9": None, "70:1:2 3:4:5": "02/01/1970 03:04:05", "": None, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.x for r in df.select("t", times.result_text(F.col("t")).alias("x")).collect()} == texts
+
+
 def test_sample_needs_rows(spark):
     with pytest.raises(ValueError, match="500"):
         sampling.sample_rows(spark.range(499), "id")

@@ -58,8 +58,10 @@ def normalised(window: dict[str, Column], img_w: Column, img_h: Column) -> Colum
     return F.array(*[F.bround(window[k] / whole, 4) for k, whole in sides])
 
 
-def background(x: Column, y: Column, w: Column, h: Column, img_w: Column, img_h: Column, margin: Column) -> dict[str, Column]:
-    """Pixels of the box with a margin, in the image."""
+def background(x: Column, y: Column, w: Column, h: Column, img_w: Column, img_h: Column, margin: Column, of_box: bool = False) -> dict[str, Column]:
+    """Pixels of the box with a margin, in the image. The margin is a share of the image's sides, or `of_box`: times the box's smaller one."""
+    if of_box:
+        margin = margin * F.least(w, h)
     zero, one = F.lit(0.0), F.lit(1.0)
     return {
         "left": F.floor(clamp(x - margin, zero, one) * img_w).cast("int"), "top": F.floor(clamp(y - margin, zero, one) * img_h).cast("int"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.operators import metrics
+
 
 def order_of(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws("|", *key, F.lit(str(seed))))
@@ -120,6 +122,42 @@ def uniform(seed: int, *key: str) -> Column:
     return (F.conv(F.substr(order_of(seed, *key), F.lit(1), F.lit(12)), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
+def smallest(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """The n rows of the smallest values, ties by key; nulls come last. For any n no task sorts more than one of some 256 ranges of the
+    values: ranges before the one where n is reached stay whole, and only that one is ranked."""
+    rows = metrics.score_ranges(df.withColumns({"__one": F.lit(0), "__low": -F.col(value)}), "__one", "__low")
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__c"))  # a row for each range
+    sizes = sizes.select(F.col("__range").alias("__r"), (F.sum("__c").over(Window.orderBy("__range")) - F.col("__c")).alias("__before"), "__c")
+    rows = rows.join(F.broadcast(sizes), F.col("__range") == F.col("__r")).where(F.col("__before") < n)
+    split = F.col("__before") + F.col("__c") > n
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(value).asc_nulls_last(), key))
+    cut = rows.where(split).withColumn("__n", place).where(F.col("__before") + F.col("__n") <= n)
+    return rows.where(~split).select(*df.columns).unionByName(cut.select(*df.columns))
+
+
 def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, with chances by weight: the smallest exponential keys."""
-    return df.withColumn("__e", -F.ln(uniform(seed, key)) / weight).orderBy("__e", key).limit(n).drop("__e")
+    """n rows without replacement, with chances by weight: the smallest exponential keys. Rows whose weight is null or not above 0 come
+    last, by key."""
+    keyed = df.withColumn("__e", F.when(weight > 0, -F.ln(uniform(seed, key)) / weight))
+    return smallest(keyed, "__e", key, n).drop("__e")
+
+
+def min_max_scaled(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
+    """Adds `name`: the column's place between the least and the largest value of its group, from 0 to 1; 0 where all are equal, null stays
+    null. The ends come from an aggregation, so no group is brought together."""
+    ends = df.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.min(column).alias("__least"), F.max(column).alias("__most"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)] or [F.lit(True)]
+    span = F.col("__most") - F.col("__least")
+    value = F.when(F.col(column).isNotNull(), F.when(span > 0, (F.col(column) - F.col("__least")) / span).otherwise(0.0))
+    return df.join(ends, same, "left").withColumn(name, value).select(*df.columns, name)
+
+
+def group_sizes(df: DataFrame, groups: list[str], **conditions: Column) -> DataFrame:
+    """n of each group, and how many of its rows meet each condition."""
+    return df.groupBy(*groups).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
+
+
+def known_classes(df: DataFrame, label: str, unknown: str) -> DataFrame:
+    """One row: n_known distinct labels without `unknown`, n_unknown rows that have it, and all names in order."""
+    known = F.when(F.col(label) != unknown, F.col(label))
+    return df.agg(F.countDistinct(known).alias("n_known"), F.count_if(F.col(label) == unknown).alias("n_unknown"), F.array_sort(F.collect_set(label)).alias("names"))

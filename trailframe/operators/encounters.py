@@ -31,8 +31,9 @@ def encounters(df: DataFrame, folder: str, ts: str, probability: str, label: str
     return df.withColumns(said).drop("__best", "__most")
 
 
-def encounters_by_span(df: DataFrame, folder: str, ts: str, probability: str, label: str, key: str, gap_seconds: float, span_seconds: int = 86400) -> DataFrame:
-    """The same rows and columns as `encounters`, for folders that are too long to be sorted in one task, or encounters that are.
+def encounters_by_span(df: DataFrame, folder: str, ts: str, probability: str, label: str, key: str, gap_seconds: float, span_seconds: int = 86400,
+                       text: str | None = None) -> DataFrame:
+    """The same rows and columns as `encounters`, with undated_join, for folders that are too long to be sorted in one task, or encounters that are.
 
     Rows are sorted in spans of time. A row for each span, with its first and last time and the start of its last run, tells where a run
     goes on from one span to the next; these rows alone are sorted by folder. The best row of an encounter comes from an aggregation.
@@ -66,7 +67,7 @@ def encounters_by_span(df: DataFrame, folder: str, ts: str, probability: str, la
     best = rows.where("__start is not null").groupBy(F.col(folder).alias("__f"), F.col("__start").alias("__b"))
     best = best.agg(F.min_by(label, rank).alias("__best"), F.max(probability).alias("__most"))
     rows = rows.join(best, same & (F.col("__start") == F.col("__b")), "left")
-    alone = F.col("__at").isNull() | F.col("__start").isNull()
+    alone = F.col(text or "__at").isNull() | F.col("__start").isNull()
     said = {"encounter": F.when(alone, F.col(label)).otherwise(F.col("__best")), "max_prob": F.when(alone, p).otherwise(F.col("__most"))}
     start = F.timestamp_micros("__start").cast(dict(df.dtypes)[ts])
     return rows.withColumns({"encounter_start": start, **said}).drop("__at", "__span", "__start", "__f", "__b", "__best", "__most")

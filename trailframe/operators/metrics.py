@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.sources.shared import settled
 
-#: Ranges of score that a class's rows are ranked in: a power of two.
-RANGES = 256
+
+#: Ranges of score that a class's rows are ranked in: a power of two. Ends of ranges that are sent to all tasks at most (8 MB).
+RANGES, SENT = 256, 1 << 20
 
 
 def score_ranges(scores: DataFrame, label: str, score: str, ranges: int = RANGES) -> DataFrame:
     """Adds __range: 0 for the highest scores of the row's label, up to ranges - 1 for the lowest, of about as many rows each. Equal scores
     share one. The ends of ranges come from a sketch of bounded size for each label; null scores count as the lowest."""
     shares = F.array(*[F.lit(1 - i / ranges) for i in range(1, ranges)])
-    cuts = scores.groupBy(F.col(label).alias("__label")).agg(F.percentile_approx(score, shares, 8 * ranges).alias("__cuts"))
+    cuts = settled(scores.groupBy(F.col(label).alias("__label")).agg(F.percentile_approx(score, shares, 8 * ranges).alias("__cuts")))
+    if cuts.count() * ranges <= SENT:  # else a label's rows meet those ends in a join that splits hot labels
+        cuts = F.broadcast(cuts)
     value = F.col(score)
     # the first cut that the score reaches, by halves
     steps = F.array(*[F.lit(ranges >> i) for i in range(1, ranges.bit_length())])
@@ -40,6 +44,16 @@ def average_precision(scores: DataFrame, label: str, score: str, hit: str, range
     return runs.groupBy(label).agg(F.max("support").alias("support"), F.sum("part").alias("ap"))
 
 
+def accuracy(df: DataFrame, target: str, prediction: str) -> DataFrame:
+    """One row: the share of rows whose prediction is the target, of those that have both; null without any."""
+    return df.agg(F.avg((F.col(target) == F.col(prediction)).cast("double")).alias("accuracy"))
+
+
+def mean_loss(df: DataFrame, losses: dict[str, Column]) -> DataFrame:
+    """One row: the mean of each loss, nulls aside."""
+    return df.agg(*[F.avg(v).alias(k) for k, v in losses.items()])
+
+
 def confusion(df: DataFrame, target: str, prediction: str) -> DataFrame:
     return df.groupBy(target, prediction).agg(F.count("*").alias("n"))
 

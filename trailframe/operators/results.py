@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailframe.functions import arrays, paths, times
 from trailframe.operators import scores
-from trailframe.operators.encounters import encounters
+from trailframe.operators.encounters import encounters, encounters_by_span
 
 BOX = ["x_min", "y_min", "Width", "Height", "Confidence"]
 #: Columns of the full table, before one for each class; and of the short one.
@@ -32,12 +32,13 @@ def _unscored(empties: DataFrame, n: int) -> DataFrame:
     return rows.withColumns({"Crop": F.lit("[0, 0, 1, 1]"), "probs": F.array_repeat(zero, n)})
 
 
-def result_table(labels: DataFrame, scored: DataFrame, classes: list[str], empties: DataFrame | None = None, window: float = 30, empty_threshold: float = 0.0, md_empty_threshold: float = 0.5, video_threshold: float = 0.7) -> DataFrame:
+def result_table(labels: DataFrame, scored: DataFrame, classes: list[str], empties: DataFrame | None = None, window: float = 30, empty_threshold: float = 0.0, md_empty_threshold: float = 0.5, video_threshold: float = 0.7, span_seconds: int | None = None) -> DataFrame:
     """FULL and a column for each class, to three digits.
 
     labels: File_Path and BOX, a row for each image. scored: File_Path, Targets, Date_Time (as text), Crop and probs, an array in the order
     of `classes`. Images of `labels` that `scored` lacks are `unprocessed`. `empties` (File_Path, Targets, Date_Time and BOX) are images
-    that were kept from the classifier; without it, all images below the threshold are relabelled `empty`.
+    that were kept from the classifier; without it, all images below the threshold are relabelled `empty`. With `span_seconds`
+    a folder's images are sorted in spans of so many seconds, else each folder in one task; the rows are the same.
     """
     names = F.array(*[F.lit(c) for c in classes])
     scored = scored.withColumn("probs", F.transform("probs", lambda v: F.bround(v, 4)))
@@ -50,7 +51,10 @@ def result_table(labels: DataFrame, scored: DataFrame, classes: list[str], empti
     rows = rows.withColumn("__folder", _folder(F.col("File_Path")))
     videos, images = scores.split_videos(rows, "File_Path")
     images = images.withColumn("__ts", F.try_to_timestamp("Date_Time", F.lit(times.RESULT)))
-    images = encounters(images, "__folder", "__ts", "probability", "prediction", "File_Path", window, text="Date_Time")
+    if span_seconds is None:
+        images = encounters(images, "__folder", "__ts", "probability", "prediction", "File_Path", window, text="Date_Time")
+    else:
+        images = encounters_by_span(images, "__folder", "__ts", "probability", "prediction", "File_Path", window, span_seconds, "Date_Time")
     images = images.withColumn("Encounter_Start", times.time_of_day(F.col("encounter_start")))
     out = images.drop("__ts", "__folder").unionByName(_videos(videos, names, video_threshold))
     out = scores.empty_encounters(out, "Confidence", md_empty_threshold, "max_prob", empty_threshold)

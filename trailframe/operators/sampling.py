@@ -19,7 +19,7 @@ def sample_rows(df: DataFrame, key: str, n: int = 500, seed: int = 0) -> DataFra
     rows = df.count()
     if rows < n:
         raise ValueError(f"a sample of {n} rows needs as many, there are {rows}")
-    return df.withColumn("__h", order_of(seed, key)).orderBy("__h", key).limit(n).drop("__h")
+    return hash_ranked(df, key, seed).where(F.col("__n") <= n).drop("__n", "__all")
 
 
 def stride(df: DataFrame, key: str, step: int, seed: int = 0) -> DataFrame:

@@ -157,7 +157,7 @@ def _predicted(spark, sf_dir):
 
 @query(f"{PRED} SELECT avg(CASE WHEN target = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred")
 def accuracy(spark, sf_dir):
-    return _predicted(spark, sf_dir).agg(F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("accuracy"))
+    return metrics.accuracy(_predicted(spark, sf_dir), "target", "prediction")
 
 
 @query(f"{PRED} SELECT target, prediction, count(*) AS n FROM pred GROUP BY target, prediction")
@@ -407,6 +407,15 @@ def background_rect(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select(*KEY, *[c.alias(k) for k, c in box.items()])
 
 
+@query("""WITH b AS (SELECT *, l_quantity / 100 AS w, l_quantity / 200 AS h, 0.1 * least(l_quantity / 100, l_quantity / 200) AS m FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(least(greatest(l_discount - m, 0), 1) * 1000) AS INT) AS "left", CAST(floor(least(greatest(l_tax - m, 0), 1) * 1000) AS INT) AS top,
+CAST(floor(least(greatest(l_discount + w + m, 0), 1) * 1000) AS INT) AS "right", CAST(floor(least(greatest(l_tax + h + m, 0), 1) * 1000) AS INT) AS bottom FROM b""")
+def background_rect_of_box(spark, sf_dir):
+    x, y, w, h = (F.expr(v) for v in BOX.values())
+    box = geometry.background(x, y, w, h, F.lit(1000), F.lit(1000), F.lit(0.1), of_box=True)
+    return _t(spark, sf_dir, "lineitem").select(*KEY, *[c.alias(k) for k, c in box.items()])
+
+
 @query(f"WITH {PROBS} SELECT vec_id, round(pow(1 - probs[label + 1], 2) * -ln(probs[label + 1]), 6) AS loss FROM probs")
 def focal_loss(spark, sf_dir):
     return _probs(spark, sf_dir).select("vec_id", F.round(arrays.focal_loss(F.col("probs"), F.col("label")), 6).alias("loss"))
@@ -427,13 +436,12 @@ def frame_schedule(spark, sf_dir):
 
 @query("SELECT l_suppkey, l_returnflag, count(*) AS n, count(*) FILTER (l_quantity > 25) AS n_large FROM lineitem GROUP BY l_suppkey, l_returnflag")
 def group_sizes(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("n_large"))
+    return curation.group_sizes(_t(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], n_large=F.col("l_quantity") > 25)
 
 
 @query("SELECT count(DISTINCT c_mktsegment) FILTER (c_mktsegment <> 'BUILDING') AS n_known, count(*) FILTER (c_mktsegment = 'BUILDING') AS n_unknown, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS names FROM customer")
 def known_classes(spark, sf_dir):
-    known = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
-    return _t(spark, sf_dir, "customer").agg(F.countDistinct(known).alias("n_known"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("n_unknown"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("names"))
+    return curation.known_classes(_t(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING").withColumn("names", F.array_join("names", ","))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -455,7 +463,5 @@ def set_difference(spark, sf_dir):
 
 @query("SELECT vec_id, label, CASE WHEN hi > lo THEN round((x - lo) / (hi - lo), 6) ELSE 0 END AS scaled FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, min(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label) AS lo, max(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label) AS hi FROM embeddings)")
 def min_max_scaled(spark, sf_dir):
-    w = Window.partitionBy("label")
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    low, high = F.min("x").over(w), F.max("x").over(w)
-    return rows.select("vec_id", "label", F.when(high > low, F.round((F.col("x") - low) / (high - low), 6)).otherwise(0.0).alias("scaled"))
+    return curation.min_max_scaled(rows, ["label"], "x", "scaled").select("vec_id", "label", F.round("scaled", 6).alias("scaled"))

@@ -98,7 +98,7 @@ def video_metadata(spark, sf_dir):
 
 @query(f"SELECT coalesce({PARTS}[-2], '') AS folder, count(*) AS n FROM pages GROUP BY ALL")
 def files_per_folder(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").groupBy(paths.parent_name(F.col("url")).alias("folder")).agg(F.count("*").alias("n"))
+    return curation.group_sizes(_t(spark, sf_dir, "pages").select(paths.parent_name(F.col("url")).alias("folder")), ["folder"])
 
 
 @query(f"""{PRED}, c AS (SELECT t.label, count(*) FILTER (target = t.label AND prediction = t.label) AS tp, count(*) FILTER (target <> t.label AND prediction = t.label) AS fp,
@@ -112,7 +112,8 @@ def balanced_accuracy(spark, sf_dir):
 @query(f"WITH {PROBS} SELECT round(avg(-ln(probs[label + 1])), 6) AS cross_entropy, round(avg(pow(1 - probs[label + 1], 2) * -ln(probs[label + 1])), 6) AS focal FROM probs")
 def mean_loss(spark, sf_dir):
     p, label = F.col("probs"), F.col("label")
-    return _probs(spark, sf_dir).agg(F.round(F.avg(arrays.focal_loss(p, label, 0.0)), 6).alias("cross_entropy"), F.round(F.avg(arrays.focal_loss(p, label)), 6).alias("focal"))
+    means = metrics.mean_loss(_probs(spark, sf_dir), {"cross_entropy": arrays.focal_loss(p, label, 0.0), "focal": arrays.focal_loss(p, label)})
+    return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
 @query("""SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS low, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS middle,

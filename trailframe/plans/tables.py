@@ -96,6 +96,13 @@ def result_table(spark, sf_dir):
     return results.result_table(labels, scored, CLASSES, None, 30, 0.25, 0.3)
 
 
+@query(RESULTS)
+def result_table_by_span(spark, sf_dir):
+    """The same, a folder's images sorted in spans of two hours."""
+    labels, scored = _folder_tables(spark, sf_dir)
+    return results.result_table(labels, scored, CLASSES, None, 30, 0.25, 0.3, span_seconds=7200)
+
+
 @query(_result_sql(True))
 def result_table_split(spark, sf_dir):
     labels, scored = _folder_tables(spark, sf_dir)
@@ -129,6 +136,14 @@ def encounters_unparseable(spark, sf_dir):
     return out.select("event_id", "user_id", "encounter_start", "encounter", "max_prob")
 
 
+@query(ENCOUNTERS.format(src="SELECT event_id, user_id, CASE WHEN event_id % 17 < 2 THEN NULL ELSE ts END AS ts, value, event_type, event_id % 17 = 0 AS untold FROM events").replace("ts IS NULL OR start IS NULL", "untold OR start IS NULL"))
+def encounters_unparseable_by_span(spark, sf_dir):
+    k = F.col("event_id") % 17
+    rows = _t(spark, sf_dir, "events").withColumn("said", F.when(k != 0, F.lit("x"))).withColumn("ts", F.when(k >= 2, F.col("ts")))
+    out = encounters_by_span(rows, "user_id", "ts", "value", "event_type", "event_id", 6 * 3600, 7200, "said")
+    return out.select("event_id", "user_id", "encounter_start", "encounter", "max_prob")
+
+
 @query(ENCOUNTERS.format(src="SELECT event_id, user_id, CASE WHEN event_id % 17 <> 0 THEN ts END AS ts, value, event_type FROM events").replace("6 HOUR", "9 HOUR"))
 def encounters_split_by_span(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 17 != 0, F.col("ts")))

@@ -1,4 +1,4 @@
-"""Queries over video files, which tasks write from a table first. Importing this adds them to the catalog."""
+"""Queries over video files, which tasks write from a table first, and over pictures. Importing this adds them to the catalog."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trailframe.functions import times
+from trailframe.operators import tensors
 from trailframe.plans.catalog import _t, query
 from trailframe.sources import jpeg, photos, videos
 from trailframe.sources.shared import scratch, settled
@@ -105,3 +106,43 @@ def video_frames(spark, sf_dir):
                 yield pa.RecordBatch.from_arrays([*batch.select(["path", "frame", "ms"]).columns, pa.array(near)], ["path", "frame", "ms", "near"])
 
         return settled(found.select("k", "frame", "content", "path", "ms").mapInArrow(compare, "path string, frame long, ms double, near boolean").join(tags, "path"))
+
+
+def _draw(name: str, low: float = 0, high: float = 1) -> str:
+    n = f"(CAST(('0x' || substr(md5('{name}:' || md5(concat_ws('|', k, '0'))), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE"
+    return f"({low}::DOUBLE + {n} * ({high}::DOUBLE - {low}::DOUBLE))"
+
+
+@query(f"""SELECT k AS c_custkey, {_draw('moved')} < 0.8 AS moved, round({_draw('dx', -0.1, 0.1)}, 9) + 0 AS dx, round(1 + {_draw('scale', -0.75, 0.1)}, 9) AS scale, round({_draw('degrees', -30, 30)}, 9) + 0 AS degrees,
+CASE WHEN {_draw('colour')} < 0.5 THEN CASE WHEN {_draw('kind')} < 0.5 THEN 1 ELSE 2 END ELSE 0 END AS colour, {_draw('grey')} < 0.2 AS grey, {_draw('flipped')} < 0.5 AS flipped,
+CASE WHEN {_draw('compressed')} < 0.2 THEN CAST(floor({_draw('quality', 70, 101)}) AS INTEGER) ELSE 0 END AS quality FROM (SELECT c_custkey AS k FROM customer)""")
+def picture_draws(spark, sf_dir):
+    """What is drawn for the picture of each customer."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", tensors.draws("c_custkey").alias("d"))
+    numbers = [(F.round(f"d.{c}", 9) + 0).alias(c) for c in ("dx", "scale", "degrees")]
+    return rows.select("c_custkey", "d.moved", *numbers, "d.colour", "d.grey", "d.flipped", "d.quality")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, 12 + c_custkey % 5 AS w, 13 + c_custkey % 3 AS h, c_custkey * 7 % 254 + 1 AS v FROM customer),
+m AS (SELECT *, CAST(floor(0.25 * least(w - 1, h - 1)) AS BIGINT) AS m FROM p),
+c AS (SELECT k, floor(v * (least(1, least(y, h - 2 - y) / (m - 1)::DOUBLE) * least(1, least(x, w - 2 - x) / (m - 1)::DOUBLE))) AS red FROM m, range(0, 20) a(x), range(0, 20) b(y) WHERE x < w - 1 AND y < h - 1)
+SELECT p.k AS c_custkey, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CAST(sum(red) AS BIGINT) AS total, round((any_value(v) / 255.0 - 0.485) / 0.229, 4) AS middle FROM p JOIN c USING (k) GROUP BY p.k, w, h""")
+def faded_pictures(spark, sf_dir):
+    """A picture of one colour for each customer, faded to its edges, and the middle of its tensor before that."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", (12 + F.col("c_custkey") % 5).cast("int").alias("width"), (13 + F.col("c_custkey") % 3).cast("int").alias("height"))
+
+    def make(batches):
+        for batch in batches:
+            k, w, h = (batch.column(i).to_pylist() for i in range(3))
+            out = [bytes([n * 7 % 254 + 1, 1, 200]) * (a * b) for n, a, b in zip(k, w, h, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["c_custkey", "width", "height", "pixels"])
+
+    def red(batches):
+        for batch in batches:
+            total = [int(np.frombuffer(p, np.uint8)[::3].sum()) for p in batch.column("pixels").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.select(["c_custkey", "width", "height"]).columns, pa.array(total)], ["c_custkey", "width", "height", "total"])
+
+    made = rows.mapInArrow(make, "c_custkey long, width int, height int, pixels binary")
+    sums = tensors.faded(made, "c_custkey", 0.25, 0.25).mapInArrow(red, "c_custkey long, width int, height int, total long")
+    middle = tensors.tensors(tensors.centred(made, 8)).select("c_custkey", F.round(F.get("tensor", F.lit(36)).cast("double"), 4).alias("middle"))
+    return sums.join(middle, "c_custkey")
