@@ -31,7 +31,7 @@ def average_precision(scores: DataFrame, label: str, score: str, hit: str, range
     """label, support, ap for rows (label, score, hit 0/1): the sum of precision times the rise of recall over distinct scores, for
     classes with a hit. Rows with one score are summed before they are ranked; a class is ranked in ranges of score, after the sums of the
     ranges above, so no task sorts a class, however large."""
-    ties = scores.groupBy(label, score).agg(F.sum(hit).alias("tp"), F.count("*").alias("n"))
+    ties = settled(scores.groupBy(label, score).agg(F.sum(hit).alias("tp"), F.count("*").alias("n")))  # read three times
     ties = score_ranges(ties, label, score, ranges)
     sums = ties.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__r")).agg(F.sum("tp").alias("__tp"), F.sum("n").alias("__n"))
     above, whole = Window.partitionBy("__label").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__label")
