@@ -184,11 +184,35 @@ def test_random_strings_by_brute_force():
             w = m[0]
             plain = re.fullmatch(r"[0-9a-fA-F]+", w) and len(w) in (32, 40, 56, 64, 96, 128) or re.fullmatch(r"[\d+/_=-]+", w) or re.fullmatch(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", w)
             inside = any(s <= m.start() and m.end() <= e for s, _, e in base)
-            if len(w) >= 20 and not plain and not inside and len(w) / len(enc.encode_ordinary(w)) < 2.0:
+            mixed = False
+            for s in w.replace("_", "-").split("-"):
+                threes = list(zip(s, s[1:], s[2:] + " ", strict=False))
+                both = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+                mixed |= len(s) >= 8 and (both or any(a.islower() and b.isupper() or a.isupper() and b.isupper() and c.islower() for a, b, c in threes))
+            if (len(w) >= 20 or len(w) >= 12 and mixed) and not plain and not inside and len(w) / len(enc.encode_ordinary(w)) < 2.0:
                 want.append((m.start(), 3, m.end()))
         assert [x for x in spans if x[1] == 3] == want and [x for x in spans if x[1] < 3] == base
 
 
+@pytest.mark.parametrize("n", [12, 14, 16, 19])
+def test_short_keys_are_found(n):
+    enc = C.load_encoding(open(C.VOCABULARY, "rb").read())
+    r = random.Random(n)
+    for alphabet, least in ((string.ascii_letters + string.digits, 196), (string.ascii_letters, 196), (string.ascii_lowercase + string.digits, 180)):
+        keys = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(200)]
+        assert sum(len(secrets.random_spans(f"the key {k} is", enc, [])) for k in keys) >= least
+
+
+def test_prose_holds_no_short_keys(spark):
+    """No word of 12 to 19 characters of the table's texts is taken for a key."""
+    enc = C.load_encoding(open(C.VOCABULARY, "rb").read())
+    texts = [r.text for r in C.read(spark, "/root/testdata/sf0.01", "documents").collect()]
+    short = [t[s:e] for t in texts if t for s, _, e in secrets.random_spans(t, enc, secrets.base_spans(t)) if e - s < 20]
+    assert short == []
+    for word in ("JavaScript2024", "iPhone12ProMax", "getElementById", "COVID-19-related", "HTTPServerError", "self-supervised", "2024-05-06T10", "don_t_do_that_1"):
+        assert secrets.random_spans(word, enc, []) == [], word
+
+
 def test_digest_of_spans(spark, odd_docs):
     rows = {(r.doc_id, r.base_sha256) for r in secrets.scan_secrets(odd_docs).collect()}
     for i, t in rows_of(odd_docs):

@@ -1,8 +1,10 @@
 """Secrets in texts: three patterns, and strings that a tokenizer finds hard.
 
-Base kinds are assign, access and hex (see ASSIGN, ACCESS, HEX). The token-efficiency test adds `random`: words of 20 or more characters
-of the usual alphabets of keys that a public byte-pair vocabulary needs many tokens for - less than RATIO characters a token. Known
-digests (hex of a digest's length) and identifiers (UUIDs, numbers) are left out, and so are words that lie within one base span.
+Base kinds are assign, access and hex (see ASSIGN, ACCESS, HEX). The token-efficiency test adds `random`: words of FLOOR or more
+characters of the usual alphabets of keys that a public byte-pair vocabulary needs many tokens for - less than RATIO characters a token.
+Words shorter than LONG must also have a stretch of 8 characters or more, without hyphens and underlines, that mixes letters with digits, or
+has capitals inside: the ratio alone is as low for some rare words of prose, and for times and names of several parts. Known digests (hex of a digest's length) and identifiers (UUIDs, numbers) are left out, and
+so are words that lie within one base span.
 
 Null and empty texts have no spans; an empty table gives an empty result. Offsets count code points, ends are exclusive. Spans that start
 at one place come in the order of kinds. Repeated rows have equal results; null ids are kept. Other columns are not read.
@@ -26,10 +28,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-RATIO = 2.0
+RATIO, FLOOR, LONG = 2.0, 12, 20
 #: Rows of a batch that are looked at together.
 SLICE = 512
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
+STRETCH = re.compile(r"[A-Za-z0-9+/=]{8,}")
+MIXED = re.compile(r"\d.*[A-Za-z]|[A-Za-z].*\d|[a-z][A-Z]|[A-Z]{2}[a-z]")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 IDENTIFIER = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[\d_+=/-]+", re.I)
 RESULT = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -47,12 +51,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, encoding, base: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    if not any(len(w) >= 20 for w in text.split()):
+def random_spans(text: str, encoding, base: list[tuple[int, int, int]], ratio: float = RATIO, floor: int = FLOOR) -> list[tuple[int, int, int]]:
+    if not any(len(w) >= floor for w in text.split()):
         return []
     out = []
-    for m in CANDIDATE.finditer(text):
+    for m in re.finditer(CANDIDATE % floor, text):
         word = m[0]
+        if len(word) < LONG and not any(MIXED.search(s) for s in STRETCH.findall(word)):
+            continue
         if DIGEST.fullmatch(word) or IDENTIFIER.fullmatch(word) or any(s <= m.start() and m.end() <= e for s, _, e in base):
             continue
         if len(word) < ratio * len(encoding.encode_ordinary(word)):
