@@ -197,6 +197,15 @@ def test_pitman_yor(spark, odd_docs, no_docs, monkeypatch):
     assert len(pitman_yor.score_texts(odd_docs, no_docs).collect()) == len(rows)
 
 
+def test_scores_do_not_change_with_the_partitions(spark):
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (4, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r.doc_id: r.score for r in pitman_yor.op9_pitman_yor(spark, "/root/testdata/sf0.001").collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and max(abs(found[0][i] - found[1][i]) for i in found[0]) < 1e-9
+
+
 def small_model(rng, n_words=40, n_frequent=6):
     parent = np.r_[np.arange(257), rng.integers(0, 4, n_frequent)]
     contexts = np.r_[np.arange(4), 256, np.arange(257, 257 + n_frequent)]
@@ -471,6 +480,39 @@ def test_flight_keeps_totals():
     p = mixing.flight(sizes, np.full(1000, 0.37), rng)
     rest = (p > 0) & (p < 1)
     assert rest.sum() <= 2 and abs(p.sum() - 370) < 1e-6 and abs((p * sizes).sum() - 0.37 * sizes.sum()) < 1e-4
+    wide = mixing.flight(sizes, np.full(1000, 0.37), rng, 14)
+    assert 11 <= ((wide > 0) & (wide < 1)).sum() <= 14 and abs((wide * sizes).sum() - 0.37 * sizes.sum()) < 1e-4
+
+
+def test_landing_is_the_nearest():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5, 9):
+        sizes, p = rng.integers(1, 400, n).astype(float), rng.uniform(0.1, 0.9, n)
+        got = mixing.land(sizes, p, rng)
+        assert set(got) <= {0.0, 1.0}
+        misses = [abs(sum(s for i, s in enumerate(sizes) if m >> i & 1) - (p * sizes).sum()) for m in range(1 << n)]
+        assert abs((got * sizes).sum() - (p * sizes).sum()) == pytest.approx(min(misses))
+    many = rng.integers(1, 3000, 500).astype(float)
+    got = mixing.land(many, np.full(500, 0.41), rng)
+    assert set(got) == {0.0, 1.0} and abs((got * many).sum() - 0.41 * many.sum()) < 20
+
+
+def test_no_source_misses_by_half_of_an_open_document(spark):
+    """On the smallest table a source has some ten documents: the words taken are the nearest that they can give, or nearly."""
+    rows = mixing.mix(C.read(spark, "/root/testdata/sf0.001", "documents")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for mine in by.values():
+        miss = abs(sum(r.taken for r in mine) - mine[0].target)
+        assert miss <= max(r.size for r in mine) / 2
+        if len(mine) <= mixing.OPEN:
+            base = [r.size for r in mine if r.size]
+            whole = int(mine[0].target // max(1, mine[0].source_size))
+            reach = {0}
+            for s in base:
+                reach |= {x + s for x in reach}
+            assert miss == pytest.approx(min(abs(whole * sum(base) + x - mine[0].target) for x in reach), abs=1e-3)
 
 
 def test_many_chunks(spark, monkeypatch):

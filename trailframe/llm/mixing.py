@@ -3,8 +3,10 @@
 A source whose target is r times its size takes floor(r) whole copies of each document and one more of a sample in which each document
 has the probability r - floor(r). The sample is drawn by the flight phase of the cube method: probabilities move along the null space
 of the constraints (words and documents keep their totals) until one is 0 or 1, in chunks of CHUNK documents of one source; the two
-or so that a chunk leaves open meet again in the next round, until each source has one chunk. There the landing gives up the count of
-documents first and then draws the last document, so that a source's words miss the target by less than its largest open document.
+or so that a chunk leaves open meet again in the next round, until each source has one chunk. There the flight stops where OPEN documents
+are left, or all that a smaller source has, and the landing takes of all their subsets the one whose words come nearest to what is
+still to be taken; equally near ones by the number of documents, then by hash. So no other choice of these would be nearer to the
+target; the probabilities of these last documents are kept only up to that choice.
 
 Chunks and draws follow hashes of id, text and source, so reruns agree. Documents without words take no words. A null source is a
 source of its own, the last. Null ids and repeated rows are units like others. Other columns are not read. No rows, or only empty
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from trailframe.llm import common as C
 
 WEIGHTS, BUDGET, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-CHUNK = 4096
+CHUNK, OPEN = 4096, 14
 BROADCAST_SOURCES = 10_000
 
 
@@ -42,25 +44,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
     return weighed.withColumn("final", level).select("source", "source_size", F.when(F.col("final") <= F.col("ratio"), F.col("final") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
-def flight(sizes: np.ndarray, p: np.ndarray, rng, count: bool = True) -> np.ndarray:
-    """Probabilities after the flight phase: all but two are 0 or 1 (but one, if only words are balanced), words and documents have the
-    totals they had, and each probability is kept in the mean."""
+def flight(sizes: np.ndarray, p: np.ndarray, rng, open_: int = 2) -> np.ndarray:
+    """Probabilities after the flight phase: all but `open_` (two at least) are 0 or 1, words and documents have the totals they had, and
+    each probability is kept in the mean."""
     p = p.copy()
     p[p < 1e-9], p[p > 1 - 1e-9] = 0.0, 1.0
     waiting = np.flatnonzero((p > 0) & (p < 1))[::-1].tolist()
     held: list[int] = []
-    width = 3 if count else 2
-    while True:
-        while len(held) < width and waiting:
+    while len(held) + len(waiting) > max(2, open_):
+        while len(held) < 3:
             held.append(waiting.pop())
-        if len(held) < width:
-            return p
-        a, b = sizes[held[0]], sizes[held[1]]
-        if not count:
-            u = [1.0, 0.0] if a == 0 else [0.0, 1.0] if b == 0 else [b, -a]
-        else:
-            c = sizes[held[2]]
-            u = [1.0, -1.0, 0.0] if a == b else [1.0, 0.0, -1.0] if a == c else [b - c, c - a, a - b]
+        a, b, c = sizes[held]
+        u = [1.0, -1.0, 0.0] if a == b else [1.0, 0.0, -1.0] if a == c else [b - c, c - a, a - b]
         up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(held, u, strict=True) if x)
         down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(held, u, strict=True) if x)
         step = up if rng.random() * (up + down) < down else -down
@@ -71,12 +66,16 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng, count: bool = True) -> np.ndar
             elif p[i] > 1 - 1e-9:
                 p[i] = 1.0
         held = [i for i in held if 0 < p[i] < 1]
+    return p
 
 
 def land(sizes: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
-    p = flight(sizes, flight(sizes, p, rng), rng, count=False)
-    rest = (p > 0) & (p < 1)
-    p[rest] = rng.random(rest.sum()) < p[rest]
+    """0 or 1 for all: the flight, then the subset of the open ones that is nearest to their words."""
+    p = flight(sizes, p, rng, OPEN)
+    rest = np.flatnonzero((p > 0) & (p < 1))
+    subsets = np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1
+    miss, documents = np.abs(subsets @ sizes[rest] - p[rest] @ sizes[rest]), np.abs(subsets.sum(1) - p[rest].sum())
+    p[rest] = subsets[np.lexsort((documents.round(6), miss.round(6)))[0]]
     return p
 
 
