@@ -182,7 +182,7 @@ def test_write_and_read_photos(spark, tmp_path):
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
     kept, seen = photos.decodable(photos.decoded(read))
     got = kept.collect()
-    assert [(r.width, r.height, set(r.pixels)) for r in got] == [(9, 8, {90})] and seen.get == {"read": 2, "dropped": 1}
+    assert [(r.image_width, r.image_height, set(r.pixels)) for r in got] == [(9, 8, {90})] and seen.get == {"read": 2, "dropped": 1}
     with pytest.raises(Exception, match="below the folder"):
         photos.write_photos(spark.createDataFrame([("../x", b"x")], "path string, content binary"), folder)
     assert not [d for d in os.listdir(folder) if d.startswith("_")] and len(names()) == 2

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailframe.operators import tensors
+from trailframe.operators import crops, tensors
+from trailframe.sources import jpeg
 
-SCHEMA = "id long, width int, height int, pixels binary"
+SCHEMA = "id long, image_width int, image_height int, pixels binary"
 STILL = {"moved": False, "dx": 0.0, "dy": 0.0, "scale": 1.0, "degrees": 0.0, "x": 0.0, "y": 0.0, "colour": 0, "red": 0.0, "green": 0.0, "blue": 0.0, "brightness": 0.0, "contrast": 0.0, "grey": False, "flipped": False, "quality": 0}
 
 
@@ -80,7 +81,7 @@ def test_tables(spark):
     a, b = ({r.id: bytes(r.pixels or b"") for r in tensors.augmented(df.repartition(n), "id", 4, seed=3).collect()} for n in (2, 5))
     assert a == b and len(set(a.values())) > 20
     middle = {r.id: r for r in tensors.centred(df, 3).collect()}
-    assert middle[0].pixels[0] == 8 and middle[0].width == 3
+    assert middle[0].pixels[0] == 8 and middle[0].image_width == 3
     faded = {r.id: r for r in tensors.faded(df, "id").collect()}
     assert (np.frombuffer(faded[0].pixels, np.uint8).reshape(5, 6, 3) == tensors.fade(numbered(5, 6), 0.05)).all()
     tensor = {r.id: r for r in tensors.tensors(df).collect()}
@@ -95,3 +96,30 @@ def test_draws(spark):
     assert abs((d.colour == 1).mean() - 0.25) < 0.03 and abs((d.colour == 0).mean() - 0.5) < 0.03
     assert set(d.quality[d.quality > 0]) == set(range(70, 101)) and abs((d.quality > 0).mean() - 0.2) < 0.03
     assert [f"{f.name} {f.dataType.simpleString()}" for f in spark.range(1).select(tensors.draws("id").alias("d")).schema[0].dataType] == [x.strip() for x in tensors.DRAWS.split(",")]
+
+
+def test_resized_by_hand():
+    image = np.array([[[0] * 3, [100] * 3]], np.uint8)
+    assert crops.resized(image, 4, 1)[0, :, 0].tolist() == [0, 25, 75, 100]
+    assert crops.resized(image, 1, 1)[0, 0, 0] == 50
+    assert (crops.resized(numbered(6, 8), 8, 6) == numbered(6, 8)).all()
+    assert crops.resized(numbered(4, 4), 2, 2)[..., 0].tolist() == [[2, 4], [10, 12]]  # 2.5, 4.5, 10.5, 12.5: halves to even
+
+
+def test_crops_by_hand(spark):
+    """A box of 2 x 2 pixels in a photo of 10 x 6: a square of 4 around it; at the corner; with all but the box black; scaled down."""
+    image = numbered(6, 10)
+    rows = [(1, 10, 6, image.tobytes(), 0.4, 1 / 3, 0.2, 1 / 3), (2, 10, 6, image.tobytes(), 0.8, 2 / 3, 0.2, 1 / 3), (3, None, None, None, 0.1, 0.1, 0.1, 0.1), (4, 10, 6, image.tobytes(), None, 0.1, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "id int, image_width int, image_height int, pixels binary, x_min double, y_min double, Width double, Height double")
+    pixels = lambda r, n: np.frombuffer(r.pixels, np.uint8).reshape(n, n, 3)
+    got = {r.id: r for r in crops.cropped(df, 4).collect()}
+    assert (pixels(got[1], 4) == image[1:5, 3:7]).all() and got[1].Crop == [0.3, 0.1667, 0.7, 0.8333]
+    assert (pixels(got[2], 4) == image[2:6, 6:10]).all() and got[3].pixels is None and got[4].pixels is None
+    black = {r.id: r for r in crops.cropped(df, 4, margin=0.0).collect()}
+    assert (pixels(black[1], 4)[1:3, 1:3] == image[2:4, 4:6]).all() and (pixels(black[1], 4)[0] == 0).all() and (pixels(black[1], 4)[:, 3] == 0).all()
+    large = pixels({r.id: r for r in crops.cropped(df, 8).collect()}[1], 8)
+    assert (large[1:7] == image[:, 1:9]).all() and (large[[0, 7]] == 0).all()
+    half = {r.id: r for r in crops.cropped(df.where("id = 1"), 2, buffer=0.1).collect()}[1]  # 4 pixels with the buffer: half the size
+    assert (pixels(half, 2) == crops.resized(image, 5, 3)[0:2, 1:3]).all()  # of 5 x 3 pixels, from 1.5 and 0.5 cut
+    written = crops.encoded(crops.cropped(df, 4)).collect()
+    assert [jpeg.decode(bytes(r.content)).shape for r in written if r.content is not None] == [(4, 4, 3)] * 2

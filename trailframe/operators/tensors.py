@@ -1,4 +1,4 @@
-"""Pictures as rows (width, height, pixels: rows of red, green and blue bytes): fading, random changes whose numbers are columns, tensors.
+"""Pictures as rows (image_width, image_height, pixels: rows of red, green and blue bytes): fading, random changes whose numbers are columns, tensors.
 
 A change is drawn by Spark expressions from the hash of a key, and done in Arrow batches, one picture at a time. So the draws can be looked
 at, stored, or given by hand, and a picture changes alike wherever it lies."""
@@ -20,7 +20,7 @@ from trailframe.sources import jpeg
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 #: Of red, green and blue in grey.
 GREY = np.array([0.299, 0.587, 0.114])
-PICTURE = ("width", "height", "pixels")
+PICTURE = ("image_width", "image_height", "pixels")
 
 
 def _array(width: int, height: int, pixels: bytes) -> np.ndarray:

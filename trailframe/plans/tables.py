@@ -329,7 +329,7 @@ def photo_headers(spark, sf_dir):
         return settled(found.select("File_Path", "Date_Time", "Description", times.result_text(F.col("Date_Time")).alias("text"), (F.col("bytes_read") < 65536).alias("few_bytes")))
 
 
-@query(f"""SELECT path, CAST(12 + k % 5 AS INTEGER) AS width, 12 AS height, true AS near FROM (SELECT {_PHOTO}) WHERE k % 11 <> 0 AND k % 13 <> 0""")
+@query(f"""SELECT path, CAST(12 + k % 5 AS INTEGER) AS image_width, 12 AS image_height, true AS near FROM (SELECT {_PHOTO}) WHERE k % 11 <> 0 AND k % 13 <> 0""")
 def photo_pixels(spark, sf_dir):
     """Photos of all customers are written, read again and decoded; those that can't be are dropped. `near`: all pixels within two levels."""
     with scratch(spark) as folder:
@@ -340,13 +340,13 @@ def photo_pixels(spark, sf_dir):
         def compare(batches):
             for batch in batches:
                 near = []
-                for path, w, h, data in zip(*[batch.column(c).to_pylist() for c in ("path", "width", "height", "pixels")], strict=True):
+                for path, w, h, data in zip(*[batch.column(c).to_pylist() for c in ("path", "image_width", "image_height", "pixels")], strict=True):
                     n = int(path.rsplit("/", 1)[1].removesuffix(".JPG"))
                     want = np.add([n * 7 % 254 + 1, n * 13 % 254 + 1, n * 29 % 254 + 1], np.indices((h, w)).sum(0)[..., None] % 2)
                     near.append(bool(np.abs(np.frombuffer(data, np.uint8).reshape(h, w, 3) - want).max() <= 2))
-                yield pa.RecordBatch.from_arrays([*batch.select(["path", "width", "height"]).columns, pa.array(near)], ["path", "width", "height", "near"])
+                yield pa.RecordBatch.from_arrays([*batch.select(["path", "image_width", "image_height"]).columns, pa.array(near)], ["path", "image_width", "image_height", "near"])
 
-        found = kept.mapInArrow(compare, "path string, width int, height int, near boolean")
+        found = kept.mapInArrow(compare, "path string, image_width int, image_height int, near boolean")
         return settled(found.withColumn("path", F.regexp_extract("path", "/part-[^/]*/(.*)$", 1)))
 
 

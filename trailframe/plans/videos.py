@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trailframe.functions import times
-from trailframe.operators import tensors
+from trailframe.functions import geometry, times
+from trailframe.operators import crops, tensors
 from trailframe.plans.catalog import _t, query
 from trailframe.sources import jpeg, photos, videos
 from trailframe.sources.shared import scratch, settled
@@ -126,23 +126,66 @@ def picture_draws(spark, sf_dir):
 @query("""WITH p AS (SELECT c_custkey AS k, 12 + c_custkey % 5 AS w, 13 + c_custkey % 3 AS h, c_custkey * 7 % 254 + 1 AS v FROM customer),
 m AS (SELECT *, CAST(floor(0.25 * least(w - 1, h - 1)) AS BIGINT) AS m FROM p),
 c AS (SELECT k, floor(v * (least(1, least(y, h - 2 - y) / (m - 1)::DOUBLE) * least(1, least(x, w - 2 - x) / (m - 1)::DOUBLE))) AS red FROM m, range(0, 20) a(x), range(0, 20) b(y) WHERE x < w - 1 AND y < h - 1)
-SELECT p.k AS c_custkey, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CAST(sum(red) AS BIGINT) AS total, round((any_value(v) / 255.0 - 0.485) / 0.229, 4) AS middle FROM p JOIN c USING (k) GROUP BY p.k, w, h""")
+SELECT p.k AS c_custkey, CAST(w AS INTEGER) AS image_width, CAST(h AS INTEGER) AS image_height, CAST(sum(red) AS BIGINT) AS total, round((any_value(v) / 255.0 - 0.485) / 0.229, 4) AS middle FROM p JOIN c USING (k) GROUP BY p.k, w, h""")
 def faded_pictures(spark, sf_dir):
     """A picture of one colour for each customer, faded to its edges, and the middle of its tensor before that."""
-    rows = _t(spark, sf_dir, "customer").select("c_custkey", (12 + F.col("c_custkey") % 5).cast("int").alias("width"), (13 + F.col("c_custkey") % 3).cast("int").alias("height"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", (12 + F.col("c_custkey") % 5).cast("int").alias("image_width"), (13 + F.col("c_custkey") % 3).cast("int").alias("image_height"))
 
     def make(batches):
         for batch in batches:
             k, w, h = (batch.column(i).to_pylist() for i in range(3))
             out = [bytes([n * 7 % 254 + 1, 1, 200]) * (a * b) for n, a, b in zip(k, w, h, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["c_custkey", "width", "height", "pixels"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["c_custkey", "image_width", "image_height", "pixels"])
 
     def red(batches):
         for batch in batches:
             total = [int(np.frombuffer(p, np.uint8)[::3].sum()) for p in batch.column("pixels").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.select(["c_custkey", "width", "height"]).columns, pa.array(total)], ["c_custkey", "width", "height", "total"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["c_custkey", "image_width", "image_height"]).columns, pa.array(total)], ["c_custkey", "image_width", "image_height", "total"])
 
-    made = rows.mapInArrow(make, "c_custkey long, width int, height int, pixels binary")
-    sums = tensors.faded(made, "c_custkey", 0.25, 0.25).mapInArrow(red, "c_custkey long, width int, height int, total long")
+    made = rows.mapInArrow(make, "c_custkey long, image_width int, image_height int, pixels binary")
+    sums = tensors.faded(made, "c_custkey", 0.25, 0.25).mapInArrow(red, "c_custkey long, image_width int, image_height int, total long")
     middle = tensors.tensors(tensors.centred(made, 8)).select("c_custkey", F.round(F.get("tensor", F.lit(36)).cast("double"), 4).alias("middle"))
     return sums.join(middle, "c_custkey")
+
+
+@query("""WITH b AS (SELECT c_custkey AS k, CAST(c_custkey % 7 AS DOUBLE) / 10 AS x, CAST(c_custkey % 5 AS DOUBLE) / 10 AS y, 0.1 + CAST(c_custkey % 9 AS DOUBLE) / 20 AS w, 0.15 + CAST(c_custkey % 4 AS DOUBLE) / 10 AS h FROM customer),
+l AS (SELECT *, greatest((least(x + w + 0.05, 1) - greatest(x - 0.05, 0)) * 60, (least(y + h + 0.05, 1) - greatest(y - 0.05, 0)) * 44) AS longest FROM b),
+s AS (SELECT *, CASE WHEN longest > 24 THEN 24 / longest END AS scale FROM l),
+d AS (SELECT *, CASE WHEN scale IS NULL THEN 60 ELSE round_even(60 * scale, 0) END AS iw, CASE WHEN scale IS NULL THEN 44 ELSE round_even(44 * scale, 0) END AS ih FROM s),
+f AS (SELECT *, trunc((x + w / 2) * iw - 12) AS fx, trunc((y + h / 2) * ih - 12) AS fy FROM d),
+e AS (SELECT *, CASE WHEN fx < 0 AND fx + 24 > iw THEN 0 ELSE greatest(fx - least(fx, 0) - greatest(fx + 24 - iw, 0), 0) END AS wl, CASE WHEN fy < 0 AND fy + 24 > ih THEN 0 ELSE greatest(fy - least(fy, 0) - greatest(fy + 24 - ih, 0), 0) END AS wt,
+  CASE WHEN fx < 0 AND fx + 24 > iw THEN iw ELSE least(fx - least(fx, 0) - greatest(fx + 24 - iw, 0) + 24, iw) END AS wr, CASE WHEN fy < 0 AND fy + 24 > ih THEN ih ELSE least(fy - least(fy, 0) - greatest(fy + 24 - ih, 0) + 24, ih) END AS wb,
+  0.1 * least(w, h) AS m FROM f),
+r AS (SELECT *, floor(greatest(x - m, 0) * 60) AS rl, floor(greatest(y - m, 0) * 44) AS rt, floor(least(x + w + m, 1) * 60) AS rr, floor(least(y + h + m, 1) * 44) AS rb FROM e)
+SELECT k || '.jpg' AS path, 24 AS image_width, 24 AS image_height, '[' || array_to_string([round_even(wl / iw, 4), round_even(wt / ih, 4), round_even(wr / iw, 4), round_even(wb / ih, 4)], ', ') || ']' AS crop,
+CAST(CASE WHEN scale IS NULL THEN greatest(least(wr, rr) - greatest(wl, rl), 0) * greatest(least(wb, rb) - greatest(wt, rt), 0) END AS BIGINT) AS bright FROM r""")
+def photo_crops(spark, sf_dir):
+    """Photos of all customers are written, read, cut out around a box and written again; `bright` counts the pixels of those crops that
+    aren't black, where the photo was not scaled."""
+    k = F.col("c_custkey")
+    boxes = {"x_min": (k % 7).cast("double") / 10, "y_min": (k % 5).cast("double") / 10, "Width": 0.1 + (k % 9).cast("double") / 20, "Height": 0.15 + (k % 4).cast("double") / 10}
+    rows = _t(spark, sf_dir, "customer").select(F.concat(k.cast("string"), F.lit(".jpg")).alias("name"), *[v.alias(c) for c, v in boxes.items()])
+
+    def make(batches):
+        data = jpeg.encode(np.full((44, 60, 3), 220, np.uint8))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([data] * batch.num_rows, pa.binary())], ["path", "content"])
+
+    def count(batches):
+        for batch in batches:
+            bright = [int((np.frombuffer(p, np.uint8)[::3] > 110).sum()) for p in batch.column("pixels").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.select(["path", "image_width", "image_height"]).columns, pa.array(bright)], ["path", "image_width", "image_height", "bright"])
+
+    def pictures(folder):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        return photos.decoded(read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content"))
+
+    with scratch(spark) as folder:
+        photos.write_photos(rows.select("name").mapInArrow(make, "path string, content binary"), f"{folder}/photos")
+        cut = crops.cropped(pictures(f"{folder}/photos").join(rows, F.col("path") == F.col("name")), 24, 0.1, 0.05)
+        cut = settled(crops.encoded(cut))
+        photos.write_photos(cut, f"{folder}/crops")
+        found = pictures(f"{folder}/crops").mapInArrow(count, "path string, image_width int, image_height int, bright long")
+        plain = geometry.new_scale(*[F.col(c) for c in boxes], F.lit(60), F.lit(44), 0.05, 24).isNull()
+        cut = cut.select("path", plain.alias("plain"), F.concat(F.lit("["), F.array_join(F.transform("Crop", lambda v: v.cast("string")), ", "), F.lit("]")).alias("crop"))
+        return settled(found.join(cut, "path").select("path", "image_width", "image_height", "crop", F.when(F.col("plain"), F.col("bright")).alias("bright")))

@@ -141,14 +141,14 @@ def _whole_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) ->
     return files.select("path", "length", "content").mapInArrow(run, SCHEMA + ", length long, bytes_read long")
 
 
-PIXELS = "width int, height int, pixels binary"
+PIXELS = "image_width int, image_height int, pixels binary"
 
 
 def decoded(photos: DataFrame, content: str = "content") -> DataFrame:
-    """The table with width, height and pixels (rows of red, green and blue bytes) of the JPEG in `content`, which is left out. All three
+    """The table with image_width, image_height and pixels (rows of red, green and blue bytes) of the JPEG in `content`, which is left out. All three
     are null where it is null, damaged, or not baseline. One photo is decoded at a time."""
     rest = [c for c in photos.columns if c != content]
-    for c in ("width", "height", "pixels"):
+    for c in ("image_width", "image_height", "pixels"):
         if c in rest:
             raise ValueError(f"the table has a column {c} already")
 
@@ -165,7 +165,7 @@ def decoded(photos: DataFrame, content: str = "content") -> DataFrame:
                 values = [None, None, None] if found is None else [found.shape[1], found.shape[0], found.tobytes()]
                 kinds = [pa.int32(), pa.int32(), pa.binary()]
                 row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in rest], *[pa.array([v], t) for v, t in zip(values, kinds, strict=True)]], [*rest, "width", "height", "pixels"])
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in rest], *[pa.array([v], t) for v, t in zip(values, kinds, strict=True)]], [*rest, "image_width", "image_height", "pixels"])
 
     schema = StructType([f for f in photos.schema.fields if f.name != content] + StructType.fromDDL(PIXELS).fields)
     return photos.mapInArrow(run, schema)
