@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailframe.plans.videos import avi, mp4
-from trailframe.sources import jpeg, media, photos, videos
+from trailframe.sources import files, jpeg, media, photos, videos
 
 Y_TABLE, C_TABLE = np.arange(1, 65) % 7 + 1, np.arange(1, 65) % 5 + 2
 
@@ -146,6 +146,42 @@ def test_header_after_many_segments(spark, tmp_path):
     assert not rows["c.jpg"].readable
 
 
+def test_only_new_files_are_read(spark, tmp_path):
+    tags = lambda t: b"\xff\xd8" + photos.header(original=t, description="d") + b"\xff\xd9"
+    for i in range(6):
+        (tmp_path / f"{i}.jpg").write_bytes(tags(f"2024:01:0{i + 1} 00:00:00"))
+    read = []
+
+    def scan(wanted):
+        listed = files.listing(spark, str(tmp_path), (".jpg",))
+        new = listed.join(wanted.select(F.col("File_Path").alias("path")), "path", "left_semi")
+        read.append(new.count())
+        return photos.cached_tags(photos.tags_of(new))
+
+    every = files.listing(spark, str(tmp_path), (".jpg",)).select(F.col("path").alias("File_Path"))
+    cache = photos.refreshed(spark.createDataFrame([], "File_Path string, Date_Time string, Description string"), every, scan)
+    cache = spark.createDataFrame(cache.collect(), cache.schema)
+    (tmp_path / "6.jpg").write_bytes(tags("2024:01:07 00:00:00"))
+    (tmp_path / "0.jpg").unlink()
+    every = files.listing(spark, str(tmp_path), (".jpg",)).select(F.col("path").alias("File_Path"))
+    rows = photos.refreshed(cache, every, scan).collect()
+    assert read == [6, 1] and sorted(r.Date_Time for r in rows) == [f"2024:01:0{i + 1} 00:00:00" for i in range(1, 7)]
+    gone = photos.tags_of(spark.createDataFrame([(f"file:{tmp_path}/none.jpg", 5)], "path string, length long")).first()
+    assert not gone.readable and gone.bytes_read == 0
+
+
+def test_another_decoder(spark):
+    df = spark.createDataFrame([(1, b"ok"), (2, b"no"), (3, None)], "id int, content binary")
+
+    def plain(data):
+        if data != b"ok":
+            raise ValueError("no")
+        return np.full((1, 2, 3), 7, np.uint8)
+
+    got = {r.id: (r.image_width, r.pixels and bytes(r.pixels)) for r in photos.decoded(df, decode=plain).collect()}
+    assert got == {1: (2, b"\7" * 6), 2: (None, None), 3: (None, None)}
+
+
 def test_files_are_dealt_by_what_is_read(tmp_path):
     for i in range(10):
         (tmp_path / f"{i}.jpg").write_bytes(bytes(100))

@@ -5,7 +5,6 @@ Importing this adds them to the catalog. Those that need files write the rows of
 
 from __future__ import annotations
 
-import json
 import struct
 from dataclasses import dataclass, field
 
@@ -446,15 +445,18 @@ class _Settings:
     CLASS_NAME_CHANGE: dict = field(default_factory=dict)
 
 
-@query("""SELECT 'CLASS_NAME_CHANGE' AS key, '{"song thrush": "thrush"}' AS value UNION ALL SELECT 'FILTER_METHOD', '"difference"' UNION ALL SELECT 'IMAGE_LIMIT', '20000'
-UNION ALL SELECT 'LOW_CONF', '["rat", "stoat"]' UNION ALL SELECT 'unknown', 'OTHER' UNION ALL SELECT 'class', string_agg(n_name, ',' ORDER BY n_name) FROM nation""")
+@query("""WITH i AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT DISTINCT event_type AS name FROM events))
+SELECT event_id, CASE event_type WHEN 'click' THEN 'press' ELSE event_type END AS name, CAST(id AS INTEGER) AS class_id, 'OTHER' AS unknown FROM events JOIN i ON name = event_type WHERE event_type <> 'view' AND value > 100""")
 def settings_and_classes(spark, sf_dir):
-    text = "LOW_CONF: \"['rat', 'stoat']\"\nFILTER_METHOD: difference\nCLASS_NAME_CHANGE:\n  song thrush: thrush\nOTHER: 1\n"
-    names = sorted(r[0] for r in _t(spark, sf_dir, "nation").select("n_name").collect())
+    """Events filtered and renamed as a file of settings says, with their types' places in a written list of classes."""
+    text = "LOW_CONF: \"['view']\"\nIMAGE_LIMIT: 100\nCLASS_NAME_CHANGE:\n  click: press\nOTHER: 1\n"
+    rows = _t(spark, sf_dir, "events")
     with scratch(spark) as folder:
         _put(spark, f"{folder}/settings.yaml", text.encode())
         cfg, unknown = files.read_settings(spark, f"{folder}/settings.yaml", _Settings())
+        names = rows.agg(F.array_sort(F.collect_set("event_type"))).first()[0]  # a name for each class
         files.write_classes(spark, names, f"{folder}/classes")
         back = files.read_classes(spark, f"{folder}/classes")
-    rows = [(k, json.dumps(v)) for k, v in sorted(vars(cfg).items())] + [("unknown", ",".join(unknown)), ("class", ",".join(back))]
-    return spark.createDataFrame(rows, "key string, value string")
+    kept = curation.without(rows, "event_type", cfg.LOW_CONF).where(F.col("value") > cfg.IMAGE_LIMIT)
+    place = F.array_position(F.array(*[F.lit(n) for n in back]), F.col("event_type")) - 1
+    return kept.select("event_id", curation.renamed(F.col("event_type"), cfg.CLASS_NAME_CHANGE).alias("name"), place.cast("int").alias("class_id"), F.lit(",".join(unknown)).alias("unknown"))

@@ -80,20 +80,18 @@ def _codes(counts: bytes, symbols: bytes, first: bool) -> tuple[list[int], list[
 def _scan(data: bytes, units: list[tuple[int, tuple, tuple]], n: int, base: list[int]) -> tuple[list[int], list[int]]:
     """Where (64 * block + place) and which values: n times the blocks of `units` (component, tables), blocks counted from `base`, which
     is moved on. First coefficients are differences."""
-    padded = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + bytes(8), np.uint8).astype(np.int64)
+    padded = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + bytes(16), np.uint8).astype(np.int64)
     wide = sum(padded[i : len(padded) - 4 + i] << (8 * (4 - i)) for i in range(5)).tolist()  # 40 bits from each byte on
-    end = 8 * (len(padded) - 8)
     where, values = [], []
+    found, put = where.append, values.append
     p = 0
     for _ in range(n):
         for c, dc, ac in units:
-            at = base[c] * 64
+            at = base[c] * 64 | c << 48
             base[c] += 1
             stop = at + 64
             quick, slow = dc
             while at < stop:
-                if p > end:
-                    raise Damaged("cut off")
                 x = (wide[p >> 3] >> (24 - (p & 7))) & 0xFFFF
                 e = quick[x]
                 if e:
@@ -118,11 +116,11 @@ def _scan(data: bytes, units: list[tuple[int, tuple, tuple]], n: int, base: list
                 if at >= stop:
                     raise Damaged("too many coefficients")
                 if v:
-                    where.append(at | c << 48)
-                    values.append(v)
+                    found(at)
+                    put(v)
                 at += 1
                 quick, slow = ac
-    if p > end:
+    if p > 8 * (len(padded) - 16):
         raise Damaged("cut off")
     return where, values
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -144,9 +145,34 @@ def _whole_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) ->
 PIXELS = "image_width int, image_height int, pixels binary"
 
 
-def decoded(photos: DataFrame, content: str = "content") -> DataFrame:
+def tags_of(files: DataFrame) -> DataFrame:
+    """SCHEMA, length and bytes_read of the files of a listing (path, length), read by ranges: of new files only, say. Files are dealt evenly,
+    as a listing follows folders. Files that can't be opened any more count as unreadable."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                read = None
+                try:
+                    system, inside, _ = media.located(path)
+                    with system.open_input_file(inside) as file:
+                        read = media.Ranged(file, length)
+                        found = tags(read)
+                except FileNotFoundError:
+                    found = (None, None, None, False, False)
+                rows.append((path, *found, length, read.bytes_read if read else 0))
+            kinds = [*TYPES, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [*NAMES, "length", "bytes_read"])
+
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "length").repartition(n, "path").mapInArrow(run, SCHEMA + ", length long, bytes_read long")
+
+
+def decoded(photos: DataFrame, content: str = "content", decode: Callable[[bytes], np.ndarray] = jpeg.decode) -> DataFrame:
     """The table with image_width, image_height and pixels (rows of red, green and blue bytes) of the JPEG in `content`, which is left out. All three
-    are null where it is null, damaged, or not baseline. One photo is decoded at a time."""
+    are null where it is null, damaged, or not baseline. One photo is decoded at a time. `decode` may be another decoder, from bytes to an
+    array of height x width x 3; it says by a ValueError that a photo is damaged."""
     rest = [c for c in photos.columns if c != content]
     for c in ("image_width", "image_height", "pixels"):
         if c in rest:
@@ -154,8 +180,8 @@ def decoded(photos: DataFrame, content: str = "content") -> DataFrame:
 
     def image(data: bytes | None):
         try:
-            return None if data is None else jpeg.decode(data)
-        except jpeg.Damaged:
+            return None if data is None else decode(data)
+        except ValueError:  # jpeg.Damaged is one
             return None
 
     def run(batches):
