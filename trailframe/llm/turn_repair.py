@@ -130,6 +130,7 @@ def _runs(rows: DataFrame) -> DataFrame:
     rows = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"),
+        F.monotonically_increasing_id().alias("salt"),  # of the input's order, so that a task that runs again deals rows alike
     )
     digest = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
     blank, stop = bare == "", F.right(bare, F.lit(1)).isin(*STOPS)
@@ -141,7 +142,7 @@ def _runs(rows: DataFrame) -> DataFrame:
     fault = F.when((F.col("fault") != "b") & (at > F.col("earliest")), "d").otherwise(F.col("fault"))
     order = ["conv_id", "turn", "role", F.left("text", F.lit(64)), "digest"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("conv_id", "turn", "role", "text", "digest", fault.alias("fault"), F.rand(1).alias("salt")).repartitionByRange(n, *order, "salt")
+    dealt = rows.select("conv_id", "turn", "role", "text", "digest", fault.alias("fault"), "salt").repartitionByRange(n, *order, "salt")
     return C.checkpoint(dealt.sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "fault", F.spark_partition_id().alias("pid")))
 
 
