@@ -88,6 +88,24 @@ def test_shares_as_targets_and_no_rows(spark):
         training.examples(df, "id", "f", 2)
 
 
+def test_quantiles_against_sorted_values(spark):
+    r = np.random.default_rng(2)
+    groups = [None, 1, 2, 3]
+    values = {1: r.integers(0, 5, 400).astype(float), 2: r.random(5000), 3: np.array([7.0]), None: np.array([1.0, 4.0])}
+    rows = [(g, float(v)) for g in groups for v in values[g]] + [(g, None) for g in (1, 9)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(4)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.973, "e": 1.0}
+    got = {q.g: q for q in metrics.quantiles(df, ["g"], "x", shares).collect()}
+    assert set(got) == set(groups)
+    for g in groups:
+        assert [got[g][n] for n in shares] == pytest.approx(np.quantile(values[g], list(shares.values())))
+    every = metrics.quantiles(df, [], "x", {"m": 0.5}).collect()
+    assert [q.m for q in every] == pytest.approx([np.median(np.concatenate(list(values.values())))])
+    told = {d.g: d for d in metrics.described(df, ["g"], "x").collect()}
+    assert (told[9].n, told[9].middle, told[9].low) == (0, None, None) and told[2].q1 == pytest.approx(np.quantile(values[2], 0.25))
+    assert metrics.quantiles(df.limit(0), ["g"], "x", shares).collect() == []
+
+
 def test_average_precision_of_a_hot_class(spark):
     """95 % of the rows are of one class, half of them with scores near 0: ranges of a class are alike in size, and rows are the same."""
     r = np.random.default_rng(0)

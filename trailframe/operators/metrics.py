@@ -78,13 +78,44 @@ def macro(df: DataFrame, target: str, prediction: str) -> DataFrame:
     return rows.agg(F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), F.count("*").alias("n_classes"))
 
 
+def quantiles(df: DataFrame, groups: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """The groups and a column for each share: the exact quantile of the values that aren't null, between two values in proportion. Values
+    are counted, and their places found in ranges of a group after the counts of the ranges below, so no task holds a group's values.
+    Groups without a value have no row."""
+    counts = settled(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("__n")))
+    ranged = score_ranges(counts.withColumn("__key", F.struct(*groups, F.lit(0).alias("__one"))), "__key", column)
+    sums = ranged.groupBy(F.col("__key").alias("__k"), F.col("__range").alias("__r")).agg(F.sum("__n").alias("__c"))
+    below = Window.partitionBy("__k").orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__k", "__r", F.coalesce(F.sum("__c").over(below), F.lit(0)).alias("__below"), F.sum("__c").over(Window.partitionBy("__k")).alias("__all"))
+    rows = ranged.join(sums, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r")))
+    end = F.col("__below") + F.sum("__n").over(Window.partitionBy("__key", "__range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(*groups, "__key", column, "__all", end.alias("__end"), (end - F.col("__n")).alias("__start"))
+    ends = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        for part, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            ends.append(F.max(F.when((F.col("__start") <= place) & (place < F.col("__end")), F.col(column).cast("double"))).alias(f"__{name}_{part}"))
+    found = rows.groupBy(*groups, "__key").agg(F.max("__all").alias("__all"), *ends)
+    part = lambda share: F.lit(float(share)) * (F.col("__all") - 1) - F.floor(F.lit(float(share)) * (F.col("__all") - 1))
+    values = [((1 - part(s)) * F.col(f"__{n}_low") + part(s) * F.col(f"__{n}_high")).alias(n) for n, s in shares.items()]
+    return found.select(*groups, *values)
+
+
+#: Fixed shares.
+QUARTILES = {"q1": 0.25, "middle": 0.5, "q3": 0.75}
+
+
 def described(df: DataFrame, groups: list[str], column: str, exact: bool = True) -> DataFrame:
-    """n, mean, std, low, q1, middle, q3, high of the values that aren't null. Quartiles are exact, from counts of distinct values, for
-    columns with a bounded number of them in each group; else not `exact`, from a sketch of bounded size."""
+    """n, mean, std, low, q1, middle, q3, high of the values that aren't null. Quartiles are exact, or of a sketch of bounded size, which takes
+    one pass."""
     c = F.col(column)
-    quartile = F.percentile if exact else (lambda x, share: F.percentile_approx(x, share, 10000).cast("double"))
-    quartiles = [quartile(c, share).alias(name) for name, share in (("q1", 0.25), ("middle", 0.5), ("q3", 0.75))]
-    return df.groupBy(*groups).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *quartiles, F.max(c).alias("high"))
+    sketched = [] if exact else [F.percentile_approx(c, share, 10000).cast("double").alias(name) for name, share in QUARTILES.items()]
+    out = df.groupBy(*groups).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *sketched, F.max(c).alias("high"))
+    if exact:
+        named = {g: f"__g{i}" for i, g in enumerate(groups)}
+        exact_ones = quantiles(df, groups, column, QUARTILES).withColumnsRenamed(named)
+        out = out.join(exact_ones, [F.col(g).eqNullSafe(F.col(n)) for g, n in named.items()] or F.lit(True), "left")
+    return out.select(*groups, "n", "mean", "std", "low", *QUARTILES, "high")
 
 
 def described_columns(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
