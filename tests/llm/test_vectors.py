@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,11 +135,25 @@ def test_top_k_in_several_passes_and_small_blocks(spark, odd, monkeypatch):
     assert sorted(map(tuple, found), key=str) == best(rows)
 
 
+def test_blocks_of_long_vectors_are_small():
+    r = np.random.default_rng(0)
+    rows = [(i, r.integers(-9, 9, r.choice([0, 1, 7, 300])).tolist()) for i in range(400)]
+    batches = [pa.RecordBatch.from_pydict({"vec_id": [i for i, _ in rows[a : a + 90]], "v": pa.array([v for _, v in rows[a : a + 90]], pa.list_(pa.int32()))}) for a in range(0, 400, 90)]
+    seen = []
+    for ids, x in vectors.blocks(batches, 50, 2000):
+        assert len(x) <= 50 and x.size <= 2000 and len(ids) == len(x)
+        seen += [(i, row[: len(dict(rows)[i])].tolist(), row[len(dict(rows)[i]) :].any()) for i, row in zip(ids.to_pylist(), x, strict=True)]
+    assert seen == [(i, v, False) for i, v in rows]
+    assert [x.shape for _, x in vectors.blocks(batches[:1], 50, 10)][0][0] >= 1
+
+
 def test_top_k_with_few_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, v array<int>")
     assert sorted_lists.top_k(empty, empty).collect() == []
     two = spark.createDataFrame([(0, [1, 2]), (7, [3])], "vec_id long, v array<int>")
     assert [tuple(r) for r in sorted_lists.top_k(two, two.where("vec_id = 0")).collect()] == [(0, 1, 7, 3)]
+    none = spark.createDataFrame([(0, []), (7, []), (3, [])], "vec_id long, v array<int>")
+    assert sorted(tuple(r) for r in sorted_lists.top_k(none, none.where("vec_id = 0")).collect()) == [(0, 1, 3, 0), (0, 2, 7, 0)]
 
 
 def test_lists_lose_no_candidate_and_stop_early():

@@ -14,7 +14,7 @@ from trailframe.llm import common as C
 from trailframe.llm import vectors
 
 SCALE, K, EVERY = 256, 5, 50
-#: Vectors whose lists are sorted together, and queries that go to all tasks at once (2 MB at 64 components).
+#: Vectors whose lists are sorted together, and queries that go to all tasks at once; of long vectors fewer, 8 MB of either.
 BLOCK, QUERIES = 2048, 8192
 #: Reading stops where the candidates left are at most this share of the block, or as many as are wanted. The first depth, as a share of
 #: the lists, and by how much it grows.
@@ -103,11 +103,12 @@ def _pass(rows: DataFrame, query_ids: list[int], queries: np.ndarray, k: int) ->
     return rows.mapInArrow(run, _FOUND)
 
 
-def _query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Ids and vectors of `most` queries at a time; the driver holds one such block, and one packed row, at once."""
+def _query_blocks(queries: DataFrame, most: int, numbers: int = vectors.NUMBERS) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Ids and vectors of `most` queries, and `numbers` components, at a time; the driver holds one such block, and what one task has packed,
+    at once."""
 
     def pack(batches):
-        for ids, x in vectors.blocks(batches, most):
+        for ids, x in vectors.blocks(batches, most, numbers):
             yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([x.astype(np.int32).tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["ids", "x", "width"])
 
     held_ids: list[int] = []
@@ -119,7 +120,8 @@ def _query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[list[int], np
 
     for row in queries.mapInArrow(pack, "ids array<long>, x binary, width int").toLocalIterator():
         x = np.frombuffer(row["x"], np.int32).reshape(len(row["ids"]), row["width"]).astype(np.int64)
-        if held_ids and len(held_ids) + len(x) > most:
+        widest = max([x.shape[1], *(h.shape[1] for h in held)])
+        if held_ids and (len(held_ids) + len(x) > most or (len(held_ids) + len(x)) * widest > numbers):
             yield joined()
             held_ids, held = [], []
         held_ids = held_ids + list(row["ids"])

@@ -26,30 +26,36 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if (lengths == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(lengths), width)
     out = np.zeros((len(lengths), width), np.int64)
     out[np.arange(width) < lengths[:, None]] = flat
     return out
 
 
-def blocks(batches, most: int):
-    """Ids (a pyarrow array) and vectors of about `most` rows at a time, as matrices; shorter vectors are filled with zeros."""
+#: Numbers in a block of vectors at most, but for a single vector that has more: 8 MB as longs.
+NUMBERS = 1 << 20
+
+
+def blocks(batches, most: int, numbers: int = NUMBERS):
+    """Ids (a pyarrow array) and vectors of `most` rows at most at a time, fewer if they are long, as matrices; shorter vectors are filled
+    with zeros."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = widest = 0
 
     def joined():
         table = pa.Table.from_batches(held).combine_chunks()
-        column = table.column("v").chunk(0)
-        widest = int(np.diff(column.offsets.to_numpy()).max(initial=0))
-        return table.column("vec_id").chunk(0), matrix(column, widest)
+        return table.column("vec_id").chunk(0), matrix(table.column("v").chunk(0), widest)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            piece = batch.slice(at, most)
-            if n and n + piece.num_rows > most:
+        lengths = np.diff(batch.column("v").offsets.to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            step = max(1, min(most, numbers // max(1, int(lengths[at : at + most].max()))))
+            piece, wide = batch.slice(at, step), int(lengths[at : at + step].max())
+            if n and (n + piece.num_rows > most or (n + piece.num_rows) * max(widest, wide) > numbers):
                 yield joined()
-                held, n = [], 0
+                held, n, widest = [], 0, 0
             held.append(piece)
-            n += piece.num_rows
+            n, widest, at = n + piece.num_rows, max(widest, wide), at + step
     if n:
         yield joined()
