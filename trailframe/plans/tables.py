@@ -269,23 +269,21 @@ def _put(spark, name: str, data: bytes) -> None:
     out.close()
 
 
-def _fixture(spark, sf_dir, folder: str) -> list:
-    """A file for each nation: folder/REGION/class/NATION.jpg or .MP4, .avi and others by its key."""
-    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()  # 25 rows
-    for r in rows:
-        kind = (".JPG", ".MP4", ".avi", ".jpg", ".txt")[r.n_nationkey % 5]
-        date = f"2024:01:{r.n_nationkey + 1:02d} 10:00:00"
-        tags = photos.header(date if r.n_nationkey % 2 else " ", "2020:02:02 02:02:02", r.n_name if r.n_nationkey % 4 else "  ")
-        data = b"\xff\xd8" + tags + b"\xff\xd9" if r.n_nationkey != 8 else b"no photo"
-        _put(spark, f"{folder}/{r.r_name}/class{r.n_nationkey % 3}/{r.n_name}{kind}", data if kind.lower() == ".jpg" else r.n_name.encode())
-    return rows
+def _fixture(spark, sf_dir, folder: str) -> None:
+    """A file for each customer, written by tasks: REGION/class/CUSTOMER.JPG or .MP4, .avi and others by its key, with its name inside."""
+    rows = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    kind = F.get(F.array(*[F.lit(x) for x in (".JPG", ".MP4", ".avi", ".jpg", ".txt")]), (k % 5).cast("int"))
+    path = F.concat("r_name", F.lit("/class"), (k % 3).cast("string"), F.lit("/"), "c_name", kind)
+    photos.write_photos(rows.select(path.alias("path"), F.col("c_name").cast("binary").alias("content")), folder)
 
 
-PLACES = """f AS (SELECT n_nationkey AS k, n_name, concat(r_name, '/class', n_nationkey % 3, '/', n_name, ['.JPG', '.MP4', '.avi', '.jpg', '.txt'][n_nationkey % 5 + 1]) AS path FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+PLACES = """f AS (SELECT c_custkey AS k, c_name, concat(r_name, '/class', c_custkey % 3, '/', c_name, ['.JPG', '.MP4', '.avi', '.jpg', '.txt'][c_custkey % 5 + 1]) AS path
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def _below(folder: str):
-    return F.regexp_extract("path", f"{folder.rsplit('/', 1)[1]}/(.*)$", 1)
+def _below():
+    return F.regexp_extract("path", "/part-[^/]*/(.*)$", 1)
 
 
 def _customer_photos(spark, sf_dir, pixels: int):
@@ -349,7 +347,7 @@ def photo_pixels(spark, sf_dir):
         return settled(found.withColumn("path", F.regexp_extract("path", "/part-[^/]*/(.*)$", 1)))
 
 
-@query(f"""WITH {PLACES} SELECT path, CASE WHEN k % 5 IN (1, 2) THEN length(n_name) END AS size, concat('class', k % 3) AS target,
+@query(f"""WITH {PLACES} SELECT path, CASE WHEN k % 5 IN (1, 2) THEN length(c_name) END AS size, concat('class', k % 3) AS target,
 CASE k % 5 WHEN 2 THEN 0 WHEN 1 THEN 1 END AS kind FROM f WHERE k % 5 <> 4""")
 def listing(spark, sf_dir):
     """Photos and videos of a folder: their sizes (of videos), classes by folder, and whether videos are numbered by kind."""
@@ -362,7 +360,7 @@ def listing(spark, sf_dir):
         rows = found.join(clips, "path", "left").join(labelled, "path")
         movie = F.col("video_id").isNotNull()
         kind = F.when(movie, F.when(F.col("video_id") < n_avi, 0).otherwise(1))
-        return settled(rows.select(_below(folder).alias("path"), F.when(movie, F.col("length")).alias("size"), "target", kind.alias("kind")))
+        return settled(rows.select(_below().alias("path"), F.when(movie, F.col("length")).alias("size"), "target", kind.alias("kind")))
 
 
 @query(f"WITH {PLACES}, v AS (SELECT count(*) FILTER (k % 5 IN (1, 2)) AS n FROM f) SELECT unnest(range(0, n)) AS video_id FROM v")
@@ -377,7 +375,7 @@ def classes_from_folders(spark, sf_dir):
     with scratch(spark) as folder:
         _fixture(spark, sf_dir, folder)
         every = files.listing(spark, folder, (".jpg", ".mp4", ".avi", ".txt"))
-        return settled(files.class_folders(every, folder.removeprefix("file:")))
+        return settled(files.class_folders(every, folder.removeprefix("file:") + "/part"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '1977-10-22 00:00:00' WHEN n_nationkey % 3 = 1 THEN '2024-01-02 00:00:00' ELSE '2023-05-06 00:00:00' END AS at FROM nation")
