@@ -1,5 +1,6 @@
 """More of the operators against brute force: passages, neighbours, gradients, random strings, batches, choices of the pipeline."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -10,8 +11,10 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SCHEMA, prose, rows_of
+from pyspark.sql import functions as F
 
 from trailframe.llm import common as C
 from trailframe.llm import decontamination, line_crf, quality_knn, secrets, suffix_dedup, token_rollup
@@ -77,9 +80,11 @@ def test_passages_by_brute_force(spark, monkeypatch):
     got = [decontamination.find_passages(frame, bench).drop("key").collect()]
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 0)  # the shuffled way
     got.append(decontamination.find_passages(frame, bench).drop("key").collect())
+    monkeypatch.setattr(decontamination, "PART", 3)  # buckets in very many parts
+    got.append(decontamination.find_passages(frame, bench).drop("key").collect())
     for rows in got:
         assert Counter((x.doc_id, x.item_id, x.n_equal) for x in rows) == want
-    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1]))
+    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1])) == Counter(map(tuple, got[2]))
     clean = {x.doc_id for x in decontamination.decontaminate(frame, bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _, _ in want}
     monkeypatch.undo()
@@ -274,6 +279,22 @@ def test_without_keys(spark):
     assert {r.v for r in out.collect() if 20 <= r.k < 30} == {min(f"v{k + 50 * j}" for j in range(4)) for k in range(20, 30)}
 
 
+def test_filters_grow_with_what_they_mark(spark, monkeypatch):
+    marked = C.marked
+    rows = spark.range(3000).withColumn("v", F.col("id") % 7)
+    hashed = spark.createDataFrame(pd.DataFrame({"bit": C.bit_hash(np.arange(1000))}))
+    for width, widest, made in ((6, 6, 6), (6, 10, 10), (12, 20, 13), (16, 20, 16)):
+        flags = marked(hashed, width, widest)
+        assert len(flags) * 8 == 1 << made
+        assert C.is_marked(flags, np.arange(1000)).all()
+        others = C.is_marked(flags, np.arange(1000, 9000)).mean()
+        assert others < 0.16 if made > 10 else others > 0.5
+        monkeypatch.setattr(C, "marked", functools.partial(marked, width=width, widest=widest))
+        out = C.without_keys(rows, "id", spark.range(1000), spark.range(1000, 1100))
+        assert sorted(r.id for r in out.collect()) == list(range(1000, 3000))
+    assert not C.is_marked(marked(hashed.limit(0), 6, 10), np.arange(100)).any()
+
+
 def test_duplicates_are_chosen_alike(spark, odd_docs):
     def kept(docs):
         return sorted(map(str, corpus_pipeline.near_duplicates(spark, docs, BASE).collect()))

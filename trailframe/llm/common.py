@@ -155,24 +155,36 @@ def text_chunks(batch: pa.RecordBatch, most: int = 2_000_000, name: str = "doc_i
         yield ids, texts
 
 
-#: Bits of the filter that marks candidate documents: 1 MB, however many there are.
-FILTER_BITS = 1 << 23
+#: Bits of a filter that marks rows, as a power of two: 1 MB, and up to 16 MB where more are marked.
+FILTER_WIDTH, WIDEST_FILTER = 23, 27
 
 
-def bit_of(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - 23)).astype(np.int64)
+def bit_hash(ids: np.ndarray) -> np.ndarray:
+    """The hash whose first bits are an id's place in a filter of any width."""
+    return mix(ids.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
-def marked(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of the ids in column `bit` (0 to FILTER_BITS - 1). 1 MB reaches the driver, whatever the input."""
-    found = ids.groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("m")).collect()
-    out = np.zeros(FILTER_BITS, bool)
-    for r in found:  # buckets and bits count from 1
-        at = (r["b"] - 1) * 32768
-        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        part = out[at : at + 32768]
-        part |= bits[: len(part)].astype(bool)
-    return np.packbits(out)
+def _filter(ids: DataFrame, width: int) -> np.ndarray:
+    place = f"shiftrightunsigned(bit, {64 - width}) + 1"  # buckets and bits count from 1
+    found = ids.groupBy(F.expr(f"bitmap_bucket_number({place})").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias("m")).collect()
+    out = np.zeros(max(1 << width, 32768) >> 3, np.uint8)
+    for r in found:
+        part = np.frombuffer(bytes(r["m"]), np.uint8)
+        at = (r["b"] - 1) * 4096
+        out[at : at + len(part)] |= part
+    return out[: 1 << width >> 3]
+
+
+def marked(ids: DataFrame, width: int = FILTER_WIDTH, widest: int = WIDEST_FILTER) -> np.ndarray:
+    """A filter of the ids whose hashes are in column `bit`, as bytes. If more than an eighth of its bits are set it is made again, so
+    wide that about an eighth will be, `widest` at most; that much reaches the driver and each task. It may mark other rows too, so what
+    is marked must be joined with the ids; where even the widest one fills up, that join is over all rows."""
+    out = _filter(ids, width)
+    share = np.bitwise_count(out).sum() / (8 * len(out))
+    if share <= 1 / 8 or width >= widest:
+        return out
+    distinct = -np.log1p(-share) * 8 * len(out) if share < 1 else np.inf
+    return _filter(ids, min(widest, int(np.ceil(np.log2(8 * distinct))))) if share < 1 else _filter(ids, widest)
 
 
 def without_keys(docs: DataFrame, key: str, dropped: DataFrame, once: DataFrame | None = None) -> DataFrame:
@@ -182,7 +194,7 @@ def without_keys(docs: DataFrame, key: str, dropped: DataFrame, once: DataFrame
 
     def bits(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bit_of(batch.column(0).to_numpy(zero_copy_only=False)))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(bit_hash(batch.column(0).to_numpy(zero_copy_only=False)))], ["bit"])
 
     flags = marked(touched.mapInArrow(bits, "bit long"))
     at = docs.columns.index(key)
@@ -205,8 +217,9 @@ def without_keys(docs: DataFrame, key: str, dropped: DataFrame, once: DataFrame
 
 
 def is_marked(filter_bytes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bit = bit_of(ids)
-    return (filter_bytes[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+    width = len(filter_bytes).bit_length() + 2
+    bit = (bit_hash(ids).view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)
+    return (filter_bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
 _B = 0x9E3779B97F4A7C15

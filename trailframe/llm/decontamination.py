@@ -34,6 +34,8 @@ MASKS = ("1111", "1110111")
 SHORT_MASKS = {3: ("111",), 5: ("11011", "10111", "11101"), 6: ("110111", "111011"), 10: ("111011", "110111")}
 MATCHES, SHARE, SHORTEST = 12, 0.8, 3
 BLOCK_BYTES = 16_000_000
+#: Seeds of texts that meet the items of one bucket in one task of the shuffled join, or those of one chunk of texts.
+PART = 1 << 20
 #: Hits, and words compared, at a time.
 PIECE = 1_000_000
 _TABLE_BITS = 22
@@ -239,7 +241,7 @@ def _item_seeds(n: int):
 def _bits(batches):
     for batch in batches:
         for x in batch.column("seeds"):
-            yield pa.RecordBatch.from_arrays([pa.array(C.bit_of(np.frombuffer(x.as_py(), np.int64)))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.bit_hash(np.frombuffer(x.as_py(), np.int64)))], ["bit"])
 
 
 def _text_seeds(flags, n: int):
@@ -292,13 +294,21 @@ def _checked(batches):
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The passages by a shuffled join of seeds."""
+    """The passages by a shuffled join of seeds. A seed that very many texts hold fills its bucket, so the texts' seeds of a bucket are
+    dealt over as many tasks as they need, and the bucket's items go to each of them."""
     n = C.bucket_count(docs.sparkSession)
     items = items.select(F.xxhash64("doc_id", "text").alias("item"), F.col("doc_id").alias("item_id"), "text")
     seeds = C.checkpoint(items.select("item", "text").mapInArrow(_item_seeds(n), "bucket int, seeds binary, keys binary, places binary"))
     flags = C.marked(seeds.select("seeds").mapInArrow(_bits, "bit long"))
     found = docs.select("key", "text").mapInArrow(_text_seeds(flags, n), "bucket int, seeds binary, keys binary, places binary")
-    hits = found.groupBy("bucket").cogroup(seeds.groupBy("bucket")).applyInArrow(_meet, "key long, item long, start long")
+    found = C.checkpoint(found)
+    loads = found.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("seeds")) / F.lit(8 * PART)).alias("parts"))
+    loads = C.checkpoint(loads)  # a row for each bucket at most
+    part = F.pmod(F.xxhash64("keys", "places"), F.col("parts")).alias("part")
+    dealt = found.join(F.broadcast(loads), "bucket").select("bucket", part, "seeds", "keys", "places")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    copied = seeds.join(F.broadcast(loads), "bucket").select("bucket", each, "seeds", "keys", "places")
+    hits = dealt.groupBy("bucket", "part").cogroup(copied.groupBy("bucket", "part")).applyInArrow(_meet, "key long, item long, start long")
     hits = C.checkpoint(hits.distinct())
     pairs = hits.groupBy("key", "item").agg(F.collect_list("start").alias("starts"))  # at most a place for each word of text and item
     near = docs.join(hits.select("key").distinct(), "key", "left_semi")

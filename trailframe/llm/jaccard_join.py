@@ -404,7 +404,7 @@ def _rarest(named: DataFrame) -> DataFrame:
 def _with_bit(rids: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(C.bit_of(np.array(batch.column("rid").to_pylist(), np.int64)), pa.int64())], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.bit_hash(np.array(batch.column("rid").to_pylist(), np.int64)), pa.int64())], ["bit"])
 
     return rids.mapInArrow(run, "bit long")
 

@@ -344,7 +344,7 @@ def _repeated(n: int, hot: int):
         lists = [np.unique(keys[s:e]).tobytes() for s, e in zip(starts, ends[: len(starts)], strict=True)]
         rid = np.r_[rids[starts], many.view(np.int64)]
         flags = [False] * len(starts) + [True] * len(many)
-        columns = {"rid": pa.array(rid, pa.int64()), "bit": pa.array(C.bit_of(rid), pa.int64()), "keys": pa.array(lists + [b""] * len(many), pa.binary())}
+        columns = {"rid": pa.array(rid, pa.int64()), "bit": pa.array(C.bit_hash(rid), pa.int64()), "keys": pa.array(lists + [b""] * len(many), pa.binary())}
         return pa.table(columns | {"hot": pa.array(flags, pa.bool_())})
 
     return run
