@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailframe.operators import crops, tensors
+from trailframe.operators import crops, effects, tensors
 from trailframe.sources import jpeg
 
 SCHEMA = "id long, image_width int, image_height int, pixels binary"
@@ -72,6 +72,82 @@ def test_colours_by_hand():
     assert (tensors.augment(numbered(2, 2), STILL | {"flipped": True}, 2) == numbered(2, 2)[:, ::-1]).all()
 
 
+def test_blur_by_hand():
+    image = np.zeros((5, 5, 3), np.uint8)
+    image[2, 2] = 160
+    got = effects.blurred(image, 1 / np.sqrt(2 * np.log(2)), 3)[..., 0]  # weights 1/4, 1/2, 1/4
+    assert got[1:4, 1:4].tolist() == [[10, 20, 10], [20, 40, 20], [10, 20, 10]] and got.sum() == 160
+    edge = np.zeros((1, 4, 3), np.uint8)
+    edge[0, 1] = 100
+    assert effects.blurred(edge, 1 / np.sqrt(2 * np.log(2)), 3)[0, :, 0].tolist() == [50, 50, 25, 0]  # mirrored at the first pixel
+    assert effects.blurred(image, 0, 7) is image
+    assert (effects.blurred(np.full((3, 9, 3), 77, np.uint8), 9, 7) == 77).all()
+
+
+def test_shadow_by_hand():
+    image = np.full((4, 6, 3), 101, np.uint8)
+    got = effects.shaded(image, [0.0, 0.5, 0.5, 0.5, 0.5, 1.0, 0.0, 1.0])[..., 0]
+    assert got.tolist() == [[101] * 6, [101] * 6, [50, 50, 50, 101, 101, 101], [50, 50, 50, 101, 101, 101]]  # 50.5: halves to even
+    triangle = effects.inside(4, 4, [0, 0, 1, 1, 0, 1])
+    assert np.tril(np.ones((4, 4)), -1).astype(bool).tolist() == (triangle & ~np.eye(4, dtype=bool)).tolist()
+    crossed = effects.inside(8, 8, [0, 0, 1, 1, 1, 0, 0, 1])  # two triangles that meet in the middle
+    assert crossed[4, 0] and crossed[4, 7] and not crossed[0, 4] and not crossed[7, 4]
+    twice = [0, 0, 1, 0, 1, 1, 0, 1]
+    assert effects.inside(3, 3, twice).all() and not effects.inside(3, 3, twice * 2).any()
+    assert not effects.inside(3, 3, [0.1, 0.1]).any()
+
+
+def test_hue_by_hand():
+    colours = np.array([[[200, 100, 100], [100, 200, 100], [100, 100, 200], [60, 60, 60], [0, 0, 0], [255, 255, 255]]], np.uint8)
+    assert (effects.hue_moved(colours, 0, 0, 0) == colours).all()
+    assert effects.hue_moved(colours, 120, 0, 0)[0].tolist() == [[100, 200, 100], [100, 100, 200], [200, 100, 100], [60] * 3, [0] * 3, [255] * 3]
+    assert effects.hue_moved(colours, -60, 0, 0)[0, 0].tolist() == [200, 100, 200]
+    assert effects.hue_moved(colours, 0, 51, 0)[0, 0].tolist() == [200, 60, 60]  # saturation from 0.5 to 0.7
+    assert effects.hue_moved(colours, 0, 0, 20)[0, 3:].tolist() == [[80] * 3, [20] * 3, [255] * 3]
+    assert effects.hue_moved(colours, 0, 0, -50)[0, 0].tolist() == [150, 75, 75]
+    r = np.random.default_rng(5).integers(0, 256, (20, 30, 3)).astype(np.uint8)
+    assert (effects.hue_moved(r, 360, 0, 0) == r).all() and np.abs(effects.hue_moved(effects.hue_moved(r, 40, 0, 0), -40, 0, 0).astype(int) - r).max() <= 3
+
+
+def test_grid_by_hand():
+    image = numbered(3, 11)
+    assert (effects.warped(image, [1] * 5, [1] * 5) == image).all()
+    assert effects.stretched(11, [1, 3]).tolist() == pytest.approx([0, 0.5, 1, 1.5, 2, 2.5, 4, 5.5, 7, 8.5, 10])
+    assert effects.warped(image, [1, 3], [1])[0, :, 0].tolist() == [0, 0, 1, 2, 2, 2, 4, 6, 7, 8, 10]  # halves to even
+    assert (effects.warped(numbered(1, 1), [1, 3], [2, 1]) == numbered(1, 1)).all()
+
+
+def test_weather_by_hand():
+    image = np.full((40, 60, 3), 100, np.uint8)
+    one = effects.fogged(image, 0.3, 0.5, 0.5, puffs=1, density=0.2)  # a puff of 3 pixels at (30, 20), not blurred
+    near = (np.arange(60) - 30) ** 2 + (np.arange(40)[:, None] - 20) ** 2 <= 9
+    assert (one == np.where(near, 131, 100)[..., None]).all()
+    fog = effects.fogged(image, 1.0, 0.1, 0.2)
+    assert fog.min() >= 100 and fog.mean() > 120 and (effects.fogged(np.full_like(image, 255), 1.0, 0.1, 0.2) == 255).all()
+    assert (effects.rained(np.full((9, 9, 3), 100, np.uint8), 5, 0.5, 0.5) == 70).all()  # too small for a streak
+    streak = effects.rained(np.zeros((100, 50, 3), np.uint8), 0, 0.5, 0.0, room=5000)  # one, straight down at x = 25 from the top, 60 long
+    assert (streak[10, 22:29, 0] == 20).all() and (streak[10, [21, 29]] == 0).all() and (streak[70:] == 0).all()  # 200 / 7 * 0.7
+    slanted = effects.rained(np.zeros((100, 50, 3), np.uint8), 20, 0.5, 0.0, room=5000)[..., 0]
+    assert slanted[55, 40:47].any() and not slanted[55, :38].any()
+    dark = np.zeros((50, 100, 3), np.uint8)
+    flare = effects.flared(dark, 0.5, 0.5, 0.0, radius=20, discs=0)[..., 0].astype(int)
+    assert flare[25, 50] == 255 and flare[25, 71] == 0 and (np.diff(flare[25, 50:72]) <= 0).all() and flare[25, 69:71].tolist() == [0, 0]
+    assert flare[25, 68] == round(255 * (1 - (1 - 0.1**3) * (1 - 0.05**3)))
+    assert effects.flared(dark, 0.5, 0.5, 0.0, radius=20, discs=1)[25, 99].tolist() == [0] * 3  # its disc lies beyond the edge
+    assert effects.flared(dark, 0.0, 0.5, 0.0, radius=20, discs=2)[25, 50].tolist() == [26, 24, 24]  # a tenth of 255, 235, 235
+
+
+def test_effects_in_their_order():
+    image = np.random.default_rng(1).integers(0, 256, (30, 30, 3)).astype(np.uint8)
+    drawn = STILL | {"weather": 2, "slant": 3.0, "weather_x": 0.1, "weather_y": 0.2, "fog": 0.5, "warped": True, "columns": [1, 2], "rows": [3, 1], "colour": 3, "hue": 20.0, "saturation": 9.0,
+                     "value": -9.0, "shadow": [0, 0.5, 1, 0.5, 0.3, 1], "flare": [0.2, 0.1, 45.0], "flipped": True, "blur": 2.0, "blur_size": 5}
+    want = effects.warped(effects.rained(image, 3.0, 0.1, 0.2), [1, 2], [3, 1])[:24, :24]
+    want = effects.flared(effects.shaded(effects.hue_moved(want, 20, 9, -9), [0, 0.5, 1, 0.5, 0.3, 1]), 0.2, 0.1, 45.0)
+    assert (tensors.augment(image, drawn, 24) == effects.blurred(want[:, ::-1], 2.0, 5)).all()
+    fog = tensors.augment(image, STILL | {"weather": 1, "fog": 0.5, "weather_x": 0.1, "weather_y": 0.2}, 30)
+    assert (fog == effects.fogged(image, 0.5, 0.1, 0.2)).all()
+
+
 def test_tables(spark):
     rows = [(i, 6, 5, numbered(5, 6).tobytes()) for i in range(40)] + [(99, None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -93,7 +169,10 @@ def test_draws(spark):
     d = spark.range(4000).select(tensors.draws("id", 1).alias("d")).select("d.*").toPandas()
     assert abs(d.moved.mean() - 0.8) < 0.03 and abs(d.grey.mean() - 0.2) < 0.03 and abs(d.flipped.mean() - 0.5) < 0.03
     assert d.scale.between(0.25, 1.1).all() and d.degrees.abs().max() <= 30 and d.dx.abs().max() <= 0.1
-    assert abs((d.colour == 1).mean() - 0.25) < 0.03 and abs((d.colour == 0).mean() - 0.5) < 0.03
+    assert all(abs((d.colour == k).mean() - 1 / 6) < 0.03 for k in (1, 2, 3)) and abs((d.colour == 0).mean() - 0.5) < 0.03
+    assert all(abs((d.weather == k).mean() - 0.1) < 0.03 for k in (1, 2)) and abs(d.warped.mean() - 0.1) < 0.03 and abs((d.blur > 0).mean() - 0.1) < 0.03
+    assert abs(d.shadow.notna().mean() - 0.2) < 0.03 and abs(d.flare.notna().mean() - 0.2) < 0.03 and set(d.blur_size) == {3, 5, 7} and d.blur.max() <= 9
+    assert all(len(s) == 10 and min(s[1::2]) >= 0.5 for s in d.shadow.dropna()) and all(0.9 <= c <= 1.1 for cells in d["columns"] for c in cells)
     assert set(d.quality[d.quality > 0]) == set(range(70, 101)) and abs((d.quality > 0).mean() - 0.2) < 0.03
     assert [f"{f.name} {f.dataType.simpleString()}" for f in spark.range(1).select(tensors.draws("id").alias("d")).schema[0].dataType] == [x.strip() for x in tensors.DRAWS.split(",")]
 

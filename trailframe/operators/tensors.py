@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trailframe.operators import effects
 from trailframe.operators.curation import order_of
 from trailframe.sources import jpeg
 
@@ -82,14 +83,6 @@ def faded(df: DataFrame, key: str, least: float = 0.05, most: float = 0.05, seed
     return changed(df.withColumn("__margin", uniform(seed, "margin", key, least, most)), fade, "__margin").drop("__margin")
 
 
-def _reflected(at: np.ndarray, n: int) -> np.ndarray:
-    """Places beyond the ends as places mirrored at the first and last."""
-    if n == 1:
-        return np.zeros_like(at)
-    at = np.abs(at) % (2 * n - 2)
-    return np.where(at < n, at, 2 * n - 2 - at)
-
-
 def affine(image: np.ndarray, dx: float, dy: float, scale: float, degrees: float) -> np.ndarray:
     """Turned (against the clock) and scaled around its middle, then shifted by shares of width and height. What comes from outside is
     mirrored, between pixels it is interpolated."""
@@ -99,12 +92,7 @@ def affine(image: np.ndarray, dx: float, dy: float, scale: float, degrees: float
     y, x = np.mgrid[:height, :width].astype(np.float64)
     x, y = x - cx - dx * width, y - cy - dy * height
     sx, sy = cos * x - sin * y + cx, sin * x + cos * y + cy
-    sx, sy = sx.round(9), sy.round(9)
-    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-    cell = lambda i, j: image[_reflected(y0 + i, height), _reflected(x0 + j, width)].astype(np.float64)
-    out = (cell(0, 0) * (1 - fx) + cell(0, 1) * fx) * (1 - fy) + (cell(1, 0) * (1 - fx) + cell(1, 1) * fx) * fy
-    return np.clip(np.round(out), 0, 255).astype(np.uint8)
+    return effects.sampled(image, sx, sy)
 
 
 def cropped(image: np.ndarray, size: int, x: float = 0.5, y: float = 0.5) -> np.ndarray:
@@ -118,43 +106,66 @@ def cropped(image: np.ndarray, size: int, x: float = 0.5, y: float = 0.5) -> np.
     return image[top : top + size, left : left + size]
 
 
-def _bytes(image: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(image), 0, 255).astype(np.uint8)
-
-
-DRAWS = "moved boolean, dx double, dy double, scale double, degrees double, x double, y double, colour int, red double, green double, blue double, brightness double, contrast double, grey boolean, flipped boolean, quality int"
+DRAWS = (
+    "weather int, fog double, slant double, weather_x double, weather_y double, moved boolean, dx double, dy double, scale double, degrees double, "
+    "warped boolean, columns array<double>, rows array<double>, x double, y double, colour int, red double, green double, blue double, brightness double, "
+    "contrast double, hue double, saturation double, value double, grey boolean, shadow array<double>, flare array<double>, flipped boolean, quality int, blur double, blur_size int"
+)
 
 
 def draws(key: str, seed: int = 0, turned: float = 30, shifted: float = 0.1, smaller: float = 0.75, larger: float = 0.1) -> Column:
-    """A struct of DRAWS for each key: with a chance of 0.8 a shift, scale and turn; a place of the crop; with 0.5 a change of colour: of
-    each of the three by 15 levels at most (1), or of brightness and contrast by a fifth at most (2); with 0.2 grey; with 0.5 mirrored;
-    with 0.2 a compression of quality 70 to 100 (else 0)."""
+    """A struct of DRAWS for each key: with a chance of 0.2 fog (1) or rain (2); with 0.8 a shift, scale and turn; with 0.1 a grid of five by
+    five cells, a tenth larger or smaller at most; a place of the crop; with 0.5 a change of colour: of each of the three by 15 levels at most (1),
+    of brightness and contrast by a fifth at most (2), or of hue by 40 degrees, saturation by 30 and value by 20 levels at most (3); with 0.2
+    grey; with 0.2 a shadow of five corners in the lower half; with 0.2 a light in the upper half (else both are null); with 0.5 mirrored;
+    with 0.2 a compression of quality 70 to 100 (else 0); with 0.1 a blur over 3, 5 or 7 pixels with a sigma of up to 9 (else 0)."""
     u = lambda name, low=0.0, high=1.0: uniform(seed, name, key, low, high)
+    cells = lambda name: F.array(*[u(f"{name}{k}", 0.9, 1.1) for k in range(5)])
+    corners = F.array(*[c for k in range(5) for c in (u(f"shadow_x{k}"), u(f"shadow_y{k}", 0.5, 1.0))])
     values = {
+        "weather": F.when(u("weather") < 0.2, F.when(u("sort") < 0.5, 1).otherwise(2)).otherwise(0), "fog": u("fog", 0.3, 1.0), "slant": u("slant", -10, 10),
+        "weather_x": u("weather_x"), "weather_y": u("weather_y"),
         "moved": u("moved") < 0.8, "dx": u("dx", -shifted, shifted), "dy": u("dy", -shifted, shifted), "scale": 1 + u("scale", -smaller, larger),
-        "degrees": u("degrees", -turned, turned), "x": u("x"), "y": u("y"),
-        "colour": F.when(u("colour") < 0.5, F.when(u("kind") < 0.5, 1).otherwise(2)).otherwise(0), "red": u("red", -15, 15), "green": u("green", -15, 15),
-        "blue": u("blue", -15, 15), "brightness": u("brightness", -0.2, 0.2), "contrast": u("contrast", -0.2, 0.2), "grey": u("grey") < 0.2,
-        "flipped": u("flipped") < 0.5, "quality": F.when(u("compressed") < 0.2, F.floor(u("quality", 70, 101)).cast("int")).otherwise(0),
+        "degrees": u("degrees", -turned, turned), "warped": u("warped") < 0.1, "columns": cells("column"), "rows": cells("row"), "x": u("x"), "y": u("y"),
+        "colour": F.when(u("colour") < 0.5, F.floor(u("kind", 1, 4)).cast("int")).otherwise(0), "red": u("red", -15, 15), "green": u("green", -15, 15),
+        "blue": u("blue", -15, 15), "brightness": u("brightness", -0.2, 0.2), "contrast": u("contrast", -0.2, 0.2), "hue": u("hue", -40, 40),
+        "saturation": u("saturation", -30, 30), "value": u("value", -20, 20), "grey": u("grey") < 0.2, "shadow": F.when(u("shadow") < 0.2, corners),
+        "flare": F.when(u("flare") < 0.2, F.array(u("flare_x"), u("flare_y", 0, 0.5), u("flare_turn", 0, 360))), "flipped": u("flipped") < 0.5,
+        "quality": F.when(u("compressed") < 0.2, F.floor(u("quality", 70, 101)).cast("int")).otherwise(0),
+        "blur": F.when(u("blurred") < 0.1, u("blur", 0, 9)).otherwise(0.0), "blur_size": 2 * F.floor(u("blur_size", 1, 4)).cast("int") + 1,
     }
     return F.struct(*[v.alias(k) for k, v in values.items()])
 
 
 def augment(image: np.ndarray, drawn: dict, size: int) -> np.ndarray:
-    """The drawn changes, in the order of DRAWS."""
+    """The drawn changes, in the order of DRAWS; what is null isn't done."""
     d = drawn
+    if d.get("weather") == 1:
+        image = effects.fogged(image, d["fog"], d["weather_x"], d["weather_y"])
+    elif d.get("weather") == 2:
+        image = effects.rained(image, d["slant"], d["weather_x"], d["weather_y"])
     if d["moved"]:
         image = affine(image, d["dx"], d["dy"], d["scale"], d["degrees"])
+    if d.get("warped"):
+        image = effects.warped(image, d["columns"], d["rows"])
     image = cropped(image, size, d["x"], d["y"])
     if d["colour"] == 1:
-        image = _bytes(image + np.array([d["red"], d["green"], d["blue"]]))
+        image = effects.to_bytes(image + np.array([d["red"], d["green"], d["blue"]]))
     elif d["colour"] == 2:
-        image = _bytes(image * (1 + d["contrast"]) + 255 * d["brightness"])
+        image = effects.to_bytes(image * (1 + d["contrast"]) + 255 * d["brightness"])
+    elif d["colour"] == 3:
+        image = effects.hue_moved(image, d["hue"], d["saturation"], d["value"])
     if d["grey"]:
-        image = _bytes(np.repeat((image @ GREY)[..., None], 3, -1))
+        image = effects.to_bytes(np.repeat((image @ GREY)[..., None], 3, -1))
+    if d.get("shadow"):
+        image = effects.shaded(image, d["shadow"])
+    if d.get("flare"):
+        image = effects.flared(image, *d["flare"])
     if d["flipped"]:
         image = image[:, ::-1]
-    return jpeg.decode(jpeg.encode(image, d["quality"])) if d["quality"] else image
+    if d["quality"]:
+        image = jpeg.decode(jpeg.encode(image, d["quality"]))
+    return effects.blurred(image, d["blur"], d["blur_size"]) if d.get("blur") else image
 
 
 def augmented(df: DataFrame, key: str, size: int = 480, seed: int = 0, drawn: Column | None = None) -> DataFrame:

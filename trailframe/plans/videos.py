@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trailframe.functions import geometry, times
-from trailframe.operators import crops, tensors
+from trailframe.operators import crops, effects, tensors
 from trailframe.plans.catalog import _t, query
 from trailframe.sources import jpeg, photos, videos
 from trailframe.sources.shared import scratch, settled
@@ -114,7 +114,7 @@ def _draw(name: str, low: float = 0, high: float = 1) -> str:
 
 
 @query(f"""SELECT k AS c_custkey, {_draw('moved')} < 0.8 AS moved, round({_draw('dx', -0.1, 0.1)}, 9) + 0 AS dx, round(1 + {_draw('scale', -0.75, 0.1)}, 9) AS scale, round({_draw('degrees', -30, 30)}, 9) + 0 AS degrees,
-CASE WHEN {_draw('colour')} < 0.5 THEN CASE WHEN {_draw('kind')} < 0.5 THEN 1 ELSE 2 END ELSE 0 END AS colour, {_draw('grey')} < 0.2 AS grey, {_draw('flipped')} < 0.5 AS flipped,
+CASE WHEN {_draw('colour')} < 0.5 THEN CAST(floor({_draw('kind', 1, 4)}) AS INTEGER) ELSE 0 END AS colour, {_draw('grey')} < 0.2 AS grey, {_draw('flipped')} < 0.5 AS flipped,
 CASE WHEN {_draw('compressed')} < 0.2 THEN CAST(floor({_draw('quality', 70, 101)}) AS INTEGER) ELSE 0 END AS quality FROM (SELECT c_custkey AS k FROM customer)""")
 def picture_draws(spark, sf_dir):
     """What is drawn for the picture of each customer."""
@@ -148,6 +148,49 @@ def faded_pictures(spark, sf_dir):
     return sums.join(middle, "c_custkey")
 
 
+@query(f"""SELECT k AS c_custkey, CASE WHEN {_draw('weather')} < 0.2 THEN CASE WHEN {_draw('sort')} < 0.5 THEN 1 ELSE 2 END ELSE 0 END AS weather, {_draw('warped')} < 0.1 AS warped,
+round({_draw('column4', 0.9, 1.1)}, 9) AS column4, round({_draw('hue', -40, 40)}, 9) + 0 AS hue, CASE WHEN {_draw('shadow')} < 0.2 THEN round({_draw('shadow_y4', 0.5, 1)}, 9) END AS shadow_y4,
+CASE WHEN {_draw('flare')} < 0.2 THEN round({_draw('flare_turn', 0, 360)}, 9) END AS flare_turn, CASE WHEN {_draw('blurred')} < 0.1 THEN round({_draw('blur', 0, 9)}, 9) ELSE 0 END AS blur,
+CAST(2 * floor({_draw('blur_size', 1, 4)}) + 1 AS INTEGER) AS blur_size FROM (SELECT c_custkey AS k FROM customer)""")
+def effect_draws(spark, sf_dir):
+    """What weather, light and lenses are drawn for the picture of each customer."""
+    d = _t(spark, sf_dir, "customer").select("c_custkey", tensors.draws("c_custkey").alias("d"))
+    last = {"column4": F.get("d.columns", F.lit(4)), "hue": F.col("d.hue"), "shadow_y4": F.get("d.shadow", F.lit(9)), "flare_turn": F.get("d.flare", F.lit(2)), "blur": F.col("d.blur")}
+    numbers = [(F.round(v, 9) + 0).alias(k) for k, v in last.items()]
+    return d.select("c_custkey", "d.weather", "d.warped", *numbers, "d.blur_size")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, 12 + c_custkey % 5 AS w, 10 + c_custkey % 3 AS h, 1 + c_custkey % 3 AS s FROM customer),
+c AS (SELECT k, w, h, s, x, y, (x * 37 + y * 23 + k * 11) % 200 AS v FROM p, range(0, 16) a(x), range(0, 12) b(y) WHERE x < w AND y < h),
+d AS (SELECT *, CASE WHEN (x + 0.5::DOUBLE) / w < 0.37 AND (y + 0.5::DOUBLE) / h >= 0.53 THEN CAST(round_even(v * 0.5::DOUBLE, 0) AS BIGINT) ELSE v END AS dark FROM c),
+g AS (SELECT k, x, y, s, w, h, dark, exp(-1 / (2::DOUBLE * s * s)) AS e FROM d),
+n AS (SELECT a.k, a.x, a.y, (a.dark + a.e * (coalesce(u.dark, o.dark) + coalesce(o.dark, u.dark))) / (1 + 2 * a.e) AS v, a.e, a.w FROM g a LEFT JOIN g u ON u.k = a.k AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN g o ON o.k = a.k AND o.x = a.x AND o.y = a.y + 1),
+m AS (SELECT a.k, round((a.v + a.e * (coalesce(l.v, r.v) + coalesce(r.v, l.v))) / (1 + 2 * a.e), 9) AS v FROM n a LEFT JOIN n l ON l.k = a.k AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN n r ON r.k = a.k AND r.y = a.y AND r.x = a.x + 1)
+SELECT k AS c_custkey, CAST(total AS BIGINT) AS shaded, CAST(blurred AS BIGINT) AS blurred FROM (SELECT k, sum(round_even(v, 0)) AS blurred FROM m GROUP BY k) JOIN (SELECT k, sum(dark) AS total FROM d GROUP BY k) USING (k)""")
+def shaded_and_blurred(spark, sf_dir):
+    """A picture for each customer whose lower left lies in a shadow: the sum of its red, as it is and blurred over three pixels."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", (12 + F.col("c_custkey") % 5).cast("int").alias("image_width"), (10 + F.col("c_custkey") % 3).cast("int").alias("image_height"))
+
+    def make(batches):
+        for batch in batches:
+            k, w, h = (batch.column(i).to_pylist() for i in range(3))
+            out = [np.repeat((np.arange(a) * 37 + np.arange(b)[:, None] * 23 + n * 11) % 200, 3).astype(np.uint8).tobytes() for n, a, b in zip(k, w, h, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["c_custkey", "image_width", "image_height", "pixels"])
+
+    def red(name):
+        def run(batches):
+            for batch in batches:
+                total = [int(np.frombuffer(p, np.uint8)[::3].sum()) for p in batch.column("pixels").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("c_custkey"), pa.array(total)], ["c_custkey", name])
+
+        return run
+
+    made = rows.mapInArrow(make, "c_custkey long, image_width int, image_height int, pixels binary")
+    dark = tensors.changed(made, lambda image: effects.shaded(image, [0, 0.53, 0.37, 0.53, 0.37, 1.01, 0, 1.01]))
+    soft = tensors.changed(dark.withColumn("s", (1 + F.col("c_custkey") % 3).cast("double")), lambda image, s: effects.blurred(image, s, 3), "s")
+    return dark.mapInArrow(red("shaded"), "c_custkey long, shaded long").join(soft.mapInArrow(red("blurred"), "c_custkey long, blurred long"), "c_custkey")
+
+
 @query("""WITH b AS (SELECT c_custkey AS k, CAST(c_custkey % 7 AS DOUBLE) / 10 AS x, CAST(c_custkey % 5 AS DOUBLE) / 10 AS y, 0.1 + CAST(c_custkey % 9 AS DOUBLE) / 20 AS w, 0.15 + CAST(c_custkey % 4 AS DOUBLE) / 10 AS h FROM customer),
 l AS (SELECT *, greatest((least(x + w + 0.05, 1) - greatest(x - 0.05, 0)) * 60, (least(y + h + 0.05, 1) - greatest(y - 0.05, 0)) * 44) AS longest FROM b),
 s AS (SELECT *, CASE WHEN longest > 24 THEN 24 / longest END AS scale FROM l),
