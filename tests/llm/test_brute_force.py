@@ -257,6 +257,31 @@ def test_batches_of_any_name_and_compaction(spark, odd_docs, no_docs, tmp_path):
     assert totals() == after and {k: v[0] for k, v in after.items()} == {k: v[0] // 6 * 5 for k, v in before.items()}
 
 
+def test_a_batch_of_two_drivers_counts_once(spark, odd_docs, tmp_path, monkeypatch):
+    one, two = (token_rollup.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    load = token_rollup.deltas(odd_docs)
+    assert one.commit("first", load)
+
+    def totals():
+        return sorted(map(str, one.totals().collect()))
+
+    before = totals()
+    monkeypatch.setattr(two, "_fresh", lambda *_: {})  # it looked before the other had written
+    assert two.commit("first", load) and len(list((tmp_path / "r" / "batch-first").glob("attempt-*"))) == 2
+    assert totals() == before
+    (tmp_path / "r" / "batch-first" / f"attempt-{0:020d}-x").mkdir()  # a driver that was lost
+    (tmp_path / "r" / "batch-lost" / f"attempt-{0:020d}-x").mkdir(parents=True)
+    assert totals() == before and one.committed() == {"first"}
+    one.compact()
+    monkeypatch.setattr(two, "_named", lambda *_: spark.createDataFrame([], "name string"))
+    assert two.commit("first", load)  # ends after the batch was compacted
+    assert totals() == before and one.commit("lost", load) and one.committed() == {"first", "lost"}
+    one.compact()
+    halves = [f"n_{x} div 2 n_{x}" for x in ("docs", "tokens", "chars")]
+    assert sorted(map(str, one.totals().selectExpr(*token_rollup.GROUP, *halves).collect())) == before
+    assert {r.n_docs % 2 for r in one.totals().collect()} == {0}
+
+
 def test_rollup_query_is_a_recount(spark):
     enc = C.load_encoding(open(C.VOCABULARY, "rb").read())
     want = Counter()

@@ -1,11 +1,12 @@
 """Token counts by source, language and tokenizer version, kept up to date by signed deltas.
 
 A delta is a row with a sign: an insert adds a document's counts (+1), a delete takes them back (-1), a revision does both with the old
-and the new counts. A batch of deltas is summed by group and written as one folder named after the batch, in one overwriting commit; a
-batch that is committed again - after a lost driver, or twice by mistake - changes nothing, and a folder without Spark's success mark is
-not read. Any text is a batch's name. Totals are the sums over all committed batches; groups that fell to no documents and no tokens are
-not reported. `compact` sums the batches so far into a base folder that names them; batches that the newest whole base names are read
-from it alone, so a compaction that is cut short, or done twice, changes no total.
+and the new counts. A batch of deltas is summed by group and written into a folder of the attempt, in the batch's folder; of the attempts
+that have Spark's success mark the first by name - by the time it began - counts. So a batch that is committed again - after a lost
+driver, twice by mistake, or by two drivers at once - counts once. Any text is a batch's name. Totals are the sums over all committed
+batches; groups that fell to no documents and no tokens are not reported. `compact` sums the batches so far into a base folder that names
+them; batches that the newest whole base names are read from it alone, so a compaction that is cut short, or done twice, changes no total,
+nor does an attempt that ends after its batch was compacted. Only the names of batches since the last compaction reach the driver.
 
 Null texts count no tokens and no characters; null sources and languages are groups of their own; repeated rows count as often as they
 occur; an empty batch commits and changes nothing; no batches give no totals. Other columns are not read.
@@ -13,6 +14,7 @@ occur; an empty batch commits and changes nothing; no batches give no totals. Ot
 
 from __future__ import annotations
 
+import time
 import uuid
 from urllib.parse import quote, unquote
 
@@ -78,57 +80,76 @@ class Rollup:
         self._jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._files = self._jvm_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _folders(self, kind: str) -> dict[str, str]:
-        """Name -> folder of all that were written to the end."""
-        root = self._jvm_path(self.root)
-        if not self._files.exists(root):
+    def _folders(self, kind: str, root: str | None = None) -> dict[str, str]:
+        """Name -> folder of all that begin so."""
+        at = self._jvm_path(root or self.root)
+        if not self._files.exists(at):
             return {}
-        found = [s.getPath().toString() for s in self._files.listStatus(root)]
-        found = [f for f in found if f.rsplit("/", 1)[1].startswith(kind + "-") and self._files.exists(self._jvm_path(f"{f}/_SUCCESS"))]
-        return {unquote(f.rsplit("/", 1)[1].removeprefix(kind + "-")): f for f in found}
-
-    def _base(self) -> tuple[str | None, set[str]]:
-        """The newest base's folder, and the batches in it."""
-        bases = self._folders("base")
-        if not bases:
-            return None, set()
-        folder = bases[max(bases)]
-        names = self.spark.read.schema("name string").parquet(f"{folder}/names")
-        return folder, {r["name"] for r in names.collect()}
+        found = [x.getPath().toString() for x in self._files.listStatus(at)]
+        return {unquote(name.removeprefix(kind)): f for f in found if (name := f.rsplit("/", 1)[1]).startswith(kind)}
+
+    def _whole(self, folder: str) -> bool:
+        return self._files.exists(self._jvm_path(f"{folder}/_SUCCESS"))
+
+    def _base(self) -> str | None:
+        """The newest base's folder."""
+        return max((f for f in self._folders("base-").values() if self._whole(f)), default=None)
+
+    def _named(self, base: str | None) -> DataFrame:
+        """The names of the batches in a base."""
+        return self.spark.read.schema("name string").parquet(f"{base}/names") if base else self.spark.createDataFrame([], "name string")
+
+    def _fresh(self, base: str | None, only: str | None = None) -> dict[str, str]:
+        """Name -> folder of the attempt that counts, of the batches (or the only one asked for) that the base doesn't hold."""
+        out = {}
+        for name, folder in self._folders("batch-").items():
+            if only is None or name == only:
+                done = sorted(f for f in self._folders("attempt-", folder).values() if self._whole(f))
+                if done:
+                    out[name] = done[0]
+        if base and out:
+            asked = self.spark.createDataFrame([(n,) for n in out], "name string")
+            for r in asked.join(self._named(base), "name", "left_semi").collect():
+                del out[r["name"]]
+        return out
 
     def committed(self) -> set[str]:
-        return set(self._folders("batch")) | self._base()[1]
+        """The names of all batches: for tests and small folders."""
+        base = self._base()
+        return {r["name"] for r in self._named(base).collect()} | set(self._fresh(base))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Sums the batch and writes it; False, and nothing is read, if that batch has been committed."""
-        if batch_id in self.committed():
+        base = self._base()
+        if self._fresh(base, batch_id) or (base and not self._named(base).where(F.col("name") == batch_id).isEmpty()):
             return False
         sign = F.col("sign").cast("long")
         sums = changes.groupBy(*GROUP).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.col("n_tokens")).alias("n_tokens"), F.sum(sign * F.col("n_chars")).alias("n_chars"))
-        sums.write.mode("overwrite").parquet(f"{self.root}/batch-{quote(batch_id, safe='')}")
+        sums.write.parquet(f"{self.root}/batch-{quote(batch_id, safe='')}/attempt-{time.time_ns():020d}-{uuid.uuid4().hex}")
         return True
 
-    def _rows(self) -> tuple[DataFrame, dict[str, str]]:
-        base, inside = self._base()
-        fresh = {n: f for n, f in self._folders("batch").items() if n not in inside}
+    def _rows(self, base: str | None, fresh: dict[str, str]) -> DataFrame:
         folders = [*([f"{base}/sums"] if base else []), *fresh.values()]
         rows = self.spark.read.schema(SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], SUMS)
-        return rows.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]), fresh
+        return rows.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
     def totals(self) -> DataFrame:
-        return self._rows()[0].where("n_docs <> 0 or n_tokens <> 0")
+        base = self._base()
+        return self._rows(base, self._fresh(base)).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Sums all committed batches into a new base, then removes what it replaces."""
-        bases, (_, inside) = self._folders("base"), self._base()
-        rows, fresh = self._rows()
+        """Sums all committed batches into a new base, then removes what it replaces. One compaction at a time: of two, one might not
+        hold what the other removed."""
+        base = self._base()
+        fresh, bases = self._fresh(base), self._folders("base-")
         if not fresh:
             return
-        folder = f"{self.root}/base-{int(max(bases, default='0')) + 1:012d}"
-        rows.write.mode("overwrite").parquet(f"{folder}/sums")
-        self.spark.createDataFrame([(n,) for n in sorted(inside | set(fresh))], "name string").write.mode("overwrite").parquet(f"{folder}/names")
+        folder = f"{self.root}/base-{int(max(bases, default='0').split('-')[0]) + 1:012d}-{uuid.uuid4().hex}"
+        self._rows(base, fresh).write.parquet(f"{folder}/sums")
+        self._named(base).unionByName(self.spark.createDataFrame([(n,) for n in sorted(fresh)], "name string")).write.parquet(f"{folder}/names")
         self._files.create(self._jvm_path(f"{folder}/_SUCCESS"), True).close()
-        for old in [*bases.values(), *fresh.values()]:
+        replaced = [f for f in bases.values() if base and f <= base]
+        for old in [*replaced, *(f.rsplit("/", 1)[0] for f in fresh.values())]:
             self._files.delete(self._jvm_path(old), True)
 
     def drop(self) -> None:
