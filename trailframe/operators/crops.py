@@ -10,7 +10,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from trailframe.functions import geometry
 from trailframe.operators.tensors import PICTURE, changed
-from trailframe.sources import jpeg
+from trailframe.sources import jpeg, media
 
 BOX = ("x_min", "y_min", "Width", "Height")
 
@@ -79,10 +79,9 @@ def encoded(pictures: DataFrame, quality: int = 95, name: str = "content") -> Da
 
     def run(batches):
         for batch in batches:
-            out = []
-            for width, height, pixels in zip(*[batch.column(a) for a in at], strict=True):
-                image = np.frombuffer(pixels.as_py(), np.uint8).reshape(height.as_py(), width.as_py(), 3) if pixels.is_valid else None
-                out.append(None if image is None else jpeg.encode(image, quality))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(out, pa.binary())], [*rest, name])
+            three = zip(*[batch.column(a) for a in at], strict=True)
+            images = (np.frombuffer(p.as_py(), np.uint8).reshape(h.as_py(), w.as_py(), 3) if p.is_valid else None for w, h, p in three)
+            for rows, out in media.pieces(batch, (None if image is None else jpeg.encode(image, quality) for image in images)):
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rest], pa.array(out, pa.binary())], [*rest, name])
 
     return pictures.mapInArrow(run, StructType([f for f in pictures.schema.fields if f.name != "pixels"] + [StructField(name, BinaryType())]))

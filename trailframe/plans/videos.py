@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import geometry, times
 from trailframe.operators import crops, effects, tensors
 from trailframe.plans.catalog import _t, query
-from trailframe.sources import jpeg, photos, videos
+from trailframe.sources import files, jpeg, media, photos, videos
 from trailframe.sources.shared import scratch, settled
 
 
@@ -61,16 +61,18 @@ def _supplier_videos(spark, sf_dir):
     thirteenth is cut."""
     rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
     rows = rows.select(F.concat("s_nationkey", F.lit("/clip"), "k", F.when(F.col("k") % 2 == 0, ".AVI").otherwise(".mp4")).alias("path"), "k")
+    rows = rows.repartition(media.tasks(spark), "k")  # files of a table may be few
+
+    def video(k: int) -> bytes:
+        data = jpeg.encode(np.full((8, 8, 3), [k * 7 % 254, k * 13 % 254, k * 29 % 254], np.uint8), 95)
+        frames = [data[:2] + b"\xff\xfe" + struct.pack(">HI", 6, f) + data[2:] for f in range(1 + k * 7 % 150)]
+        made = avi(frames, 10, 1) if k % 2 == 0 else mp4(frames, 600, 48, 1 + k % 4)
+        return made[: len(made) // 2] if k % 13 == 0 else made
 
     def make(batches):
         for batch in batches:
-            out = []
-            for k in batch.column("k").to_pylist():
-                data = jpeg.encode(np.full((8, 8, 3), [k * 7 % 254, k * 13 % 254, k * 29 % 254], np.uint8), 95)
-                frames = [data[:2] + b"\xff\xfe" + struct.pack(">HI", 6, f) + data[2:] for f in range(1 + k * 7 % 150)]
-                made = avi(frames, 10, 1) if k % 2 == 0 else mp4(frames, 600, 48, 1 + k % 4)
-                out.append(made[: len(made) // 2] if k % 13 == 0 else made)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+            for rows, out in media.pieces(batch, map(video, batch.column("k").to_pylist())):
+                yield pa.RecordBatch.from_arrays([rows.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
     return rows.mapInArrow(make, "path string, content binary")
 
@@ -130,6 +132,7 @@ SELECT p.k AS c_custkey, CAST(w AS INTEGER) AS image_width, CAST(h AS INTEGER) A
 def faded_pictures(spark, sf_dir):
     """A picture of one colour for each customer, faded to its edges, and the middle of its tensor before that."""
     rows = _t(spark, sf_dir, "customer").select("c_custkey", (12 + F.col("c_custkey") % 5).cast("int").alias("image_width"), (13 + F.col("c_custkey") % 3).cast("int").alias("image_height"))
+    rows = rows.repartition(media.tasks(spark), "c_custkey")  # files of a table may be few
 
     def make(batches):
         for batch in batches:
@@ -170,6 +173,7 @@ SELECT k AS c_custkey, CAST(total AS BIGINT) AS shaded, CAST(blurred AS BIGINT)
 def shaded_and_blurred(spark, sf_dir):
     """A picture for each customer whose lower left lies in a shadow: the sum of its red, as it is and blurred over three pixels."""
     rows = _t(spark, sf_dir, "customer").select("c_custkey", (12 + F.col("c_custkey") % 5).cast("int").alias("image_width"), (10 + F.col("c_custkey") % 3).cast("int").alias("image_height"))
+    rows = rows.repartition(media.tasks(spark), "c_custkey")  # files of a table may be few
 
     def make(batches):
         for batch in batches:
@@ -208,6 +212,7 @@ def photo_crops(spark, sf_dir):
     k = F.col("c_custkey")
     boxes = {"x_min": (k % 7).cast("double") / 10, "y_min": (k % 5).cast("double") / 10, "Width": 0.1 + (k % 9).cast("double") / 20, "Height": 0.15 + (k % 4).cast("double") / 10}
     rows = _t(spark, sf_dir, "customer").select(F.concat(k.cast("string"), F.lit(".jpg")).alias("name"), *[v.alias(c) for c, v in boxes.items()])
+    rows = rows.repartition(media.tasks(spark), "name")  # files of a table may be few
 
     def make(batches):
         data = jpeg.encode(np.full((44, 60, 3), 220, np.uint8))
@@ -220,8 +225,7 @@ def photo_crops(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([*batch.select(["path", "image_width", "image_height"]).columns, pa.array(bright)], ["path", "image_width", "image_height", "bright"])
 
     def pictures(folder):
-        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        return photos.decoded(read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content"))
+        return photos.decoded(files.contents(spark, folder).select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content"))
 
     with scratch(spark) as folder:
         photos.write_photos(rows.select("name").mapInArrow(make, "path string, content binary"), f"{folder}/photos")

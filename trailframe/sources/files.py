@@ -6,6 +6,7 @@ import ast
 import json
 from dataclasses import fields, is_dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 from trailframe.functions import paths
 from trailframe.operators import curation
 from trailframe.operators.detections import DOCUMENT
+from trailframe.sources import media
 
 IMAGES, VIDEOS = (".jpg", ".jpeg"), (".avi", ".mp4", ".mkv", ".mov")
 #: Fixed value: the time of a video that has none.
@@ -32,11 +34,25 @@ def parquet_or_empty(spark: SparkSession, path: str, schema: StructType) -> Data
 
 
 def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES + VIDEOS) -> DataFrame:
-    """path, modificationTime, length of files with these suffixes, in any case; contents are not read."""
+    """path, modificationTime, length of files with these suffixes, in any case; contents are not read. Tasks list the folders; in stores
+    that only Spark opens its own listing serves, which the driver holds whole."""
+    try:
+        return media.listed(spark, folder, suffixes)
+    except pa.ArrowInvalid:
+        pass
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime", "length")
     return files.where(paths.suffix(F.col("path")).isin(*suffixes))
 
 
+def contents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
+    """path, modificationTime, length, content of files with these suffixes, in any case."""
+    try:
+        return media.with_contents(media.listed(spark, folder, suffixes))
+    except pa.ArrowInvalid:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        return files.where(paths.suffix(F.col("path")).isin(*suffixes))
+
+
 def videos(files: DataFrame, path: str = "path") -> DataFrame:
     """The videos of a listing with `video_id`, dense from 0: by extension in the order of VIDEOS, then by a hash of the path. Ranks come from
     the sizes of 4 x 4096 ranges of the hash, so no task sorts all of them."""

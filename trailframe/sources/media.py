@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from trailframe.sources.shared import settled
 
 #: Bytes that are read at once, and what opening a file and reading its header count for when files are dealt to tasks.
 BLOCK, OPENING, TOUCHED = 4096, 1 << 18, 1 << 16
+#: Bytes of values that a task gathers before it hands them on, and rows of a listing.
+HELD, ROWS = 8 << 20, 10_000
 
 
 def located(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -28,6 +36,122 @@ def located(path: str) -> tuple[fs.FileSystem, str, str]:
     return system, inside, path[: len(path) - len(inside)] if path.endswith(inside) else path.split("://")[0] + "://"
 
 
+def pieces(batch: pa.RecordBatch, made: Iterable[bytes | None]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows of the batch beside the values made for them, in order, cut as soon as the values have HELD bytes."""
+    start, held, size = 0, [], 0
+    for value in made:
+        held.append(value)
+        size += len(value or b"")
+        if size >= HELD:
+            yield batch.slice(start, len(held)), held
+            start, held, size = start + len(held), [], 0
+    if held:
+        yield batch.slice(start, len(held)), held
+
+
+def tasks(spark: SparkSession) -> int:
+    """Parts that rows are dealt over before long work on each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's listings have it."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def entries(path: str) -> Iterator[tuple[str, int | None, int | None]]:
+    """Path, length (null: a folder) and milliseconds of the last change of what lies in a folder, or of the file that it is."""
+    system, inside, prefix = located(path)
+    if not isinstance(system, fs.LocalFileSystem):
+        own = system.get_file_info(inside)
+        for f in [own] if own.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inside)):
+            if f.type == fs.FileType.Directory:
+                yield prefix + f.path, None, None
+            elif f.type == fs.FileType.File:
+                yield prefix + f.path, f.size, (f.mtime_ns or 0) // 1_000_000
+        return
+    if not os.path.isdir(inside):
+        found = os.stat(inside)
+        yield prefix + inside, found.st_size, found.st_mtime_ns // 1_000_000
+        return
+    with os.scandir(inside) as found_here:
+        for e in found_here:
+            if e.is_dir():
+                yield prefix + e.path, None, None
+                continue
+            try:
+                found = e.stat()
+            except FileNotFoundError:  # gone meanwhile
+                continue
+            yield prefix + e.path, found.st_size, found.st_mtime_ns // 1_000_000
+
+
+def _listed(deep: bool):
+    """The entries of each folder, hidden ones aside; `deep`: of those in it as well."""
+
+    def walk(path: str) -> Iterator[tuple[str, int | None, int | None]]:
+        for entry in entries(path):
+            if _hidden(entry[0].rstrip("/").rsplit("/", 1)[-1]):
+                continue
+            if deep and entry[1] is None:
+                yield from walk(entry[0])
+            else:
+                yield entry
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = walk(folder)
+                while rows := list(islice(found, ROWS)):
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "length", "changed"])
+
+    return run
+
+
+def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """path, modificationTime, length of the files below the folder with one of these suffixes, in any case. Tasks list folders, a level of
+    them after the other until there is one for each task, then all below; the driver holds no name. A folder's own entries are listed by one
+    task. Raises pyarrow.ArrowInvalid for stores that only Spark reads."""
+    located(folder)
+    schema, n = "path string, length long, changed long", tasks(spark)
+    folders, levels, many, deep = spark.createDataFrame([(folder,)], "path string").coalesce(1), [], 1, False
+    while many:
+        deep = many >= n
+        level = settled(folders.mapInArrow(_listed(deep), schema))
+        levels.append(level.where("length IS NOT NULL"))
+        folders = level.where("length IS NULL").select("path")
+        many = 0 if deep else folders.count()
+        folders = folders.repartition(n, "path")
+    files = reduce(DataFrame.union, levels)
+    files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*suffixes))
+    return files.select("path", F.timestamp_millis("changed").alias("modificationTime"), "length")
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """The listing dealt evenly over tasks, as it follows folders."""
+    return files.repartition(tasks(files.sparkSession), "path")
+
+
+def with_contents(files: DataFrame, content: str = "content") -> DataFrame:
+    """The rows of a listing with the bytes of each file. They are dealt over tasks, which hold HELD bytes and the last file at once."""
+    at = files.columns.index("path")
+
+    def run(batches):
+        for batch in batches:
+
+            def read():
+                for path in batch.column(at).to_pylist():
+                    system, inside, _ = located(path)
+                    with system.open_input_file(inside) as file:
+                        yield file.read()
+
+            for rows, data in pieces(batch, read()):
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(data, pa.binary())], [*rows.schema.names, content])
+
+    return dealt(files).mapInArrow(run, StructType([*files.schema.fields, StructField(content, BinaryType())]))
+
+
 class Ranged:
     """A file of which only the blocks that are asked for are read."""
 
@@ -150,7 +274,7 @@ class MediaWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, inside, _ = located(self.path)
-        task = TaskContext.get()
+        task, local = TaskContext.get(), isinstance(system, fs.LocalFileSystem)
         folder = f"{self._stage(inside)}/{task.partitionId()}-{task.taskAttemptId()}"
         made, files, size = set(), 0, 0
         for batch in batches:
@@ -164,7 +288,7 @@ class MediaWriter(DataSourceArrowWriter):
                 if parent not in made:
                     system.create_dir(parent)
                     made.add(parent)
-                with system.open_output_stream(target) as out:
+                with open(target, "wb") if local else system.open_output_stream(target) as out:  # a local file opens sooner by itself
                     out.write(content.as_buffer())
                 files, size = files + 1, size + len(content.as_buffer())
         return Written(folder, f"part-{task.partitionId():05d}-{self.job}", files, size)

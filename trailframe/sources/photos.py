@@ -120,13 +120,12 @@ TYPES = [pa.string()] * 4 + [pa.bool_()] * 2
 
 
 def photo_tags(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
-    """SCHEMA, length and bytes_read of every photo below the folder. Photos are read by ranges: some blocks of 4 KB each, wherever the
-    header stands. In stores that only Spark opens whole files are read."""
+    """SCHEMA, length and bytes_read of every photo below the folder. Tasks list the folders. Photos are read by ranges: some blocks of 4 KB
+    each, wherever the header stands. In stores that only Spark opens whole files are read."""
     try:
-        media.located(folder)
+        return tags_of(media.listed(spark, folder, suffixes))
     except pa.ArrowInvalid:
         return _whole_files(spark, folder, suffixes)
-    return media.registered(spark).format("photo_headers").option("suffixes", ",".join(suffixes)).load(folder)
 
 
 def _whole_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -165,13 +164,12 @@ def tags_of(files: DataFrame) -> DataFrame:
             kinds = [*TYPES, pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [*NAMES, "length", "bytes_read"])
 
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path", "length").repartition(n, "path").mapInArrow(run, SCHEMA + ", length long, bytes_read long")
+    return media.dealt(files.select("path", "length")).mapInArrow(run, SCHEMA + ", length long, bytes_read long")
 
 
 def decoded(photos: DataFrame, content: str = "content", decode: Callable[[bytes], np.ndarray] = jpeg.decode) -> DataFrame:
     """The table with image_width, image_height and pixels (rows of red, green and blue bytes) of the JPEG in `content`, which is left out. All three
-    are null where it is null, damaged, or not baseline. One photo is decoded at a time. `decode` may be another decoder, from bytes to an
+    are null where it is null, damaged, or not baseline. One photo is decoded at a time; rows go on together, some MB of them. `decode` may be another decoder, from bytes to an
     array of height x width x 3; it says by a ValueError that a photo is damaged."""
     rest = [c for c in photos.columns if c != content]
     for c in ("image_width", "image_height", "pixels"):
@@ -186,12 +184,18 @@ def decoded(photos: DataFrame, content: str = "content", decode: Callable[[bytes
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = image(batch.column(content)[i].as_py())
-                values = [None, None, None] if found is None else [found.shape[1], found.shape[0], found.tobytes()]
-                kinds = [pa.int32(), pa.int32(), pa.binary()]
-                row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in rest], *[pa.array([v], t) for v, t in zip(values, kinds, strict=True)]], [*rest, "image_width", "image_height", "pixels"])
+            sizes = []
+
+            def pixels(batch=batch, sizes=sizes):
+                for data in batch.column(content):
+                    found = image(data.as_py())
+                    sizes.append((None, None) if found is None else (found.shape[1], found.shape[0]))
+                    yield None if found is None else found.tobytes()
+
+            for rows, made in media.pieces(batch, pixels()):
+                width, height = zip(*sizes, strict=True)
+                sizes.clear()
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rest], pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(made, pa.binary())], [*rest, "image_width", "image_height", "pixels"])
 
     schema = StructType([f for f in photos.schema.fields if f.name != content] + StructType.fromDDL(PIXELS).fields)
     return photos.mapInArrow(run, schema)
@@ -216,8 +220,10 @@ def dated(photos: DataFrame, original: str, content: str = "content") -> DataFra
 
     def run(batches):
         for batch in batches:
-            new = [None if d is None or d[:2] != b"\xff\xd8" else with_header(d, t) for d, t in zip(batch.column(at).to_pylist(), batch.column(when).to_pylist(), strict=True)]
-            yield batch.set_column(at, content, pa.array(new, pa.binary()))
+            pairs = zip(batch.column(at), batch.column(when), strict=True)
+            both = ((d.as_py(), t.as_py()) for d, t in pairs)
+            for rows, new in media.pieces(batch, (None if d is None or d[:2] != b"\xff\xd8" else with_header(d, t) for d, t in both)):
+                yield rows.set_column(at, content, pa.array(new, pa.binary()))
 
     return photos.mapInArrow(run, photos.schema)
 

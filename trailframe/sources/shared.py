@@ -29,6 +29,35 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _deleted(spark: SparkSession, name: str) -> None:
+    """Folders up to two levels below are deleted by tasks, as there may be very many files in them; then the rest."""
+    import pyarrow as pa
+
+    from trailframe.sources import media
+
+    def folders(path: str) -> list[str]:
+        return [e[0] for e in media.entries(path) if e[1] is None]
+
+    try:
+        inner = [y for x in folders(name) for y in folders(x) or [x]]
+    except (pa.ArrowInvalid, FileNotFoundError):  # only Spark opens it, or nothing was written
+        return
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, inside, _ = media.located(path)
+                try:
+                    system.delete_dir(inside)
+                except FileNotFoundError:  # by an attempt before
+                    pass
+            yield batch
+
+    if len(inner) > 1:
+        parts = spark.createDataFrame([(x,) for x in inner], "path string").repartition(min(len(inner), media.tasks(spark)))
+        parts.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, deleted at the end."""
@@ -38,4 +67,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield name
     finally:
-        files.delete(path, True)
+        try:
+            _deleted(spark, name)
+        finally:
+            files.delete(path, True)
