@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from trailframe.operators import effects
 from trailframe.operators.curation import order_of
-from trailframe.sources import jpeg
+from trailframe.sources import jpeg, media
 
 #: Mean and deviation of the colours that models were trained with.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -34,15 +34,23 @@ def changed(df: DataFrame, change: Callable[..., np.ndarray], *inputs: str) -> D
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                width, height, pixels, *values = (row.column(a)[0].as_py() for a in at)
-                if pixels is not None:
-                    image = change(_array(width, height, pixels), *values)
-                    new = [image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes()]
-                    for a, v in zip(at, new, strict=False):
-                        row = row.set_column(a, row.schema.field(a), pa.array([v], row.schema.field(a).type))
-                yield row
+            sizes = []
+
+            def images(batch=batch, sizes=sizes):
+                for width, height, pixels, *values in zip(*[batch.column(a) for a in at], strict=True):
+                    if not pixels.is_valid:
+                        sizes.append((width.as_py(), height.as_py()))
+                        yield None
+                        continue
+                    image = change(_array(width.as_py(), height.as_py(), pixels.as_py()), *[v.as_py() for v in values])
+                    sizes.append((image.shape[1], image.shape[0]))
+                    yield np.ascontiguousarray(image).tobytes()
+
+            for rows, made in media.pieces(batch, images()):
+                for a, values in zip(at, (*zip(*sizes, strict=True), made), strict=False):
+                    rows = rows.set_column(a, rows.schema.field(a), pa.array(values, rows.schema.field(a).type))
+                sizes.clear()
+                yield rows
 
     return df.mapInArrow(run, df.schema)
 
@@ -187,13 +195,14 @@ def tensors(df: DataFrame, mean: tuple[float, ...] = MEAN, deviation: tuple[floa
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                width, height, pixels = (row.column(a)[0].as_py() for a in at)
-                values = None
-                if pixels is not None:
-                    values = ((_array(width, height, pixels) / 255 - mean) / deviation).transpose(2, 0, 1).ravel().astype(np.float32)
-                tensor = pa.array([values], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in rest], tensor], [*rest, "tensor"])
+
+            def values(batch=batch):
+                for width, height, pixels in zip(*[batch.column(a) for a in at], strict=True):
+                    whole = pixels.is_valid
+                    yield ((_array(width.as_py(), height.as_py(), pixels.as_py()) / 255 - mean) / deviation).transpose(2, 0, 1).ravel().astype("<f4").tobytes() if whole else None
+
+            for rows, made in media.pieces(batch, values()):
+                tensor = pa.array([None if v is None else np.frombuffer(v, "<f4") for v in made], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rest], tensor], [*rest, "tensor"])
 
     return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name != "pixels"] + StructType.fromDDL("tensor array<float>").fields))
