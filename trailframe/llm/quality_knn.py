@@ -93,7 +93,7 @@ class Model:
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS):
         """counts: the terms of labelled texts, a row each."""
         some = counts.sum(axis=1) > 0
-        counts, self.labels = counts[some], np.asarray(labels, np.float64)[some]
+        counts, self.labels = counts if some.all() else counts[some], np.asarray(labels, np.float64)[some]
         self.prior, self.neighbours = (float(self.labels.mean()) if len(self.labels) else 0.5), neighbours
         self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
         weighed = self._weigh(counts)
@@ -110,10 +110,12 @@ class Model:
         self.vectors = _unit(weighed @ self.space).astype(np.float32)
 
     def _weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x[:, :WORDS] = 0.3 * _unit(x[:, :WORDS])
-        x[:, WORDS:] = _unit(x[:, WORDS:])
-        return x.astype(np.float32)
+        out = np.empty(counts.shape, np.float32)
+        for at in range(0, len(counts), 256):  # the driver holds the counts and the result, no more
+            x = np.log1p(counts[at : at + 256]) * self.idf
+            out[at : at + 256, :WORDS] = 0.3 * _unit(x[:, :WORDS])
+            out[at : at + 256, WORDS:] = _unit(x[:, WORDS:])
+        return out
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
         k = min(self.neighbours, len(self.labels))
