@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailframe.operators import tensors
+from trailframe.operators import detections, tensors
 from trailframe.plans import tables, videos
 from trailframe.sources import files, jpeg, media, photos, shared
 
@@ -135,3 +135,24 @@ def test_videos_are_made_in_pieces(spark, tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(1, 400)], "k": list(range(1, 400))})
     sizes = [sum(map(len, b.column("content").to_pylist())) for b in seen[-1]([batch])]
     assert len(sizes) > 10 and max(sizes) < (1 << 18) + 200_000
+
+
+def test_document_by_lines(spark, tmp_path, monkeypatch):
+    """A document's parts, read by lines, hold what the reader of whole documents finds in them put together."""
+    rows = spark.range(300).select((F.col("id") * 7919 % 1000).alias("file"), (F.col("id") % 3).cast("int").alias("category"), (F.col("id") / 300).alias("conf"), F.array(*[F.lit(0.1)] * 4).alias("bbox"))
+    labels = F.array(F.lit("a]}"), F.lit("detections"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        detections.write_document(rows, labels, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(parts) > 1
+    (tmp_path / "whole.json").write_text("".join(p.read_text() for p in parts))
+    images, names = files.detector_lines(spark, str(tmp_path / "parts"))
+    key = lambda r: r.file
+    assert sorted(images.collect(), key=key) == sorted(files.detector_json(spark, str(tmp_path / "whole.json")).collect(), key=key)
+    assert sorted(names.collect()) == [("1", "a]}"), ("2", "detections"), ("3", "empty")]
+    kept = []
+    monkeypatch.setattr(tables, "settled", lambda df: kept.append(_plan(df)) or shared.settled(df))
+    assert tables.detector_document(spark, "/root/testdata/sf0.001").count() and kept and "FileScan json" not in kept[0]

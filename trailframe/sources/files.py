@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from trailframe.functions import paths
 from trailframe.operators import curation
-from trailframe.operators.detections import DOCUMENT
+from trailframe.operators.detections import DETECTION, DOCUMENT
 from trailframe.sources import media
 
 IMAGES, VIDEOS = (".jpg", ".jpeg"), (".avi", ".mp4", ".mkv", ".mov")
@@ -26,6 +26,17 @@ def detector_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(path).select(F.explode("images").alias("i")).select("i.*")
 
 
+def detector_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """file, detections; and id, name of the categories, of a document as `detections.write_document` writes it: an image a line, in any number
+    of parts. Lines are read by many tasks, where `detector_json` reads a document of any layout, and so each file, in one."""
+    lines = spark.read.text(path)
+    image = F.from_json(F.regexp_replace("value", "^,", ""), f"file string, detections array<{DETECTION}>")
+    images = lines.where(F.col("value").rlike(r'^,?\{"(file|detections)":')).select(image.alias("i")).select("i.*")
+    head = F.from_json(F.concat("value", F.lit("]}")), DOCUMENT)
+    names = lines.where(F.col("value").startswith('{"detection_categories":')).select(F.explode(head["detection_categories"]).alias("id", "name"))
+    return images, names
+
+
 def parquet_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table, or no rows where there is no such path."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
