@@ -297,6 +297,100 @@ def test_seating_against_enumeration():
     assert np.abs(got - want).max() < 0.01
 
 
+def rising(a, n):
+    return math.prod(a + k for k in range(n))
+
+
+def stirling(c, d):
+    """Weights of the seating plans of c customers, by their tables."""
+    out = np.r_[0.0, 1.0]
+    for n in range(1, c):
+        out = np.r_[out * np.maximum(n - d * np.arange(len(out)), 0), 0] + np.r_[0, out]
+    return out
+
+
+def test_a_sweep_moves_customers_on_all_levels():
+    """A dish in two contexts of a class, with a customer of the class' own: the tables of all levels after sweeps have the probabilities that
+    all their seating plans give, with the other dish's tables of each restaurant."""
+    counts, direct, d, base, n = (4, 2), 1, (0.6, 0.5, 0.3), 0.05, 20_000
+    want = Counter()
+    for a in range(1, counts[0] + 1):
+        for b in range(1, counts[1] + 1):
+            for c in range(1, direct + a + b + 1):
+                for r in range(1, c + 1):
+                    plans = stirling(counts[0], d[0])[a] * stirling(counts[1], d[0])[b] * stirling(direct + a + b, d[1])[c] * stirling(c, d[2])[r]
+                    seats = math.prod(1 + d[k] * x for k, t in ((0, a), (0, b), (1, c), (2, r)) for x in range(t))
+                    want[a, b, c, r] = plans * seats * base**r / rising(1, direct + a + b) / rising(1, c)
+    rng = np.random.default_rng(8)
+    levels = [pitman_yor.Level(np.arange(m * n), m * n, np.ones(m * n), x, rng) for m, x in zip((2, 1, 1), d, strict=True)]
+    up = [np.arange(2 * n) // 2, np.arange(n)]
+    seating = pitman_yor.Seating(levels, up, base)
+    levels[0].settle(np.tile(counts, n), np.full(2 * n, base))
+    levels[1].settle(direct + np.bincount(up[0], weights=levels[0].tables), np.full(n, base))
+    levels[2].settle(levels[1].tables, np.full(n, base))
+    for _ in range(25):
+        seating.sweep(0, np.arange(2 * n), up[0])
+        seating.sweep(1, np.arange(n), np.arange(n))
+        seating.sweep(2, np.arange(n), np.arange(n))
+        assert (levels[1].customers == direct + np.bincount(up[0], weights=levels[0].tables)).all() and (levels[2].customers == levels[1].tables).all()
+    got = Counter(zip(*(x.tolist() for x in (levels[0].tables[::2], levels[0].tables[1::2], levels[1].tables, levels[2].tables)), strict=True))
+    assert got.keys() <= want.keys()
+    assert sum(abs(got[x] / n - w / want.total()) for x, w in want.items()) < 0.05
+
+
+def test_every_customer_moves_in_a_sweep():
+    """Dishes with equal counts begin with equal tables; once all their customers have moved, tables spread as seating plans do."""
+    words, c, d = 2000, 100, (0.5, 0.6, 0.4)
+    parent = np.r_[np.arange(257), 3]
+    keys, counts = np.arange(1, words + 1, dtype=np.uint64) << np.uint64(15) | np.uint64(257), np.full(words, c)
+    totals = np.bincount([257], weights=[words * c])
+    (tables, *_), _, _ = pitman_yor.gibbs(keys, counts, parent, totals, words, d, 4)
+    weight = (1 + d[0] * tables[:, -1].sum()) / words
+    p = np.exp(np.log(stirling(c, d[0])[1:] / math.factorial(c)) + np.arange(1, c + 1) * math.log(weight))
+    p /= p.sum()
+    mean = p @ np.arange(1, c + 1)
+    assert tables[:, -1].std() > 0.7 * math.sqrt(p @ (np.arange(1, c + 1) - mean) ** 2)
+
+
+def test_customers_that_move_at_once_are_all_counted(monkeypatch):
+    """A customer of each cell at a time: tables that close and open at once in one restaurant are each passed up."""
+    monkeypatch.setattr(pitman_yor, "LANE", 1)
+    parent, keys, counts = small_model(np.random.default_rng(6), 5, 12)
+    totals = np.bincount((keys & np.uint64(32767)).astype(int), weights=counts, minlength=len(parent))
+    (tables, cc, ct, customers, seated), cells, words = pitman_yor.gibbs(keys, counts, parent, totals, 5, (0.5, 0.6, 0.4), 1)
+    leaf = (keys & np.uint64(32767)) >= 257
+    assert ((tables[leaf] >= 1) & (tables[leaf] <= counts[leaf, None])).all() and ((ct >= 1) & (ct <= cc)).all() and ((seated >= 1) & (seated <= customers)).all()
+    passed = np.where(leaf[:, None], tables, counts[:, None])
+    cell = np.searchsorted(cells, (keys & ~np.uint64(32767)) | parent[(keys & np.uint64(32767)).astype(int)].astype(np.uint64))
+    for s in range(passed.shape[1]):
+        assert (np.bincount(cell, weights=passed[:, s]) == cc[:, s]).all()
+        assert (np.bincount(np.searchsorted(words, cells & ~np.uint64(32767)), weights=ct[:, s]) == customers[:, s]).all()
+
+
+def test_lanes(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "LANE", 100)
+    word, tables = np.array([0, 0, 0, 1, 2, 2, 2]), np.array([60, 200, 5, 9, 100, 1, 300])
+    place, moves, lane = (x.tolist() for x in pitman_yor.lanes(word, tables * 10 + (tables == 9), tables))
+    assert place == [0, 1, 1, 1, 2, 3, 4, 5, 6, 6, 6, 6]
+    assert moves == [600, 400, 1000, 600, 50, 91, 1000, 10, 990, 1000, 1000, 10]
+    assert lane == [0, 0, 1, 2, 2, 3, 4, 5, 5, 6, 7, 8]
+    assert [len(x) for x in pitman_yor.lanes(word[:0], tables[:0], tables[:0])] == [0, 0, 0]
+
+
+def test_hot_words(monkeypatch):
+    """Many customers of one word, in lanes of many and of one table."""
+    parent, n = np.r_[np.arange(257), np.arange(300) % 3], 300
+    keys, counts = np.uint64(1 << 15) | np.arange(257, 257 + n, dtype=np.uint64), np.arange(n) % 7 * 900 + 2
+    totals = np.bincount((keys & np.uint64(32767)).astype(int), weights=counts, minlength=len(parent))
+    means = []
+    for lane in (1, 64, 1 << 30):
+        monkeypatch.setattr(pitman_yor, "LANE", lane)
+        (tables, cc, ct, customers, seated), _, _ = pitman_yor.gibbs(keys, counts, parent, totals, 50, (0.7, 0.7, 0.6), 2)
+        assert (cc.sum(0) == tables.sum(0)).all() and (customers[0] == ct.sum(0)).all() and (tables <= counts[:, None]).all() and (tables >= 1).all()
+        means.append(tables[:, -1].sum())
+    assert abs(means[1] / means[2] - 1) < 0.1
+
+
 def test_many_customers_move_alike():
     """Ratios beyond the table are close to those of a longer table."""
     short = pitman_yor.alone(np.array([2000, 2000, 2000]), np.array([20.0, 200.0, 1500.0]), 0.5)
