@@ -391,6 +391,23 @@ def test_hot_words(monkeypatch):
     assert abs(means[1] / means[2] - 1) < 0.1
 
 
+def test_no_table_is_empty(monkeypatch):
+    """Where nearly every customer sits alone, those of one dish that open tables side by side leave each table a customer."""
+    parent, n = np.r_[np.arange(257), np.arange(60) % 3], 60
+    keys, counts = np.uint64(1 << 15) | np.arange(257, 257 + n, dtype=np.uint64), np.arange(n) % 6 * 90 + 60
+    totals = 1000 * np.bincount((keys & np.uint64(32767)).astype(int), weights=counts, minlength=len(parent))
+    means = []
+    for lane in (1, 32, 1 << 30):
+        monkeypatch.setattr(pitman_yor, "LANE", lane)
+        (tables, cc, ct, customers, seated), _, _ = pitman_yor.gibbs(keys, counts, parent, totals, 50, (0.7, 0.7, 0.6), 2)
+        for c, t in ((counts[:, None], tables), (cc, ct), (customers, seated)):
+            assert ((t >= 1) & (t <= c)).all()
+        means.append(tables[:, -1].sum())
+    assert max(means) / min(means) < 1.1 and min(means) > 0.7 * counts.sum()
+    c = np.array([3, 512, 513, 5000])
+    assert (pitman_yor.alone(c, c, 0.5) == 1).all() and (pitman_yor.alone(c, c - 1, 0.5) < 1).all()
+
+
 def test_many_customers_move_alike():
     """Ratios beyond the table are close to those of a longer table."""
     short = pitman_yor.alone(np.array([2000, 2000, 2000]), np.array([20.0, 200.0, 1500.0]), 0.5)

@@ -11,10 +11,11 @@ probability that seating plans of so many customers at so many tables have, a ra
 seated again at a table of the dish or at a new one, whose dish comes from the parent. A table that closes takes a customer out of the
 parent at once, one that opens sends it one, and so on up. In a sweep every customer of every restaurant moves once, from the contexts up
 (`Seating.sweep`). The customers of a word on a level move one after the other; where they have more than LANE tables, at most one in LANE
-closes or opens at once. Words move side by side: a move sees the tables of others that move at once as they are before the step. Buckets
-sample on their own; what a restaurant has in other buckets is taken to be as much, for its customers, as here at the start of each sweep of
-a level. The last SAMPLES sweeps are kept. With totals of all buckets, each sample's predictive probabilities sum to one; a token's
-probability is their average. Discounts are n1 / (n1 + 2 n2) of the counts of each level.
+closes or opens at once, and no more than leave each dish a table and each table a customer. Words move side by side: a move sees the tables
+of others that move at once as they are before the step. Buckets sample on their own; what a restaurant has in other buckets is taken to be
+as much, for its customers, as here at the start of each sweep of a level. The last SAMPLES sweeps are kept. With totals of all buckets, each
+sample's predictive probabilities sum to one; a token's probability is their average. Discounts are n1 / (n1 + 2 n2) of the counts of each
+level.
 
 To score, words whose pairs fit HEAD_PAIRS are broadcast, most frequent first; tokens of all other words travel packed to the bucket of
 their word. A null or empty text is one end token. An empty training set leaves the uniform base; no texts to score give no rows. A null id
@@ -243,7 +244,8 @@ def alone(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndar
     out = _alone_table(discount)[np.where(many, 0, c), np.where(many, 0, t)]
     c, t = c[many] - 1, t[many] - 1
     per_table, share = _alone_curve(discount)
-    out[many] = np.where(t > 0, np.minimum(t / c * np.interp(np.log(c / np.maximum(t, 1)), per_table, share), 1), 0)
+    found = np.where(t > 0, np.minimum(t / c * np.interp(np.log(c / np.maximum(t, 1)), per_table, share), 1), 0)
+    out[many] = np.where(t == c, 1, found)  # exactly, as no table may become empty
     return out
 
 
@@ -299,6 +301,14 @@ class Level:
         self.mark[cells] = at
         return self.mark[cells] == at
 
+    def within(self, cells: np.ndarray, room) -> np.ndarray:
+        """Which of these may change at once: all of one cell where it has room for as many, else one of them."""
+        now = self.once(cells)
+        if not now.all():
+            some, of, times = np.unique(cells, return_inverse=True, return_counts=True)
+            now |= (room(some) >= times)[of]
+        return now
+
     def leave(self, cells: np.ndarray) -> np.ndarray:
         """A customer of each cell leaves. Returns the cells whose table closes. Those of one cell leave at once, unless no seating plan is left
         by that; then they leave one by one."""
@@ -397,13 +407,11 @@ class Seating:
             left = left - idle - 1
             if len(moved):
                 closes = rng.random(len(moved)) * some[moved] < single[moved]
-                one, other = moved[closes], cell[moved[~closes]]
-                now = level.once(cell[one])
-                if not now.all():  # a dish keeps a table; who would take the last draws again
-                    some, of, times = np.unique(cell[one], return_inverse=True, return_counts=True)
-                    now |= (level.tables[some] > times)[of]
-                    left[one[~now]] += 1
-                one = cell[one[now]]
+                now = np.empty(len(moved), bool)  # a dish keeps a table, and no table is empty; who would take the last draws again
+                now[closes] = level.within(cell[moved[closes]], lambda x: level.tables[x] - 1)
+                now[~closes] = level.within(cell[moved[~closes]], lambda x: level.customers[x] - level.tables[x])
+                left[moved[~now]] += 1
+                one, other = cell[moved[now & closes]], cell[moved[now & ~closes]]
                 if len(other):
                     level.add(other, 0, 1)
                     if not top:
