@@ -99,6 +99,42 @@ def test_code_tables_of_few_bits(monkeypatch):
     assert set(widths) == {8}
 
 
+def test_small_photos_together(monkeypatch):
+    """Small photos of one shape are transformed in few steps, and are to the byte and the pixel what they are one by one."""
+    r = np.random.default_rng(4)
+    images = [r.integers(0, 256, ((12, 13, 3), (24, 24, 3), (9, 40, 3))[i % 3]).astype(np.uint8) // (1 + 40 * (i % 2)) for i in range(300)]
+    images[7] = images[8] = None
+    calls, pixels, encode = [], jpeg._pixels, jpeg._encode
+    monkeypatch.setattr(jpeg, "_pixels", lambda *a: calls.append("decode") or pixels(*a))
+    monkeypatch.setattr(jpeg, "_encode", lambda *a: calls.append("encode") or encode(*a))
+    data = list(jpeg.encoded(images, 90))
+    mixed = [b"broken", data[0][:-60], None, *data]
+    found = list(jpeg.decoded(mixed))
+    assert calls == ["encode"] * 3 + ["decode"] * 3
+    assert data == [None if x is None else jpeg.encode(x, 90) for x in images]
+    assert found[:3] == [None] * 3 and all(a is b is None or (jpeg.decode(b) == a).all() for a, b in zip(found[3:], data, strict=True))
+    for most in (1, 1000):
+        monkeypatch.setattr(jpeg, "TOGETHER", most)
+        assert list(jpeg.encoded(iter(images), 90)) == data and [x is None for x in jpeg.decoded(mixed)] == [x is None for x in found]
+    assert list(jpeg.decoded([])) == list(jpeg.encoded([])) == []
+
+
+def test_contents_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Names are joined with the listing; files are read behind that, and what is read stays in its task until it is written."""
+    kept = []
+    monkeypatch.setattr(videos, "settled", lambda df: kept.append(_plan(df).split("== Physical Plan ==")[1]) or shared.settled(df))
+    videos.photo_crops(spark, "/root/testdata/sf0.001")
+    assert len(kept) == 2
+    for plan in kept:
+        lines = [x for x in plan.splitlines() if "MapInArrow" in x or "Exchange" in x or "Join" in x]
+        first = next(i for i, x in enumerate(lines) if "Exchange" in x or "Join" in x)
+        assert sum("MapInArrow" in x for x in lines[:first]) >= 3 and not any("content" in x for x in lines[first:])
+    _tree(tmp_path, 60)
+    beside = spark.createDataFrame([("3.JPG", 1), ("30.JPG", 2), ("31.mp4", 3), ("gone.jpg", 4)], "name string, n int")
+    found = files.contents(spark, str(tmp_path), beside=beside).collect()
+    assert {(r.name, r.n, len(r.content)) for r in found} == {("3.JPG", 1, 4), ("30.JPG", 2, 31)}
+
+
 def test_headers_of_cut_photos(spark, tmp_path):
     """Photos that are cut behind 200 KB of other segments and their header."""
     names = spark.createDataFrame([(k, "A") for k in (1950, 3900, 650, 50, 13)], "c_custkey long, c_mktsegment string")

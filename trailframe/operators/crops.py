@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,15 +17,17 @@ from trailframe.sources import jpeg, media
 BOX = ("x_min", "y_min", "Width", "Height")
 
 
-def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """By interpolation between the four nearest pixels, as pixels' middles lie; at the edges the edge goes on."""
+@lru_cache(maxsize=256)
+def _places(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of `new` pixels in a row of `old` ones: the two that it lies between, and its share of the second."""
+    at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+    low = np.floor(at).astype(int)
+    return low, np.minimum(low + 1, old - 1), at - low
 
-    def places(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, old - 1), at - low
 
-    (y0, y1, fy), (x0, x1, fx) = places(image.shape[0], height), places(image.shape[1], width)
+def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """By interpolation between the four nearest pixels, as pixels' middles lie; at the edges the edge goes on."""
+    (y0, y1, fy), (x0, x1, fx) = _places(image.shape[0], height), _places(image.shape[1], width)
     fx, fy = fx[:, None], fy[:, None, None]
     rows = image[y0] * (1 - fy) + image[y1] * fy
     return np.clip(np.round(rows[:, x0] * (1 - fx) + rows[:, x1] * fx), 0, 255).astype(np.uint8)
@@ -81,7 +85,7 @@ def encoded(pictures: DataFrame, quality: int = 95, name: str = "content") -> Da
         for batch in batches:
             three = zip(*[batch.column(a) for a in at], strict=True)
             images = (np.frombuffer(p.as_py(), np.uint8).reshape(h.as_py(), w.as_py(), 3) if p.is_valid else None for w, h, p in three)
-            for rows, out in media.pieces(batch, (None if image is None else jpeg.encode(image, quality) for image in images)):
+            for rows, out in media.pieces(batch, jpeg.encoded(images, quality)):
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rest], pa.array(out, pa.binary())], [*rest, name])
 
     return pictures.mapInArrow(run, StructType([f for f in pictures.schema.fields if f.name != "pixels"] + [StructField(name, BinaryType())]))

@@ -222,17 +222,17 @@ def photo_crops(spark, sf_dir):
     def count(batches):
         for batch in batches:
             bright = [int((np.frombuffer(p, np.uint8)[::3] > 110).sum()) for p in batch.column("pixels").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.select(["path", "image_width", "image_height"]).columns, pa.array(bright)], ["path", "image_width", "image_height", "bright"])
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(bright)], [*kept, "bright"])
 
-    def pictures(folder):
-        return photos.decoded(files.contents(spark, folder).select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content"))
+    def pictures(folder, beside):
+        return photos.decoded(files.contents(spark, folder, beside=beside).drop("path", "modificationTime", "length"))
 
+    kept = ["name", "image_width", "image_height", "crop", "plain"]
     with scratch(spark) as folder:
         photos.write_photos(rows.select("name").mapInArrow(make, "path string, content binary"), f"{folder}/photos")
-        cut = crops.cropped(pictures(f"{folder}/photos").join(rows, F.col("path") == F.col("name")), 24, 0.1, 0.05)
-        cut = settled(crops.encoded(cut))
-        photos.write_photos(cut, f"{folder}/crops")
-        found = pictures(f"{folder}/crops").mapInArrow(count, "path string, image_width int, image_height int, bright long")
+        cut = settled(crops.encoded(crops.cropped(pictures(f"{folder}/photos", rows), 24, 0.1, 0.05)))
+        photos.write_photos(cut, f"{folder}/crops", path="name")
         plain = geometry.new_scale(*[F.col(c) for c in boxes], F.lit(60), F.lit(44), 0.05, 24).isNull()
-        cut = cut.select("path", plain.alias("plain"), F.concat(F.lit("["), F.array_join(F.transform("Crop", lambda v: v.cast("string")), ", "), F.lit("]")).alias("crop"))
-        return settled(found.join(cut, "path").select("path", "image_width", "image_height", "crop", F.when(F.col("plain"), F.col("bright")).alias("bright")))
+        cut = cut.select("name", plain.alias("plain"), F.concat(F.lit("["), F.array_join(F.transform("Crop", lambda v: v.cast("string")), ", "), F.lit("]")).alias("crop"))
+        found = pictures(f"{folder}/crops", cut).mapInArrow(count, "name string, image_width int, image_height int, crop string, plain boolean, bright long")
+        return settled(found.select(F.col("name").alias("path"), "image_width", "image_height", "crop", F.when(F.col("plain"), F.col("bright")).alias("bright")))

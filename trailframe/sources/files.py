@@ -55,13 +55,18 @@ def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES
     return files.where(paths.suffix(F.col("path")).isin(*suffixes))
 
 
-def contents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
-    """path, modificationTime, length, content of files with these suffixes, in any case."""
+def contents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES, beside: DataFrame | None = None) -> DataFrame:
+    """path, modificationTime, length, content of files with these suffixes, in any case. With `beside` (name, and other columns) only those
+    of these names (the last part of the path), and its columns: the listing is joined, before contents are read, so they are not shuffled."""
+
+    def named(found: DataFrame) -> DataFrame:
+        return found if beside is None else found.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1)).join(beside, "name")
+
     try:
-        return media.with_contents(media.listed(spark, folder, suffixes))
+        return media.with_contents(named(media.listed(spark, folder, suffixes)))
     except pa.ArrowInvalid:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        return files.where(paths.suffix(F.col("path")).isin(*suffixes))
+        return named(files.where(paths.suffix(F.col("path")).isin(*suffixes)))
 
 
 def videos(files: DataFrame, path: str = "path") -> DataFrame:

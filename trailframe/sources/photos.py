@@ -169,8 +169,8 @@ def tags_of(files: DataFrame) -> DataFrame:
 
 def decoded(photos: DataFrame, content: str = "content", decode: Callable[[bytes], np.ndarray] = jpeg.decode) -> DataFrame:
     """The table with image_width, image_height and pixels (rows of red, green and blue bytes) of the JPEG in `content`, which is left out. All three
-    are null where it is null, damaged, or not baseline. One photo is decoded at a time; rows go on together, some MB of them. `decode` may be another decoder, from bytes to an
-    array of height x width x 3; it says by a ValueError that a photo is damaged."""
+    are null where it is null, damaged, or not baseline. Small photos of one shape are transformed together, large ones one at a time; rows go on together, some MB of them.
+    `decode` may be another decoder, from bytes to an array of height x width x 3; it says by a ValueError that a photo is damaged."""
     rest = [c for c in photos.columns if c != content]
     for c in ("image_width", "image_height", "pixels"):
         if c in rest:
@@ -187,8 +187,8 @@ def decoded(photos: DataFrame, content: str = "content", decode: Callable[[bytes
             sizes = []
 
             def pixels(batch=batch, sizes=sizes):
-                for data in batch.column(content):
-                    found = image(data.as_py())
+                values = (data.as_py() for data in batch.column(content))
+                for found in jpeg.decoded(values) if decode is jpeg.decode else map(image, values):
                     sizes.append((None, None) if found is None else (found.shape[1], found.shape[0]))
                     yield None if found is None else found.tobytes()
 
